@@ -193,15 +193,17 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Netw
     return train([w for _, _, w in pairs], [lang for _, lang, _ in pairs])
 
 
-def identify(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns, lang_pred and score of each row's whole ``text``.
+def identify(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",), named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The given columns, and the predicted language and its score for each row's whole ``text``.
+
+    ``named`` are the names of the two, which the given columns must not have.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing could be learnt. Equal
     probabilities: the first label in order. Other columns are ignored; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(net)
     kept = len(columns)
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*columns).schema.add(named[0], "string").add(named[1], "double")
 
     def flush(batch: pa.RecordBatch, start: int, texts: list[bytes], sane: list[bool]) -> pa.RecordBatch:
         chances = score_texts(model.value, texts) if model.value else np.zeros((len(texts), 1))
@@ -209,7 +211,7 @@ def identify(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("
         labels = [model.value.labels[b] if ok and model.value else UNDETERMINED for b, ok in zip(best.tolist(), sane)]
         scores = np.where(sane, np.clip(chances[np.arange(len(best)), best], 0, 1), 0.0) if model.value else np.zeros(len(texts))
         part = batch.slice(start, len(texts))
-        return pa.RecordBatch.from_arrays([*(part.column(c) for c in range(kept)), pa.array(labels, pa.string()), pa.array(scores)], [*columns, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in range(kept)), pa.array(labels, pa.string()), pa.array(scores)], [*columns, *named])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,5 +227,5 @@ def identify(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("
             if texts:
                 yield flush(batch, start, texts, sane)
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*columns, "text", letters.alias("letters_")).mapInArrow(run, schema)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters_")
+    return docs.select(*columns, F.col("text"), letters).mapInArrow(run, schema)

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 #: A candidate: a run of this many key characters at least, with its padding.
 MIN_LENGTH = 16
 CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}+={{0,2}}"
@@ -251,7 +253,8 @@ def redact(docs: DataFrame, forest: list[Node]) -> DataFrame:
         text.rlike(LIKELY),
         F.transform(candidates(text), lambda x: F.struct(x["start"].alias("start"), F.length(x["candidate"]).alias("n"), features(x).alias("f"))),
     )
-    chance = f"filter(hits_, h -> {forest_sql(forest, 'h.f')} >= 0.5D)"
+    name = fresh(docs, "hits")
+    chance = f"filter(`{name}`, h -> {forest_sql(forest, 'h.f')} >= 0.5D)"
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     replaced = F.aggregate(
         F.expr(chance),
@@ -262,4 +265,4 @@ def redact(docs: DataFrame, forest: list[Node]) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))),
     )
-    return docs.withColumn("hits_", hits).withColumn("text", F.when(F.size("hits_") > 0, replaced).otherwise(text)).drop("hits_")
+    return docs.withColumn(name, hits).withColumn("text", F.when(F.size(name) > 0, replaced).otherwise(text)).drop(name)

@@ -74,3 +74,11 @@ def smallest_by_hash(df: DataFrame, key: str, group: str, per_group: int) -> lis
         own = df.where(F.col(group) == F.lit(value)).select(key, F.xxhash64(F.col(key)).alias("h"))
         chosen += [r[0] for r in own.orderBy("h", key).limit(per_group).collect()]
     return chosen
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
