@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import q_aggregates, q_documents, q_joins, q_references, q_rules, q_scalars, q_sources, q_stateful, q_work  # noqa: F401
+from .registering import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
