@@ -17,11 +17,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import cut
+from .shared import cut, written
 
 THRESHOLD = 0.98
 #: Vectors in a tile, about; leading axes that are dealt into cells; dimensions in a step.
@@ -74,52 +76,58 @@ def _usable() -> Column:
     return F.coalesce(F.col("label").isNotNull() & ~bad & some, F.lit(False))
 
 
-def _axes(nodes: DataFrame) -> dict[int, np.ndarray]:
+def _axes(nodes: DataFrame) -> Broadcast:
     """Axes for every number of dimensions, from a bounded sample of vectors."""
     dims = [r[0] for r in nodes.select(F.size("embedding")).distinct().collect()]
     found = {}
     for dim in dims:
         rows = nodes.where(F.size("embedding") == dim).orderBy(F.xxhash64("node"), "node").limit(AXES_SAMPLE).select("embedding").collect()
-        sample = np.array([r.embedding for r in rows])
-        found[dim] = principal_axes(sample / np.linalg.norm(sample, axis=1, keepdims=True), dim)
-    return found
+        found[dim] = principal_axes(_turn(np.array([r.embedding for r in rows], float), np.eye(dim)), dim)
+    return nodes.sparkSession.sparkContext.broadcast(found)
 
 
-def _placed(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Adds the unit vector in PCA order and its cell along the first axes."""
-    shared = nodes.sparkSession.sparkContext.broadcast(_axes(nodes))
+def _turn(raw: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors in PCA order of rows in double precision."""
+    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)) @ axes
+
+
+def _placed(nodes: DataFrame, axes: Broadcast, threshold: float) -> DataFrame:
+    """Adds each vector's cell along the first axes, with its number of dimensions."""
     width = float(np.sqrt(max(2 - 2 * threshold, 0)) * (1 + 1e-6) + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, turned = [], []
+            cells = []
             for v in batch.column(2):
-                x = np.array(v.as_py(), float)
-                y = (x / np.linalg.norm(x / np.abs(x).max()) / np.abs(x).max()) @ shared.value[len(x)]
-                turned.append(y)
-                cells.append([len(x), *(np.floor(y[:CELL_AXES] / width).astype(int).tolist())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(turned, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int32()))], ["label", "node", "embedding", "n", "turned", "cell"])
+                x = v.values.to_numpy().astype(float)[None, :]
+                cells.append([x.shape[1], *np.floor(_turn(x, axes.value[x.shape[1]])[0, :CELL_AXES] / width).astype(int).tolist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["label", "node", "embedding", "n", "cell"])
 
-    kind = nodes.schema["label"].dataType.simpleString()
-    return nodes.select("label", "node", "embedding", "n").mapInArrow(run, f"label {kind}, node long, embedding array<double>, n long, turned array<double>, cell array<int>")
+    columns = nodes.select("label", "node", "embedding", "n")
+    return columns.mapInArrow(run, T.StructType([*columns.schema.fields, T.StructField("cell", T.ArrayType(T.IntegerType()))]))
 
 
 def _tiles(placed: DataFrame) -> DataFrame:
-    """(label, cell, tile, rows): cells cut into tiles of about TILE vectors by a hash of the node."""
+    """(tile, label, cell, nodes, copies, raw): cells cut into tiles of about TILE vectors by a hash of the node."""
     sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("crowd"))
-    dealt = placed.join(sizes, ["label", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / TILE)))
-    held = dealt.groupBy("label", "cell", "tile").agg(F.collect_list(F.struct("node", "n", "turned", "embedding")).alias("m"))
-    return held.select("label", "cell", "tile", F.col("m.node").alias("nodes"), F.col("m.n").alias("copies"), F.flatten("m.turned").alias("turned"), F.flatten("m.embedding").alias("raw"))
+    dealt = placed.join(sizes, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / TILE)))
+    held = dealt.groupBy("label", "cell", "part").agg(F.collect_list(F.struct("node", "n", "embedding")).alias("m"))
+    named = F.concat_ws("/", F.col("label").cast("string"), F.array_join(F.transform("cell", lambda c: c.cast("string")), ","), F.col("part").cast("string"))
+    return held.select(named.alias("tile"), "label", "cell", F.col("m.node").alias("nodes"), F.col("m.n").alias("copies"), F.flatten("m.embedding").alias("raw"))
 
 
 def _meet(tiles: DataFrame) -> DataFrame:
-    """Pairs of tiles whose cells are the same or touch, each pair once."""
+    """Pairs of tiles whose cells are the same or touch, each pair once, with the vectors of both.
+
+    The pairs are found on names and cells alone.
+    """
     shifts = F.array(*[F.array(*[F.lit(k) for k in (0, *s)]) for s in product((-1, 0, 1), repeat=CELL_AXES)])
     shifted = F.transform(shifts, lambda s: F.transform(F.arrays_zip(F.col("cell").alias("c"), s.alias("d")), lambda x: x["c"] + F.coalesce(x["d"], F.lit(0))))
-    left = tiles.select("label", F.explode(shifted).alias("at"), F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"), F.col("nodes").alias("nodes_a"), F.col("copies").alias("copies_a"), F.col("turned").alias("turned_a"), F.col("raw").alias("raw_a"))
-    right = tiles.select(F.col("label").alias("label_b"), F.col("cell").alias("cell_b"), F.col("tile").alias("tile_b"), F.col("nodes").alias("nodes_b"), F.col("copies").alias("copies_b"), F.col("turned").alias("turned_b"), F.col("raw").alias("raw_b"))
-    order = F.struct("cell_a", "tile_a") <= F.struct(F.col("cell_b").alias("cell_a"), F.col("tile_b").alias("tile_a"))
-    return left.join(right, (F.col("label") == F.col("label_b")) & (F.col("at") == F.col("cell_b")) & order)
+    left = tiles.select("label", F.col("tile").alias("tile_a"), F.explode(shifted).alias("cell"))
+    pairs = left.join(tiles.select("label", "cell", F.col("tile").alias("tile_b")), ["label", "cell"]).where("tile_a <= tile_b").select("tile_a", "tile_b").distinct()
+    side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "raw")])
+    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b")
 
 
 def _joined(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
@@ -135,23 +143,25 @@ def _joined(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         least = new
 
 
-def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
+def _compare(pairs: DataFrame, axes: Broadcast, threshold: float) -> DataFrame:
     """(a, b, m) from the verified links of each pair of tiles, as many rows as the tiles have
     vectors and not as they have links: m copies that node a links with, where b is null; and links
     (a, b) that join what the tiles' links join."""
-    names = ("nodes_a", "copies_a", "turned_a", "raw_a", "nodes_b", "copies_b", "turned_b", "raw_b")
+    names = ("nodes_a", "copies_a", "raw_a", "nodes_b", "copies_b", "raw_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids_a, n_a, a, raw_a, ids_b, n_b, b, raw_b = (batch.column(name)[k].values.to_numpy(zero_copy_only=False) for name in names)
-                i, j = close_pairs(a.reshape(len(ids_a), -1), b.reshape(len(ids_b), -1), threshold)
+                ids_a, n_a, raw_a, ids_b, n_b, raw_b = (batch.column(name)[k].values.to_numpy(zero_copy_only=False) for name in names)
+                raw_a, raw_b = raw_a.astype(float).reshape(len(ids_a), -1), raw_b.astype(float).reshape(len(ids_b), -1)
+                turn = axes.value[raw_a.shape[1]]
+                i, j = close_pairs(_turn(raw_a, turn), _turn(raw_b, turn), threshold)
                 same = batch.column("same")[k].as_py()
                 if same:
                     i, j = i[ids_a[i] < ids_b[j]], j[ids_a[i] < ids_b[j]]
                 sure = []
                 for at in range(0, len(i), 1 << 16):
-                    x, y = raw_a.reshape(len(ids_a), -1)[i[at : at + (1 << 16)]], raw_b.reshape(len(ids_b), -1)[j[at : at + (1 << 16)]]
+                    x, y = raw_a[i[at : at + (1 << 16)]], raw_b[j[at : at + (1 << 16)]]
                     sure.append(np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)) >= threshold)
                 if not sure:
                     continue
@@ -168,8 +178,7 @@ def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
                 counts = np.concatenate([partners[some].astype(np.int64), np.zeros(len(moved), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[moved]])), ends, pa.array(counts)], ["a", "b", "m"])
 
-    same = (F.col("cell_a") == F.col("cell_b")) & (F.col("tile_a") == F.col("tile_b"))
-    return pairs.select(same.alias("same"), *names).mapInArrow(run, "a long, b long, m long")
+    return pairs.select((F.col("tile_a") == F.col("tile_b")).alias("same"), *names).mapInArrow(run, "a long, b long, m long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,17 +190,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     each other if their vectors link. A null vec_id is kept: it links, and its component is the
     least id it reaches, or null. Other columns are ignored; an empty table gives no rows.
     """
-    rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), "label"
-    )
+    exact = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(exact).alias("embedding"), "label")
     usable = rows.where(_usable())
     # Zeros of either sign are equal; identical vectors are counted once.
-    plain = usable.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    plain = usable.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)).cast(exact))
     key = (F.xxhash64("label", "embedding"), F.xxhash64(F.lit(1), "embedding", "label"))
     marked = cut(plain.select("vec_id", "label", "embedding", key[0].alias("k1"), key[1].alias("k2")))
     groups = marked.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("label", "embedding")).alias("v"))
     nodes = cut(groups.select("k1", "k2", "least", "n", F.xxhash64("k1", "k2").alias("node"), "v.label", "v.embedding"))
-    links = cut(_compare(_meet(_tiles(_placed(nodes, threshold))), threshold))
+    axes = _axes(nodes)
+    tiles = written(_tiles(_placed(nodes, axes, threshold)), "cosine-tiles")
+    links = cut(_compare(_meet(tiles), axes, threshold))
     others = links.groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("m"))
     placed = nodes.select("node", "n", "least").join(connected_components(links.select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
