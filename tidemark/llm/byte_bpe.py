@@ -19,10 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Words up to this many bytes are merged by scanning.
 SHORT = 256
 #: Words remembered by a worker; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NONE = 1 << 60
 #: The pre-tokenizer's pattern and its white space: fixed values of byte-level BPE.
 _SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -162,7 +164,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
+    return docs.select(key, F.col(text)).mapInArrow(lean(run), f"`{key}` {kind}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -187,4 +189,4 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

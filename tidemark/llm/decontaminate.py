@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Edits allowed for each character of a passage.
 ERROR_RATE = 0.08
 #: Items with more words are tested as overlapping passages of this many words.
@@ -180,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "passages", "distance"])
 
-        hits = texts.mapInArrow(run, "doc_id long, item_id long, passages int, distance int")
+        hits = texts.mapInArrow(lean(run), "doc_id long, item_id long, passages int, distance int")
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -199,5 +201,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(place)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import smallest_by_hash
+from .shared import lean, smallest_by_hash
 
 WINDOW = 64
 HIDDEN = 12
@@ -228,4 +228,4 @@ def identify(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("
                 yield flush(batch, start, texts, sane)
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters_")
-    return docs.select(*columns, F.col("text"), letters).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text"), letters).mapInArrow(lean(run), schema)

@@ -20,12 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 GOOD, BAD, NONE = 1, 0, 2
 BUCKETS = 1 << 15
 #: Bound of the scorer's training sample: documents that come to the driver.
 SAMPLE = 4000
 #: Words remembered by a worker; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Weight of the labellers' prior against all documents.
 PRIOR = 0.002
 
@@ -235,7 +237,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
             found = ["".join(map(str, votes(facts(t.as_py())))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "pattern"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pattern string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, pattern string")
 
 
 def fit(docs: DataFrame) -> tuple[LabelModel, Scorer] | None:
@@ -292,4 +294,4 @@ def score_quality(docs: DataFrame, fitted: tuple[LabelModel, Scorer] | None) ->
                 ["doc_id", "pattern", "posterior", "score", "keep"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
