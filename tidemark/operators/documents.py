@@ -82,3 +82,30 @@ def publishable(health: DataFrame, deals: int, force: bool = False) -> bool:
     """The gate: not an empty feed while every retailer is stale, unless forced."""
     all_stale = bool(health.agg(F.every("stale")).first()[0])
     return force or not (all_stale and deals == 0)
+
+
+def meta_document(documents: DataFrame, health: DataFrame, now: Column, schema_version: int = 2) -> DataFrame:
+    """The export's one-row head: counts by lane, shops, when it was made."""
+    lane = F.col("lane")
+    counts = documents.agg(*[F.count_if(lane == n).alias(n.lower()) for n in ("VERIFIED", "CLAIMED", "USED")], F.count("*").alias("deals"))
+    shops = health.agg(F.count("*").alias("retailers"), F.count_if(F.col("status") != "HEALTHY").alias("unhealthy"))
+    return counts.crossJoin(F.broadcast(shops)).select(F.lit(schema_version).alias("schema_version"), iso_z(now).alias("generated_at"), "*")  # one row each
+
+
+def feed_filter(documents: DataFrame, category: str = "all", retailer: str = "all", condition: str = "all") -> DataFrame:
+    """The client's filter; ``all`` lets everything pass, condition is ``new`` or ``used``."""
+    keep = F.lit(True)
+    if category != "all":
+        keep &= F.col("category") == category
+    if retailer != "all":
+        keep &= F.col("retailer") == retailer
+    if condition != "all":
+        keep &= (F.col("condition") == "NEW") == F.lit(condition == "new")
+    return documents.where(keep)
+
+
+def feed_sort(documents: DataFrame, by: str = "discount_desc") -> list[Column]:
+    """Sort order of a view: discount_desc, price_asc (landed price where known) or newest."""
+    tail = [F.asc("deal_id")]
+    orders = {"discount_desc": [F.desc("discount_bp")], "price_asc": [F.asc(F.coalesce("landed_cents", "price_cents"))], "newest": [F.desc("detected_at")]}
+    return [*orders[by], *tail]

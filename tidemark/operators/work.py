@@ -48,3 +48,23 @@ def capped(items: DataFrame, room: DataFrame, group: str = "retailer_id") -> Dat
     w = Window.partitionBy(group).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.when(F.col("known"), 0).otherwise(1)).over(w)
     return items.join(room, group).withColumn("enrolled", F.col("known") | (used <= F.col("free")))
+
+
+def with_fallback(stored: DataFrame, configured: DataFrame, group: str = "retailer") -> DataFrame:
+    """Stored rows, and configured ones for groups that have none stored (same columns)."""
+    absent = configured.join(stored.select(group).distinct(), group, "left_anti")
+    return stored.unionByName(absent)
+
+
+def seeded(values: DataFrame, parents: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    """Seed rows whose parent exists and whose key is not stored yet."""
+    return values.join(parents.select("retailer", "retailer_id"), "retailer").join(stored.select(*key), key, "left_anti")
+
+
+def promoted(tasks: DataFrame, variants: DataFrame, now: Column, priority: int = 10) -> DataFrame:
+    """Tasks of the given variants made urgent: priority at least this high, due now at the latest."""
+    hot = variants.select("variant_id").distinct().withColumn("hot_", F.lit(True))
+    joined = tasks.join(hot, "variant_id", "left")
+    due = F.when(F.col("hot_"), F.least("not_before", now)).otherwise(F.col("not_before"))
+    rank = F.when(F.col("hot_"), F.least("priority", F.lit(priority))).otherwise(F.col("priority"))
+    return joined.withColumns({"not_before": due, "priority": rank}).drop("hot_")

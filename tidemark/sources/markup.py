@@ -96,10 +96,14 @@ def links_of(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)))
 
 
+_CELL = "\0cell"
+
+
 class _Cells(HTMLParser):
     """Collects the repeated cells of a grid: for each, the text of wanted elements and attributes.
 
-    ``wanted`` maps a field to (tag, class part, attribute or None for text).
+    ``wanted`` maps a field to (tag, class part, attribute or None for text). Rows of tables inside a
+    cell give ``spec_`` fields: the first column names the second.
     """
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -110,6 +114,7 @@ class _Cells(HTMLParser):
         self.rows: list[dict[str, str]] = []
         self.depth = self.inside = 0
         self.open: list[tuple[int, str]] = []
+        self.pair: list[str] = []
 
     @staticmethod
     def _is(tag: str, attrs: dict, want_tag: str, want_class: str) -> bool:
@@ -122,6 +127,11 @@ class _Cells(HTMLParser):
         if self._is(tag, a, *self.cell):
             self.rows.append({f"cell_{k}": v for k, v in a.items() if k.startswith("data-") and v})
             self.inside = self.depth
+        if self.inside and tag == "tr":
+            self.pair = []
+        if self.inside and tag in ("td", "th"):
+            self.pair.append("")
+            self.open.append((self.depth, _CELL))
         if self.inside:
             for name, (want_tag, want_class, attribute) in self.wanted.items():
                 if self._is(tag, a, want_tag, want_class):
@@ -134,12 +144,19 @@ class _Cells(HTMLParser):
         if tag in self.VOID:
             return
         self.open = [o for o in self.open if o[0] < self.depth]
+        if tag == "tr" and self.inside and len(self.pair) > 1:
+            self.rows[-1].setdefault(f"spec_{self.pair[0].rstrip(':').strip().lower()}", self.pair[1])
+            self.pair = []
         if self.inside == self.depth:
             self.inside = 0
         self.depth -= 1
 
     def handle_data(self, data):
         for _, name in self.open:
+            if name == _CELL:
+                if self.pair:
+                    self.pair[-1] = f"{self.pair[-1]} {data.strip()}".strip()
+                continue
             self.rows[-1][name] = (self.rows[-1].get(name, "") + " " + data.strip()).strip()
 
 
@@ -148,6 +165,7 @@ GRIDS = {
     "catalogue_cells": (("div", "cattable-wrap-cell"), {"title": ("a", "cattable-wrap-cell-info-name", None), "href": ("a", "", "href"), "price": ("span", "price", None), "was": ("span", "is-crossout", None)}),
     "product_items": (("div", "product-item"), {"title": ("a", "thumb", "title"), "href": ("a", "", "href"), "price": ("span", "price", None), "was": ("span", "strikethrough", None)}),
     "badge_tiles": (("div", "product-tile"), {"title": ("div", "product-name", None), "href": ("a", "", "href"), "badge": ("span", "image-banner", None), "price": ("span", "regular-price", None), "was": ("span", "was-price", None)}),
+    "ordering_rows": (("tr", "js-ordering-subproduct"), {"price": ("span", "price", None), "was": ("span", "is-crossout", None), "stock": ("td", "js-ordering-stock", None), "style": ("ul", "style-list", None), "gtin": ("meta", "gtin13", "content")}),
     "spec_cards": (("div", "variant-container"), {"title": ("h3", "", None), "price": ("span", "price", None), "was": ("span", "was", None), "sku": ("span", "sku", None)}),
 }
 
@@ -190,3 +208,66 @@ def grid_rows(pages: DataFrame, family: str) -> DataFrame:
     if family == "badge_tiles":
         rows = rows.where(F.col("badge").isin("clearance", "on sale") & F.col("claimed_cents").isNotNull())
     return rows.drop("badge")
+
+
+def spec_offers(pages: DataFrame, family: str = "spec_cards") -> DataFrame:
+    """Offers of product cards with a specification table: the table as an attribute map, stock from
+    the card's inventory attribute."""
+    c = lambda name: F.try_element_at("cell", F.lit(name))
+    specs = F.map_filter("cell", lambda k, v: k.startswith("spec_"))
+    stock = stock_cell(F.coalesce(c("cell_data-inventory"), c("stock")))
+    price, was = parse_price_cents(c("price")), parse_price_cents(c("was"))
+    return grid_cells(pages, family).select(
+        "url", "ord",
+        F.coalesce(c("sku"), c("cell_data-product-id"), c("cell_data-code")).alias("sku"),
+        price.alias("price_cents"), F.when(was > price, was).alias("claimed_cents"),
+        stock["quantity"].alias("quantity"), stock["availability"].alias("availability"),
+        F.transform_keys(specs, lambda k, v: F.substring(k, 6, 1000)).alias("attributes"),
+        normalize_all(F.array(c("gtin"))).alias("gtin14"),
+    )
+
+
+EMBEDDED = "struct<id:bigint,title:string,vendor:string,options:array<string>,variants:array<struct<id:bigint,sku:string,title:string,options:array<string>,price:bigint,compare_at_price:bigint,available:boolean>>>"
+BARCODES = "array<struct<sku:string,additionalProperty:array<struct<identifier:string,value:string>>,gtin13:string,gtin12:string>>"
+
+
+def embedded_product_offers(pages: DataFrame) -> DataFrame:
+    """Offers of pages that carry their product as JSON in a script named ProductJson; barcodes come
+    from the page's JSON-LD by SKU."""
+    script = group(F.col("body"), r'(?s)<script[^>]*id="ProductJson-[^"]*"[^>]*>(.*?)</script>')
+    scripts = F.regexp_extract_all("body", F.lit(r'(?is)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'), F.lit(1))
+    codes = F.flatten(F.transform(scripts, lambda s: F.coalesce(F.from_json(F.coalesce(F.get_json_object(s, "$.hasVariant"), F.concat(F.lit("["), s, F.lit("]"))), BARCODES), F.array().cast(BARCODES))))
+    pairs = F.filter(F.transform(codes, lambda x: F.struct(x["sku"].alias("k"), F.coalesce(x["gtin13"], x["gtin12"], F.get(x["additionalProperty"], F.lit(0))["value"]).alias("v"))), lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+    rows = pages.select("url", F.from_json(script, EMBEDDED).alias("p"), pairs.alias("codes")).where("p.variants is not null").select("url", "p", "codes", F.explode("p.variants").alias("v"))
+    code = F.get(F.filter("codes", lambda e: e["k"] == F.col("v.sku")), F.lit(0))["v"]
+    return rows.select(
+        "url", F.col("v.sku").alias("sku"), F.concat_ws(" - ", "p.title", "v.title").alias("title"), F.col("p.vendor").alias("brand"),
+        F.when(F.col("v.price") > 0, F.col("v.price")).alias("price_cents"), F.when(F.col("v.compare_at_price") > F.col("v.price"), F.col("v.compare_at_price")).alias("claimed_cents"),
+        F.when(F.col("v.available"), "IN_STOCK").otherwise("OUT_OF_STOCK").alias("availability"), normalize_all(F.array(code)).alias("gtin14"),
+    )
+
+
+def browser_capture(pages: DataFrame, was_patterns: dict[str, str]) -> DataFrame:
+    """What a browser capture takes from a product page (url, host, body): the first JSON-LD product
+    with a price, its condition, and the former price by the host's pattern."""
+    products = F.filter(json_ld(F.col("body")), lambda o: (o["@type"] == "Product") & _cents(o["offers"]).isNotNull())
+    best = F.get(products, F.lit(0))
+    was = F.lit(None).cast("string")
+    for host, pattern in was_patterns.items():
+        was = F.when(F.col("host") == host, group(F.col("body"), pattern)).otherwise(was)
+    condition = lookup({"NewCondition": "NEW", "UsedCondition": "USED_UNGRADED", "RefurbishedCondition": "REFURBISHED", "DamagedCondition": "USED_ACCEPTABLE"}, F.element_at(F.split(best["offers"]["itemCondition"], "/"), -1))
+    return pages.select(
+        F.col("url").alias("product_url"), best["name"].alias("title"), condition.alias("condition"), F.coalesce(best["offers"]["priceCurrency"], F.lit("USD")).alias("currency"),
+        _cents(best["offers"]).alias("current_cents"), parse_price_cents(was).alias("was_cents"),
+    ).where("current_cents is not null")
+
+
+def next_page(body: Column) -> Column:
+    """Target of the page's rel=next link."""
+    return F.coalesce(group(body, r'(?i)<(?:a|link)\s[^>]*rel="next"[^>]*href="([^"]*)"'), group(body, r'(?i)<(?:a|link)\s[^>]*href="([^"]*)"[^>]*rel="next"'))
+
+
+def used_wording(description: Column) -> Column:
+    """Struct (msrp_cents, wording) of a used item's free text, such as ``MSRP $299.99 - Excellent condition``."""
+    pattern = r"(?i)MSRP\s*\$([0-9][0-9,]*\.\d{2})\s*-\s*([A-Za-z][A-Za-z ]*?)\s+condition\b"
+    return F.struct(parse_price_cents(group(description, pattern)).alias("msrp_cents"), F.lower(group(description, pattern, 2)).alias("wording"))
