@@ -1,5 +1,6 @@
 """References and guards on small histories."""
 
+import random
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -44,6 +45,20 @@ def test_cross_retailer_rules(spark):
     assert [tuple(r) for r in got] == [(1, 12500, 2)]
 
 
+def test_cross_retailer_equals_a_comparison_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(4), rng.choice([1, 2, None]), rng.randrange(3), datetime(2024, 1, 1 + rng.randrange(5)), f"{k:03d}", rng.randrange(1, 60)) for k in range(90)]
+    df = spark.createDataFrame(rows, "offer_id long, variant_id long, unit_count long, retailer_id long, observed_at timestamp, seq string, price_cents long")
+    expected = {}
+    for o, v, u, *_ in rows:
+        latest = {}
+        for r in sorted((x for x in rows if x[0] != o and (x[1], x[2]) == (v, u) and u is not None), key=lambda x: (x[4], x[5])):
+            latest[r[3]] = r
+        if latest:
+            expected[o] = min((r[6], r[3]) for r in latest.values())
+    assert {r.offer_id: (r.reference_cents, r.retailer_id) for r in R.cross_retailer_reference(df, df).collect()} == expected
+
+
 def test_lower_reference_wins_and_own_wins_ties(spark):
     own = spark.createDataFrame([(1, 100), (2, 200), (3, 50)], "offer_id long, reference_cents long")
     cross = spark.createDataFrame([(1, 100), (2, 150), (4, 70)], "offer_id long, reference_cents long")

@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], keep: int = 1) -> DataFrame:
     """The first ``keep`` rows of each group in a total order (WindowGroupLimit trims before the shuffle)."""
+    return ranked_by(df, keys, order, keep).drop("rank_")
+
+
+def ranked_by(df: DataFrame, keys: list[str], order: list[Column], keep: int) -> DataFrame:
+    """As ``latest_by``, with the place in the group as ``rank_``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank_", rank).where(F.col("rank_") <= keep).drop("rank_")
+    return df.withColumn("rank_", rank).where(F.col("rank_") <= keep)
 
 
 def array_overlap_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id): for each left row the least right row that shares an element of the array ``key``.
 
-    Arrays are exploded and joined on their elements, so no pair of rows is compared.
+    Arrays are exploded and joined on their elements; the right side is reduced to one row for each
+    element first, so an element that very many rows share costs each left row one match.
     """
     a = left.select(left_id, F.explode(F.array_distinct(key)).alias("element_"))
-    b = right.select(right_id, F.explode(F.array_distinct(key)).alias("element_"))
+    b = right.select(right_id, F.explode(F.array_distinct(key)).alias("element_")).groupBy("element_").agg(F.min(right_id).alias(right_id))
     return a.join(b, "element_").groupBy(left_id).agg(F.min(right_id).alias(right_id))
 
 

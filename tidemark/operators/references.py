@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import RULES
 from ..functions.money import comparable_cents, landed_cents
-from .latest import latest_by
+from .latest import latest_by, ranked_by
 
 def newest() -> list[Column]:
     return [F.desc("observed_at"), F.desc("seq")]
@@ -75,11 +75,19 @@ def cross_retailer_reference(own: DataFrame, others: DataFrame, conflicts: DataF
     """
     if conflicts is not None:
         others = others.join(conflicts, ["listing_id", "variant_id"], "left_anti")
-    o = others.select(F.col("offer_id").alias("other_id"), "variant_id", "unit_count", "retailer_id", "observed_at", "seq", "price_cents")
-    met = own.select("offer_id", "variant_id", "unit_count").join(o, ["variant_id", "unit_count"]).where("other_id <> offer_id")
-    each = latest_by(met, ["offer_id", "retailer_id"], [F.desc("observed_at"), F.desc("seq"), F.asc("other_id")])
-    best = F.min(F.struct("price_cents", "retailer_id", "other_id"))
-    return each.groupBy("offer_id").agg(best.alias("b")).select("offer_id", F.col("b.price_cents").alias("reference_cents"), F.col("b.retailer_id").alias("retailer_id"))
+    # The two latest offers of each retailer are enough: an offer is its own retailer's latest or not.
+    group = ["variant_id", "unit_count"]
+    rows = others.where("unit_count is not null").select(F.col("offer_id").alias("other_id"), *group, "retailer_id", "observed_at", "seq", "price_cents")
+    two = ranked_by(rows, [*group, "retailer_id"], [F.desc("observed_at"), F.desc("seq"), F.asc("other_id")], 2)
+    entry = F.struct("price_cents", "retailer_id", "other_id")
+    best = two.where("rank_ = 1").groupBy(*group).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, 2).alias("firsts"))
+    spare = two.where("rank_ = 2").select(*group, "retailer_id", entry.alias("spare"))
+    latest = two.where("rank_ = 1").select(F.col("other_id").alias("offer_id"), *group, "retailer_id")
+    # Without an offer that is its retailer's latest, that retailer's next one counts.
+    mine = own.select("offer_id", *group).join(best, group).join(latest, ["offer_id", *group], "left").join(spare, [*group, "retailer_id"], "left")
+    other = F.get(F.filter("firsts", lambda x: x["other_id"] != F.col("offer_id")), F.lit(0))
+    chosen = F.array_min(F.array_compact(F.array(other, F.col("spare"))))
+    return mine.select("offer_id", chosen.alias("b")).where("b is not null").select("offer_id", F.col("b.price_cents").alias("reference_cents"), F.col("b.retailer_id").alias("retailer_id"))
 
 
 def current_new_reference(own: DataFrame, others: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.files import table
@@ -58,9 +57,8 @@ def variant_discount_vs_high(spark, sf_dir):
       SELECT offer_id, observed_date, price_cents, min(price_cents) OVER w AS lo, max(price_cents) OVER w AS hi FROM daily WINDOW w AS (PARTITION BY offer_id))"""
 )
 def sparkline_minmax(spark, sf_dir):
-    w = Window.partitionBy("offer_id")
-    low, high = F.min("price_cents").over(w), F.max("price_cents").over(w)
-    d = daily(spark, sf_dir).select("offer_id", "observed_date", "price_cents", low.alias("lo"), high.alias("hi"))
+    d = daily(spark, sf_dir).select("offer_id", "observed_date", "price_cents")
+    d = d.join(d.groupBy("offer_id").agg(F.min("price_cents").alias("lo"), F.max("price_cents").alias("hi")), "offer_id")
     scaled = F.round((F.col("price_cents") - F.col("lo")) * F.lit(1000.0) / (F.col("hi") - F.col("lo")))
     return d.select("offer_id", "observed_date", F.when(F.col("hi") == F.col("lo"), F.lit(500).cast("bigint")).otherwise(F.when(F.col("hi") > F.col("lo"), scaled).cast("bigint")).alias("height"))
 
