@@ -33,19 +33,18 @@ TREES, DEPTH, LEAST = 15, 6, 8
 SECRET_WORDS = "token secret password passwd pwd api_key apikey api-key access_key private credential bearer auth signing client_secret webhook"
 PLAIN_WORDS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid revision version example sample dummy placeholder phone card order invoice isbn build image path file page id"
 DICTIONARY = (
-    "about access account action admin after answer apply article author backup before begin between browser button cache "
-    "change check class client cloud code color column comment config connect content context control count create current "
-    "custom data database date default delete demo design detail device document domain download edit email empty enable error "
-    "event example export failed field file filter first folder form format forward function general global group handler header "
-    "hello help here home host html http image import index info input insert install item java json key label language last layer "
-    "layout left library license line link list load local login main manager master media member memory menu message method model "
-    "module month name network next node number object open option order output page panel param parent parse password path pattern "
-    "place plain please plugin point position post preview print private process product profile project public python query read "
-    "record release remove render replace report request reset resource response result return right route sample save script search "
-    "secret section select send server service session settings shared short simple single size source sql start state static status "
-    "step storage string style submit support switch system table target task template test text theme thread time title token tool "
-    "total type update upload user util valid value version video view virtual visible volume warning watch website week width window "
-    "with word work world write your"
+    "access account action admin answer apply article author backup begin between browser button cache change check "
+    "class client cloud code color column comment config connect content context control count create current "
+    "custom data database date default delete demo design detail device document domain download edit email empty "
+    "enable error event example export failed field file filter first folder form format forward function general "
+    "global group handler header hello help home host html http image import index info input insert install item "
+    "java json key label language last layer layout library license line link list load local login main manager "
+    "master media member memory menu message method model module month name network next node number object open "
+    "option order output page panel param parent parse password path pattern place plain please plugin point "
+    "position post preview print private process product profile project public python query read record release "
+    "remove render replace report request reset resource response result return route sample save script search "
+    "secret section select send server service session settings source sql start state static status step storage "
+    "string style submit support switch system table target task template test text"
 )
 FEATURES = ("length", "digits", "capitals", "transitions", "variety", "coverage", "slashes", "in_path", "secret_near", "plain_near", "assigned", "quoted")
 
