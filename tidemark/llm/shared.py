@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,18 +79,17 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def smallest_by_hash(df: DataFrame, key: str, group: str, per_group: int) -> list:
-    """Keys of at most ``per_group`` rows of each group, those with the smallest hash of the key.
+def smallest_by_hash(df: DataFrame, key: str, group: str, bound: int | dict) -> list:
+    """Keys of at most ``bound`` rows of each group (or ``bound[group]``), those with the smallest hash.
 
-    Only key and group are read. The groups (labels or languages) are few; the result has at most
-    ``per_group`` keys for each.
+    Only key and group are read, and each task drops all but its own smallest before the shuffle.
+    Groups (labels, languages) are few.
     """
-    groups = [r[0] for r in df.select(group).distinct().collect()]
-    chosen = []
-    for value in groups:
-        own = df.where(F.col(group) == F.lit(value)).select(key, F.xxhash64(F.col(key)).alias("h"))
-        chosen += [r[0] for r in own.orderBy("h", key).limit(per_group).collect()]
-    return chosen
+    most = bound if isinstance(bound, int) else max(bound.values())
+    order = Window.partitionBy("g").orderBy("h", "k")
+    rows = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.xxhash64(F.col(key)).alias("h"))
+    ranked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("k", "g", "place").collect()
+    return sorted({r.k for r in ranked if r.place <= (bound if isinstance(bound, int) else bound.get(r.g, 0))})
 
 
 def fresh(df: DataFrame, name: str) -> str:
