@@ -109,3 +109,13 @@ def breaker_events(fetches: DataFrame, b: Breaker = Breaker()) -> DataFrame:  #
         return pd.DataFrame(rows, columns=["retailer_id", "at", "cause", "disabled"]).astype({"at": "datetime64[us]", "disabled": "bool", "retailer_id": "int64"})
 
     return fetches.select("retailer_id", "seq", "at", "blocked").groupBy("retailer_id").applyInPandas(fold, "retailer_id long, at timestamp, cause string, disabled boolean")
+
+
+def admit_requests(requests: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
+    """(retailer_id long, seq long, at timestamp, kind string) with ``verdict``."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "seq"])
+        return pdf.assign(verdict=admissions(list(zip(_seconds(pdf), pdf["kind"])), budget))
+
+    return requests.select("retailer_id", "seq", "at", "kind").groupBy("retailer_id").applyInPandas(fold, "retailer_id long, seq long, at timestamp, kind string, verdict string")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..operators import documents as D
-from ..operators import work
+from ..operators import catalog, work
 from ..sources.files import snapshot_ref as make_ref
 from ..sources.files import table
 from ..sources.markup import next_page, used_wording
@@ -100,3 +100,48 @@ def page_patterns(spark, sf_dir):
     told = F.when(k % 2 == 0, F.concat(F.lit("MSRP $"), c, F.lit(".99 - Very good condition. Handle worn."))).otherwise("Nice rod")
     made = table(spark, sf_dir, "orders").select("o_orderkey", next_page(body).alias("next"), used_wording(told).alias("u"))
     return made.select("o_orderkey", "next", "u.msrp_cents", "u.wording")
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey AS listing_id, unnest([lpad(CAST(o_custkey AS VARCHAR), 14, '0'), lpad(CAST(o_orderkey % 97 + 9000 AS VARCHAR), 14, '0')]) AS g FROM orders),
+    v AS (SELECT c_custkey AS variant_id, lpad(CAST(c_custkey * 3 AS VARCHAR), 14, '0') AS g FROM customer WHERE c_acctbal > 0),
+    m AS (SELECT listing_id, min(variant_id) AS variant_id FROM l JOIN v USING (g) GROUP BY 1)
+    SELECT o_orderkey AS listing_id, variant_id, CASE WHEN variant_id IS NULL THEN 'auto_created' ELSE 'auto_gtin' END AS match_status FROM orders LEFT JOIN m ON m.listing_id = o_orderkey"""
+)
+def match_cascade(spark, sf_dir):
+    code = lambda c: F.lpad(c.cast("string"), 14, "0")
+    listings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("listing_id"), F.array(code(F.col("o_custkey")), code(F.col("o_orderkey") % 97 + 9000)).alias("gtin14"))
+    variants = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("variant_id"), F.array(code(F.col("c_custkey") * 3)).alias("gtin14"), F.when(F.col("c_acctbal") <= 0, 1).alias("merged_into_id"))
+    return catalog.match_listings(listings, variants)
+
+
+@query(
+    """WITH b AS (SELECT p_partkey AS product_id, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY product_id) AS k FROM b)
+    SELECT product_id, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM n"""
+)
+def slug_collisions(spark, sf_dir):
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"))
+    taken = spark.createDataFrame([], "slug string")
+    return catalog.unique_slugs(products, taken).select("product_id", "slug")
+
+
+@query(
+    """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'C' || p_partkey ELSE 'p' || p_partkey END AS sku, p_partkey % 3 = 0 AS on_clearance, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents
+    FROM part WHERE p_size % 4 <> 0 AND p_size % 5 <> 0"""
+)
+def grid_eligibility(spark, sf_dir):
+    k, cents = F.col("p_partkey"), F.round(F.col("p_retailprice") * 100).cast("bigint")
+    rows = table(spark, sf_dir, "part").select(
+        F.when(k % 2 == 0, F.concat(F.lit("C"), k.cast("string"))).otherwise("").alias("product_code"), F.col("p_name").alias("title"),
+        F.concat(F.lit("https://h/x/p"), k.cast("string"), F.lit("/")).alias("product_url"), cents.alias("price_cents"), F.when(F.col("p_size") % 5 != 0, cents * 2).alias("claimed_cents"),
+        (F.col("p_size") % 4 == 0).alias("price_is_range"), F.when(k % 3 == 0, "CLEARANCE_LISTING").otherwise("LISTING").alias("page_type"),
+    )
+    return catalog.grid_offers(rows).select("sku", "on_clearance", "price_cents")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN lpad(CAST(page_id AS VARCHAR), 12, '7') || ',' || lpad(CAST(page_id AS VARCHAR), 8, '1') ELSE '' END AS codes FROM pages")
+def barcode_walk(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    nested = F.to_json(F.struct(F.struct(F.lpad(i, 12, "7").alias("UPC"), F.array(F.struct(F.lpad(i, 8, "1").alias("gtin8"))).alias("list")).alias("a"), i.alias("other"), F.lpad(i, 12, "7").alias("barcode")))
+    body = F.when(F.col("page_id") % 2 == 0, nested).otherwise(F.lit('{"upc": "12", "ean": "x"}'))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(catalog.find_barcodes(body), ",").alias("codes"))

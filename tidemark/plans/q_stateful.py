@@ -97,3 +97,11 @@ def rate_limit_fold(spark, sf_dir):
 def breaker_trips(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("retailer_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").isin("error", "signup").alias("blocked"))
     return pacing.breaker_events(rows)
+
+
+@query()
+def admission_ladder(spark, sf_dir):
+    """Verdicts of delay, hour and day budgets, scaled to the density of the events."""
+    kind = F.when(F.col("event_type") == "purchase", "CONFIRM").otherwise("ENROLL")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("retailer_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"))
+    return pacing.admit_requests(rows, pacing.Budget(min_delay=600, per_hour=2, per_day=20)).select("retailer_id", "seq", "verdict")

@@ -78,3 +78,43 @@ def prune_versions(spark: SparkSession, root: str, keep: int = 5) -> list[str]:
     for _, name in found[keep:]:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/exports/{name}"), True)
     return [name for _, name in found[keep:]]
+
+
+def sink_root(env: dict[str, str]) -> str:
+    """Where documents go: a local folder or an object store, by EXPORT_TARGET."""
+    target = env.get("EXPORT_TARGET", "local")
+    if target == "local":
+        return env.get("EXPORT_DIR", "exports")
+    if target == "s3":
+        return f"s3a://{env['EXPORT_BUCKET']}/{env.get('EXPORT_PREFIX', '').strip('/')}".rstrip("/")
+    raise ValueError(f"unknown export target {target!r}")
+
+
+def read_feed(spark: SparkSession, root: str, schema: str, version: int = 2) -> DataFrame:
+    """The promoted deals; fails if their head is missing or of another schema version."""
+    meta = read_latest(spark, root, "meta", "schema_version int")
+    found = meta.first() if meta is not None else None
+    if found is None or found.schema_version != version:
+        raise ValueError(f"feed has schema version {found and found.schema_version}, not {version}")
+    return read_latest(spark, root, "deals", schema)
+
+
+def dimension(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """A small dimension from a YAML file: the list, or the map's entries, under ``key``."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        entries = yaml.safe_load(f)[key]
+    if isinstance(entries, dict):
+        entries = [{"name": k, **v} if isinstance(v, dict) else {"name": k, "value": v} for k, v in entries.items()]
+    names = [c.strip().split(" ")[0].split(":")[0] for c in schema.split(",")]
+    return spark.createDataFrame([tuple(e.get(n) for n in names) for e in entries], schema)
+
+
+def run_summary(counts: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows) of several frames as one frame."""
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in counts.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
