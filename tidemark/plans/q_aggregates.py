@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources.files import table
 from .q_references import ALL, daily
 from .registering import query
-from .star import observations
+from .star import observations, shown_time
 
 
 @query(
@@ -30,13 +30,14 @@ def counts_by_lane(spark, sf_dir):
 
 
 @query(
-    """SELECT date_trunc('hour', ts) AS hour, user_id % 5 AS retailer_id, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'error') AS blocked,
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, user_id % 5 AS retailer_id, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'error') AS blocked,
     count(*) FILTER (WHERE event_type = 'purchase') AS ok FROM events GROUP BY 1, 2"""
 )
 def hourly_health_rollup(spark, sf_dir):
     kind = F.col("event_type")
-    rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), (F.col("user_id") % 5).alias("retailer_id"))
-    return rows.agg(F.count("*").alias("fetched"), F.count_if(kind == "error").alias("blocked"), F.count_if(kind == "purchase").alias("ok"))
+    rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"), (F.col("user_id") % 5).alias("retailer_id"))
+    made = rows.agg(F.count("*").alias("fetched"), F.count_if(kind == "error").alias("blocked"), F.count_if(kind == "purchase").alias("ok"))
+    return made.withColumn("hour", shown_time(F.col("hour")))
 
 
 @query(

@@ -13,6 +13,7 @@ from ..sources.markup import next_page, used_wording
 from .q_documents import DOCUMENT, FACTS, deals, health
 from .q_work import TASKS, tasks
 from .registering import query
+from .star import shown_time
 
 
 @query(
@@ -39,13 +40,13 @@ def seed_pages(spark, sf_dir):
 @query(
     f"""WITH {TASKS}, hot AS (SELECT DISTINCT p_partkey AS v FROM part WHERE p_size = 7)
     SELECT task_id, CASE WHEN v IS NOT NULL THEN least(CAST(substr(priority, 1, 1) AS INT), 2) ELSE CAST(substr(priority, 1, 1) AS INT) END AS priority,
-    CAST(CASE WHEN v IS NOT NULL THEN least(not_before, TIMESTAMP '1998-01-01') ELSE not_before END AS TIMESTAMP) AS not_before FROM tasks LEFT JOIN hot ON v = task_id % 2000"""
+    strftime(CASE WHEN v IS NOT NULL THEN least(not_before, TIMESTAMP '1998-01-01') ELSE not_before END, '%Y-%m-%d %H:%M:%S') AS not_before FROM tasks LEFT JOIN hot ON v = task_id % 2000"""
 )
 def promote_hot(spark, sf_dir):
     rows = tasks(spark, sf_dir).withColumn("priority", F.substring("priority", 1, 1).cast("int")).withColumn("variant_id", F.col("task_id") % 2000)
     hot = table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("variant_id"))
     done = work.promoted(rows, hot, F.lit("1998-01-01").cast("timestamp"), 2)
-    return done.select("task_id", "priority", F.col("not_before").cast("timestamp_ntz").alias("not_before"))
+    return done.select("task_id", "priority", shown_time(F.col("not_before")).alias("not_before"))
 
 
 @query(

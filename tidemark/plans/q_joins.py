@@ -9,7 +9,7 @@ from ..operators.latest import array_overlap_join, latest_by
 from ..operators.references import newest
 from ..sources.files import table
 from .registering import query
-from .star import OBSERVATIONS, as_of, observations
+from .star import OBSERVATIONS, as_of, observations, shown_time
 
 
 @query(
@@ -37,9 +37,9 @@ def active_deals_snowflake(spark, sf_dir):
     )
 
 
-@query(f"WITH {OBSERVATIONS} SELECT offer_id, observed_at, price_cents FROM obs WHERE quality = 'OK' QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC) = 1")
+@query(f"WITH {OBSERVATIONS} SELECT offer_id, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS observed_at, price_cents FROM obs WHERE quality = 'OK' QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC) = 1")
 def latest_ok_observation(spark, sf_dir):
-    return latest_by(observations(spark, sf_dir).where("quality = 'OK'"), ["offer_id"], newest()).select("offer_id", "observed_at", "price_cents")
+    return latest_by(observations(spark, sf_dir).where("quality = 'OK'"), ["offer_id"], newest()).select("offer_id", shown_time(F.col("observed_at")).alias("observed_at"), "price_cents")
 
 
 @query(

@@ -9,7 +9,7 @@ from ..functions.money import discount_bp
 from ..operators import references as R
 from ..operators.latest import latest_by
 from .registering import query
-from .star import DAILY, OBSERVATIONS, as_of, observations
+from .star import DAILY, OBSERVATIONS, as_of, observations, shown_time
 
 #: The test history is sparse, so the evidence bar is lower than the default.
 WINDOW_DAYS, MIN_DAYS, MIN_SPAN = 10000, 10, 30
@@ -147,9 +147,9 @@ def deep_discounts(spark, sf_dir):
 
 
 @query(
-    f"""WITH {OBSERVATIONS} SELECT offer_id, observed_at, seq, price_cents,
+    f"""WITH {OBSERVATIONS} SELECT offer_id, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS observed_at, seq, price_cents,
     last_value(CASE WHEN quality = 'OK' THEN price_cents END IGNORE NULLS) OVER (PARTITION BY offer_id ORDER BY observed_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_price
     FROM obs"""
 )
 def last_ok_price(spark, sf_dir):
-    return R.last_ok_before(observations(spark, sf_dir)).select("offer_id", "observed_at", "seq", "price_cents", "last_price")
+    return R.last_ok_before(observations(spark, sf_dir)).select("offer_id", shown_time(F.col("observed_at")).alias("observed_at"), "seq", "price_cents", "last_price")

@@ -14,7 +14,7 @@ from ..operators.deal_machine import deal_events
 from ..sources.files import table
 from ..streaming.deals import deal_event_stream, hourly_health
 from .registering import query
-from .star import event_observations
+from .star import event_observations, shown_time
 
 
 def _checkpoint(spark) -> str:
@@ -36,7 +36,7 @@ def _run_to_end(stream, spark):
 
 @query()
 def deal_fsm_batch(spark, sf_dir):
-    return deal_events(event_observations(spark, sf_dir), deadline=False)
+    return deal_events(event_observations(spark, sf_dir), deadline=False).withColumn("observed_at", shown_time(F.col("observed_at")))
 
 
 def _event_stream(spark, sf_dir):
@@ -60,11 +60,11 @@ class _Streaming:
 def deal_fsm_stream(spark, sf_dir):
     """The same events as ``deal_fsm_batch``, from the stream."""
     rows = event_observations(_Streaming(spark), sf_dir)
-    return _run_to_end(deal_event_stream(rows, deadline=False), spark)
+    return _run_to_end(deal_event_stream(rows, deadline=False), spark).withColumn("observed_at", shown_time(F.col("observed_at")))
 
 
 @query(
-    """SELECT hour, retailer_id, fetched, blocked FROM (
+    """SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, retailer_id, fetched, blocked FROM (
       SELECT date_trunc('hour', ts) AS hour, user_id % 5 AS retailer_id, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'error') AS blocked FROM events GROUP BY 1, 2)
     WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 )
@@ -73,7 +73,7 @@ def hourly_health_stream(spark, sf_dir):
     events = _event_stream(spark, sf_dir)
     rows = events.select(F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 5).alias("retailer_id"), (F.col("event_type") == "error").alias("blocked"))
     done = _run_to_end(hourly_health(rows), spark)
-    return done.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return done.withColumn("hour", shown_time(F.col("hour")))
 
 
 @query(
@@ -96,7 +96,7 @@ def rate_limit_fold(spark, sf_dir):
 @query()
 def breaker_trips(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("retailer_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").isin("error", "signup").alias("blocked"))
-    return pacing.breaker_events(rows)
+    return pacing.breaker_events(rows).withColumn("at", shown_time(F.col("at")))
 
 
 @query()

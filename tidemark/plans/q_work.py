@@ -8,6 +8,7 @@ from ..operators import work
 from ..operators.latest import keyed_merge, latest_by, unseen
 from ..sources.files import table
 from .registering import query
+from .star import shown_time
 
 
 @query(
@@ -70,19 +71,19 @@ def listing_upsert_merge(spark, sf_dir):
 @query(
     """WITH cur AS (SELECT page_id AS id, CASE WHEN page_id % 3 <> 0 THEN TIMESTAMP '2024-01-01' END AS expires, page_id % 7 <> 0 AS enabled FROM pages WHERE page_id % 2 = 0),
     seen AS (SELECT page_id AS id FROM pages WHERE page_id % 5 < 3)
-    SELECT coalesce(c.id, s.id) AS id, CASE WHEN s.id IS NULL THEN c.expires WHEN c.id IS NULL OR c.expires IS NOT NULL THEN TIMESTAMP '2024-03-01' + INTERVAL 120 DAY END AS expires,
+    SELECT coalesce(c.id, s.id) AS id, strftime(CASE WHEN s.id IS NULL THEN c.expires WHEN c.id IS NULL OR c.expires IS NOT NULL THEN TIMESTAMP '2024-03-01' + INTERVAL 120 DAY END, '%Y-%m-%d %H:%M:%S') AS expires,
     s.id IS NOT NULL OR c.enabled AS enabled FROM cur c FULL JOIN seen s ON c.id = s.id"""
 )
 def url_ttl_upsert(spark, sf_dir):
     """Seeing a URL again enables it and extends its time to live where it had one."""
     pages, i = table(spark, sf_dir, "pages"), F.col("page_id")
-    moment = lambda text: F.lit(text).cast("timestamp_ntz")
+    moment = lambda text: F.lit(text).cast("timestamp")
     current = pages.where(i % 2 == 0).select(i.alias("id"), F.when(i % 3 != 0, moment("2024-01-01 00:00:00")).alias("expires"), (i % 7 != 0).alias("enabled"))
     seen = pages.where(i % 5 < 3).select(i.alias("id"))
     later = moment("2024-03-01 00:00:00") + F.expr("INTERVAL 120 DAYS")
     extended = F.when(F.col("c.id").isNull() | F.col("c.expires").isNotNull(), later)
     rules = {"expires": F.when(F.col("b.id").isNull(), F.col("c.expires")).otherwise(extended), "enabled": F.col("b.id").isNotNull() | F.col("c.enabled")}
-    return keyed_merge(current, seen, ["id"], rules)
+    return keyed_merge(current, seen, ["id"], rules).withColumn("expires", shown_time(F.col("expires")))
 
 
 @query(

@@ -30,6 +30,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shown_time(instant: Column) -> Column:
+    """Instants leave queries as text, which reads the same in every engine."""
+    return F.date_format(instant, "yyyy-MM-dd HH:mm:ss")
+
+
 def sequence() -> Column:
     """A text that orders rows of one day fully: order, line, and the remaining columns."""
     parts = [F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")]
