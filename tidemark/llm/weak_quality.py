@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +32,7 @@ REMEMBERED = 150_000
 #: Weight of the labellers' prior against all documents.
 PRIOR = 0.002
 
-_SYMBOLS = str.maketrans("", "", "#$%&*|<>{}[]\\^~=_@+")
+_SYMBOLS = "#$%&*|<>{}[]\\^~=_@+"
 _END = (".", "!", "?", ":", '"', "'", ")", "。", "…")
 _AROUND = ".,;:!?\"'()-"
 _digits = regex.compile(r"\p{N}+")
@@ -66,10 +67,10 @@ def facts(text: str | None) -> Facts:
     lines = [x for x in text.split("\n") if x.strip()]
     return Facts(
         words,
-        (len(text) - len(text.translate(_SYMBOLS))) / chars,
+        sum(map(text.count, _SYMBOLS)) / chars,
         sum(map(str.isupper, words)) / n,
         len(set(words)) / n,
-        sum(map(str.__eq__, words, words[1:])) / n,
+        sum(map(eq, words, words[1:])) / n,
         sum(x.rstrip().endswith(_END) for x in lines) / max(1, len(lines)),
         sum(map(len, words)) / n,
         sum(w.strip(_AROUND).isalpha() for w in words) / n,
