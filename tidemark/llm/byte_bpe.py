@@ -24,7 +24,7 @@ from .shared import lean
 #: Words up to this many bytes are merged by scanning.
 SHORT = 256
 #: Words remembered by a worker; the memory is emptied when full.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 _NONE = 1 << 60
 #: The pre-tokenizer's pattern and its white space: fixed values of byte-level BPE.
 _SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -116,9 +116,11 @@ class ByteBpe:
         return found
 
     def _plain(self, text: str, ids: array) -> None:
-        known = self.memory.get
+        known, found = self.memory.get, []
+        add = found.extend
         for word in self.words(text):
-            ids.extend(known(word) or self._word(word))
+            add(known(word) or self._word(word))
+        ids.extend(array("I", found))
 
     def encode(self, text: str | None) -> array:
         """Ids as unsigned 32-bit numbers; strings of added tokens become their ids."""
