@@ -80,3 +80,32 @@ def test_empty_tables(spark):
     assert D.contamination(docs(spark, []), items(spark, [(1, ITEM)])).count() == 0
     assert D.contamination(docs(spark, [(1, ITEM)]), items(spark, [])).count() == 0
     assert D.without_benchmark(docs(spark, [(1, ITEM)]), items(spark, [])).count() == 1
+
+
+def test_a_run_of_passage_length_is_found_wherever_it_starts():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    for words in (25, 26, 60, 151):
+        item = [word() for _ in range(words)]
+        matcher = D.Matcher([(1, " ".join(item))])
+        for start in range(words - D.PASSAGE_WORDS + 1):
+            run = " ".join(item[start : start + D.PASSAGE_WORDS])
+            assert matcher.find(f"{word()} {word()} {run} {word()} {word()}")[0][1] == 0
+
+
+def test_long_items_equal_brute_force():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    seen = []
+    for _ in range(60):
+        item = [word() for _ in range(rng.randint(25, 40))]
+        start = rng.randrange(len(item) - 20)
+        run = list(" ".join(item[start : start + rng.randint(20, 32)]))
+        for _ in range(rng.randint(0, 14)):
+            k = rng.randrange(len(run))
+            run[k] = rng.choice(["", "x", run[k] + "q"])
+        line = D.normal(f"{word()} {word()} {''.join(run)} {word()} {word()}")
+        near = [d for p in D.passages(" ".join(item)) if (d := plain_distance(p, line)) <= D.budget(p)]
+        assert D.Matcher([(1, " ".join(item))]).find(line) == ({0: (len(near), min(near))} if near else {})
+        seen.append(bool(near))
+    assert 15 < sum(seen) < 50

@@ -1,18 +1,26 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test passage with an error budget of k edits is split into k + 1 pieces. Whatever lies within k
+Items of up to ``PASSAGE_WORDS`` words are one passage. Longer items have a passage from every word
+on, so any ``PASSAGE_WORDS`` words of an item in a row are found, wherever they start. A test passage with an error budget of k edits is split into k + 1 pieces. Whatever lies within k
 edits of it holds at least one piece unchanged, so an automaton over all pieces finds every
 candidate; Myers' bit-parallel distance then verifies the text around the hits. Windows of one
 passage that overlap are verified once, so a text that repeats a common piece costs no more than
 its length.
+
+The passages of a long item share their pieces: the item is cut into pieces short enough that each
+passage holds k + 2 whole ones, of which two stay unchanged, shifted by no more than k against each
+other. Every passage around a piece holds the words before or after it to about half a passage, so
+these halves are verified first and passages only if one is there.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -23,7 +31,8 @@ from .shared import lean
 
 #: Edits allowed for each character of a passage.
 ERROR_RATE = 0.08
-#: Items with more words are tested as overlapping passages of this many words.
+#: Items with more words are tested as passages of this many words, one from every word on: the
+#: least run of a longer item that is found.
 PASSAGE_WORDS = 24
 #: Shorter passages (in characters) must occur exactly, between word ends.
 EXACT_BELOW = 25
@@ -43,8 +52,7 @@ def passages(text: str | None) -> list[str]:
     words = normal(text).split(" ")
     if len(words) <= PASSAGE_WORDS:
         return [" ".join(words)] if words[0] else []
-    starts = [*range(0, len(words) - PASSAGE_WORDS, PASSAGE_WORDS // 2), len(words) - PASSAGE_WORDS]
-    return [" ".join(words[s : s + PASSAGE_WORDS]) for s in starts]
+    return [" ".join(words[s : s + PASSAGE_WORDS]) for s in range(len(words) - PASSAGE_WORDS + 1)]
 
 
 def budget(passage: str) -> int:
@@ -65,11 +73,11 @@ class Passage:
     masks: dict[str, int]
 
     @classmethod
-    def of(cls, item: int, text: str) -> Passage:
+    def of(cls, item: int, text: str, errors: int | None = None) -> Passage:
         masks: dict[str, int] = defaultdict(int)
         for i, c in enumerate(text):
             masks[c] |= 1 << i
-        return cls(item, text, budget(text), dict(masks))
+        return cls(item, text, budget(text) if errors is None else errors, dict(masks))
 
     def distance(self, window: str) -> int:
         """Least edit distance of the passage to any part of the window (Myers' bit vectors)."""
@@ -95,13 +103,89 @@ class Passage:
         return best
 
 
+class LongItem:
+    """An item of more than PASSAGE_WORDS words: its line, pieces and passages, built when needed."""
+
+    def __init__(self, item: int, line: str):
+        self.item, self.line = item, line
+        words = line.split(" ")
+        self.begins = [0, *accumulate(len(w) + 1 for w in words[:-1])]
+        self.ends = [b + len(w) for b, w in zip(self.begins, words)]
+        sizes = [e - b for b, e in zip(self.begins, self.ends[PASSAGE_WORDS - 1 :])]
+        budgets = [int(n * ERROR_RATE) for n in sizes]
+        self.most = max(budgets)
+        self.longest = max(sizes)
+        # A passage of n characters holds at least (n - size + 1) // size whole pieces: k + 2 here.
+        self.size = min((n + 1) // (k + 3) for n, k in zip(sizes, budgets))
+
+    def pieces(self) -> list[tuple[int, str]]:
+        return [(at, self.line[at : at + self.size]) for at in range(0, len(self.line) - self.size + 1, self.size)]
+
+    def around(self, at: int) -> list[tuple[int, str]]:
+        """The halves beside a piece, of which each passage with the piece holds one: place, text."""
+        first, last = bisect_right(self.begins, at) - 1, bisect_right(self.begins, at + self.size - 1) - 1
+        half = (PASSAGE_WORDS - (last - first)) // 2
+        found = []
+        if first >= half:
+            found.append((self.begins[first - half], self.line[self.begins[first - half] : self.ends[last]]))
+        if last + half < len(self.ends):
+            found.append((self.begins[first], self.line[self.begins[first] : self.ends[last + half]]))
+        return found
+
+    def paired(self, hits: dict[int, set[int]]) -> dict[int, set[int]]:
+        """The hits that have one of another piece beside them, near enough for a common passage."""
+        found: dict[int, set[int]] = defaultdict(set)
+        if len(hits) < 2:
+            return found
+        listed = sorted((b, at) for at, begins in hits.items() for b in begins)
+        reach = self.longest - self.size
+        for i, (begin, at) in enumerate(listed):
+            for step in (1, -1):
+                j = i + step
+                while 0 <= j < len(listed) and abs(listed[j][0] - begin) <= self.most:
+                    if listed[j][1] != at and abs(listed[j][1] - at) <= reach:
+                        found[at].add(begin)
+                        break
+                    j += step
+        return found
+
+    def matched(self, line: str, hits: dict[int, set[int]]) -> list[int]:
+        """Least distances of the passages that a text holds; ``hits`` are, by piece, the places
+        where the item would begin."""
+        live = {}
+        for at, begins in self.paired(hits).items():
+            for place, text in self.around(at):
+                half = Passage.of(self.item, text, self.most)
+                if Matcher._verify(half, line, sorted(b + place for b in begins)) <= self.most:
+                    live[at] = begins
+                    break
+        found = []
+        for begin, end in zip(self.begins, self.ends[PASSAGE_WORDS - 1 :]) if live else ():
+            places = {b + begin for at, begins in live.items() if begin <= at and at + self.size <= end for b in begins}
+            if places:
+                p = Passage.of(self.item, self.line[begin:end])
+                best = Matcher._verify(p, line, sorted(places))
+                if best <= p.errors:
+                    found.append(best)
+        return found
+
+
 class Matcher:
     """Finds the test items of one pass in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.passages = [Passage.of(k, p) for k, (_, text) in enumerate(items) for p in passages(text)]
+        self.passages, self.long = [], {}
         self.items = [i for i, _ in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for k, (_, text) in enumerate(items):
+            line = normal(text)
+            if line.count(" ") < PASSAGE_WORDS:
+                self.passages += [Passage.of(k, p) for p in passages(text)]
+                continue
+            # Long items have numbers below zero among the places of pieces.
+            self.long[-1 - k] = LongItem(k, line)
+            for at, piece in self.long[-1 - k].pieces():
+                places[piece].append((-1 - k, at))
         for k, p in enumerate(self.passages):
             for at, piece in split_evenly(p.text, p.errors + 1):
                 places[piece].append((k, at))
@@ -115,12 +199,19 @@ class Matcher:
         """item -> (passages found, least distance) for the items in a text."""
         line = normal(text)
         found: dict[int, tuple[int, int]] = {}
-        if not self.passages or not line:
+        if not len(self.automaton) or not line:
             return found
         starts: dict[int, set[int]] = defaultdict(set)
+        begins: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for end, (size, where) in self.automaton.iter(line):
             for k, at in where:
-                starts[k].add(end + 1 - size - at)
+                if k < 0:
+                    begins[k][at].add(end + 1 - size - at)
+                else:
+                    starts[k].add(end + 1 - size - at)
+        for k, hits in begins.items():
+            if distances := self.long[k].matched(line, hits):
+                found[self.long[k].item] = (len(distances), min(distances))
         for k, hits in starts.items():
             p = self.passages[k]
             best = self._exact(p, line, hits) if not p.errors else self._verify(p, line, sorted(hits))
@@ -161,7 +252,8 @@ def _passes(benchmark: DataFrame) -> list[DataFrame]:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, passages, distance): the test items that whole texts contain.
 
-    An item is contained if one of its passages occurs within its error budget; ``passages`` counts
+    An item is contained if one of its passages occurs within its error budget, so of an item of more
+    than ``PASSAGE_WORDS`` words any run of that many words; ``passages`` counts
     those that do and ``distance`` is the least. Null texts and ids of items are skipped, as are
     items without words; repeated documents give repeated rows, repeated items one row for each.
     Other columns are ignored. Nothing contained, or an empty table: no rows.
