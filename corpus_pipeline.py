@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, gru_lang, q_byte_bpe, q_gru_lang, secret_forest, simhash
+from tidemark.llm import byte_bpe, decontaminate, gru_lang, near_copies, q_byte_bpe, q_gru_lang, secret_forest
 from tidemark.llm.shared import cut, fresh, table, written
 
 #: Documents whose language is less sure are rejected, as are those without a letter.
@@ -29,10 +29,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id.
 
+    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles.
     Rows that repeat a doc_id count as one document, of which the row with the least text stays. A
     null doc_id stays only in a group without ids.
     """
-    marked = cut(simhash.near_duplicates(docs))
+    marked = cut(near_copies.near_copies(docs))
     kept, again = fresh(docs, "kept_id"), fresh(docs, "n_rows")
     ids = marked.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias(again))
     rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(kept)), "inner")
