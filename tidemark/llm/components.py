@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Every step is a join and a minimum with partial aggregation, so a node with very many links is one
-key of a join that can be split, and never a list in one task. Each round is checkpointed; a round
-that changes nothing has left stars around the least nodes.
+Every step is a minimum with partial aggregation and a join. A node with very many links is looked
+up by broadcast (there are few such nodes, whatever the size of the table), so its links are not
+gathered in one task. Each step is checkpointed; the rounds end when the links are stars.
 """
 
 from __future__ import annotations
@@ -10,18 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, hot_join
 
 
-def _hang(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The links (hi, lo), at most ``total``, with the least lo of their hi as m, and the table of these (hi, m)."""
+    least = links.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n_"))
+    return hot_join(links, least, ["hi"], "n_", total).drop("n_"), least.drop("n_")
+
+
+def _hang(links: DataFrame, total: int) -> DataFrame:
     """One large-star and one small-star step; links are (hi, lo) with hi > lo, as are the results."""
-    both = links.union(links.select("lo", "hi"))
-    least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-    large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    large = large.union(least.where("hi > m"))
-    lower = large.groupBy("hi").agg(F.min("lo").alias("m"))
-    small = large.join(lower, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return small.union(lower.select("hi", F.col("m").alias("lo"))).distinct()
+    met, least = _with_least(links.union(links.select("lo", "hi")), 2 * total)
+    m = F.least("hi", "m")
+    large = met.where("lo > hi").select(F.col("lo").alias("hi"), m.alias("lo"))
+    large = cut(large.union(least.where("m < hi").select("hi", "m")).distinct())
+    met, lower = _with_least(large, 2 * total)
+    small = met.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    return small.union(lower.select("hi", "m")).distinct()
+
+
+def _state(links: DataFrame) -> tuple[int, bool]:
+    """The number of links, and whether every node hangs from one node that hangs from none: then
+    the stars are the components."""
+    ends = links.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("lo", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, stray = seen.agg(F.sum("up"), F.max(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int"))).first()
+    return n or 0, not stray
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -34,16 +49,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-
-    def sign(df: DataFrame) -> tuple:
-        h = F.xxhash64("hi", "lo")
-        return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum((h % 1_000_003).cast("long"))).first())
-
-    before = sign(now)
-    while before[0]:
-        now = cut(_hang(now))
-        after = sign(now)
-        if after == before:
-            break
-        before = after
+    total, done = _state(now)
+    while not done:
+        now = cut(_hang(now, total))
+        total, done = _state(now)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())

@@ -1,7 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network labels every byte of a text; the document's probabilities are the mean of its
-positions' probabilities. Texts run through it whole, in windows of ``WINDOW`` bytes. It is trained
+positions' probabilities. Texts run through it whole, in windows of ``WINDOW`` bytes; each window
+starts from an empty state, so a byte sees its window and nothing beyond. It is trained
 in numpy by backpropagation through time on windows drawn from a bounded sample of labelled rows.
 """
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, smallest_by_hash
+from .shared import bounded_sample, lean
 
 WINDOW = 64
 HIDDEN = 12
@@ -174,19 +175,18 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Network | None:
     """Trains on rows (doc_id, text, lang) whose language and text are not null.
 
-    At most ``docs_per_language`` documents of each language (those with the smallest hash of their
-    id) and ``WINDOWS_PER_DOC`` windows spread over each of them come to the driver. None if there
+    At most ``docs_per_language`` rows of each language (those with the smallest hash) and ``WINDOWS_PER_DOC`` windows spread over each of them come to the driver. None if there
     are no such rows.
     """
-    known = labelled.where("lang is not null and doc_id is not null")
-    chosen = smallest_by_hash(known, "doc_id", "lang", docs_per_language)
-    if not chosen:
+    known = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}"))
+    counts = dict(known.groupBy("lang").count().collect())
+    if not counts:
         return None
     windows = F.transform(
         F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)),
         lambda i: F.substring(F.col("text"), (F.floor(i * F.length("text") / WINDOWS_PER_DOC) + 1).cast("int"), F.lit(WINDOW)),
     )
-    rows = known.where(F.col("doc_id").isin(chosen) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", windows.alias("ws")).collect()
+    rows = bounded_sample(known, "lang", counts, docs_per_language).select("doc_id", "lang", windows.alias("ws")).collect()
     pairs = sorted((r.doc_id, r.lang, w.encode("utf-8", "replace")[:WINDOW]) for r in rows for w in r.ws if w)
     if not pairs:
         return None

@@ -2,7 +2,7 @@
 
 Candidates. A text's set of shingles has ``BANDS`` keys, each of ``ROWS`` minima under random
 orders. Two sets of similarity s share a key with chance 1 - (1 - s^ROWS)^BANDS: 0.99999 at 0.8.
-Equal sets are one node from the start.
+Equal sets are one node from the start, named by 128 bits and numbered.
 
 Verification. In each bucket all members are compared with one of them, then those that are not yet
 in its component with another one, and so on for ``ROUNDS``; what is left in different components
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, lean, written
+from .shared import cut, hot_join, lean, text_mark, written
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -50,8 +50,9 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], SEED) for a, b in spans], "<u8"))
 
 
-def _node(found: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+def _name(found: np.ndarray) -> bytes:
+    """128 bits that name a set of shingles."""
+    return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def _keys(found: np.ndarray) -> np.ndarray:
@@ -64,32 +65,29 @@ def _keys(found: np.ndarray) -> np.ndarray:
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
-            for text in batch.column(1):
+            names, sizes, keys = [], [], []
+            for text in batch.column(2):
                 found = shingles(text.as_py(), width)
-                nodes.append(_node(found))
+                names.append(_name(found))
                 sizes.append(len(found))
                 keys.append(_keys(found))
-            made = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "node", "n", "keys"])
+            made = [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "mark", "name", "n", "keys"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, node long, n long, keys array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(lean(run), "doc_id long, mark string, name binary, n long, keys array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, hashes) for the nodes (node, least): read again from the documents that have them."""
+    """(node, hashes) for the nodes (node, name, least): read again from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
+            for node, text in zip(batch.column(0), batch.column(1)):
                 found = shingles(text.as_py(), width)
-                made = [pa.array([_node(found)]), pa.array([len(found)]), pa.array([found.view("<i8")], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(made, ["node", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()]), pa.array([found.view("<i8")], pa.list_(pa.int64()))], ["node", "hashes"])
 
-    ids = nodes.select("least").distinct()
-    rows = docs.join(ids, docs.doc_id.eqNullSafe(ids.least), "left_semi").select("text")
-    read = rows.mapInArrow(lean(run), "node long, n long, hashes array<long>")
-    return written(read.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    rows = docs.join(nodes.select("node", F.col("least_mark").alias("mark")), "mark").select("node", "mark", "text")
+    return written(rows.dropDuplicates(["node"]).select("node", "text").mapInArrow(lean(run), "node long, hashes array<long>"), "near-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -102,22 +100,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, component_id (least doc_id reachable over links).
+    """One row per document: doc_id, mark (a digest of its text), component (a number that the rows of
+    a group share) and component_id (least doc_id reachable over links).
 
     Documents are linked if the Jaccard similarity of their shingles is ``similarity`` hundredths or
     more. Null, empty and wordless texts are linked to each other. Repeated rows stay. A null doc_id
-    is kept; its component is the least id of its group, or null. Other columns are ignored. An
+    is kept; the component_id is the least id of its group, or null. Other columns are ignored. An
     empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), "text")
     marked = written(_sketches(docs, width), "near-sketches")
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-    dealt = marked.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    met = cut(dealt.join(shared, "key").select("key", "node", "n"))
+    named = marked.groupBy("name").agg(
+        F.min("doc_id").alias("least"), F.min("mark").alias("least_mark"), F.min("n").alias("n"), F.count("*").alias("rows"), F.min("keys").alias("keys")
+    )
+    nodes = written(named.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    total = nodes.count() * BANDS
+    met = cut(hot_join(dealt, shared, ["key"], "members", total).select("key", "node", "n"))
     sets = _sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"), width)
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
-    links = groups = tried = None
+    groups = tried = None
     for turn in range(ROUNDS + 1):
         if groups is None:
             placed = met.withColumn("component", F.col("node"))
@@ -126,10 +129,10 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
         placed = cut(placed)
         order = F.xxhash64("node", "key", F.lit(turn))
         pivots = placed.groupBy("key").agg(
-            F.min_by(F.struct("node", "n", "component"), order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")
+            F.min_by(F.struct("node", "n", "component"), order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
         ).where("low < high")
-        pivots = pivots.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.component").alias("place"))
-        left = placed.join(pivots, "key").where(F.col("component") != F.col("place"))
+        pivots = pivots.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.component").alias("place"), "members")
+        left = hot_join(placed, pivots, ["key"], "members", placed.count()).drop("members").where(F.col("component") != F.col("place"))
         if turn == ROUNDS:
             others = placed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("place"))
             left = left.select("key", "node", "n", "component").join(others, "key").where(F.col("component") != F.col("place"))
@@ -137,8 +140,11 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         found = cut(_verified(pairs, sets, similarity))
-        links = found if links is None else links.union(found)
-        groups = connected_components(links)
-    placed = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(placed.join(roots, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+        if groups is None:
+            groups = connected_components(found)
+        elif not found.isEmpty():
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    placed = nodes.join(groups, "node", "left").select("name", "least", "rows", F.coalesce("component", "node").alias("component"))
+    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    known = hot_join(placed, roots, ["component"], "of", nodes.count()).select("name", "rows", "component", "component_id")
+    return hot_join(marked.select("doc_id", "mark", "name"), known, ["name"], "rows", marked.count()).select("doc_id", "mark", "component", "component_id")

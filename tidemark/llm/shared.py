@@ -79,17 +79,45 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def smallest_by_hash(df: DataFrame, key: str, group: str, bound: int | dict) -> list:
-    """Keys of at most ``bound`` rows of each group (or ``bound[group]``), those with the smallest hash.
+def text_mark(text: Column) -> Column:
+    """A digest that tells texts apart, null from empty too."""
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.md5(text.cast("binary")))
 
-    Only key and group are read, and each task drops all but its own smallest before the shuffle.
-    Groups (labels, languages) are few.
+
+#: A key is hot if it holds this part of all rows or more, so there are at most as many hot keys.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each key and, in ``count``, how many of the
+    ``total`` rows have that key.
+
+    The facts of hot keys are broadcast: at most ``HOT`` rows, by counting. So the rows of a hot key
+    stay where they are, and what is shuffled has no key with more than a ``HOT``-th of all rows.
+    """
+    hot = F.col(count) * HOT >= total
+    few = F.broadcast(facts.where(hot))
+    rest = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(facts.where(~hot), keys))
+
+
+def bounded_sample(df: DataFrame, group: str, counts: dict, bound: int | dict) -> DataFrame:
+    """At most ``bound`` rows of each group (or ``bound[group]``), those with the smallest hash of the whole row.
+
+    ``counts`` are the groups' sizes. A threshold on the hash, a little above the share that is
+    wanted, drops nearly all rows where they are read, so that what is ranked is bounded however
+    large the table is. The hash takes in the row's contents, so rows that repeat a key are rows
+    of their own; equal rows share a hash and are counted in the ranking.
     """
-    most = bound if isinstance(bound, int) else max(bound.values())
-    order = Window.partitionBy("g").orderBy("h", "k")
-    rows = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.xxhash64(F.col(key)).alias("h"))
-    ranked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("k", "g", "place").collect()
-    return sorted({r.k for r in ranked if r.place <= (bound if isinstance(bound, int) else bound.get(r.g, 0))})
+    wanted = {g: bound if isinstance(bound, int) else bound.get(g, 0) for g in counts}
+    hashed = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30))
+    # Six standard deviations above the share: that too few rows pass is out of the question.
+    share = {g: min(1.0, (wanted[g] + 6 * wanted[g] ** 0.5 + 20) / max(1, n)) for g, n in counts.items()}
+    least = F.coalesce(*[F.when(F.col(group) == g, F.lit(int(s * (1 << 30)))) for g, s in share.items()], F.lit(0))
+    places = Window.partitionBy(group).orderBy("h_", *df.columns)
+    passed = df.withColumn("h_", hashed).where(F.col("h_") < least).withColumn("place_", F.row_number().over(places))
+    most = F.coalesce(*[F.when(F.col(group) == g, F.lit(n)) for g, n in wanted.items()], F.lit(0))
+    return passed.where(F.col("place_") <= most).drop("h_", "place_")
 
 
 def fresh(df: DataFrame, name: str) -> str:

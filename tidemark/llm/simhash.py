@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, lean
+from .shared import cut, hot_join, lean
 
 SEED = 42
 BITS = 2
@@ -85,7 +85,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m, _ in combos])
     dealt = distinct.select("fp", F.posexplode(keys).alias("combo", "key"))
     crowds = dealt.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(dealt.join(crowds, ["combo", "key"]).select("combo", "key", "fp", "n"))
+    met = cut(hot_join(dealt, crowds, ["combo", "key"], "n", distinct.count() * len(combos)).select("combo", "key", "fp", "n"))
     few = met.where(F.col("n") <= CROWD)
     other = few.select("combo", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= BITS
@@ -111,11 +111,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other than doc_id and text are ignored. An empty table gives no rows.
     """
     marked = cut(fingerprints(docs))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     groups = connected_components(fingerprint_links(nodes.select("fp")))
-    placed = nodes.join(groups, nodes.fp == groups.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = placed.join(roots, "component").select(F.col("fp").alias("node"), "component_id")
-    return marked.join(known, marked.fp == known.node).select("doc_id", "fp", "component_id")
+    placed = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    known = hot_join(placed, roots, ["component"], "of", nodes.count()).select("fp", "n", "component_id")
+    return hot_join(marked, known, ["fp"], "n", marked.count()).select("doc_id", "fp", "component_id")

@@ -1,18 +1,17 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams and of the word itself, all
-hashed into one table; the vector of a window of ``WINDOW`` words is the mean over its words, of which a repeated one
-counts once; a
-softmax layer on top gives the window's class. A text's odds are the mean odds of its windows, so a
-few bad sentences in a long text are not averaged away. Table and layer are trained together, on
-whole texts. Misspellings share most n-grams with the words they come from. Since the layer is
-linear, a word adds a fixed amount to its window, so scoring looks each word up once.
+hashed into one table; a softmax layer on top gives the word's odds. A text's odds are the mean odds
+of all its words, so a few bad words in a long text are not averaged away in the vectors. Table and
+layer are trained together by the cross-entropy of whole texts. Misspellings share most n-grams with
+the words they come from. Since the layer is linear, scoring looks each word up once.
 """
 
 from __future__ import annotations
 
 import math
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -23,28 +22,30 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, smallest_by_hash
+from .shared import bounded_sample, lean
 
 BUCKETS = 1 << 16
 WIDTH = 8
 GRAMS = (3, 4, 5)
-#: Bound of the training sample: labelled documents of each class, and words of each document
-#: (drawn evenly over the whole text), that come to the driver.
+#: Bound of the training sample: labelled rows of each class that come to the driver, with their whole texts.
 DOCS_PER_CLASS = {0: 2400, 1: 1100}
-WORDS_PER_DOC = 1000
+#: Table rows that fewer training texts use stay zero: what one text alone has would only learn that text.
+LEAST_TEXTS = 8
 #: Adam's floor under the step's divisor, in units of the table's root mean square gradient:
 #: n-grams of a text or two move little, those that many toxic texts share move far.
-FLOOR = 1.0
+FLOOR = 10.0
+#: Part of the table that each step takes away, at the full rate.
+DECAY = 0.1
 #: Every so many documents of the sample is kept from training and used for calibration.
 CALIBRATION = 5
+#: A missed toxic text counts as much as so many false alarms when the odds are calibrated.
+MISS_COST = 3.0
 #: Words remembered by a worker; the memory is emptied when full.
 REMEMBERED = 300_000
 #: Rows that training gathers at once.
 _AT_ONCE = 200_000
-#: Longer words are represented by this many characters from each end (n-grams of a run of
-#: hundreds of letters say nothing about a word).
-LONG_WORD = 40
-WINDOW = 12
+#: Log-odds of a word are kept within this.
+_MOST = 60.0
 
 _words = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
@@ -55,8 +56,6 @@ def words_of(text: str | None) -> list[str]:
 
 def subwords(word: str) -> list[int]:
     """Table rows of a word: itself and its n-grams with the word's ends marked."""
-    if len(word) > 2 * LONG_WORD:
-        word = word[:LONG_WORD] + word[-LONG_WORD:]
     marked = f"<{word}>"
     if word.isascii():
         raw, n = marked.encode(), len(marked)
@@ -67,7 +66,7 @@ def subwords(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """A window's log-odds are ``bias`` plus, for each different word, a ``WINDOW``-th of the mean of ``rows`` over their subwords."""
+    """A word's log-odds are ``bias`` plus the mean of ``rows`` over its subwords."""
 
     rows: np.ndarray
     bias: float
@@ -75,91 +74,80 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def word(self, word: str) -> float:
-        return float(self.rows[subwords(word)].mean())
 
-
-def _sums(rows: np.ndarray, picked: np.ndarray, starts: np.ndarray, factor: np.ndarray | None = None) -> np.ndarray:
+def _sums(rows: np.ndarray, picked: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the picked rows from each start to the next, a bounded number of them in memory."""
     out = np.empty((len(starts), rows.shape[1]), np.float32)
     at = 0
     while at < len(starts):
         end = max(at + 1, int(np.searchsorted(starts, starts[at] + _AT_ONCE)))
         lo, hi = starts[at], starts[end] if end < len(starts) else len(picked)
-        part = rows[picked[lo:hi]]
-        if factor is not None:
-            part *= factor[lo:hi]
-        out[at:end] = np.add.reduceat(part, starts[at:end] - lo)
+        out[at:end] = np.add.reduceat(rows[picked[lo:hi]], starts[at:end] - lo)
         at = end
     return out
 
 
-def _pool(odds: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the mean odds of each text's windows, and each window's part in it."""
-    top = np.repeat(np.maximum.reduceat(odds, starts), sizes)
-    raised = np.exp(odds - top)
+def _pool(odds: np.ndarray, times: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the mean odds of each text's words, and each word's part in it; a word counts as often
+    as it occurs."""
+    spans = np.diff([*starts, len(odds)])
+    top = np.repeat(np.maximum.reduceat(odds, starts), spans)
+    raised = times * np.exp(odds - top)
     total = np.add.reduceat(raised, starts)
-    return top[starts] + np.log(total / sizes), raised / np.repeat(total, sizes)
-
+    return top[starts] + np.log(total / sizes), raised / np.repeat(total, spans)
 
-def train(bags: list[np.ndarray], labels: list[int], vocabulary: list[str], epochs: int = 50, rate: float = 0.3, seed: int = 5) -> Model:
-    """Full-batch Adam on the cross-entropy of whole texts, table and softmax layer together.
 
-    ``bags`` are the texts' words as places in ``vocabulary``.
-    """
-    pairs = [(words, y) for words, y in zip(bags, labels) if len(words)]
-    present, ids = np.unique(np.concatenate([words for words, _ in pairs]), return_inverse=True)
-    ids = ids.astype(np.int32)
-    y = np.array([y for _, y in pairs], np.float32)
-    lengths = np.array([len(words) for words, _ in pairs])
-    per_text = -(-lengths // WINDOW)
-    window_size = np.concatenate([np.r_[np.full(n - 1, WINDOW), m - WINDOW * (n - 1)] for n, m in zip(per_text, lengths)])
-    window_from = np.cumsum(window_size) - window_size
-    text_from = np.cumsum(per_text) - per_text
-    word_window = np.repeat(np.arange(len(window_size), dtype=np.int32), window_size)
-    rows_of, sub_size = array("i"), np.empty(len(present), np.int64)
-    for k, w in enumerate(present.tolist()):
-        found = subwords(vocabulary[w])
-        rows_of.extend(found)
-        sub_size[k] = len(found)
-    used, sub_ids = np.unique(np.frombuffer(rows_of, np.int32), return_inverse=True)
+def train(texts: list[Counter], labels: list[int], epochs: int = 50, rate: float = 0.3, seed: int = 5) -> Model:
+    """Full-batch Adam on the cross-entropy of whole texts (words with their counts), table and
+    softmax layer together; both classes weigh the same."""
+    pairs = [(bag, label) for bag, label in zip(texts, labels) if bag]
+    y = np.array([label for _, label in pairs], np.float32)
+    places: dict[str, int] = {}
+    ids = np.fromiter((places.setdefault(w, len(places)) for bag, _ in pairs for w in bag), np.int32)
+    times = np.fromiter((n for bag, _ in pairs for n in bag.values()), np.float32)
+    spans = np.array([len(bag) for bag, _ in pairs])
+    sizes = np.array([sum(bag.values()) for bag, _ in pairs], np.float32)
+    text_from = np.cumsum(spans) - spans
+    found, sub_size = array("i"), np.empty(len(places), np.int64)
+    for k, w in enumerate(places):
+        rows = subwords(w)
+        found.extend(rows)
+        sub_size[k] = len(rows)
+    used, sub_ids = np.unique(np.frombuffer(found, np.int32), return_inverse=True)
     sub_ids = sub_ids.astype(np.int32)
     sub_from = np.cumsum(sub_size) - sub_size
+    spread = np.zeros(len(used), np.int32)
+    for a, n in zip(text_from, spans):
+        spread[np.unique(np.concatenate([sub_ids[sub_from[w] : sub_from[w] + sub_size[w]] for w in ids[a : a + n]]))] += 1
+    alive = (spread >= min(LEAST_TEXTS, len(pairs)))[:, None].astype(np.float32)
     order = np.argsort(sub_ids, kind="stable")
     sub_at = np.searchsorted(sub_ids[order], np.arange(len(used)))
-    sub_word = np.repeat(np.arange(len(present), dtype=np.int32), sub_size)[order]
-    del order, rows_of
-    by_word = np.argsort(ids, kind="stable")
-    word_at = np.searchsorted(ids[by_word], np.arange(len(present)))
+    sub_word = np.repeat(np.arange(len(places), dtype=np.int32), sub_size)[order]
     scaled = (1 / sub_size)[:, None].astype(np.float32)
-    seen = word_window * np.int64(len(present)) + ids
-    once = np.zeros(len(ids), bool)
-    once[np.unique(seen, return_index=True)[1]] = True
-    share = np.where(once, 1 / WINDOW, 0)[:, None].astype(np.float32)
-    share_by_word = share[by_word]
-    owner = word_window[by_word]
     per_class = (0.5 / np.bincount(y.astype(int), minlength=2).clip(1))[y.astype(int)].astype(np.float32)
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, s, n).astype(np.float32) for s, n in ((0.1, (len(used), WIDTH)), (0.5, (WIDTH, 2)), (0.01, 2))]
+    weights[0] *= alive
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, epochs + 1):
         table, layer, bias = weights
         vectors = _sums(table, sub_ids, sub_from) * scaled
-        means = _sums(vectors, ids, window_from, share)
-        scores = means @ layer + bias
-        pooled, parts = _pool(scores[:, 1] - scores[:, 0], text_from, per_text)
+        scores = vectors @ layer + bias
+        pooled, parts = _pool((scores[:, 1] - scores[:, 0])[ids], times, text_from, sizes)
         error = (1 / (1 + np.exp(-pooled)) - y) * per_class
-        up = (np.repeat(error, per_text) * parts)[:, None].astype(np.float32)
+        up = np.bincount(ids, np.repeat(error, spans) * parts, len(places)).astype(np.float32)[:, None]
         grad = np.concatenate([-up, up], axis=1)
-        of_means = grad @ layer.T
-        of_vectors = _sums(of_means, owner, word_at, share_by_word) * scaled
-        of_table = _sums(of_vectors, sub_word, sub_at)
-        for k, (w, g) in enumerate(zip(weights, (of_table, means.T @ grad, grad.sum(axis=0)))):
+        of_table = _sums((grad @ layer.T) * scaled, sub_word, sub_at) * alive
+        slow = rate * (1 - step / (epochs + 1))
+        for k, (w, g) in enumerate(zip(weights, (of_table, vectors.T @ grad, grad.sum(axis=0)))):
             m, v = first[k], second[k]
             m += 0.1 * (g - m)
             v += 0.05 * (g * g - v)
-            floor = FLOOR * np.sqrt(float(v.mean())) if w is table else 0.0
-            w -= rate * (1 - step / (epochs + 1)) * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.95**step)) + floor + 1e-12)
+            floor = 0.0
+            if w is table:
+                floor = FLOOR * np.sqrt(float(v.mean()))
+                w *= 1 - slow * DECAY
+            w -= slow * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.95**step)) + floor + 1e-12)
     table, layer, bias = weights
     rows = np.zeros(BUCKETS)
     rows[used] = table @ (layer[:, 1] - layer[:, 0])
@@ -169,8 +157,8 @@ def train(bags: list[np.ndarray], labels: list[int], vocabulary: list[str], epoc
 def calibrate(model: Model, texts: list[list[str]], labels: list[int], odds: float) -> Model:
     """Sets slope and shift by logistic regression on texts that were not trained on.
 
-    ``odds`` is the ratio of class 1 to class 0 among all labelled rows; a weak pull towards slope
-    1 and shift 0 decides where there are few texts.
+    ``odds`` is the ratio of class 1 to class 0 among all labelled rows, times the cost of a miss; a
+    weak pull towards slope 1 and shift 0 decides where there are few texts.
     """
     score = _Scorer(model)
     x, y = np.array([score.pooled(t) for t in texts]), np.array(labels, float)
@@ -188,43 +176,36 @@ def calibrate(model: Model, texts: list[list[str]], labels: list[int], odds: flo
 
 
 def fit(labelled: DataFrame, docs_per_class: dict[int, int] = DOCS_PER_CLASS) -> Model | None:
-    """Trains on rows (doc_id, text, toxic). At most ``docs_per_class`` documents of each class, the
-    ones with the smallest hash of their id, come to the driver; every fifth of them calibrates.
-    None without both classes."""
-    known = labelled.where("toxic in (0, 1) and doc_id is not null").withColumn("toxic", F.col("toxic").cast("int"))
+    """Trains on rows (doc_id, text, toxic). At most ``docs_per_class`` rows of each class, the ones
+    with the smallest hash, come to the driver with their whole texts; every fifth of them
+    calibrates. None without both classes."""
+    known = labelled.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     counts = dict(known.groupBy("toxic").count().collect())
     if len(counts) < 2:
         return None
-    chosen = smallest_by_hash(known, "doc_id", "toxic", docs_per_class)
-    found = known.where(F.col("doc_id").isin(chosen)).select("doc_id", "toxic", "text").collect()
-    rows = sorted((r.toxic, crc32(str(r.doc_id).encode()), r.text or "") for r in found)
+    found = bounded_sample(known, "toxic", counts, docs_per_class).collect()
+    rows = sorted((r.toxic, crc32(str(r.doc_id).encode()), r.text) for r in found)
     return fit_texts([(t, y) for y, _, t in rows], counts[1] / counts[0])
 
 
 def fit_texts(rows: list[tuple[str, int]], odds: float) -> Model:
     """The model of (text, label) rows; every fifth of them calibrates it."""
-    places: dict[str, int] = {}
-    bags = []
-    for text, _ in rows:
-        words = words_of(text)
-        if len(words) > WORDS_PER_DOC:
-            words = [words[i * len(words) // WORDS_PER_DOC] for i in range(WORDS_PER_DOC)]
-        bags.append(np.array([places.setdefault(w, len(places)) for w in words], np.int32))
-    vocabulary = list(places)
     held = [k % CALIBRATION == 0 for k in range(len(rows))]
-    model = train([b for b, h in zip(bags, held) if not h], [y for (_, y), h in zip(rows, held) if not h], vocabulary)
-    return calibrate(model, [[vocabulary[i] for i in b.tolist()] for b, h in zip(bags, held) if h], [y for (_, y), h in zip(rows, held) if h], odds)
+    taught = [(Counter(words_of(t)), y) for (t, y), h in zip(rows, held) if not h]
+    model = train([bag for bag, _ in taught], [y for _, y in taught])
+    return calibrate(model, [words_of(t) for (t, _), h in zip(rows, held) if h], [y for (_, y), h in zip(rows, held) if h], odds * MISS_COST)
 
 
 class _Memory(dict):
-    """Scores of words, made on first sight."""
+    """Odds of words, made on first sight."""
 
     def __init__(self, model: Model):
-        self.rows = model.rows.tolist()
+        self.rows, self.bias = model.rows.tolist(), model.bias
 
     def __missing__(self, word: str) -> float:
         ids = subwords(word)
-        self[word] = found = sum(map(self.rows.__getitem__, ids)) / len(ids)
+        odds = self.bias + sum(map(self.rows.__getitem__, ids)) / len(ids)
+        self[word] = found = math.exp(min(max(odds, -_MOST), _MOST))
         return found
 
 
@@ -233,17 +214,13 @@ class _Scorer:
         self.model, self.memory = model, _Memory(model)
 
     def pooled(self, words: list[str]) -> float:
-        """Log of the mean odds of the windows."""
+        """Log of the mean odds of the words."""
         if not words:
             return self.model.bias
         memory = self.memory
         if len(memory) >= REMEMBERED:
             memory.clear()
-        known = memory.__getitem__
-        sums = [sum(map(known, set(words[i : i + WINDOW]))) for i in range(0, len(words), WINDOW)]
-        odds = np.array(sums) / WINDOW + self.model.bias
-        top = odds.max()
-        return float(top + math.log(np.exp(odds - top).mean()))
+        return math.log(sum(map(memory.__getitem__, words)) / len(words))
 
     def __call__(self, text: str | None) -> float:
         odds = self.model.slope * self.pooled(words_of(text)) + self.model.shift

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import cut, written
+from .shared import bounded_sample, cut, hot_join, written
 
 THRESHOLD = 0.98
 #: Vectors in a tile, about; leading axes that are dealt into cells; dimensions in a step.
@@ -78,11 +78,12 @@ def _usable() -> Column:
 
 def _axes(nodes: DataFrame) -> Broadcast:
     """Axes for every number of dimensions, from a bounded sample of vectors."""
-    dims = [r[0] for r in nodes.select(F.size("embedding")).distinct().collect()]
+    sized = nodes.select(F.size("embedding").alias("dim"), "embedding")
+    counts = dict(sized.groupBy("dim").count().collect())
+    rows = bounded_sample(sized, "dim", counts, AXES_SAMPLE).collect()
     found = {}
-    for dim in dims:
-        rows = nodes.where(F.size("embedding") == dim).orderBy(F.xxhash64("node"), "node").limit(AXES_SAMPLE).select("embedding").collect()
-        found[dim] = principal_axes(_turn(np.array([r.embedding for r in rows], float), np.eye(dim)), dim)
+    for dim in counts:
+        found[dim] = principal_axes(_turn(np.array([r.embedding for r in rows if r.dim == dim], float), np.eye(dim)), dim)
     return nodes.sparkSession.sparkContext.broadcast(found)
 
 
@@ -123,7 +124,8 @@ def _meet(tiles: DataFrame) -> DataFrame:
     The pairs are found on names and cells alone.
     """
     shifts = F.array(*[F.array(*[F.lit(k) for k in (0, *s)]) for s in product((-1, 0, 1), repeat=CELL_AXES)])
-    shifted = F.transform(shifts, lambda s: F.transform(F.arrays_zip(F.col("cell").alias("c"), s.alias("d")), lambda x: x["c"] + F.coalesce(x["d"], F.lit(0))))
+    # A cell of fewer axes than the shifts have takes the first of each.
+    shifted = F.array_distinct(F.transform(shifts, lambda s: F.transform(F.arrays_zip(F.col("cell").alias("c"), F.slice(s, F.lit(1), F.size("cell")).alias("d")), lambda x: x["c"] + x["d"])))
     left = tiles.select("label", F.col("tile").alias("tile_a"), F.explode(shifted).alias("cell"))
     pairs = left.join(tiles.select("label", "cell", F.col("tile").alias("tile_b")), ["label", "cell"]).where("tile_a <= tile_b").select("tile_a", "tile_b").distinct()
     side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "raw")])
@@ -198,14 +200,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     key = (F.xxhash64("label", "embedding"), F.xxhash64(F.lit(1), "embedding", "label"))
     marked = cut(plain.select("vec_id", "label", "embedding", key[0].alias("k1"), key[1].alias("k2")))
     groups = marked.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("label", "embedding")).alias("v"))
-    nodes = cut(groups.select("k1", "k2", "least", "n", F.xxhash64("k1", "k2").alias("node"), "v.label", "v.embedding"))
+    # Numbers, fixed by the checkpoint, name the vectors: 128 bits tell them apart.
+    nodes = cut(groups.select("k1", "k2", "least", "n", F.monotonically_increasing_id().alias("node"), "v.label", "v.embedding"))
     axes = _axes(nodes)
     tiles = written(_tiles(_placed(nodes, axes, threshold)), "cosine-tiles")
     links = cut(_compare(_meet(tiles), axes, threshold))
     others = links.groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("m"))
     placed = nodes.select("node", "n", "least").join(connected_components(links.select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    facts = placed.join(roots, "component").join(others, "node", "left").select("node", "component_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
-    linked = marked.select("vec_id", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).join(facts, "node").select("vec_id", "n_links", "component_id")
+    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    rooted = hot_join(placed, roots, ["component"], "of", nodes.count())
+    facts = rooted.join(others, "node", "left").select("node", "component_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    known = nodes.select("k1", "k2", "n", "node").join(facts, "node")
+    linked = hot_join(marked.select("vec_id", "k1", "k2"), known, ["k1", "k2"], "n", marked.count()).select("vec_id", "n_links", "component_id")
     single = rows.where(~_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(single).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

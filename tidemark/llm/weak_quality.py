@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import bounded_sample, lean
 
 GOOD, BAD, NONE = 1, 0, 2
 BUCKETS = 1 << 15
@@ -145,8 +145,6 @@ def _shape(word: str) -> str:
 
 def word_features(word: str) -> tuple[int, int]:
     """Hashed features of a word: its ending's characters and its shape."""
-    if len(word) > 64:
-        word = word[:32] + word[-32:]
     shape = _shape(word)
     return crc32(f"s{shape}".encode("utf-8", "replace")) % BUCKETS, crc32(f"e{shape[0]}{word[-1]}{word[-3:]}".encode("utf-8", "replace")) % BUCKETS
 
@@ -243,7 +241,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[LabelModel, Scorer] | None:
     """Label model from the votes on all documents, scorer from a sample of at most SAMPLE of them
-    (those with the smallest hash of their id). None for an empty table.
+    (those with the smallest hash). None for an empty table.
 
     At most 3 ** labellers patterns come to the driver.
     """
@@ -253,9 +251,9 @@ def fit(docs: DataFrame) -> tuple[LabelModel, Scorer] | None:
     counted.sort()
     patterns = np.array([[int(c) for c in p] for p, _ in counted])
     model = expectation_maximisation(patterns, np.array([n for _, n in counted], float))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    chosen = [r.doc_id for r in keyed.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    texts = sorted((r.doc_id, r.text or "") for r in keyed.where(F.col("doc_id").isin(chosen)).collect())
+    keyed = docs.select(F.lit(0).alias("one"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    sample = bounded_sample(keyed, "one", {0: sum(n for _, n in counted)}, SAMPLE)
+    texts = sorted((r.doc_id, r.text) for r in sample.collect())
     if not texts:
         return None
     seen = [facts(t) for _, t in texts]
