@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, gru_lang, near_copies, q_byte_bpe, q_gru_lang, secret_forest
-from tidemark.llm.shared import cut, fresh, table, written
+from tidemark.llm.shared import cut, fresh, table, text_mark, written
 
 #: Documents whose language is less sure are rejected, as are those without a letter.
 LEAST_SURE = 0.3
@@ -27,22 +27,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id.
+    """One row of each group of near-duplicates, every row that has none.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles.
-    Rows that repeat a doc_id count as one document, of which the row with the least text stays. A
-    null doc_id stays only in a group without ids.
+    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles; ids play no
+    part in that, so rows that share an id or have none stay if their texts differ. Of a group the
+    row with the least doc_id stays (one without id only if none has one), then the least text, then
+    the least of the other columns. Null, empty and wordless texts are one group.
     """
     marked = cut(near_copies.near_copies(docs))
-    kept, again = fresh(docs, "kept_id"), fresh(docs, "n_rows")
-    ids = marked.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias(again))
-    rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(kept)), "inner")
-    if ids.where(F.col(again) > 1).isEmpty():
+    kept, mark, again = fresh(docs, "kept_id"), fresh(docs, "mark"), fresh(docs, "n_rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    sized = marked.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = sized.groupBy("component").agg(F.min_by(F.struct("doc_id", "mark", "n"), order).alias("f"))
+    first = cut(first.select(F.col("f.doc_id").alias(kept), F.col("f.mark").alias(mark), F.col("f.n").alias(again)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept)) & (text_mark(F.col("text")) == F.col(mark))
+    rows = docs.join(first, same)
+    if first.where(F.col(again) > 1).isEmpty():
         return rows.select(*docs.columns)
     single = rows.where(F.col(again) == 1).select(*docs.columns)
-    order = [c for c in ("text", *docs.columns) if c in docs.columns]
-    first = rows.where(F.col(again) > 1).groupBy(kept).agg(F.min(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(order)])).alias("row"))
-    return single.unionByName(first.select(*[F.col(f"row.c{order.index(c)}").alias(c) for c in docs.columns]))
+    least = F.min(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]))
+    repeated = rows.where(F.col(again) > 1).groupBy(kept, mark).agg(least.alias("row"))
+    return single.unionByName(repeated.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
