@@ -9,3 +9,12 @@ def data():
     if not os.path.isdir(folder):
         pytest.skip("no test tables")
     return folder
+
+
+@pytest.fixture(scope="session")
+def larger():
+    """Tables for what is learnt, where the smallest ones hold too few examples."""
+    folder = os.environ.get("TIDEMARK_TEST_DATA_LARGE", "/root/testdata/sf0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    return folder

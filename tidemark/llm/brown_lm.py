@@ -1,15 +1,19 @@
 """Brown class-based n-grams: words get classes by exchange clustering, a text's probability comes
 from class transitions and word emissions.
 
-Units. Exchange clustering needs bigram counts of what it clusters, so it works on a bounded number
-of units: each of the ``FREQUENT`` most frequent words of the corpus is a unit, and every other
-word, known or not, belongs to one of ``SPELLINGS`` units by its spelling. All words thus have a
-class, and the unit bigrams are counted over all training documents.
+Clustering. Every training word has a class. Seeds first: the ``FREQUENT`` most frequent words and
+``SPELLINGS`` groups of all others (by their spelling) are exchanged one by one on their bigrams,
+which all training documents count. Then one exchange of all other training words at once: each goes
+to the class that raises the likelihood of the seeds' class bigrams most, by the classes before and
+after all its occurrences. So what is learnt about words grows with the vocabulary; only words that
+training has not seen keep the class of their spelling. Transitions are then counted anew between
+the final classes.
 
 Counts. Documents are read once into blocks (tables of some MB of text each): distinct words of
-the block, and the text as numbers of those words. Word counts are summed from the blocks, and each
-block gets back the counts of its own words by a join. So what is shuffled is a row for each
-distinct word of a block, not for each token, and no task holds the corpus vocabulary.
+the block, and the text as numbers of those words. Each block sends its words with their contexts to
+the words' tasks and gets counts and classes back. So what is shuffled is a row for each distinct
+word of a block, not for each token; no task holds the corpus vocabulary, and the frequent words,
+of which there are few, are broadcast and not shuffled, so no word's task is large.
 """
 
 from __future__ import annotations
@@ -21,11 +25,14 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import written
+from .shared import lean, written
 
+#: Words that are seeds of their own, and groups by spelling of all others.
 FREQUENT = 1000
 SPELLINGS = 500
 CLASSES = 48
@@ -37,6 +44,8 @@ SWEEPS = 8
 LEVEL = 3
 #: Added counts: for each word of a class, and weight of the class distribution in transitions.
 EMISSION, TRANSITION = 0.5, 20.0
+#: Added to the seeds' class bigrams when single words are weighed against them.
+PAIR = 0.5
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -45,9 +54,9 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def spelling(word: bytes) -> int:
-    """The spelling unit of a word: its last two characters' bytes, its first byte and its size."""
+    """The spelling group of a word: by its last three bytes and its size in steps."""
     end = word.rstrip(b".,;:!?") or word
-    return FREQUENT + crc32(b"%b|%d" % (end[-3:], min(len(end), 12) // 4)) % SPELLINGS
+    return crc32(b"%b|%d" % (end[-3:], min(len(end), 12) // 4)) % SPELLINGS
 
 
 # ---------------------------------------------------------------- blocks
@@ -105,23 +114,21 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield _block(first, rows, place)
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", F.monotonically_increasing_id().alias("number"))
-    return written(numbered.mapInArrow(run, _BLOCK), "brown-blocks")
+    return written(numbered.mapInArrow(lean(run), _BLOCK), "brown-blocks")
 
 
-def _entries(table: DataFrame) -> DataFrame:
-    """(block, place, word, c): the words of all blocks with their counts in the block's training texts."""
+def _word_counts(table: DataFrame) -> DataFrame:
+    """(word, c): the words of the training texts with their counts, for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                listed, found = _words(words), _unpack(counts)
+            for words, counts in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                found = _unpack(counts)
+                listed = pa.array(_words(words), pa.binary()).take(pa.array(np.flatnonzero(found)))
                 for k in range(0, len(listed), 50_000):
-                    n = len(listed[k : k + 50_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, block, np.int64)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(listed[k : k + n], pa.binary()), pa.array(found[k : k + n])], ["block", "place", "word", "c"]
-                    )
+                    yield pa.RecordBatch.from_arrays([listed[k : k + 50_000], pa.array(found[found > 0][k : k + 50_000])], ["word", "c"])
 
-    return table.select("block", "words", "counts").mapInArrow(run, "block long, place int, word binary, c int")
+    return table.select("words", "counts").mapInArrow(lean(run), "word binary, c int")
 
 
 # ---------------------------------------------------------------- clustering
@@ -190,20 +197,37 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS, seed: int
 
 
 @dataclass
-class Classes:
-    """Units of frequent words and the class of every unit; the end is the last unit, class 0."""
+class Seeds:
+    """Frequent words and the class of every seed; the end is the last seed, class 0.
+
+    ``pairs`` are the bigrams of the seeds' classes in the training texts.
+    """
 
     frequent: dict[bytes, int]
+    counts: np.ndarray  # of the frequent words
     of: np.ndarray
+    pairs: np.ndarray
 
     def units(self, words: list[bytes]) -> np.ndarray:
-        known = self.frequent
-        return np.array([u if (u := known.get(w)) is not None else spelling(w) for w in words], np.int64)
+        known, n = self.frequent, len(self.frequent)
+        return np.array([u if (u := known.get(w)) is not None else n + spelling(w) for w in words], np.int64)
+
+    def classes(self, words: list[bytes]) -> np.ndarray:
+        return self.of[self.units(words)]
+
+    def gains(self) -> np.ndarray:
+        """(class before * CLASSES + class after, class): what an occurrence between them adds to the
+        likelihood of the class bigrams when its word joins the class, to first order."""
+        log = np.log(self.pairs + PAIR)
+        alone = np.log(self.pairs.sum(axis=1) + PAIR * CLASSES) + np.log(self.pairs.sum(axis=0) + PAIR * CLASSES)
+        gain = (log[:, None, :] + log.T[None, :, :] - alone).reshape(CLASSES * CLASSES, CLASSES)
+        gain[:, 0] = -np.inf
+        return gain
 
 
 @dataclass
 class Model:
-    classes: Classes
+    seeds: Seeds
     transition: np.ndarray  # log10 of the chance of the column's class after the row's
     tokens: np.ndarray  # training tokens of each class
     types: np.ndarray  # distinct training words of each class, the end included
@@ -233,91 +257,209 @@ def _sequence(tokens: np.ndarray, sizes: np.ndarray, of_word: np.ndarray, end: i
     return line, ends
 
 
-def _unit_bigrams(table: DataFrame, classes: Classes) -> np.ndarray:
-    """Unit bigrams of all training texts; a text follows its own end, so it starts after an end."""
-    n = FREQUENT + SPELLINGS + 1
-    shared = table.sparkSession.sparkContext.broadcast(classes)
+def _training(held: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, of_word: np.ndarray, end: int) -> tuple[np.ndarray, ...]:
+    """Of the training texts: all values with an end after each text, the value before each (a text
+    follows an end), which of them are words, and the words' numbers."""
+    train = (held & 1) == 0
+    keep = tokens[np.repeat(train, sizes)]
+    line, ends = _sequence(keep, sizes[train], of_word, end)
+    inside = np.ones(len(line), bool)
+    inside[ends] = False
+    return line, np.concatenate([[end], line[:-1]]).astype(np.int64) if len(line) else line, inside, keep
+
+
+def _summed_pairs(found: DataFrame, n: int) -> np.ndarray:
+    """The matrix of rows (pair = before * n + after, n)."""
+    summed = found.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n * n)
+    out[summed["pair"].to_numpy()] = summed["n"].to_numpy()
+    return out.reshape(n, n)
+
+
+def seed(table: DataFrame) -> Seeds:
+    """The frequent words, and the classes of the seeds by exchange on their bigrams.
+
+    FREQUENT words and the bigrams of the seeds (at most FREQUENT + SPELLINGS + 1 squared) come to
+    the driver.
+    """
+    words = _word_counts(table).groupBy("word").agg(F.sum("c").alias("c"))
+    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    frequent = {bytes(r.word): k for k, r in enumerate(top)}
+    empty = Seeds(frequent, np.array([r.c for r in top], float), np.zeros(0, np.int64), np.zeros(0))
+    n = len(frequent) + SPELLINGS + 1
+    shared = table.sparkSession.sparkContext.broadcast(empty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(n * n, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 _, held, sizes, tokens = _views(row)
-                train = (held & 1) == 0
-                keep = np.repeat(train, sizes)
-                line, ends = _sequence(tokens[keep], sizes[train], shared.value.units(_words(row["words"])), n - 1)
-                before = np.concatenate([[n - 1], line[:-1]]) if len(line) else line
+                line, before, _, _ = _training(held, sizes, tokens, shared.value.units(_words(row["words"])), n - 1)
                 seen += np.bincount(before * n + line, minlength=n * n)
         at = np.flatnonzero(seen)
-        for k in range(0, max(1, len(at)), 50_000):
+        for k in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(seen[at[k : k + 50_000]])], ["pair", "n"])
 
-    found = table.select("held", "doc_ids", "sizes", "tokens", "words").mapInArrow(run, "pair long, n long")
-    summed = found.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n * n)
-    out[summed["pair"].to_numpy()] = summed["n"].to_numpy()
-    return out.reshape(n, n)
+    bigrams = _summed_pairs(table.select("held", "doc_ids", "sizes", "tokens", "words").mapInArrow(lean(run), "pair long, n long"), n)
+    of = exchange(bigrams, CLASSES)
+    hot = np.eye(CLASSES)[of]
+    return Seeds(frequent, empty.counts, of, hot.T @ bigrams @ hot)
+
 
+_ENTRY = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("block", T.LongType(), False), T.StructField("place", T.IntegerType(), False), T.StructField("met", T.ArrayType(T.LongType(), False), False)])
 
-def vocabulary(table: DataFrame) -> DataFrame:
-    """(word, c): counts of all words of the training texts."""
-    return written(_entries(table).where("c > 0").select("word", "c").groupBy("word").agg(F.sum("c").alias("c")), "brown-words")
 
+def _entries(table: DataFrame, shared: Broadcast) -> DataFrame:
+    """(word, block, place, met): the words of all blocks but the frequent ones. ``met`` are the
+    contexts of the word in the block's training texts, each as its pair of classes << 32 | how often."""
 
-def fit(table: DataFrame, words: DataFrame) -> Model:
-    """Classes from the unit bigrams, and the bounded tables of the model.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, square = shared.value, CLASSES * CLASSES
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                listed = _words(row["words"])
+                _, held, sizes, tokens = _views(row)
+                units = seeds.units(listed)
+                line, before, inside, keep = _training(held, sizes, tokens, seeds.of[units], 0)
+                after = np.append(line[1:], 0)
+                found, times = np.unique(keep.astype(np.int64) * square + before[inside] * CLASSES + after[inside], return_counts=True)
+                met = (found % square) << 32 | times
+                rare = np.flatnonzero(units >= len(seeds.frequent)).astype(np.int32)
+                first, last = np.searchsorted(found, rare.astype(np.int64) * square), np.searchsorted(found, (rare.astype(np.int64) + 1) * square)
+                words = pa.array(listed, pa.binary())
+                for at in range(0, len(rare), 50_000):
+                    part = slice(at, at + 50_000)
+                    chosen = np.concatenate([np.arange(a, b) for a, b in zip(first[part].tolist(), last[part].tolist())])
+                    offsets = np.concatenate([[0], np.cumsum(last[part] - first[part])]).astype(np.int32)
+                    n = len(rare[part])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(met[chosen.astype(np.int64)]))
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(rare[part])), pa.array(np.full(n, row["block"], np.int64)), pa.array(rare[part]), lists], ["word", "block", "place", "met"])
+
+    return table.select("block", "doc_ids", "held", "sizes", "tokens", "words").mapInArrow(lean(run), _ENTRY)
+
+
+def _classified(entries: DataFrame, shared: Broadcast) -> DataFrame:
+    """(word, c, class, home): count and class of each training word, and the mark of one place that has it."""
+    apart = entries.select("word", F.xxhash64("block", "place").alias("here"), F.explode_outer("met").alias("m"))
+    pairs = apart.groupBy("word", F.shiftright("m", 32).cast("int").alias("pair")).agg(F.sum(F.expr("m & 4294967295L")).alias("n"), F.min(F.when(F.col("m").isNotNull(), F.col("here"))).alias("home"))
+    words = pairs.where("n is not null").groupBy("word").agg(F.collect_list("pair").alias("pairs"), F.collect_list("n").alias("ns"), F.min("home").alias("home"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = shared.value.gains()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair, n = batch.column("pairs"), batch.column("ns")
+            starts = np.asarray(pair.offsets)[:-1] - pair.offsets[0].as_py()
+            pairs, ns = pair.flatten().to_numpy(), n.flatten().to_numpy()
+            best = np.empty(batch.num_rows, np.int32)
+            ends = np.append(starts[1:], len(pairs))
+            at = 0
+            while at < len(starts):
+                to = max(at + 1, int(np.searchsorted(starts, starts[at] + 100_000)))
+                part = slice(starts[at], ends[to - 1])
+                best[at:to] = np.add.reduceat(gains[pairs[part]] * ns[part][:, None], starts[at:to] - starts[at]).argmax(axis=1)
+                at = to
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.add.reduceat(ns, starts)), pa.array(best), batch.column("home")], ["word", "c", "class", "home"])
 
-    Only FREQUENT words, the unit bigrams and counts by unit come to the driver.
+    return words.select("word", "pairs", "ns", "home").mapInArrow(lean(run), "word binary, c long, class int, home long")
+
+
+_KNOWN = "doc_ids binary, held binary, sizes binary, tokens binary, counts binary, classes binary, homes binary"
+
+
+def classified(table: DataFrame, seeds: Seeds) -> DataFrame:
+    """The blocks with training count and class of each of their words (written to the shared folder).
+
+    ``homes`` marks words that are counted here when types are counted: each training word in one block.
     """
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = {bytes(r.word): k for k, r in enumerate(top)}
-    classes = Classes(frequent, np.zeros(0, np.int64))
-    bigrams = _unit_bigrams(table, classes)
-    n = len(bigrams)
-    ends = int(bigrams[:, n - 1].sum())
-    of = exchange(bigrams, CLASSES)
-    classes = Classes(frequent, of)
-    hot = np.eye(CLASSES)[of]
-    pairs = hot.T @ bigrams @ hot
-    whole = (pairs.sum(axis=0) + 1) / (pairs.sum() + CLASSES)
-    transition = np.log10((pairs + TRANSITION * whole[None, :]) / (pairs.sum(axis=1, keepdims=True) + TRANSITION))
-    types = _types_by_unit(words, classes)
-    by_class = np.bincount(of, types, CLASSES)
-    by_class[0] = 1
-    total = int(bigrams.sum())
-    return Model(classes, transition, pairs.sum(axis=0), by_class, total, int(types.sum()) + (1 if ends else 0), ends)
+    shared = table.sparkSession.sparkContext.broadcast(seeds)
+    entries = _entries(table, shared).repartition("word")
+    # Both sides of the join read the same columns of the same exchange, so the entries are made and shuffled once.
+    here = entries.select("word", "block", "place", (F.size("met") > 0).alias("own"))
+    told = here.join(_classified(entries, shared), "word").select(
+        "block", (F.col("place").cast("long") * (CLASSES * 2) + F.col("class") * 2 + (F.col("own") & (F.col("home") == F.xxhash64("block", "place"))).cast("int")).alias("at"), "c"
+    )
+    # Two flat lists, filled row by row in the same order, take a third of a list of structs.
+    known = told.groupBy("block").agg(F.collect_list("at").alias("ats"), F.collect_list("c").alias("cs"))
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value.frequent
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                units = shared.value.units(_words(row["words"]))
+                counts = np.append(shared.value.counts, np.zeros(1))[np.minimum(units, len(frequent))]
+                made = [row["block"], row["doc_ids"], row["held"], row["sizes"], row["tokens"], _pack(counts), zstandard.compress(shared.value.of[units].astype(np.uint8).tobytes(), LEVEL)]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], ["block", "doc_ids", "held", "sizes", "tokens", "counts", "classes"])
 
-def _types_by_unit(words: DataFrame, classes: Classes) -> np.ndarray:
-    n = FREQUENT + SPELLINGS + 1
-    shared = words.sparkSession.sparkContext.broadcast(classes)
+    bare = table.select("block", "doc_ids", "held", "sizes", "tokens", "words").mapInArrow(lean(own), "block long, doc_ids binary, held binary, sizes binary, tokens binary, counts binary, classes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(n, np.int64)
         for batch in batches:
-            seen += np.bincount(shared.value.units(batch.column(0).to_pylist()), minlength=n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(seen)], ["unit", "n"])
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                row = part.select(["doc_ids", "held", "sizes", "tokens", "counts", "classes"]).to_pylist()[0]
+                counts, classes = _unpack(row["counts"]).copy(), np.frombuffer(zstandard.decompress(row["classes"]), np.uint8).copy()
+                homes = np.zeros(len(counts), np.uint8)
+                if part.column("ats")[0].is_valid:
+                    at, c = part.column("ats")[0].values.to_numpy(), part.column("cs")[0].values.to_numpy()
+                    place = at // (CLASSES * 2)
+                    counts[place], classes[place], homes[place] = c, at // 2 % CLASSES, at % 2
+                made = [row["doc_ids"], row["held"], row["sizes"], row["tokens"], _pack(counts), *(zstandard.compress(x.tobytes(), LEVEL) for x in (classes, homes))]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], ["doc_ids", "held", "sizes", "tokens", "counts", "classes", "homes"])
+
+    joined = bare.join(known, "block", "left").select("doc_ids", "held", "sizes", "tokens", "counts", "classes", "ats", "cs")
+    return written(joined.mapInArrow(lean(run), _KNOWN), "brown-known")
+
 
-    rows = words.select("word").mapInArrow(run, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(n)
+def fit(known: DataFrame, seeds: Seeds) -> Model:
+    """Transitions between the final classes and the sizes of the classes, from all training texts.
+
+    Only numbers for classes and pairs of classes come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pairs of classes, and after them the types of each class.
+        seen = np.zeros(CLASSES * CLASSES + CLASSES, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                _, held, sizes, tokens = _views(row)
+                classes = np.frombuffer(zstandard.decompress(row["classes"]), np.uint8)
+                homes = np.frombuffer(zstandard.decompress(row["homes"]), np.uint8)
+                line, before, _, _ = _training(held, sizes, tokens, classes, 0)
+                seen[: CLASSES * CLASSES] += np.bincount(before * CLASSES + line, minlength=CLASSES * CLASSES)
+                seen[CLASSES * CLASSES :] += np.bincount(classes[homes > 0], minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["pair", "n"])
+
+    rows = known.mapInArrow(lean(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    sums = np.zeros(CLASSES * CLASSES + CLASSES)
     for r in rows:
-        out[r.unit] = r.n
-    return out
+        sums[r.pair] = r.n
+    pairs, types = sums[: CLASSES * CLASSES].reshape(CLASSES, CLASSES), sums[CLASSES * CLASSES :]
+    types += np.bincount(seeds.of[: len(seeds.frequent)], minlength=CLASSES)
+    ends = int(pairs[:, 0].sum())
+    whole = (pairs.sum(axis=0) + 1) / (pairs.sum() + CLASSES)
+    transition = np.log10((pairs + TRANSITION * whole[None, :]) / (pairs.sum(axis=1, keepdims=True) + TRANSITION))
+    vocabulary = int(types.sum()) + (1 if ends else 0)
+    types[0] = 1
+    return Model(seeds, transition, pairs.sum(axis=0), types, int(pairs.sum()), vocabulary, ends)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(row: dict, counts: np.ndarray, model: Model) -> pa.RecordBatch:
+def _score(row: dict, model: Model) -> pa.RecordBatch:
     ids, held, sizes, tokens = _views(row)
-    end = FREQUENT + SPELLINGS
-    of_word = model.classes.of[model.classes.units(_words(row["words"]))]
+    counts, of_word = _unpack(row["counts"]).astype(float), np.frombuffer(zstandard.decompress(row["classes"]), np.uint8)
     per_word = np.stack([(counts > 0).astype(float), model.base(counts), model.emission(of_word, counts)])
     end_count = np.array([model.ends], float)
-    of_end = np.array([model.classes.of[end]])
-    per_end = np.array([float(model.ends > 0), model.base(end_count)[0], model.emission(of_end, end_count)[0]])
-    line, ends = _sequence(tokens, sizes, of_word, int(of_end[0]))
-    before = np.concatenate([of_end, line[:-1]])
+    per_end = np.array([float(model.ends > 0), model.base(end_count)[0], model.emission(np.zeros(1, int), end_count)[0]])
+    line, ends = _sequence(tokens, sizes, of_word, 0)
+    before = np.concatenate([[0], line[:-1]])
     steps = model.transition[before, line]
     starts = np.concatenate([[0], ends[:-1] + 1])
     inside = np.ones(len(line), bool)
@@ -353,25 +495,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     smoothing alone. An empty table gives no rows.
     """
     table = blocks(docs)
-    words = vocabulary(table)
-    model = fit(table, words)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    # A block needs to be told only what it doesn't know: a word whose one occurrence is its own is left out.
-    places = _entries(table).select("block", "word", (F.col("place") * 2 + (F.col("c") > 0).cast("int")).alias("at"))
-    told = places.join(words, "word").where("c > 1 or at % 2 = 0")
-    # Two flat lists, filled row by row in the same order, take a third of a list of structs.
-    known = told.groupBy("block").agg(F.collect_list(F.expr("cast(at div 2 as int)")).alias("places"), F.collect_list("c").alias("found"))
-    joined = table.join(known, "block", "left").select("doc_ids", "held", "sizes", "tokens", "words", "counts", "places", "found")
+    seeds = seed(table)
+    known = classified(table, seeds)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(known, seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                part = batch.slice(k, 1)
-                row = {name: part.column(name)[0].as_py() for name in ("doc_ids", "held", "sizes", "tokens", "words", "counts")}
-                counts = _unpack(row["counts"]).astype(float)
-                places = part.column("places")[0]
-                if places.is_valid:
-                    counts[places.values.to_numpy()] = part.column("found")[0].values.to_numpy()
-                yield _score(row, counts, shared.value)
-
-    return joined.mapInArrow(run, _SCORES)
+                yield _score(batch.slice(k, 1).to_pylist()[0], shared.value)
+
+    return known.select("doc_ids", "held", "sizes", "tokens", "counts", "classes").mapInArrow(lean(run), _SCORES)
