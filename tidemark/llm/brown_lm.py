@@ -307,12 +307,14 @@ def seed(table: DataFrame) -> Seeds:
     return Seeds(frequent, empty.counts, of, hot.T @ bigrams @ hot)
 
 
-_ENTRY = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("block", T.LongType(), False), T.StructField("place", T.IntegerType(), False), T.StructField("met", T.ArrayType(T.LongType(), False), False)])
+#: A context as a number: 1 << 62 on a word's first one in a block, pair of classes << 32, how often.
+_FIRST = 1 << 62
+_ENTRY = T.StructType([T.StructField(name, kind, False) for name, kind in (("word", T.BinaryType()), ("block", T.LongType()), ("place", T.IntegerType()), ("met", T.LongType()))])
 
 
 def _entries(table: DataFrame, shared: Broadcast) -> DataFrame:
-    """(word, block, place, met): the words of all blocks but the frequent ones. ``met`` are the
-    contexts of the word in the block's training texts, each as its pair of classes << 32 | how often."""
+    """(word, block, place, met): a row for each context (classes before and after) that a word has in
+    a block's training texts, or a row without one; for all words but the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, square = shared.value, CLASSES * CLASSES
@@ -322,49 +324,39 @@ def _entries(table: DataFrame, shared: Broadcast) -> DataFrame:
                 listed = _words(row["words"])
                 _, held, sizes, tokens = _views(row)
                 units = seeds.units(listed)
+                rare = units >= len(seeds.frequent)
                 line, before, inside, keep = _training(held, sizes, tokens, seeds.of[units], 0)
                 after = np.append(line[1:], 0)
                 found, times = np.unique(keep.astype(np.int64) * square + before[inside] * CLASSES + after[inside], return_counts=True)
+                place = found // square
                 met = (found % square) << 32 | times
-                rare = np.flatnonzero(units >= len(seeds.frequent)).astype(np.int32)
-                first, last = np.searchsorted(found, rare.astype(np.int64) * square), np.searchsorted(found, (rare.astype(np.int64) + 1) * square)
+                met[np.flatnonzero(np.diff(place, prepend=-1))] |= _FIRST
+                silent = np.setdiff1d(np.arange(len(listed)), place)
+                place, met = np.concatenate([place, silent]), np.concatenate([met, np.full(len(silent), _FIRST)])
+                place, met = place[rare[place]].astype(np.int32), met[rare[place]]
                 words = pa.array(listed, pa.binary())
-                for at in range(0, len(rare), 50_000):
-                    part = slice(at, at + 50_000)
-                    chosen = np.concatenate([np.arange(a, b) for a, b in zip(first[part].tolist(), last[part].tolist())])
-                    offsets = np.concatenate([[0], np.cumsum(last[part] - first[part])]).astype(np.int32)
-                    n = len(rare[part])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(met[chosen.astype(np.int64)]))
-                    yield pa.RecordBatch.from_arrays([words.take(pa.array(rare[part])), pa.array(np.full(n, row["block"], np.int64)), pa.array(rare[part]), lists], ["word", "block", "place", "met"])
+                for at in range(0, len(place), 50_000):
+                    part = place[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(part)), pa.array(np.full(len(part), row["block"], np.int64)), pa.array(part), pa.array(met[at : at + 50_000])], ["word", "block", "place", "met"])
 
     return table.select("block", "doc_ids", "held", "sizes", "tokens", "words").mapInArrow(lean(run), _ENTRY)
 
 
-def _classified(entries: DataFrame, shared: Broadcast) -> DataFrame:
-    """(word, c, class, home): count and class of each training word, and the mark of one place that has it."""
-    apart = entries.select("word", F.xxhash64("block", "place").alias("here"), F.explode_outer("met").alias("m"))
-    pairs = apart.groupBy("word", F.shiftright("m", 32).cast("int").alias("pair")).agg(F.sum(F.expr("m & 4294967295L")).alias("n"), F.min(F.when(F.col("m").isNotNull(), F.col("here"))).alias("home"))
-    words = pairs.where("n is not null").groupBy("word").agg(F.collect_list("pair").alias("pairs"), F.collect_list("n").alias("ns"), F.min("home").alias("home"))
+def _classified(entries: DataFrame, seeds: Seeds) -> DataFrame:
+    """(word, c, class, home): count and class of each training word, and the mark of one place that has it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = shared.value.gains()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            pair, n = batch.column("pairs"), batch.column("ns")
-            starts = np.asarray(pair.offsets)[:-1] - pair.offsets[0].as_py()
-            pairs, ns = pair.flatten().to_numpy(), n.flatten().to_numpy()
-            best = np.empty(batch.num_rows, np.int32)
-            ends = np.append(starts[1:], len(pairs))
-            at = 0
-            while at < len(starts):
-                to = max(at + 1, int(np.searchsorted(starts, starts[at] + 100_000)))
-                part = slice(starts[at], ends[to - 1])
-                best[at:to] = np.add.reduceat(gains[pairs[part]] * ns[part][:, None], starts[at:to] - starts[at]).argmax(axis=1)
-                at = to
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.add.reduceat(ns, starts)), pa.array(best), batch.column("home")], ["word", "c", "class", "home"])
-
-    return words.select("word", "pairs", "ns", "home").mapInArrow(lean(run), "word binary, c long, class int, home long")
+    A word has at most CLASSES squared different contexts. Built-in functions keep the entries'
+    partitioning by word, so nothing is shuffled here.
+    """
+    gains = F.split(F.lit(",".join(f"{x:.12g}" for x in seeds.gains()[:, 1:].ravel())), ",").cast("array<double>")
+    times, pair = F.expr("met & 4294967295L"), F.expr("cast(shiftright(met, 32) & 1073741823L as int)")
+    pairs = entries.groupBy("word", pair.alias("pair")).agg(F.sum(times).alias("n"), F.min(F.when(times > 0, F.xxhash64("block", "place"))).alias("home"))
+    words = pairs.where("n > 0").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pair", "n"))).alias("ps"), F.sum("n").alias("c"), F.min("home").alias("home"))
+    gain = F.transform(
+        F.sequence(F.lit(0), F.lit(CLASSES - 2)),
+        lambda k: F.aggregate("ps", F.lit(0.0), lambda total, p: total + p["n"] * F.get(gains, p["pair"] * (CLASSES - 1) + k)),
+    )
+    return words.select("word", "c", "home", gain.alias("gain")).select("word", "c", F.array_position("gain", F.array_max("gain")).cast("int").alias("class"), "home")
 
 
 _KNOWN = "doc_ids binary, held binary, sizes binary, tokens binary, counts binary, classes binary, homes binary"
@@ -377,13 +369,14 @@ def classified(table: DataFrame, seeds: Seeds) -> DataFrame:
     """
     shared = table.sparkSession.sparkContext.broadcast(seeds)
     entries = _entries(table, shared).repartition("word")
-    # Both sides of the join read the same columns of the same exchange, so the entries are made and shuffled once.
-    here = entries.select("word", "block", "place", (F.size("met") > 0).alias("own"))
-    told = here.join(_classified(entries, shared), "word").select(
-        "block", (F.col("place").cast("long") * (CLASSES * 2) + F.col("class") * 2 + (F.col("own") & (F.col("home") == F.xxhash64("block", "place"))).cast("int")).alias("at"), "c"
-    )
+    # Both sides of the join read the same columns of the same exchange and no filter may be moved
+    # below one of them, so the entries are made and shuffled once: later contexts of a word in a
+    # block give nulls, which collect_list drops.
+    told = entries.join(_classified(entries, seeds), "word")
+    first = F.col("met") >= F.lit(_FIRST)
+    at = F.col("place").cast("long") * (CLASSES * 2) + F.col("class") * 2 + (F.col("home") == F.xxhash64("block", "place")).cast("int")
     # Two flat lists, filled row by row in the same order, take a third of a list of structs.
-    known = told.groupBy("block").agg(F.collect_list("at").alias("ats"), F.collect_list("c").alias("cs"))
+    known = told.groupBy("block").agg(F.collect_list(F.when(first, at)).alias("ats"), F.collect_list(F.when(first, F.col("c"))).alias("cs"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value.frequent
