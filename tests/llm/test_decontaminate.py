@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tidemark.llm import decontaminate as D
+from tidemark.llm import q_decontaminate
 
 SCHEMA = "doc_id long, text string, item_id string, distance string"
 ITEM = "the quick brown foxes jumped over seventeen lazy dogs while nobody at the riverside cafe was looking at them"
@@ -44,9 +45,10 @@ def test_pieces_find_whatever_the_budget_allows():
             k = rng.randrange(len(s))
             s[k] = rng.choice(["", "x", s[k] + "q"])
         text = "noise before it " + "".join(s) + " and after it"
-        line = D.normal(text)
-        expected = any(plain_distance(p.text, line) <= p.errors for p in matcher.passages)
-        assert bool(matcher.find(text)) == expected
+        line, item = D.padded(text), D.padded(ITEM)
+        best = plain_distance(item, line)
+        expected = best <= D.budget(item)
+        assert matcher.find(text) == ({0: (best, 1)} if expected else {})
         hits += expected
     assert 50 < hits
 
@@ -90,7 +92,7 @@ def test_a_run_of_passage_length_is_found_wherever_it_starts():
         matcher = D.Matcher([(1, " ".join(item))])
         for start in range(words - D.PASSAGE_WORDS + 1):
             run = " ".join(item[start : start + D.PASSAGE_WORDS])
-            assert matcher.find(f"{word()} {word()} {run} {word()} {word()}")[0][1] == 0
+            assert matcher.find(f"{word()} {word()} {run} {word()} {word()}")[0][1] >= 1
 
 
 def test_long_items_equal_brute_force():
@@ -104,8 +106,49 @@ def test_long_items_equal_brute_force():
         for _ in range(rng.randint(0, 14)):
             k = rng.randrange(len(run))
             run[k] = rng.choice(["", "x", run[k] + "q"])
-        line = D.normal(f"{word()} {word()} {''.join(run)} {word()} {word()}")
-        near = [d for p in D.passages(" ".join(item)) if (d := plain_distance(p, line)) <= D.budget(p)]
-        assert D.Matcher([(1, " ".join(item))]).find(line) == ({0: (len(near), min(near))} if near else {})
+        line = D.padded(f"{word()} {word()} {''.join(run)} {word()} {word()}")
+        parts = [" ".join(item[k : k + D.PASSAGE_WORDS]) for k in range(len(item) - D.PASSAGE_WORDS + 1)]
+        near = sum(plain_distance(p, line[1:-1]) <= D.budget(p) for p in parts)
+        whole = D.padded(" ".join(item))
+        best = plain_distance(whole, line)
+        expected = {0: (best if best <= D.budget(whole) else None, near)} if near or best <= D.budget(whole) else {}
+        assert D.Matcher([(1, " ".join(item))]).find(line) == expected
         seen.append(bool(near))
     assert 15 < sum(seen) < 50
+
+
+def test_whole_items_of_any_length_keep_the_budget():
+    """One rule from one word to hundreds: k edits are found, and what brute force finds."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7)))
+    for words in (1, 2, 3, 5, 24, 25, 26, 120):
+        for _ in range(12):
+            item = " ".join(word() for _ in range(words))
+            line = D.padded(item)
+            s = list(item)
+            for _ in range(rng.randint(0, D.budget(line) + 1)):
+                k = rng.randrange(len(s))
+                s[k] = rng.choice(["", "x", s[k] + "q"])
+            text = D.padded(f"zz {''.join(s)} zz")
+            best = D.Passage.of(0, line).distance(text)
+            found = D.Matcher([(1, item)]).find(text).get(0, (None, 0))
+            assert found[0] == (best if best <= D.budget(line) else None)
+
+
+def test_query_equals_brute_force_over_whole_tables(spark, data):
+    """Every document against every item, without pieces: Myers over the whole text."""
+    texts = {r.doc_id: D.padded(r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    bench = {r.item_id: D.padded(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    expected = {}
+    for i, line in bench.items():
+        p = D.Passage.of(0, line)
+        for d, text in texts.items():
+            if (best := p.distance(text)) <= p.errors:
+                expected[d, i] = best
+    got = q_decontaminate.query(spark, data).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in got if r.whole} == expected and expected
+    for r in got:
+        words = bench[r.item_id].split()
+        if not r.whole:
+            parts = [" ".join(words[k : k + D.PASSAGE_WORDS]) for k in range(len(words) - D.PASSAGE_WORDS + 1)]
+            assert r.passages == sum(D.Passage.of(0, p).distance(texts[r.doc_id][1:-1]) <= D.budget(p) for p in parts) > 0

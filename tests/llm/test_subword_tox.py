@@ -1,7 +1,15 @@
+import math
+import os
 import random
+from zlib import crc32
+
+import numpy as np
+import pytest
+import regex
 
 from tidemark.llm import q_subword_tox
 from tidemark.llm import subword_tox as S
+from tidemark.llm.shared import bounded_sample
 
 
 def corpus(n=240):
@@ -28,12 +36,44 @@ def test_unseen_misspellings_score_like_what_they_come_from():
     assert score(f"{calm} worthles pathetik scumbags") > 0.5 > score(calm)
 
 
-def test_repeats_in_a_window_count_once_and_windows_are_pooled():
-    model = S.Model(rows=__import__("numpy").ones(S.BUCKETS, "float32"), bias=-1.0)
-    score = S._Scorer(model)
-    assert score.pooled(["w"] * 12) == score.pooled(["w"]) == -1.0 + 1 / S.WINDOW
-    assert score.pooled([]) == -1.0
-    assert score.pooled(["w"] * 12 * 50) == score.pooled(["w"])
+def test_scores_equal_a_plain_version():
+    """Whole texts and whole words: every n-gram of every word, however long."""
+    rows = np.random.default_rng(3).normal(0, 2, S.BUCKETS).astype("float32")
+    score = S._Scorer(S.Model(rows, -1.0, 0.7, 0.2))
+    texts = ["", "one", "One, two! one", "x" * 100_000 + " tail", "straße ÉTÉ 東京 " * 50, "a b " * 30_000 + "end"]
+    for text in texts:
+        odds = []
+        for word in regex.findall(r"[\p{L}\p{M}\p{N}]+", text.lower()):
+            marked = f"<{word}>"
+            grams = [marked] + [marked[i : i + k] for k in (3, 4, 5) if k < len(marked) for i in range(len(marked) - k + 1)]
+            odds.append(math.exp(-1.0 + sum(float(rows[crc32(g.encode()) % S.BUCKETS]) for g in grams) / len(grams)))
+        pooled = math.log(sum(odds) / len(odds)) if odds else -1.0
+        assert score(text) == pytest.approx(1 / (1 + math.exp(-(0.7 * pooled + 0.2))), rel=1e-6)
+
+
+def test_a_bad_word_counts_wherever_it_stands():
+    score = S._Scorer(S.fit_texts(corpus(800), 1 / 3))
+    calm = corpus(2)[1][0]
+    assert score(f"{calm} scumbag pathetic") == pytest.approx(score(f"scumbag pathetic {calm}"))
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    folder = os.environ.get("TIDEMARK_TEST_DATA_LARGEST", "/root/testdata/sf0.1")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in q_subword_tox.query(spark, folder).where("held_out").collect() if r.doc_id in truth]
+    toxic, calm = [p for p, y in held if y], [p for p, y in held if not y]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(calm) <= 0.02 * len(calm)
+
+
+def test_repeated_ids_do_not_fill_the_sample(spark):
+    rows = [(1, f"word{k} again", 0) for k in range(500)] + [(2 + k, f"scumbag loser{k}", 1) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counts = dict(df.groupBy("toxic").count().collect())
+    taken = bounded_sample(df, "toxic", counts, {0: 60, 1: 40}).collect()
+    assert sum(r.toxic == 0 for r in taken) == 60 and sum(r.toxic == 1 for r in taken) == 40
+    assert sorted(taken) == sorted(bounded_sample(df.repartition(7), "toxic", counts, {0: 60, 1: 40}).collect())
 
 
 def test_query(spark, data):

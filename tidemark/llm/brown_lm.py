@@ -35,6 +35,8 @@ from .shared import lean, written
 #: Words that are seeds of their own, and groups by spelling of all others.
 FREQUENT = 1000
 SPELLINGS = 500
+#: Most frequent words of each block that seeds are chosen from.
+POOL = 2000
 CLASSES = 48
 #: Bytes of text, at most (a longer text has a block of its own), and documents in a block.
 BLOCK_BYTES = 6_000_000
@@ -117,18 +119,21 @@ def blocks(docs: DataFrame) -> DataFrame:
     return written(numbered.mapInArrow(lean(run), _BLOCK), "brown-blocks")
 
 
-def _word_counts(table: DataFrame) -> DataFrame:
-    """(word, c): the words of the training texts with their counts, for each block."""
+def _frequent(table: DataFrame) -> list[bytes]:
+    """The FREQUENT most frequent training words, by counts in the blocks where a word is among the
+    first POOL."""
+    most = max(POOL, FREQUENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 found = _unpack(counts)
-                listed = pa.array(_words(words), pa.binary()).take(pa.array(np.flatnonzero(found)))
-                for k in range(0, len(listed), 50_000):
-                    yield pa.RecordBatch.from_arrays([listed[k : k + 50_000], pa.array(found[found > 0][k : k + 50_000])], ["word", "c"])
+                first = np.argsort(-found, kind="stable")[:most]
+                first = pa.array(first[found[first] > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(_words(words), pa.binary()).take(first), pa.array(found).take(first)], ["word", "c"])
 
-    return table.select("words", "counts").mapInArrow(lean(run), "word binary, c int")
+    words = table.select("words", "counts").mapInArrow(lean(run), "word binary, c int").groupBy("word").agg(F.sum("c").alias("c"))
+    return [bytes(r.word) for r in words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
 
 
 # ---------------------------------------------------------------- clustering
@@ -282,10 +287,8 @@ def seed(table: DataFrame) -> Seeds:
     FREQUENT words and the bigrams of the seeds (at most FREQUENT + SPELLINGS + 1 squared) come to
     the driver.
     """
-    words = _word_counts(table).groupBy("word").agg(F.sum("c").alias("c"))
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = {bytes(r.word): k for k, r in enumerate(top)}
-    empty = Seeds(frequent, np.array([r.c for r in top], float), np.zeros(0, np.int64), np.zeros(0))
+    frequent = {w: k for k, w in enumerate(_frequent(table))}
+    empty = Seeds(frequent, np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     n = len(frequent) + SPELLINGS + 1
     shared = table.sparkSession.sparkContext.broadcast(empty)
 
@@ -304,7 +307,7 @@ def seed(table: DataFrame) -> Seeds:
     bigrams = _summed_pairs(table.select("held", "doc_ids", "sizes", "tokens", "words").mapInArrow(lean(run), "pair long, n long"), n)
     of = exchange(bigrams, CLASSES)
     hot = np.eye(CLASSES)[of]
-    return Seeds(frequent, empty.counts, of, hot.T @ bigrams @ hot)
+    return Seeds(frequent, bigrams.sum(axis=0)[: len(frequent)], of, hot.T @ bigrams @ hot)
 
 
 #: A context as a number: 1 << 62 on a word's first one in a block, pair of classes << 32, how often.
@@ -345,18 +348,18 @@ def _entries(table: DataFrame, shared: Broadcast) -> DataFrame:
 def _classified(entries: DataFrame, seeds: Seeds) -> DataFrame:
     """(word, c, class, home): count and class of each training word, and the mark of one place that has it.
 
-    A word has at most CLASSES squared different contexts. Built-in functions keep the entries'
-    partitioning by word, so nothing is shuffled here.
+    Sums by class of what the contexts add; built-in functions keep the entries' partitioning by
+    word, so nothing is shuffled here.
     """
-    gains = F.split(F.lit(",".join(f"{x:.12g}" for x in seeds.gains()[:, 1:].ravel())), ",").cast("array<double>")
+    gains = seeds.gains()[:, 1:]
     times, pair = F.expr("met & 4294967295L"), F.expr("cast(shiftright(met, 32) & 1073741823L as int)")
-    pairs = entries.groupBy("word", pair.alias("pair")).agg(F.sum(times).alias("n"), F.min(F.when(times > 0, F.xxhash64("block", "place"))).alias("home"))
-    words = pairs.where("n > 0").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pair", "n"))).alias("ps"), F.sum("n").alias("c"), F.min("home").alias("home"))
-    gain = F.transform(
-        F.sequence(F.lit(0), F.lit(CLASSES - 2)),
-        lambda k: F.aggregate("ps", F.lit(0.0), lambda total, p: total + p["n"] * F.get(gains, p["pair"] * (CLASSES - 1) + k)),
-    )
-    return words.select("word", "c", "home", gain.alias("gain")).select("word", "c", F.array_position("gain", F.array_max("gain")).cast("int").alias("class"), "home")
+    # One array for each class, folded into a constant; F.get finds a pair's gain.
+    listed = [F.split(F.lit(",".join(f"{x:.12g}" for x in column)), ",").cast("array<double>") for column in gains.T]
+    sums = [F.sum(F.col("n") * F.get(column, F.col("pair"))).alias(f"g{k}") for k, column in enumerate(listed, 1)]
+    met = entries.select("word", pair.alias("pair"), times.alias("n"), F.when(times > 0, F.xxhash64("block", "place")).alias("here"))
+    words = met.groupBy("word").agg(F.sum("n").alias("c"), F.min("here").alias("home"), *sums).where("c > 0")
+    gained = F.array(*[F.col(f"g{k}") for k in range(1, CLASSES)])
+    return words.select("word", "c", F.array_position(gained, F.array_max(gained)).cast("int").alias("class"), "home")
 
 
 _KNOWN = "doc_ids binary, held binary, sizes binary, tokens binary, counts binary, classes binary, homes binary"

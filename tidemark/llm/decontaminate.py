@@ -1,21 +1,25 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Items of up to ``PASSAGE_WORDS`` words are one passage. Longer items have a passage from every word
-on, so any ``PASSAGE_WORDS`` words of an item in a row are found, wherever they start. A test passage with an error budget of k edits is split into k + 1 pieces. Whatever lies within k
-edits of it holds at least one piece unchanged, so an automaton over all pieces finds every
-candidate; Myers' bit-parallel distance then verifies the text around the hits. Windows of one
-passage that overlap are verified once, so a text that repeats a common piece costs no more than
-its length.
-
-The passages of a long item share their pieces: the item is cut into pieces short enough that each
-passage holds k + 2 whole ones, of which two stay unchanged, shifted by no more than k against each
-other. Every passage around a piece holds the words before or after it to about half a passage, so
-these halves are verified first and passages only if one is there.
+The unit is the whole test item, of any length. An item with an error budget of k edits is split
+into k + 1 pieces. Whatever lies within k edits of it holds at least one piece unchanged, so an
+automaton over all pieces finds every candidate; Myers' bit-parallel distance then verifies the text
+around the hits. Verification climbs: pieces are halved down from the item, a run of j pieces may
+have j - 1 edits, and one of its halves stays within its own budget, so most hits end after the
+piece's neighbour. Items and texts are lower-cased words between single spaces, with a space at both
+ends, so an item without a budget occurs only between word ends.
+
+Parts of items are a question of their own and have a column of their own: of an item of more than
+``PASSAGE_WORDS`` words, any run of that many words counts as a passage, wherever it starts, within
+the budget of its own length. The passages of an item share their pieces: the item is cut into
+pieces short enough that each passage holds k + 2 whole ones, of which two stay unchanged, shifted by
+no more than k against each other. Every passage around a piece holds the words before or after it
+to about half a passage, so these halves are verified first and passages only if one is there.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,21 +28,19 @@ from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import lean
 
-#: Edits allowed for each character of a passage.
+#: Edits allowed for each character of an item or passage.
 ERROR_RATE = 0.08
-#: Items with more words are tested as passages of this many words, one from every word on: the
-#: least run of a longer item that is found.
+#: Words of a passage, the least run of an item that is found.
 PASSAGE_WORDS = 24
-#: Shorter passages (in characters) must occur exactly, between word ends.
-EXACT_BELOW = 25
 #: Characters of test items that are searched for in one pass over the documents. Larger test sets
 #: are searched for in as many passes as they need.
-PASS_CHARS = 20_000_000
+PASS_CHARS = 4_000_000
 
 _words = re.compile(r"\w+").findall
 
@@ -48,21 +50,21 @@ def normal(text: str | None) -> str:
     return " ".join(_words(text.lower())) if text else ""
 
 
-def passages(text: str | None) -> list[str]:
-    words = normal(text).split(" ")
-    if len(words) <= PASSAGE_WORDS:
-        return [" ".join(words)] if words[0] else []
-    return [" ".join(words[s : s + PASSAGE_WORDS]) for s in range(len(words) - PASSAGE_WORDS + 1)]
+def padded(text: str | None) -> str:
+    """The normal form between spaces, or nothing."""
+    line = normal(text)
+    return f" {line} " if line else ""
 
 
-def budget(passage: str) -> int:
-    return 0 if len(passage) < EXACT_BELOW else int(len(passage) * ERROR_RATE)
+def budget(line: str) -> int:
+    """Edits allowed for a normal form; spaces around it don't count."""
+    return int(len(line.strip()) * ERROR_RATE)
 
 
-def split_evenly(passage: str, parts: int) -> list[tuple[int, str]]:
-    n = len(passage)
+def split_evenly(line: str, parts: int) -> list[tuple[int, str]]:
+    n = len(line)
     edges = [n * j // parts for j in range(parts + 1)]
-    return [(a, passage[a:b]) for a, b in zip(edges, edges[1:])]
+    return [(a, line[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 @dataclass
@@ -103,6 +105,45 @@ class Passage:
         return best
 
 
+class WholeItem:
+    """An item as one unit, with its pieces and the runs of pieces that verification climbs."""
+
+    def __init__(self, item: int, line: str):
+        self.item, self.line, self.errors = item, line, budget(line)
+        self.pieces = split_evenly(line, self.errors + 1)
+        self.edges = [*(a for a, _ in self.pieces), len(line)]
+        self.runs: dict[tuple[int, int], Passage] = {}
+
+    def run(self, lo: int, hi: int) -> Passage:
+        if (lo, hi) not in self.runs:
+            self.runs[lo, hi] = Passage.of(self.item, self.line[self.edges[lo] : self.edges[hi]], hi - lo - 1)
+        return self.runs[lo, hi]
+
+    def path(self, piece: int) -> list[tuple[int, int]]:
+        """Runs of pieces around one, from two or three pieces up to just below the item."""
+        lo, hi, found = 0, len(self.pieces), []
+        while hi - lo > 1:
+            found.append((lo, hi))
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if piece < mid else (mid, hi)
+        return found[:0:-1]
+
+    def distance(self, line: str, hits: list[tuple[int, int]]) -> int:
+        """Least distance of the item to a part of the text, if within the budget; hits are (piece,
+        place where the item would begin)."""
+        alive = set()
+        for piece, begin in hits:
+            if begin in alive:
+                continue
+            for lo, hi in self.path(piece):
+                part, at = self.run(lo, hi), begin + self.edges[lo]
+                if part.distance(line[max(0, at - part.errors) : max(0, at + len(part.text) + part.errors)]) > part.errors:
+                    break
+            else:
+                alive.add(begin)
+        return Matcher._verify(self.run(0, len(self.pieces)), line, sorted(alive)) if alive else self.errors + 1
+
+
 class LongItem:
     """An item of more than PASSAGE_WORDS words: its line, pieces and passages, built when needed."""
 
@@ -174,58 +215,50 @@ class Matcher:
     """Finds the test items of one pass in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.passages, self.long = [], {}
         self.items = [i for i, _ in items]
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.whole, self.long = [], {}
+        places: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(items):
-            line = normal(text)
-            if line.count(" ") < PASSAGE_WORDS:
-                self.passages += [Passage.of(k, p) for p in passages(text)]
-                continue
-            # Long items have numbers below zero among the places of pieces.
-            self.long[-1 - k] = LongItem(k, line)
-            for at, piece in self.long[-1 - k].pieces():
-                places[piece].append((-1 - k, at))
-        for k, p in enumerate(self.passages):
-            for at, piece in split_evenly(p.text, p.errors + 1):
-                places[piece].append((k, at))
+            line = padded(text)
+            self.whole.append(WholeItem(k, line))
+            for j, (at, piece) in enumerate(self.whole[k].pieces if line else ()):
+                places[piece].append((k, j, at))
+            if line.count(" ") > PASSAGE_WORDS + 1:
+                # Passages have numbers below zero among the places of pieces.
+                self.long[-1 - k] = LongItem(k, line[1:-1])
+                for at, piece in self.long[-1 - k].pieces():
+                    places[piece].append((-1 - k, 0, at))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> dict[int, tuple[int, int]]:
-        """item -> (passages found, least distance) for the items in a text."""
-        line = normal(text)
-        found: dict[int, tuple[int, int]] = {}
+    def find(self, text: str | None) -> dict[int, tuple[int | None, int]]:
+        """item -> (distance of the whole item, None beyond its budget; passages found), for the items
+        of which a text holds the whole or a passage. An item that has no more words than a passage
+        is its own passage."""
+        line = padded(text)
+        found: dict[int, tuple[int | None, int]] = {}
         if not len(self.automaton) or not line:
             return found
-        starts: dict[int, set[int]] = defaultdict(set)
+        starts: dict[int, set[tuple[int, int]]] = defaultdict(set)
         begins: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for end, (size, where) in self.automaton.iter(line):
-            for k, at in where:
+            for k, j, at in where:
                 if k < 0:
                     begins[k][at].add(end + 1 - size - at)
                 else:
-                    starts[k].add(end + 1 - size - at)
+                    starts[k].add((j, end + 1 - size - at))
+        for k, hits in starts.items():
+            best = self.whole[k].distance(line, sorted(hits))
+            if best <= self.whole[k].errors:
+                found[k] = (best, 0 if -1 - k in self.long else 1)
         for k, hits in begins.items():
             if distances := self.long[k].matched(line, hits):
-                found[self.long[k].item] = (len(distances), min(distances))
-        for k, hits in starts.items():
-            p = self.passages[k]
-            best = self._exact(p, line, hits) if not p.errors else self._verify(p, line, sorted(hits))
-            if best <= p.errors:
-                n, least = found.get(p.item, (0, best))
-                found[p.item] = (n + 1, min(least, best))
+                found[-1 - k] = (found.get(-1 - k, (None, 0))[0], len(distances))
         return found
 
-    @staticmethod
-    def _exact(p: Passage, line: str, hits: set[int]) -> int:
-        ends = ((s, s + len(p.text)) for s in hits)
-        whole = any((s == 0 or line[s - 1] == " ") and (e == len(line) or line[e] == " ") for s, e in ends)
-        return 0 if whole else 1
-
     @staticmethod
     def _verify(p: Passage, line: str, hits: list[int]) -> int:
         best, k, reach = p.errors + 1, p.errors, len(p.text) + p.errors
@@ -246,50 +279,69 @@ def _passes(benchmark: DataFrame) -> list[DataFrame]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + size // PASS_CHARS
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, passages, distance): the test items that whole texts contain.
+#: A worker keeps the matcher of the last pass it worked on.
+_kept: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[int, str]]) -> Matcher:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Matcher(items)
+    return _kept[name]
 
-    An item is contained if one of its passages occurs within its error budget, so of an item of more
-    than ``PASSAGE_WORDS`` words any run of that many words; ``passages`` counts
-    those that do and ``distance`` is the least. Null texts and ids of items are skipped, as are
-    items without words; repeated documents give repeated rows, repeated items one row for each.
-    Other columns are ignored. Nothing contained, or an empty table: no rows.
+
+def _sent(part: DataFrame) -> tuple[str, Broadcast]:
+    """A name for a pass's items, and the items as broadcast: about PASS_CHARS characters, or one
+    longer item, which a task must hold whole."""
+    return uuid.uuid4().hex, part.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.collect()))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, whole, distance, passages): the test items that whole texts contain.
+
+    ``whole``: the whole item occurs within its error budget, at ``distance`` edits at least (null if
+    not). ``passages``: how many runs of ``PASSAGE_WORDS`` words of the item occur, each within its
+    own budget; an item of no more words is its own only passage. There is a row if either is so.
+    Null texts and ids of items are skipped, as are items without words; repeated documents give
+    repeated rows, repeated items one row for each. Other columns are ignored. Nothing contained, or
+    an empty table: no rows.
     """
-    spark, found = docs.sparkSession, None
+    found = None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     for part in _passes(benchmark):
-        shared = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.collect()))
+        name, shared = _sent(part)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, shared.value)
             for batch in batches:
                 rows = [
-                    (d.as_py(), matcher.items[k], n, best)
+                    (d.as_py(), matcher.items[k], best is not None, best, n)
                     for d, t in zip(batch.column(0), batch.column(1))
-                    for k, (n, best) in sorted(matcher.find(t.as_py()).items())
+                    for k, (best, n) in sorted(matcher.find(t.as_py()).items())
                 ]
-                columns = zip(*rows) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "passages", "distance"])
+                columns = zip(*rows) if rows else ((), (), (), (), ())
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "whole", "distance", "passages"])
 
-        hits = texts.mapInArrow(lean(run), "doc_id long, item_id long, passages int, distance int")
+        hits = texts.mapInArrow(lean(run), "doc_id long, item_id long, whole boolean, distance int, passages int")
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no test item, with all their columns.
+    """The rows of ``docs`` that contain no test item and no passage of one, with all their columns.
 
     Null and empty texts stay.
     """
     place = docs.columns.index("text")
     for part in _passes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.collect()))
+        name, shared = _sent(part)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, shared.value)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(place)], pa.bool_()))
 
