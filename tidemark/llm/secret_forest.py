@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives, in DataFrame functions only.
 
-Long runs of key characters are candidates. Their features (length, character transitions,
+Long runs of key characters are candidates: those with a digit, and those without one that a word
+for secrets precedes. Their features (length, character transitions,
 dictionary coverage, path and neighbouring words) are SQL expressions, the same for training and
 scoring. The forest is grown in numpy on the driver from labelled findings and handed back as one
 SQL expression, so a scan is a map over the documents without shuffle and without Python.
@@ -16,16 +17,11 @@ from pyspark.sql import functions as F
 
 from .shared import fresh
 
-#: A candidate: a run of this many key characters at least, with its padding.
+#: A run of this many key characters at least, with its padding.
 MIN_LENGTH = 16
 CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}+={{0,2}}"
-#: True of every text with a candidate that has a digit: at least half of the run lies on one side
-#: of the digit. One pass of it spares most texts the passes that place candidates.
-LIKELY = rf"[0-9][A-Za-z0-9+/_\-]{{{MIN_LENGTH // 2},}}|[A-Za-z0-9+/_\-]{{{MIN_LENGTH // 2},}}[0-9]"
 #: Code points before and after a candidate in which its neighbours are looked for.
 BEFORE, AFTER = 48, 16
-#: Candidates longer than this are blobs (inlined images); features look at both ends of them.
-LONG = 512
 REDACTED = "[SECRET]"
 TREES, DEPTH, LEAST = 15, 6, 8
 
@@ -44,8 +40,12 @@ DICTIONARY = (
     "position post preview print private process product profile project public python query read record release "
     "remove render replace report request reset resource response result return route sample save script search "
     "secret section select send server service session settings source sql start state static status step storage "
-    "string style submit support switch system table target task template test text"
+    "string style submit support switch system table target task template test text theme time title token tool "
+    "type update upload user value version video view web window word work write your"
 )
+#: True of every text with a candidate: at least half of a run lies on one side of its digit, or a
+#: word for secrets is in the text. One pass of it spares most texts the passes that place candidates.
+LIKELY = rf"[0-9][A-Za-z0-9+/_\-]{{{MIN_LENGTH // 2},}}|[A-Za-z0-9+/_\-]{{{MIN_LENGTH // 2},}}[0-9]|(?i:{'|'.join(SECRET_WORDS.split())})"
 FEATURES = ("length", "digits", "capitals", "transitions", "variety", "coverage", "slashes", "in_path", "secret_near", "plain_near", "assigned", "quoted")
 
 
@@ -55,8 +55,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 def features(found: Column) -> Column:
     """Struct of FEATURES (doubles) for a struct (before, candidate, after)."""
-    raw = found["candidate"]
-    c = F.when(F.length(raw) > LONG, F.concat(F.substring(raw, 1, LONG // 2), F.right(raw, F.lit(LONG // 2)))).otherwise(raw)
+    c = found["candidate"]
     n = F.length(c).cast("double")
     before, after = F.lower(found["before"]), found["after"]
     kinds = F.translate(
@@ -64,9 +63,8 @@ def features(found: Column) -> Column:
     )
     changes = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(kinds, "a+", "a"), "0+", "0"), "B+", "B"), r"\.+", ".")) - 1
     words = "|".join(sorted((w for w in DICTIONARY.split()), key=lambda w: (-len(w), w)))
-    near = lambda listed: "(?:^|[^a-z0-9])(?:" + "|".join(sorted(listed.split(), key=lambda w: (-len(w), w))) + ")(?:$|[^a-z0-9])"
     values = {
-        "length": F.length(raw),
+        "length": F.length(c),
         "digits": _count(c, "[0-9]") / n,
         "capitals": _count(c, "[A-Z]") / n,
         "transitions": changes / n,
@@ -74,38 +72,54 @@ def features(found: Column) -> Column:
         "coverage": _count(F.lower(c), words) / n,
         "slashes": _count(c, "/") / n,
         "in_path": (before.rlike(r"[/\\.:~]$") | after.rlike(r"^(?:\.[A-Za-z]|/|\\)") | c.startswith("/")).cast("int"),
-        "secret_near": before.rlike(near(SECRET_WORDS)).cast("int"),
-        "plain_near": before.rlike(near(PLAIN_WORDS)).cast("int"),
+        "secret_near": before.rlike(_near(SECRET_WORDS)).cast("int"),
+        "plain_near": before.rlike(_near(PLAIN_WORDS)).cast("int"),
         "assigned": before.rlike(r"[:=]\s*[\"']?$").cast("int"),
         "quoted": before.rlike("[\"'`]$").cast("int"),
     }
     return F.struct(*[values[k].cast("double").alias(k) for k in FEATURES])
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, before, candidate, after) of a text, with a digit in each candidate."""
+def _near(listed: str) -> str:
+    """A pattern for any of the words, standing alone."""
+    return "(?:^|[^a-z0-9])(?:" + "|".join(sorted(listed.split(), key=lambda w: (-len(w), w))) + ")(?:$|[^a-z0-9])"
+
+
+def _is_candidate(run: Column) -> Column:
+    return run["candidate"].rlike("[0-9]") | F.lower(run["before"]).rlike(_near(SECRET_WORDS))
+
+
+def runs(text: Column) -> Column:
+    """A text cut at its runs of key characters: array of (gap, before, candidate, after), of which the
+    last has no candidate. Gaps and candidates in turn are the text."""
     gaps = F.split(text, CANDIDATE)
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    return F.transform(
+        F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, 2**31 - 1).alias("follow"), found.alias("hit")),
+        lambda x: F.struct(
+            x["gap"].alias("gap"),
+            F.right(x["gap"], F.lit(BEFORE)).alias("before"),
+            x["hit"].alias("candidate"),
+            F.substring(F.coalesce(x["follow"], F.lit("")), 1, AFTER).alias("after"),
+        ),
+    )
+
+
+def candidates(text: Column) -> Column:
+    """Array of (start, before, candidate, after) of a text."""
+    listed = runs(text)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    placed = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("hit")),
+    starts = F.aggregate(
+        listed,
         zero,
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
+            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["candidate"]), F.lit(0))).alias("at"),
             F.array_append(acc["starts"], acc["at"] + F.length(x["gap"])).alias("starts"),
         ),
         lambda acc: acc["starts"],
     )
-    zipped = F.transform(
-        F.arrays_zip(placed.alias("start"), gaps.alias("gap"), F.slice(gaps, 2, 2**31 - 1).alias("follow"), found.alias("hit")),
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            F.right(x["gap"], F.lit(BEFORE)).alias("before"),
-            x["hit"].alias("candidate"),
-            F.substring(F.coalesce(x["follow"], F.lit("")), 1, AFTER).alias("after"),
-        ),
-    )
-    return F.filter(zipped, lambda x: x["candidate"].rlike("[0-9]"))
+    placed = F.zip_with(listed, starts, lambda x, at: F.struct(at.alias("start"), x["before"].alias("before"), x["candidate"].alias("candidate"), x["after"].alias("after")))
+    return F.filter(placed, lambda x: x["candidate"].isNotNull() & _is_candidate(x))
 
 
 # ---------------------------------------------------------------- the forest
@@ -170,7 +184,7 @@ def forest_sql(forest: list[Node], struct: str) -> str:
 def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     """Findings (before, candidate, after, label) made by rule from hashes of a row number.
 
-    Secrets are hexadecimal, base64 or mixed keys, mostly beside a word that announces them; the
+    Secrets are hexadecimal, base64, mixed or letter-only keys, mostly beside a word that announces them; the
     others are digests, identifiers, paths, numbers, placeholders and names run together, some of
     them beside such words as well.
     """
@@ -186,8 +200,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
             F.substring(base64, F.lit(1), lengths),
             F.concat(of("pre", ["sk_live_", "ghp_", "AKIA", "xoxb-", "glpat-", "key-"]), F.substring(F.regexp_replace(base64, "[+/=]", "x"), F.lit(1), lengths)),
             F.concat(F.substring(base64, 1, 42), F.lit("==")),
+            F.substring(F.translate(base64, "0123456789+/=", "qzjxkvwpyhQZJ"), F.lit(1), lengths),
         ),
-        pick("kind", 4) + 1,
+        pick("kind", 5) + 1,
     )
     number = F.regexp_replace(F.substring(F.conv(F.substring(h("n"), 1, 15), 16, 10), 1, 16), "^", "")
     names = F.concat(of("w1", words), F.lit("_"), of("w2", words), F.lit("_"), of("w3", words), F.lit("_"), pick("nn", 1000).cast("string"))
@@ -247,21 +262,12 @@ def redact(docs: DataFrame, forest: list[Node]) -> DataFrame:
 
     Only the scored places are replaced. Texts without secrets, null and empty texts are unchanged.
     """
-    text = F.col("text")
+    text, name = F.col("text"), fresh(docs, "hits")
     hits = F.when(
         text.rlike(LIKELY),
-        F.transform(candidates(text), lambda x: F.struct(x["start"].alias("start"), F.length(x["candidate"]).alias("n"), features(x).alias("f"))),
-    )
-    name = fresh(docs, "hits")
-    chance = f"filter(`{name}`, h -> {forest_sql(forest, 'h.f')} >= 0.5D)"
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    replaced = F.aggregate(
-        F.expr(chance),
-        zero,
-        lambda acc, h: F.struct(
-            (h["start"] + h["n"]).alias("at"),
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, h["start"] - acc["at"]), F.lit(REDACTED)).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))),
+        F.transform(runs(text), lambda x: F.struct(x["gap"].alias("gap"), x["candidate"].alias("hit"), F.when(x["candidate"].isNotNull() & _is_candidate(x), features(x)).alias("f"))),
     )
-    return docs.withColumn(name, hits).withColumn("text", F.when(F.size(name) > 0, replaced).otherwise(text)).drop(name)
+    secret = f"h.f IS NOT NULL AND {forest_sql(forest, 'h.f')} >= 0.5D"
+    replaced = F.expr(f"array_join(transform(`{name}`, h -> concat(h.gap, CASE WHEN {secret} THEN '{REDACTED}' ELSE coalesce(h.hit, '') END)), '')")
+    some = F.expr(f"exists(`{name}`, h -> {secret})")
+    return docs.withColumn(name, hits).withColumn("text", F.when(some, replaced).otherwise(text)).drop(name)
