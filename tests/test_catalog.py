@@ -41,7 +41,7 @@ def test_registry_and_table_function(spark):
     with pytest.raises(KeyError):
         registry.parser_of("nobody", "LISTING")
     registry.register_table_functions(spark)
-    body = '<div class="product-item" data-product-code="9"><span class="price">$5</span></div>'
+    body = '<div class="product-item js-product-item" data-product-code="9"><div class="smw-sale-price displayed-price">$5</div></div>'
     got = spark.sql(f"select ord, cell['price'] as p, cell['cell_data-product-code'] as c from grid_cells('{body}', 'product_items')").first()
     assert tuple(got) == (0, "$5", "9")
     page = spark.createDataFrame([("u", body)], "url string, body string")
@@ -49,18 +49,31 @@ def test_registry_and_table_function(spark):
 
 
 def test_spec_cards_ordering_rows_and_embedded_products(spark):
-    card = '<div class="variant-container" data-product-id="77" data-inventory="4"><h3>Rod</h3><span class="sku">S1</span><span class="price">$9.50</span><table><tr><th>Length:</th><td>7\'6"</td></tr><tr><td>Power</td><td><b>Medium</b></td></tr></table></div>'
-    r = markup.spec_offers(spark.createDataFrame([("u", card)], "url string, body string")).first()
-    assert (r.sku, r.price_cents, r.quantity, r.availability, r.attributes) == ("S1", 950, 4, "IN_STOCK", {"length": "7'6\"", "power": "Medium"})
-    line = '<table><tr class="js-ordering-subproduct" data-code="D1"><td><span class="price">$20.00</span><span class="is-crossout">$40.00</span></td><td class="js-ordering-stock">10+</td><td><meta class="gtin13" content="0780647104070"></td></tr></table>'
-    r = markup.spec_offers(spark.createDataFrame([("u", line)], "url string, body string"), "ordering_rows").first()
-    assert (r.sku, r.price_cents, r.claimed_cents, r.quantity, r.availability, r.gtin14) == ("D1", 2000, 4000, 10, "IN_STOCK", ["00780647104070"])
+    def first(parse, body, *family):
+        return parse(spark.createDataFrame([("https://h/p", body)], "url string, body string"), *family).first()
+
+    card = """<h1>Some Rod</h1><div class="productView-brand h6"><a href="/b"><span>Maker</span></a></div>
+    <div class="variant-container single-variant" data-product-id="77" data-color-id="1"><table class="rod-spec-table"><tr><td class="rod-spec-title">Model</td><td class="rod-spec-title">Length</td></tr>
+    <tr><td class="rod-spec-value">M1</td><td class="rod-spec-value">7'</td></tr></table><table class="rod-spec-table-mobile"><tr class="rod-spec"><td class="rod-spec-title-mobile">Model</td> <td class="rod-spec-value-mobile">M1</td></tr>
+    <p style="display:none"> 1 </p><tr class="rod-spec"><td class="rod-spec-title-mobile">Length</td><td class="rod-spec-value-mobile">7' 6"</td></tr></table>
+    <div class="rod-stock-message"><span class="selected" data-inventory="4"></span></div><input class="form-input" value="1"><div class="rod-sku"> #4711 </div><div class="price-container"><span class="h4 regular-price-tag">$9.50</span></div></div>"""
+    r = first(markup.spec_offers, card)
+    assert (r.product_code, r.sku, r.price_cents, r.claimed_cents, r.quantity, r.availability, r.attributes) == ("77", "4711", 950, None, 4, "IN_STOCK", {"Model": "M1", "Length": "7' 6\""})
+    assert (r.title, r.brand, r.variant_label) == ("Some Rod", "Maker", "M1")
+    line = """<meta itemprop="brand" content="St. X"><h1>Rods</h1><div class="desc_top" data-gtm_detail_id="DD"></div><table><tr class="js-ordering-subproduct subproduct cf" data-code="D1"><td>
+    <strong class="js-ordering-name name">Rod 7'</strong><strong>In Stock:</strong><span class="js-ordering-available available">10+</span><strong>Price:</strong>$<span class="js-ordering-price price">130.00</span>
+    <ul><li class="js-ordering-style"><strong class="js-ordering-style-name style">Length</strong>: <span class="js-ordering-style-item-name styleitem">7'6"</span></li></ul>
+    <meta itemprop="price" content="130.00"><meta itemprop="gtin13" content="0780647104070"></td></tr></table>"""
+    r = first(markup.spec_offers, line, "ordering_rows")
+    assert (r.product_code, r.sku, r.brand, r.price_cents, r.quantity, r.quantity_is_floor, r.availability, r.gtin14) == ("DD", "D1", "St. X", 13000, 10, True, "IN_STOCK", ["00780647104070"])
+    assert r.attributes == {"Length": "7'6\""}
     body = (
-        '<script type="application/json" id="ProductJson-1">{"id":1,"title":"T","vendor":"V","options":["A"],"variants":[{"id":2,"sku":"K","title":"Red","price":999,"compare_at_price":1999,"available":true}]}</script>'
-        '<script type="application/ld+json">{"hasVariant":[{"sku":"K","additionalProperty":[{"identifier":"barcode","value":"780647104070"}]}]}</script>'
+        '<script id="ProductJson-1" type="application/json">{"id":1,"title":"T","vendor":"V","options":["A"],"variants":[{"id":2,"sku":"K","title":"Red","options":["Red"],"price":999,"compare_at_price":1999,"available":true,"barcode":"780647104070"},'
+        '{"id":3,"sku":"L","title":"Blue","options":["Blue"],"price":0,"available":false}]}</script>'
+        '<script type="application/ld+json">{"@type":"Product","additionalProperty":[{"name":"x","identifier":"L","valueReference":{"name":"Barcode","value":"810057871436"}}]}</script>'
     )
-    r = markup.embedded_product_offers(spark.createDataFrame([("u", body)], "url string, body string")).first()
-    assert (r.sku, r.title, r.price_cents, r.claimed_cents, r.gtin14) == ("K", "T - Red", 999, 1999, ["00780647104070"])
+    got = rows(markup.embedded_product_offers(spark.createDataFrame([("u", body)], "url string, body string")), "sku", "title", "price_cents", "claimed_cents", "availability", "gtin14")
+    assert got == [("K", "T - Red", 999, None, "IN_STOCK", ["00780647104070"]), ("L", "T - Blue", None, None, "OUT_OF_STOCK", ["00810057871436"])]
 
 
 def test_browser_capture(spark):
@@ -96,3 +109,19 @@ def test_file_helpers(spark, tmp_path):
     files.export_versioned({"deals": spark.range(3).withColumnRenamed("id", "deal_id")}, spark.range(1).select(F.lit(2).alias("schema_version")), root, "v")
     assert files.read_feed(spark, root, "deal_id long").count() == 3
     assert rows(files.run_summary({"a": spark.range(3), "b": spark.range(0)}), "name", "rows") == [("a", 3), ("b", 0)]
+
+
+def test_slugs_are_unique_in_order(spark):
+    names = ["Rod", "Rod", "Rod 2", "Rod", "Reel", "Reel", "Rod 2", "Rod 2 2", "Line", "Rod"]
+    taken = ["line", "line-2", "rod-3"]
+    used, expected = set(taken), []
+    for name in names:
+        base = slug = name.lower().replace(" ", "-")
+        n = 2
+        while slug in used:
+            slug, n = f"{base}-{n}", n + 1
+        used.add(slug)
+        expected.append(slug)
+    products = spark.createDataFrame(list(enumerate(names)), "product_id long, name string")
+    got = [r.slug for r in catalog.unique_slugs(products, spark.createDataFrame([(t,) for t in taken], "slug string")).orderBy("product_id").collect()]
+    assert got == expected and len(set(got)) == len(names)

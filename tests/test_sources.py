@@ -44,9 +44,12 @@ def test_search_and_catalogue_feeds(spark):
     search = json.dumps({"results": [{"raw": {"title": "T", "sku": "S", "offerprice": 9.99, "listprice": 19.99, "minofferprice": 9.99, "maxofferprice": 12.0}}, {"raw": {"title": "U", "sku": "V", "offerprice": 5.0, "listprice": 5.0}}]})
     assert [(r.product_code, r.price_cents, r.claimed_cents, r.price_is_range) for r in feeds.search_rows(page(spark, search)).collect()] == [("S", 999, 1999, True), ("V", 500, None, False)]
     catalogue = json.dumps({"productVOs": [
-        {"name": "N", "partnumber": "P", "dsgPriceIndicators": {"priceIndicator": ""}, "floatFacets": [{"identifier": "x_offerprice", "value": 30.0}, {"identifier": "x_listprice", "value": 60.0}]},
-        {"name": "H", "partnumber": "Q", "dsgPriceIndicators": {"priceIndicator": "See in cart"}, "floatFacets": []}]})
-    assert [(r.product_code, r.price_cents, r.claimed_cents) for r in feeds.catalog_rows(page(spark, catalogue)).collect()] == [("P", 3000, 6000)]
+        {"name": "N", "partnumber": "P", "parentPartnumber": "PP", "assetSeoUrl": "/p/n", "dsgPriceIndicators": {"priceIndicator": 0}, "floatFacets": [{"identifier": "otherofferprice", "value": 1.0}, {"identifier": "dickssportinggoodsofferprice", "value": 30.0}, {"identifier": "dickssportinggoodslistprice", "value": 60.0}]},
+        {"name": "M", "partnumber": "O", "assetSeoUrl": "/p/m", "floatFacets": [{"identifier": "dickssportinggoodsofferprice", "value": 30.0}, {"identifier": "dickssportinggoodsofferprice", "value": 35.0}]},
+        {"name": "E", "partnumber": "E", "assetSeoUrl": "https://elsewhere.example/p", "floatFacets": [{"identifier": "dickssportinggoodsofferprice", "value": 30.0}]},
+        {"name": "Z", "partnumber": "Z", "assetSeoUrl": "/p/z", "floatFacets": [{"identifier": "otherofferprice", "value": 30.0}]},
+        {"name": "H", "partnumber": "Q", "dsgPriceIndicators": {"priceIndicator": 1}, "assetSeoUrl": "/p/q", "floatFacets": [{"identifier": "dickssportinggoodsofferprice", "value": 30.0}]}]})
+    assert [(r.product_code, r.price_cents, r.claimed_cents) for r in feeds.catalog_rows(page(spark, catalogue)).collect()] == [("PP", 3000, 6000), ("O", 3500, None)]
 
 
 def test_json_ld_groups_and_lists(spark):
@@ -59,13 +62,39 @@ def test_json_ld_groups_and_lists(spark):
 
 
 def test_grids(spark):
-    body = """<div class="cattable-wrap-cell" data-code="C1"><a class="cattable-wrap-cell-info-name" href="/d-C1.html%0D">Rod <b>One</b></a><span class="price">$48.92 - $59.99</span><span class="is-crossout">$80.00*</span></div>
-    <div class="cattable-wrap-cell" data-code="C2"><a href="/d-C2.html">x</a><img src=a><br><span class="price">Call</span></div><div>$1</div>"""
-    rows = markup.grid_rows(page(spark, body), "catalogue_cells").orderBy("ord").collect()
-    assert [(r.product_code, r.price_cents, r.claimed_cents, r.claimed_kind, r.price_is_range, r.product_url) for r in rows] == [("C1", 4892, 8000, "MSRP", True, "/d-C1.html"), ("C2", None, None, None, False, "/d-C2.html")]
-    tiles = "".join(f'<div class="product-tile"><span class="image-banner">{b}</span><span class="regular-price">$10</span><span class="was-price">${w}</span></div>' for b, w in (("Clearance", 20), ("On Sale", 5), ("New", 20)))
-    assert markup.grid_rows(page(spark, tiles), "badge_tiles").count() == 1
-    assert markup.grid_rows(page(spark, ""), "product_items").count() == 0
+    def got(body, family):
+        made = markup.grid_rows(spark.createDataFrame([("https://shop/list?x=1", body)], "url string, body string"), family).orderBy("ord").collect()
+        return [(r.product_code, r.title, r.price_cents, r.claimed_cents, r.claimed_kind, r.price_is_range, r.product_url) for r in made]
+
+    def cell(code, price, was):
+        return f"""<div class="cattable-wrap-cell gtm_impression" data-code="{code}"><a class="cattable-wrap-cell-info" href="https://shop/d-{code}.html%0D"><div class="cattable-wrap-cell-info-flag sale">-51%</div>
+        <h3 class="cattable-wrap-cell-info-name">Rod <b>{code}</b></h3><div class="cattable-wrap-cell-info-price is-sale">
+        $<span>{price}</span><span class="cattable-wrap-cell-info-price-msrp">{was}</span></div></a></div>"""
+
+    catalogue = cell("C1", "129.97", '<span class="is-crossout">$269.99</span>*') + cell("C2", "99.97", '<span class="is-crossout">$142.99</span>') + cell("C3", "Call", "") + "<div>$1</div>"
+    assert got(catalogue, "catalogue_cells") == [
+        ("C1", "Rod C1", 12997, 26999, "MSRP", False, "https://shop/d-C1.html"), ("C2", "Rod C2", 9997, 14299, "WAS", False, "https://shop/d-C2.html"), ("C3", "Rod C3", None, None, None, False, "https://shop/d-C3.html"),
+    ]
+
+    def item(code, price, before):
+        return f"""<div class="product-item js-product-item" data-product-code="{code}"><a class="thumb" href="/t/{code}"></a><h2 class="details"><a class="name" href="/p/{code}">Reel {code}</a></h2>
+        <div class="price"><div class="smw-sale-price displayed-price">{price}<span class="price-before price-del currency"><span class="sr-only">Original price:</span>{before}</span></div></div></div>"""
+
+    items = item("p1", "$48.92 - $59.99", '<span class="price-strikethrough">$59.99 - $69.99</span>') + item("p2", '<span class="sr-only">Sale price:</span> $63.97', '$<span class="price-strikethrough">69.99</span>') + item("p3", "$204.77 - $300.00", "")
+    assert got(items, "product_items") == [
+        ("p1", "Reel p1", 4892, 5999, "WAS", True, "https://shop/p/p1"), ("p2", "Reel p2", 6397, 6999, "WAS", False, "https://shop/p/p2"), ("p3", "Reel p3", 20477, None, None, True, "https://shop/p/p3"),
+    ]
+
+    def tile(code, badge, was):
+        return f"""<div class="product-tile" role="group"><div class="image-banner red">{badge}</div><a class="anchor-container" href="/product/{code}?a=3" pid="{code}"><div class="product-name"><span>Tile {code}</span></div>
+        <span class="regular-price"> $59.99 <span class="slash"> /</span></span><span class="club-price">$53.99</span><span class="was-price"><span class="price-label">Was</span>{was}</span></a></div>"""
+
+    tiles = tile("1", "On Sale", '<span class="price strike">$89.99</span>') + tile("2", "Members Only Deal", "") + tile("3", "Clearance", "")
+    assert got(tiles, "badge_tiles") == [("1", "Tile 1", 5999, 8999, "WAS", False, "https://shop/product/1?a=3"), ("3", "Tile 3", 5999, None, None, False, "https://shop/product/3?a=3")]
+    card = """<div class="product-card-wrapper" data-vendor="v"><a class="product-card" href="/products/x"><img src="i.jpg"><h2 class="product-title"> <span>Card</span></h2>
+    <div class="yotpo bottomLine" data-product-id="42" data-price="1"></div>{}<div class="product-price"><span class="current-price "> $219.99 </span></div></a></div>"""
+    assert got(card.format('<span class="fromtag">From<br></span>') + card.format(""), "product_cards") == [("42", "Card", 21999, None, None, k == 0, "https://shop/products/x") for k in range(2)]
+    assert got("", "product_items") == [] and got("<p>Access denied", "badge_tiles") == []
 
 
 def test_export_promotes_meta_last_and_prunes(spark, tmp_path):

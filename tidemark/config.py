@@ -80,7 +80,7 @@ ROD_ACTION = {
 }
 
 #: Substrings of block pages, first match wins. Fixed values.
-BLOCK_SIGNATURES = ("edgesuite", "access denied", "site unavailable", "cf-chl", "captcha", "press & hold", "press and hold", "_abck")
+BLOCK_SIGNATURES = ("edgesuite", "access denied", "site unavailable", "cf-chl", "captcha", "press & hold", "_abck")
 
 #: Availability wordings of page metadata. Fixed values.
 META_AVAILABILITY = {

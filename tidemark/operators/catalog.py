@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +24,40 @@ def merge_brands(brands: DataFrame, names: DataFrame) -> DataFrame:
     return keyed_merge(brands, latest_by(keyed, ["name_key"], [F.asc("name")]), ["name_key"], {"name": _kept_or_new("name")})
 
 
+def _slugs_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Slugs of one family of bases, product by product; rows without a product are taken slugs."""
+    used = set(rows.loc[rows["product_id"].isna(), "base_"])
+    following: dict[str, int] = {}
+    found = []
+    for product, base in rows[rows["product_id"].notna()].sort_values("product_id")[["product_id", "base_"]].itertuples(index=False):
+        slug, n = base, following.get(base, 2)
+        while slug in used:
+            slug, n = f"{base}-{n}", n + 1
+        following[base] = n
+        used.add(slug)
+        found.append((int(product), slug))
+    return pd.DataFrame(found, columns=["product_id", "slug"])
+
+
 def unique_slugs(products: DataFrame, taken: DataFrame) -> DataFrame:
-    """Adds slug to products (product_id, name): the name's, with -2, -3, ... where it is taken by an
-    earlier product or by ``taken`` (slug)."""
-    rows = products.withColumn("base_", slugify(F.col("name")))
-    used = taken.select(F.regexp_replace("slug", r"-\d+$", "").alias("base_"), F.lit(1).alias("n_")).groupBy("base_").agg(F.sum("n_").alias("used_"))
+    """Adds slug to products (product_id, name): the name's, with -2, -3, ... where an earlier product
+    or ``taken`` (slug) has it. No two products share a slug.
+
+    Only bases that differ in trailing numbers can meet (``Rod`` and ``Rod 2``). Most such families
+    have one base and nothing taken: their numbers are a window's. The others are numbered in order,
+    a family at a time.
+    """
+    root = lambda slug: F.regexp_replace(slug, r"(-\d+)+$", "")
+    rows = products.withColumn("base_", slugify(F.col("name"))).withColumn("root_", root(F.col("base_")))
+    mixed = rows.select("root_", "base_").union(taken.select(root(F.col("slug")), F.concat(F.lit("/"), "slug"))).groupBy("root_").agg((F.min("base_") != F.max("base_")).alias("mixed_"))
+    rows = rows.join(mixed, "root_")
     place = F.row_number().over(Window.partitionBy("base_").orderBy("product_id"))
-    numbered = rows.withColumn("place_", place).join(used, "base_", "left").withColumn("place_", F.col("place_") + F.coalesce("used_", F.lit(0)))
-    slug = F.when(F.col("place_") == 1, F.col("base_")).otherwise(F.concat("base_", F.lit("-"), F.col("place_").cast("string")))
-    return numbered.withColumn("slug", slug).drop("base_", "place_", "used_")
+    plain = rows.where(~F.col("mixed_")).withColumn("slug", F.when(place == 1, F.col("base_")).otherwise(F.concat("base_", F.lit("-"), place.cast("string"))))
+    known = taken.select(F.lit(None).cast("bigint").alias("product_id"), F.col("slug").alias("base_"), root(F.col("slug")).alias("root_"))
+    asked = rows.where("mixed_").select(F.col("product_id").cast("bigint").alias("product_id"), "base_", "root_").unionByName(known)
+    made = asked.groupBy("root_").applyInPandas(_slugs_in_order, "product_id bigint, slug string")
+    numbered = rows.where("mixed_").join(made, "product_id")
+    return plain.unionByName(numbered).drop("base_", "root_", "mixed_")
 
 
 def merge_variants(variants: DataFrame, batch: DataFrame) -> DataFrame:

@@ -100,8 +100,13 @@ def composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Most fields of a capture's extras, and most characters of one.
+RAW_FIELDS, RAW_LENGTH = 20, 2000
+
+
 def clean_text(text: Column, longest: int) -> Column:
-    plain = F.trim(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    """Text in Unicode NFC without control characters, cut to a length; null if nothing is left."""
+    plain = F.trim(F.regexp_replace(composed(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
     return F.nullif(F.substring(plain, 1, longest), F.lit(""))
 
 
@@ -109,8 +114,12 @@ def validate_captures(df: DataFrame, now: Column) -> DataFrame:
     """Checked captures: cleaned fields, ``error`` (null if accepted) and the idempotency key.
 
     Input: product_url, title, condition, currency, current_cents, was_cents, captured_at,
-    idempotency_key (all nullable).
+    idempotency_key and, where given, variant_label and raw (a map of texts; all nullable). A key of
+    the sender's counts; else captures of one page, variant and price in a minute share theirs.
     """
+    have = set(df.columns)
+    variant = clean_text(F.col("variant_label"), 500) if "variant_label" in have else F.lit(None).cast("string")
+    raw = F.col("raw") if "raw" in have else F.lit(None).cast("map<string,string>")
     url, price, was = F.col("product_url"), F.col("current_cents"), F.col("was_cents")
     host = host_of(url)
     condition = lookup(CAPTURE_CONDITIONS, F.upper(F.trim(F.coalesce("condition", F.lit("NEW")))))
@@ -129,10 +138,11 @@ def validate_captures(df: DataFrame, now: Column) -> DataFrame:
             ("captured_at_future", at > now + F.expr("INTERVAL 5 MINUTES")),
             ("captured_at_too_old", at < now - F.expr("INTERVAL 7 DAYS")),
             ("currency_invalid", ~currency.rlike("^[A-Z]{3}$")),
+            ("raw_too_large", (F.size(raw) > RAW_FIELDS) | F.exists(F.map_keys(raw), lambda k: F.length(k) > 100) | F.exists(F.map_values(raw), lambda v: F.length(v) > RAW_LENGTH)),
             ("idempotency_key_invalid", F.col("idempotency_key").isNotNull() & ~F.length("idempotency_key").between(8, 128)),
         ]
     )
-    derived = F.concat(F.lit("auto_"), F.substring(F.sha2(F.concat_ws("|", host, url, price.cast("string"), minute_bucket(at)).cast("binary"), 256), 1, 40))
+    derived = F.concat(F.lit("auto_"), F.substring(F.sha2(F.concat_ws("|", host, url, F.coalesce(variant, F.lit("")), price.cast("string"), minute_bucket(at)).cast("binary"), 256), 1, 40))
     return df.select(
         url,
         host.alias("host"),
@@ -142,6 +152,8 @@ def validate_captures(df: DataFrame, now: Column) -> DataFrame:
         price,
         F.when(was > price, was).alias("was_cents"),
         at.alias("captured_at"),
+        variant.alias("variant_label"),
+        raw.alias("raw"),
         F.coalesce("idempotency_key", derived).alias("idempotency_key"),
         error.alias("error"),
     )

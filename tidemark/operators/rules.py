@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RULES, USED_RULE_CONDITIONS, Rules
@@ -28,19 +28,20 @@ def detect_used(price: Column, shipping: Column, reference: Column, condition: C
     return F.coalesce(condition.isin(*USED_RULE_CONDITIONS) & (availability == "IN_STOCK") & _deep(landed, reference, rules), F.lit(False))
 
 
-def confirm(c, rules: Rules = RULES) -> Column:
-    """Struct (status, reject_reason, hold_reason); the first check that fails decides.
+def failed_check(c, bp: Column, rules: Rules = RULES) -> Column:
+    """The first confirmation check that fails, or null.
 
     ``c`` maps names to Columns: minutes_since_detection, detected_via, page_type, same_offer,
     detected_key, confirming_key, listing_key, detected_units, confirming_units, listing_units,
     quality, other_reason (first reason but large_move), price_cents, detected_cents,
     reference_cents, reference_key, reference_units, reference_group, condition_group, floor_cents.
+    ``bp`` is the discount in basis points.
     """
     no = lambda test: F.coalesce(test, F.lit(False))
-    price, bp = c("price_cents"), discount_bp(c("price_cents"), c("reference_cents"))
+    price = c("price_cents")
     same = c("detected_key").eqNullSafe(c("confirming_key")) & c("confirming_key").eqNullSafe(c("listing_key"))
     same &= c("detected_units").eqNullSafe(c("confirming_units")) & c("confirming_units").eqNullSafe(c("listing_units"))
-    reason = first_reason(
+    return first_reason(
         [
             ("confirm_too_soon", c("minutes_since_detection") < rules.min_confirm_minutes),
             ("confirm_not_from_product_page", (c("detected_via") == "GRID") & (c("page_type") != "PRODUCT")),
@@ -55,10 +56,30 @@ def confirm(c, rules: Rules = RULES) -> Column:
             ("implausible_discount", bp > rules.implausible_bp),
         ]
     )
-    told = F.when(reason == "quality:suspect", F.concat(F.lit("quality:"), c("other_reason"))).otherwise(reason)
+
+
+def _verdict(reason: Column, bp: Column, other: Column, rules: Rules) -> dict[str, Column]:
     held = reason.isNull() & (bp > rules.held_upper_bp)
-    status = F.when(reason.isNotNull(), "REJECTED").when(held, "HELD_REVIEW").otherwise("ACTIVE")
-    return F.struct(status.alias("status"), told.alias("reject_reason"), F.when(held, "discount_85_to_95").alias("hold_reason"))
+    return {
+        "status": F.when(reason.isNotNull(), "REJECTED").when(held, "HELD_REVIEW").otherwise("ACTIVE"),
+        "reject_reason": F.when(reason == "quality:suspect", F.concat(F.lit("quality:"), other)).otherwise(reason),
+        "hold_reason": F.when(held, "discount_85_to_95"),
+    }
+
+
+def confirm(c, rules: Rules = RULES) -> Column:
+    """Struct (status, reject_reason, hold_reason) of the fields of ``failed_check``."""
+    bp = discount_bp(c("price_cents"), c("reference_cents"))
+    return F.struct(*[column.alias(name) for name, column in _verdict(failed_check(c, bp, rules), bp, c("other_reason"), rules).items()])
+
+
+def confirmed(df: DataFrame, c, rules: Rules = RULES) -> DataFrame:
+    """``df`` with status, reject_reason and hold_reason. Discount and failed check are columns of
+    their own (bp, failed_check), each computed once, so the generated code stays small enough to be
+    compiled."""
+    found = df.withColumn("bp", discount_bp(c("price_cents"), c("reference_cents")))
+    found = found.withColumn("failed_check", failed_check(c, F.col("bp"), rules))
+    return found.withColumns(_verdict(F.col("failed_check"), F.col("bp"), c("other_reason"), rules))
 
 
 def discount_band(bp: Column, rules: Rules = RULES) -> Column:

@@ -84,12 +84,13 @@ def discount_band(spark, sf_dir):
     f"""{CASES}, given AS (
       SELECT *, offer_id % 30 AS minutes, CASE WHEN offer_id % 11 = 0 THEN 'GRID' ELSE 'PAGE' END AS via, CASE WHEN offer_id % 13 = 0 THEN 'LISTING' ELSE 'PRODUCT' END AS page,
         offer_id % 17 <> 0 AS same_offer, nullif(offer_id % 5, 0) AS units, nullif((offer_id + offer_id % 19 // 18) % 5, 0) AS units2,
-        CASE WHEN offer_id % 7 = 0 THEN 'out_of_band' END AS other, CAST(round(price_cents * (1 + (offer_id % 3 - 1) * 0.05)) AS BIGINT) AS was, {BP.format(p="price_cents", r="reference_cents")} AS bp FROM cases
+        CASE WHEN offer_id % 7 = 0 THEN 'out_of_band' END AS other, 'k' || offer_id % 3 AS key1, CASE WHEN offer_id % 23 = 0 THEN 'other' ELSE 'k' || offer_id % 3 END AS key2, CASE offer_id % 37 WHEN 0 THEN 'z' WHEN 1 THEN NULL ELSE 'k' || offer_id % 3 END AS ref_key,
+        CASE WHEN offer_id % 43 = 0 THEN 99 END AS ref_units, CAST(round(price_cents * (1 + (offer_id % 3 - 1) * 0.05)) AS BIGINT) AS was, {BP.format(p="price_cents", r="reference_cents")} AS bp FROM cases
     ), told AS (
       SELECT *, CASE WHEN minutes < 10 THEN 'confirm_too_soon' WHEN via = 'GRID' AND page <> 'PRODUCT' THEN 'confirm_not_from_product_page'
-        WHEN NOT same_offer THEN 'offer_identity_mismatch' WHEN units IS DISTINCT FROM units2 THEN 'variant_mismatch'
+        WHEN NOT same_offer THEN 'offer_identity_mismatch' WHEN key1 IS DISTINCT FROM key2 OR units IS DISTINCT FROM units2 THEN 'variant_mismatch'
         WHEN quality = 'SUSPECT' AND other IS NOT NULL THEN 'quality:' || other WHEN price_cents > was * 1.02::DOUBLE THEN 'price_changed'
-        WHEN bp < 5000 THEN 'below_threshold_on_confirm' WHEN condition LIKE 'USED%' THEN 'reference_scope_mismatch' WHEN price_cents < 150000 THEN 'below_floor'
+        WHEN bp < 5000 THEN 'below_threshold_on_confirm' WHEN coalesce(ref_key <> key2, FALSE) OR coalesce(ref_units <> units2, FALSE) OR condition LIKE 'USED%' THEN 'reference_scope_mismatch' WHEN price_cents < 150000 THEN 'below_floor'
         WHEN bp > 9500 THEN 'implausible_discount' END AS reject_reason FROM given
     ) SELECT offer_id, seq, CASE WHEN reject_reason IS NOT NULL THEN 'REJECTED' WHEN bp > 8500 THEN 'HELD_REVIEW' ELSE 'ACTIVE' END AS status, reject_reason,
     CASE WHEN reject_reason IS NULL AND bp > 8500 THEN 'discount_85_to_95' END AS hold_reason FROM told"""
@@ -97,15 +98,16 @@ def discount_band(spark, sf_dir):
 def confirm_checks(spark, sf_dir):
     o = F.col("offer_id")
     units = F.nullif(o % 5, F.lit(0))
-    none = F.lit(None).cast("string")
+    key = F.concat(F.lit("k"), (o % 3).cast("string"))
+    other_key = F.when(o % 23 == 0, "other").otherwise(key)
     fields = {
         "minutes_since_detection": o % 30,
         "detected_via": F.when(o % 11 == 0, "GRID").otherwise("PAGE"),
         "page_type": F.when(o % 13 == 0, "LISTING").otherwise("PRODUCT"),
         "same_offer": o % 17 != 0,
-        "detected_key": none,
-        "confirming_key": none,
-        "listing_key": none,
+        "detected_key": key,
+        "confirming_key": other_key,
+        "listing_key": other_key,
         "detected_units": units,
         "confirming_units": F.nullif((o + F.expr("(offer_id % 19) div 18")) % 5, F.lit(0)),
         "listing_units": F.nullif((o + F.expr("(offer_id % 19) div 18")) % 5, F.lit(0)),
@@ -114,14 +116,14 @@ def confirm_checks(spark, sf_dir):
         "price_cents": F.col("price_cents"),
         "detected_cents": F.round(F.col("price_cents") * (1 + (o % 3 - 1) * 0.05)).cast("bigint"),
         "reference_cents": F.col("reference_cents"),
-        "reference_key": none,
-        "reference_units": F.lit(None).cast("bigint"),
+        "reference_key": F.when(o % 37 == 0, "z").when(o % 37 != 1, key),
+        "reference_units": F.when(o % 43 == 0, 99),
         "reference_group": F.lit("NEW"),
         "condition_group": F.when(F.col("condition").startswith("USED"), "USED").otherwise("NEW"),
         "floor_cents": F.lit(150000),
     }
-    done = cases(spark, sf_dir).select("offer_id", "seq", rules.confirm(fields.__getitem__).alias("c"))
-    return done.select("offer_id", "seq", "c.status", "c.reject_reason", "c.hold_reason")
+    done = rules.confirmed(cases(spark, sf_dir).select("offer_id", "seq", *[column.alias(f"f_{name}") for name, column in fields.items()]), lambda name: F.col(f"f_{name}"))
+    return done.select("offer_id", "seq", "status", "reject_reason", "hold_reason")
 
 
 @query(
@@ -142,10 +144,11 @@ def implied_discount_priority(spark, sf_dir):
         coalesce(last > 0 AND CASE WHEN unit_count > 0
           THEN abs(price_cents::DOUBLE / last - 1.0::DOUBLE / unit_count) <= 0.05::DOUBLE OR abs(price_cents::DOUBLE / last - unit_count) <= 0.05::DOUBLE
           ELSE list_bool_or(list_transform([3, 4, 5, 6, 10, 12, 20, 25, 50], lambda n: abs(price_cents::DOUBLE / last - 1.0::DOUBLE / n) <= 0.05::DOUBLE OR abs(price_cents::DOUBLE / last - n) <= 0.05::DOUBLE)) END, FALSE) AS unit,
-        offer_id % 29 = 0 AS odd FROM ctx
+        offer_id % 29 = 0 AS odd, offer_id % 31 = 0 AS changed, offer_id % 37 = 0 AS collapsed, offer_id % 41 = 0 AS flat FROM ctx
     ) SELECT offer_id, seq, CASE WHEN bad THEN 'invalid_price_or_currency' ELSE concat_ws(',', CASE WHEN band THEN 'out_of_band' END, CASE WHEN move THEN 'large_move' END,
-      CASE WHEN claim THEN 'claimed_not_above_price' END, CASE WHEN unit THEN 'unit_mismatch' END, CASE WHEN odd THEN 'condition_unknown' END) END AS reasons,
-      CASE WHEN bad THEN 'REJECTED' WHEN band OR move OR claim OR unit OR odd THEN 'SUSPECT' ELSE 'OK' END AS verdict FROM flags"""
+      CASE WHEN claim THEN 'claimed_not_above_price' END, CASE WHEN unit THEN 'unit_mismatch' END,
+      CASE WHEN changed THEN 'variant_identity_changed' END, CASE WHEN collapsed THEN 'variant_collapse' END, CASE WHEN flat THEN 'price_flattening' END, CASE WHEN odd THEN 'condition_unknown' END) END AS reasons,
+      CASE WHEN bad THEN 'REJECTED' WHEN band OR move OR claim OR unit OR changed OR collapsed OR flat OR odd THEN 'SUSPECT' ELSE 'OK' END AS verdict FROM flags"""
 )
 def guard_flags(spark, sf_dir):
     odd = F.col("offer_id") % 29 == 0
@@ -154,6 +157,8 @@ def guard_flags(spark, sf_dir):
         .withColumns({
             "band_floor": F.lit(20000), "band_ceiling": F.lit(5000000), "claimed_cents": F.lit(3000000), "listing_unit_count": F.lit(None).cast("bigint"),
             "wording": F.when(odd, "mystery").otherwise("new"), "condition": F.when(~odd, "NEW"), "used_page": F.lit(False),
+            "variant_key": F.when(F.col("offer_id") % 31 == 0, "red").otherwise("blue"), "listing_variant_key": F.when(F.col("offer_id") % 5 != 1, "blue").when(F.col("offer_id") % 31 == 0, "blue"),
+            "previous_variants": F.lit(20), "variants": F.when(F.col("offer_id") % 37 == 0, 5).otherwise(20), "previous_prices": F.lit(5), "prices": F.when(F.col("offer_id") % 41 == 0, 1).otherwise(5),
         })
         .drop("quality")
     )
@@ -188,7 +193,7 @@ def constraint_report(spark, sf_dir):
 
 
 CAPTURES = """WITH c AS (
-  SELECT page_id, url AS product_url, 'T' || page_id AS title, CASE page_id % 4 WHEN 0 THEN 'used' WHEN 1 THEN NULL WHEN 2 THEN 'mint' ELSE 'open_box' END AS condition, page_id * 100 AS cents,
+  SELECT page_id, url AS product_url, CASE page_id % 3 WHEN 0 THEN 'Size ' || page_id % 7 WHEN 1 THEN '' END AS variant, 'T' || page_id AS title, CASE page_id % 4 WHEN 0 THEN 'used' WHEN 1 THEN NULL WHEN 2 THEN 'mint' ELSE 'open_box' END AS condition, page_id * 100 AS cents,
     CASE WHEN page_id % 3 = 0 THEN page_id * 90 ELSE page_id * 150 END AS was, TIMESTAMP '2024-05-01 00:00:00' - INTERVAL 1 HOUR * (page_id % 200) AS taken, TIMESTAMP '2024-05-01 00:00:00' AS reference_time FROM pages
 ), h AS (SELECT *, regexp_extract(product_url, '^[a-z]+://([^/?#]+)', 1) AS host,
    CASE WHEN condition IS NULL THEN 'NEW' WHEN upper(condition) = 'USED' THEN 'USED_UNGRADED' WHEN upper(condition) = 'OPEN_BOX' THEN 'NEW_OPEN_BOX' END AS cond FROM c)"""
@@ -206,6 +211,7 @@ def captures(spark, sf_dir):
         F.when(i % 3 == 0, i * 90).otherwise(i * 150).alias("was_cents"),
         (now - F.make_dt_interval(hours=(i % 200).cast("int"))).alias("captured_at"),
         F.lit(None).cast("string").alias("idempotency_key"),
+        F.when(i % 3 == 0, F.concat(F.lit(" Size "), (i % 7).cast("string"))).when(i % 3 == 1, "").alias("variant_label"),
     )
     return guards.validate_captures(rows, now)
 
@@ -220,7 +226,7 @@ def capture_validation(spark, sf_dir):
 
 
 @query(
-    f"""{CAPTURES} SELECT product_url, 'auto_' || substr(sha256(host || '|' || product_url || '|' || cents || '|' || strftime(taken, '%Y-%m-%dT%H:%M')), 1, 40) AS idempotency_key FROM h"""
+    f"""{CAPTURES} SELECT product_url, 'auto_' || substr(sha256(host || '|' || product_url || '|' || coalesce(nullif(variant, ''), '') || '|' || cents || '|' || strftime(taken, '%Y-%m-%dT%H:%M')), 1, 40) AS idempotency_key FROM h"""
 )
 def capture_idempotency_key(spark, sf_dir):
     return captures(spark, sf_dir).select("product_url", "idempotency_key")

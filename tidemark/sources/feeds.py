@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.gtin import normalize_all
 from ..functions.money import dollars_to_cents
 from ..functions.text import pack_count
+from ..functions.web import safe_url
 
 COLLECTION = "struct<products:array<struct<id:bigint,title:string,handle:string,vendor:string,variants:array<struct<id:bigint,title:string,sku:string,available:boolean,price:string,compare_at_price:string>>>>>"
 PRODUCT = (
@@ -92,18 +93,28 @@ def search_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def catalog_rows(pages: DataFrame, offer_facet: str = "offerprice", list_facet: str = "listprice") -> DataFrame:
-    """Rows of catalogue search (url, body); prices that are hidden are skipped, a product's own
-    facets are those whose identifier ends with its part number and the price's name."""
+#: What the shop calls its own price facets, and where its pages are.
+OFFER_FACET, LIST_FACET = "dickssportinggoodsofferprice", "dickssportinggoodslistprice"
+CATALOG_ORIGIN, CATALOG_HOSTS = "https://www.dickssportinggoods.com", ("www.dickssportinggoods.com", "dickssportinggoods.com")
+
+
+def catalog_rows(pages: DataFrame, offer_facet: str = OFFER_FACET, list_facet: str = LIST_FACET) -> DataFrame:
+    """Rows of catalogue search (url, body): prices from the shop's own facets (of equal
+    names the last), codes of the product
+    family where there is one. Rows with a hidden price, without one or with a link to another host
+    are left out."""
     rows = pages.select("url", F.explode(F.from_json("body", CATALOG)["productVOs"]).alias("p"))
     shown = F.coalesce(F.trim("p.dsgPriceIndicators.priceIndicator"), F.lit("")).isin("", "0", "false")
 
     def facet(name: str) -> Column:
-        own = F.filter("p.floatFacets", lambda f: f["identifier"].endswith(name))
-        return dollars_to_cents(F.get(own, F.lit(0))["value"])
+        own = F.filter("p.floatFacets", lambda f: f["identifier"] == name)
+        return dollars_to_cents(F.try_element_at(own, F.lit(-1))["value"])
 
     offer, listed = facet(offer_facet), facet(list_facet)
-    return rows.where(shown).select(
-        "url", F.col("p.partnumber").alias("product_code"), F.col("p.name").alias("title"), F.col("p.assetSeoUrl").alias("path"),
-        offer.alias("price_cents"), F.when(listed > offer, listed).alias("claimed_cents"),
+    link = F.when(F.col("p.assetSeoUrl").startswith("/"), F.concat(F.lit(CATALOG_ORIGIN), "p.assetSeoUrl")).otherwise(F.col("p.assetSeoUrl"))
+    found = rows.where(shown).select(
+        "url", F.coalesce(F.nullif(F.col("p.parentPartnumber"), F.lit("")), "p.partnumber").alias("product_code"), F.col("p.name").alias("title"),
+        safe_url(link, F.lit(None).cast("string"), F.array(*[F.lit(h) for h in CATALOG_HOSTS])).alias("product_url"),
+        offer.alias("price_cents"), F.when(listed > offer, listed).alias("claimed_cents"), F.when(listed > offer, "LIST").alias("claimed_kind"),
     )
+    return found.where("price_cents is not null and product_url is not null")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -65,10 +67,10 @@ def meta_page(pages: DataFrame) -> DataFrame:
     return pages.select(
         "url",
         group(body, r'name="product_id" value="(\d+)"').alias("product_code"),
-        F.trim(group(body, "data-product-sku>([^<]*)<")).alias("sku"),
-        normalize_all(F.array(group(body, "data-product-upc>([^<]*)<"))).alias("gtin14"),
-        F.trim(group(body, r'(?s)<h1[^>]*class="productView-title"[^>]*>(.*?)</h1>')).alias("title"),
-        F.trim(group(body, r'(?s)class="productView-brand"[^>]*>\s*<a[^>]*>\s*<span>(.*?)</span>')).alias("brand"),
+        clean(group(body, "data-product-sku>([^<]*)<")).alias("sku"),
+        normalize_all(F.array(clean(group(body, "data-product-upc>([^<]*)<")))).alias("gtin14"),
+        clean(group(body, r'(?s)<h1[^>]*class="productView-title"[^>]*>(.*?)</h1>')).alias("title"),
+        clean(group(body, r'(?s)class="productView-brand[^"]*"[^>]*>\s*<a[^>]*>\s*<span>(.*?)</span>')).alias("brand"),
         price.alias("price_cents"),
         F.when(claimed > price, claimed).alias("claimed_cents"),
         F.when((claimed > price) & listed.isNotNull(), "MSRP").when(claimed > price, "WAS").alias("claimed_kind"),
@@ -76,6 +78,11 @@ def meta_page(pages: DataFrame) -> DataFrame:
     )
 
 
+def clean(text: Column) -> Column:
+    """White space of any kind collapsed and cut from the ends; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+
+
 def stock_cell(text: Column) -> Column:
     """Struct (quantity, is_floor, availability) of a stock cell: a number, n+, M/D or n Days."""
     t = F.trim(text)
@@ -88,7 +95,7 @@ def stock_cell(text: Column) -> Column:
 def title_of(body: Column) -> Column:
     """The page's title with white space collapsed; null if blank or missing."""
     raw = group(body, r"(?is)<title[^>]*>(.*?)</title>")
-    return F.nullif(F.trim(F.regexp_replace(raw, r"\s+", " ")), F.lit(""))
+    return clean(raw)
 
 
 def links_of(body: Column) -> Column:
@@ -96,154 +103,264 @@ def links_of(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)))
 
 
-_CELL = "\0cell"
+@dataclass(frozen=True)
+class Mark:
+    """Where a field stands inside a cell: tag, and a class or ``attribute=value``; its text, without
+    the elements of the classes in ``skip``, or one of its attributes. The first one counts."""
 
+    tag: str
+    at: str
+    attribute: str | None = None
+    skip: frozenset[str] = frozenset()
 
-class _Cells(HTMLParser):
-    """Collects the repeated cells of a grid: for each, the text of wanted elements and attributes.
+    def fits(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        key, equals, value = self.at.partition("=")
+        if tag != self.tag:
+            return False
+        return attrs.get(key) == value if equals else self.at in (attrs.get("class") or "").split()
 
-    ``wanted`` maps a field to (tag, class part, attribute or None for text). Rows of tables inside a
-    cell give ``spec_`` fields: the first column names the second.
-    """
+
+@dataclass(frozen=True)
+class Family:
+    """A kind of page: its repeated cell, the fields in it, and the classes of names and values of a
+    list of properties (given as ``spec_`` fields)."""
+
+    cell: Mark
+    fields: dict[str, Mark]
+    named: tuple[str, str] | None = None
+
+
+class _Cells(HTMLParser):
+    """Collects the cells of a page as maps: fields, the cell's data attributes, properties."""
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-    def __init__(self, cell: tuple[str, str], wanted: dict[str, tuple[str, str, str | None]]):
+    def __init__(self, family: Family):
         super().__init__(convert_charrefs=True)
-        self.cell, self.wanted = cell, wanted
+        self.family = family
         self.rows: list[dict[str, str]] = []
         self.depth = self.inside = 0
+        #: Open fields (depth, name) and elements that they skip.
         self.open: list[tuple[int, str]] = []
-        self.pair: list[str] = []
-
-    @staticmethod
-    def _is(tag: str, attrs: dict, want_tag: str, want_class: str) -> bool:
-        return tag == want_tag and (not want_class or want_class in (attrs.get("class") or "").split())
+        self.muted: list[tuple[int, str]] = []
+        self.text: dict[str, list[str]] = {}
+        self.name = ""
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag not in self.VOID:
+        void = tag in self.VOID
+        if not void:
             self.depth += 1
-        if self._is(tag, a, *self.cell):
+        if self.family.cell.fits(tag, a):
             self.rows.append({f"cell_{k}": v for k, v in a.items() if k.startswith("data-") and v})
-            self.inside = self.depth
-        if self.inside and tag == "tr":
-            self.pair = []
-        if self.inside and tag in ("td", "th"):
-            self.pair.append("")
-            self.open.append((self.depth, _CELL))
-        if self.inside:
-            for name, (want_tag, want_class, attribute) in self.wanted.items():
-                if self._is(tag, a, want_tag, want_class):
-                    if attribute is None:
-                        self.open.append((self.depth, name))
-                    elif a.get(attribute):
-                        self.rows[-1].setdefault(name, a[attribute])
+            self.inside, self.open, self.muted, self.text = self.depth, [], [], {}
+        if not self.inside:
+            return
+        classes = set((a.get("class") or "").split())
+        self.muted += [(self.depth, name) for _, name in self.open if name in self.family.fields and classes & self.family.fields[name].skip]
+        for name, mark in self.family.fields.items():
+            if mark.fits(tag, a):
+                if mark.attribute is not None:
+                    if a.get(mark.attribute):
+                        self.rows[-1].setdefault(name, a[mark.attribute])
+                elif not void and name not in self.text:
+                    self.open.append((self.depth, name))
+                    self.text[name] = []
+        for name, css in zip(("\0name", "\0value"), self.family.named or ()):
+            if css in classes and not void:
+                self.open.append((self.depth, name))
+                self.text[name] = []
 
     def handle_endtag(self, tag):
         if tag in self.VOID:
             return
+        for depth, name in self.open:
+            if depth >= self.depth:
+                self._close(name)
         self.open = [o for o in self.open if o[0] < self.depth]
-        if tag == "tr" and self.inside and len(self.pair) > 1:
-            self.rows[-1].setdefault(f"spec_{self.pair[0].rstrip(':').strip().lower()}", self.pair[1])
-            self.pair = []
+        self.muted = [m for m in self.muted if m[0] < self.depth]
         if self.inside == self.depth:
             self.inside = 0
         self.depth -= 1
 
+    def _close(self, name: str) -> None:
+        found = re.sub(r"\s+", " ", "".join(self.text[name])).strip()
+        if name == "\0name":
+            self.name = found.rstrip(":").strip()
+        elif name == "\0value":
+            self.rows[-1].setdefault(f"spec_{self.name}", found)
+        elif found:
+            self.rows[-1].setdefault(name, found)
+
     def handle_data(self, data):
+        silent = {name for _, name in self.muted}
         for _, name in self.open:
-            if name == _CELL:
-                if self.pair:
-                    self.pair[-1] = f"{self.pair[-1]} {data.strip()}".strip()
-                continue
-            self.rows[-1][name] = (self.rows[-1].get(name, "") + " " + data.strip()).strip()
+            if name not in silent:
+                self.text[name].append(data)
 
 
-#: How each grid family marks its cells and fields: (tag, class, attribute or text).
+_skip = frozenset
+#: How the shops' pages mark their cells and fields.
 GRIDS = {
-    "catalogue_cells": (("div", "cattable-wrap-cell"), {"title": ("a", "cattable-wrap-cell-info-name", None), "href": ("a", "", "href"), "price": ("span", "price", None), "was": ("span", "is-crossout", None)}),
-    "product_items": (("div", "product-item"), {"title": ("a", "thumb", "title"), "href": ("a", "", "href"), "price": ("span", "price", None), "was": ("span", "strikethrough", None)}),
-    "badge_tiles": (("div", "product-tile"), {"title": ("div", "product-name", None), "href": ("a", "", "href"), "badge": ("span", "image-banner", None), "price": ("span", "regular-price", None), "was": ("span", "was-price", None)}),
-    "ordering_rows": (("tr", "js-ordering-subproduct"), {"price": ("span", "price", None), "was": ("span", "is-crossout", None), "stock": ("td", "js-ordering-stock", None), "style": ("ul", "style-list", None), "gtin": ("meta", "gtin13", "content")}),
-    "spec_cards": (("div", "variant-container"), {"title": ("h3", "", None), "price": ("span", "price", None), "was": ("span", "was", None), "sku": ("span", "sku", None)}),
+    "catalogue_cells": Family(
+        Mark("div", "cattable-wrap-cell"),
+        {
+            "title": Mark("h3", "cattable-wrap-cell-info-name"),
+            "href": Mark("a", "cattable-wrap-cell-info", "href"),
+            "price": Mark("div", "cattable-wrap-cell-info-price", skip=_skip({"cattable-wrap-cell-info-price-msrp"})),
+            "was": Mark("span", "cattable-wrap-cell-info-price-msrp"),
+        },
+    ),
+    "product_items": Family(
+        Mark("div", "product-item"),
+        {
+            "title": Mark("a", "name"),
+            "href": Mark("a", "name", "href"),
+            "price": Mark("div", "displayed-price", skip=_skip({"price-before", "sr-only"})),
+            "was": Mark("span", "price-strikethrough"),
+        },
+    ),
+    "badge_tiles": Family(
+        Mark("div", "product-tile"),
+        {
+            "code": Mark("a", "anchor-container", "pid"),
+            "title": Mark("div", "product-name"),
+            "href": Mark("a", "anchor-container", "href"),
+            "badge": Mark("div", "image-banner"),
+            "price": Mark("span", "regular-price", skip=_skip({"slash"})),
+            "was": Mark("span", "strike"),
+        },
+    ),
+    "product_cards": Family(
+        Mark("div", "product-card-wrapper"),
+        {
+            "code": Mark("div", "yotpo", "data-product-id"),
+            "title": Mark("h2", "product-title"),
+            "href": Mark("a", "product-card", "href"),
+            "price": Mark("span", "current-price"),
+            "from": Mark("span", "fromtag"),
+        },
+    ),
+    "ordering_rows": Family(
+        Mark("tr", "js-ordering-subproduct"),
+        {
+            "label": Mark("strong", "js-ordering-name"),
+            "price": Mark("span", "js-ordering-price"),
+            "was": Mark("span", "is-crossout"),
+            "stock": Mark("span", "js-ordering-available"),
+            "gtin": Mark("meta", "itemprop=gtin13", "content"),
+        },
+        ("js-ordering-style-name", "js-ordering-style-item-name"),
+    ),
+    "spec_cards": Family(
+        Mark("div", "variant-container"),
+        {"sku": Mark("div", "rod-sku"), "price": Mark("span", "regular-price-tag"), "stock": Mark("span", "selected", "data-inventory")},
+        ("rod-spec-title-mobile", "rod-spec-value-mobile"),
+    ),
 }
 
 
-def grid_cells(pages: DataFrame, family: str) -> DataFrame:
-    """(url, ord, cell map) for every grid cell of pages (url, body)."""
-    cell, wanted = GRIDS[family]
+def grid_cells(pages: DataFrame, family: str, *kept: str) -> DataFrame:
+    """(url, ord, cell map) for every grid cell of pages (url, body), with string columns ``kept`` of the page."""
+    wanted, names = GRIDS[family], ["url", *kept]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for url, body in zip(pdf["url"], pdf["body"]):
-                parser = _Cells(cell, wanted)
+            for body, *page in zip(pdf["body"], *(pdf[name] for name in names)):
+                parser = _Cells(wanted)
                 parser.feed(body or "")
-                rows += [(url, k, r) for k, r in enumerate(parser.rows)]
-            yield pd.DataFrame(rows, columns=["url", "ord", "cell"])
+                parser.close()
+                rows += [(*page, k, r) for k, r in enumerate(parser.rows)]
+            yield pd.DataFrame(rows, columns=[*names, "ord", "cell"])
+
+    schema = ", ".join(f"`{name}` string" for name in names)
+    return pages.select("body", *names).mapInPandas(run, f"{schema}, ord int, cell map<string,string>")
+
+
+def _field(name: str) -> Column:
+    return F.try_element_at("cell", F.lit(name))
+
 
-    return pages.select("url", "body").mapInPandas(run, "url string, ord int, cell map<string,string>")
+def _least_cents(text: Column) -> Column:
+    """Cents of a price, or of the least of a range ``$a - $b``."""
+    return parse_price_cents(F.trim(F.regexp_replace(F.get(F.split(text, " - "), F.lit(0)), r"\$\s+", "\\$")))
+
+
+def absolute(page: Column, href: Column) -> Column:
+    """A link of a page: one from the root gets the page's scheme and host, others stay."""
+    origin = F.regexp_extract(page, r"^(https?://[^/?#]+)", 1)
+    return F.when(href.startswith("/") & ~href.startswith("//"), F.concat(origin, href)).otherwise(href)
 
 
 def grid_rows(pages: DataFrame, family: str) -> DataFrame:
     """Discovered rows of a grid: code, title, link, price (the least of a range), claim and its kind.
 
     A claim marked with a trailing star is a recommended price. Badge grids keep only cells on
-    clearance or sale whose former price is above the present one.
+    clearance or on sale. A ``From`` before a price makes it a range.
     """
-    c = lambda name: F.try_element_at("cell", F.lit(name))
-    price, was = parse_price_cents(F.get(F.split(c("price"), " - "), F.lit(0))), parse_price_cents(F.get(F.split(c("was"), " - "), F.lit(0)))
+    price, was = _least_cents(_field("price")), _least_cents(F.regexp_replace(_field("was"), r"\s*\*$", ""))
     rows = grid_cells(pages, family).select(
         "url", "ord",
-        F.coalesce(c("cell_data-code"), c("cell_data-product-code"), c("cell_data-product-id"), c("sku")).alias("product_code"),
-        c("title").alias("title"),
-        F.regexp_replace(F.trim(c("href")), "(?i)%0D$", "").alias("product_url"),
+        F.coalesce(_field("code"), _field("cell_data-code"), _field("cell_data-product-code")).alias("product_code"),
+        _field("title").alias("title"),
+        absolute(F.col("url"), F.regexp_replace(F.trim(_field("href")), "(?i)%0D$", "")).alias("product_url"),
         price.alias("price_cents"),
         F.when(was > price, was).alias("claimed_cents"),
-        F.when(was > price, F.when(F.rtrim(c("was")).endswith("*"), "MSRP").otherwise("WAS")).alias("claimed_kind"),
-        F.coalesce(c("price").contains(" - "), F.lit(False)).alias("price_is_range"),
-        F.lower(F.trim(c("badge"))).alias("badge"),
+        F.when(was > price, F.when(F.rtrim(_field("was")).endswith("*"), "MSRP").otherwise("WAS")).alias("claimed_kind"),
+        (F.coalesce(_field("price").contains(" - "), F.lit(False)) | _field("from").isNotNull()).alias("price_is_range"),
+        F.lower(F.trim(_field("badge"))).alias("badge"),
     )
     if family == "badge_tiles":
-        rows = rows.where(F.col("badge").isin("clearance", "on sale") & F.col("claimed_cents").isNotNull())
+        rows = rows.where(F.col("badge").isin("clearance", "on sale"))
     return rows.drop("badge")
 
 
 def spec_offers(pages: DataFrame, family: str = "spec_cards") -> DataFrame:
-    """Offers of product cards with a specification table: the table as an attribute map, stock from
-    the card's inventory attribute."""
-    c = lambda name: F.try_element_at("cell", F.lit(name))
+    """Offers of product pages with a cell for each variant: properties as an attribute map, stock
+    from the cell, title and brand from the page's heading."""
     specs = F.map_filter("cell", lambda k, v: k.startswith("spec_"))
-    stock = stock_cell(F.coalesce(c("cell_data-inventory"), c("stock")))
-    price, was = parse_price_cents(c("price")), parse_price_cents(c("was"))
-    return grid_cells(pages, family).select(
-        "url", "ord",
-        F.coalesce(c("sku"), c("cell_data-product-id"), c("cell_data-code")).alias("sku"),
+    stock = stock_cell(_field("stock"))
+    price, was = _least_cents(_field("price")), _least_cents(_field("was"))
+    body = F.col("body")
+    headed = pages.select(
+        "url", "body",
+        clean(F.regexp_replace(group(body, r"(?is)<h1[^>]*>(.*?)</h1>"), "<[^>]+>", " ")).alias("title"),
+        clean(F.coalesce(group(body, r'(?is)class="productView-brand[^"]*"[^>]*>\s*<a[^>]*>\s*<span>(.*?)</span>'), group(body, r'itemprop="brand" content="([^"]*)"'))).alias("brand"),
+        group(body, r'data-gtm_detail_id="([^"]*)"').alias("code"),
+    )
+    cells = grid_cells(headed, family, "title", "brand", "code")
+    return cells.select(
+        "url", "ord", "title", "brand",
+        F.coalesce("code", _field("cell_data-product-id"), _field("cell_data-code")).alias("product_code"),
+        F.coalesce(F.regexp_replace(_field("sku"), "^#", ""), _field("cell_data-code")).alias("sku"),
+        F.coalesce(_field("label"), _field("spec_Model")).alias("variant_label"),
         price.alias("price_cents"), F.when(was > price, was).alias("claimed_cents"),
-        stock["quantity"].alias("quantity"), stock["availability"].alias("availability"),
+        stock["quantity"].alias("quantity"), stock["is_floor"].alias("quantity_is_floor"), stock["availability"].alias("availability"),
         F.transform_keys(specs, lambda k, v: F.substring(k, 6, 1000)).alias("attributes"),
-        normalize_all(F.array(c("gtin"))).alias("gtin14"),
+        normalize_all(F.array(_field("gtin"))).alias("gtin14"),
     )
 
 
-EMBEDDED = "struct<id:bigint,title:string,vendor:string,options:array<string>,variants:array<struct<id:bigint,sku:string,title:string,options:array<string>,price:bigint,compare_at_price:bigint,available:boolean>>>"
-BARCODES = "array<struct<sku:string,additionalProperty:array<struct<identifier:string,value:string>>,gtin13:string,gtin12:string>>"
+EMBEDDED = "struct<id:bigint,title:string,vendor:string,options:array<string>,variants:array<struct<id:bigint,sku:string,title:string,options:array<string>,price:bigint,available:boolean,barcode:string>>>"
+PROPERTIES = "array<struct<identifier:string,valueReference:struct<value:string>>>"
 
 
 def embedded_product_offers(pages: DataFrame) -> DataFrame:
-    """Offers of pages that carry their product as JSON in a script named ProductJson; barcodes come
-    from the page's JSON-LD by SKU."""
+    """Offers of pages that carry their product as JSON in a script named ProductJson. The barcode is
+    the variant's, or that of the page's JSON-LD property with the variant's sku. Such pages make no
+    claims."""
     script = group(F.col("body"), r'(?s)<script[^>]*id="ProductJson-[^"]*"[^>]*>(.*?)</script>')
     scripts = F.regexp_extract_all("body", F.lit(r'(?is)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'), F.lit(1))
-    codes = F.flatten(F.transform(scripts, lambda s: F.coalesce(F.from_json(F.coalesce(F.get_json_object(s, "$.hasVariant"), F.concat(F.lit("["), s, F.lit("]"))), BARCODES), F.array().cast(BARCODES))))
-    pairs = F.filter(F.transform(codes, lambda x: F.struct(x["sku"].alias("k"), F.coalesce(x["gtin13"], x["gtin12"], F.get(x["additionalProperty"], F.lit(0))["value"]).alias("v"))), lambda e: e["k"].isNotNull() & e["v"].isNotNull())
-    rows = pages.select("url", F.from_json(script, EMBEDDED).alias("p"), pairs.alias("codes")).where("p.variants is not null").select("url", "p", "codes", F.explode("p.variants").alias("v"))
-    code = F.get(F.filter("codes", lambda e: e["k"] == F.col("v.sku")), F.lit(0))["v"]
+    listed = F.flatten(F.transform(scripts, lambda s: F.coalesce(F.from_json(F.get_json_object(s, "$.additionalProperty"), PROPERTIES), F.array().cast(PROPERTIES))))
+    rows = pages.select("url", F.from_json(script, EMBEDDED).alias("p"), listed.alias("codes")).where("p.variants is not null").select("url", "p", "codes", F.explode("p.variants").alias("v"))
+    code = F.get(F.filter("codes", lambda e: e["identifier"] == F.col("v.sku")), F.lit(0))["valueReference"]["value"]
+    pairs = F.filter(F.arrays_zip(F.col("p.options").alias("n"), F.col("v.options").alias("x")), lambda e: e["n"].isNotNull() & e["x"].isNotNull())
     return rows.select(
-        "url", F.col("v.sku").alias("sku"), F.concat_ws(" - ", "p.title", "v.title").alias("title"), F.col("p.vendor").alias("brand"),
-        F.when(F.col("v.price") > 0, F.col("v.price")).alias("price_cents"), F.when(F.col("v.compare_at_price") > F.col("v.price"), F.col("v.compare_at_price")).alias("claimed_cents"),
-        F.when(F.col("v.available"), "IN_STOCK").otherwise("OUT_OF_STOCK").alias("availability"), normalize_all(F.array(code)).alias("gtin14"),
+        "url", F.col("p.id").cast("string").alias("product_code"), F.coalesce(F.nullif(F.col("v.sku"), F.lit("")), F.col("v.id").cast("string")).alias("sku"), F.concat_ws(" - ", "p.title", "v.title").alias("title"), F.col("p.vendor").alias("brand"),
+        F.when(F.col("v.price") > 0, F.col("v.price")).alias("price_cents"), F.lit(None).cast("bigint").alias("claimed_cents"),
+        F.when(F.col("v.available"), "IN_STOCK").otherwise("OUT_OF_STOCK").alias("availability"),
+        F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["n"], e["x"]))).alias("attributes"), normalize_all(F.array(F.coalesce("v.barcode", code))).alias("gtin14"),
     )
 
 

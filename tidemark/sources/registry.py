@@ -18,7 +18,7 @@ PARSERS: dict[str, dict[str, Parser]] = {slug: {"LISTING": feeds.collection_rows
 PARSERS |= {
     "tackle_warehouse": {"LISTING": partial(markup.grid_rows, family="catalogue_cells"), "PRODUCT": partial(markup.spec_offers, family="ordering_rows")},
     "academy": {"LISTING": markup.json_ld_list_rows, "PRODUCT": markup.json_ld_offers},
-    "jandh": {"LISTING": partial(markup.grid_rows, family="catalogue_cells"), "PRODUCT": markup.embedded_product_offers},
+    "jandh": {"LISTING": partial(markup.grid_rows, family="product_cards"), "PRODUCT": markup.embedded_product_offers},
     "fishusa": {"PRODUCT": markup.spec_offers},
     "tackledirect": {"PRODUCT": markup.meta_page},
     "alltackle": {"PRODUCT": markup.meta_page},
@@ -44,9 +44,9 @@ class GridCells:
     """``grid_cells(body, family)``: a row for each cell of a grid page."""
 
     def eval(self, body: str, family: str) -> Iterator[tuple[int, dict[str, str]]]:
-        cell, wanted = markup.GRIDS[family]
-        parser = markup._Cells(cell, wanted)
+        parser = markup._Cells(markup.GRIDS[family])
         parser.feed(body or "")
+        parser.close()
         yield from enumerate(parser.rows)
 
 
