@@ -175,17 +175,18 @@ def calibrate(model: Model, texts: list[list[str]], labels: list[int], odds: flo
     return Model(model.rows, model.bias, max(float(slope), 0.05), float(shift))
 
 
-def fit(labelled: DataFrame, docs_per_class: dict[int, int] = DOCS_PER_CLASS) -> Model | None:
+def fit(labelled: DataFrame, odds: float | None = None, docs_per_class: dict[int, int] = DOCS_PER_CLASS) -> Model | None:
     """Trains on rows (doc_id, text, toxic). At most ``docs_per_class`` rows of each class, the ones
     with the smallest hash, come to the driver with their whole texts; every fifth of them
-    calibrates. None without both classes."""
+    calibrates. ``odds`` is the ratio of class 1 to class 0 where the rows are drawn from, their own
+    if not given. None without both classes."""
     known = labelled.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
     counts = dict(known.groupBy("toxic").count().collect())
     if len(counts) < 2:
         return None
     found = bounded_sample(known, "toxic", counts, docs_per_class).collect()
     rows = sorted((r.toxic, crc32(str(r.doc_id).encode()), r.text) for r in found)
-    return fit_texts([(t, y) for y, _, t in rows], counts[1] / counts[0])
+    return fit_texts([(t, y) for y, _, t in rows], odds or counts[1] / counts[0])
 
 
 def fit_texts(rows: list[tuple[str, int]], odds: float) -> Model:
