@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, hot_join
 
+LINKS_PER_TASK = 200_000
+
 
 def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """The links (hi, lo), at most ``total``, with the least lo of their hi as m, and the table of these (hi, m)."""
@@ -51,6 +53,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     total, done = _state(now)
     while not done:
-        now = cut(_hang(now, total))
+        # Read back in tasks of a fair size: links may be few and spread over many partitions.
+        now = cut(_hang(now.coalesce(1 + total // LINKS_PER_TASK), total))
         total, done = _state(now)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
