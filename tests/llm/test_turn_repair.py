@@ -177,7 +177,6 @@ def test_repaired_turns_follow_the_rule(spark):
     for conv in ("a", "b", None):
         source = [(r, t) for c, _, r, t in rows if c == conv]
         assert "\n".join(f"{r}:{t}" for _, r, t in by.get(conv, [])) == every_way(source)[2]
-    assert by["a"][0][0] == "I"
 
 
 def test_empty_table(spark):
