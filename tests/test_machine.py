@@ -1,5 +1,6 @@
 """Confirmation checks, the deal machine in batch and as a stream, and pacing folds."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.config import RULES
 from tidemark.operators import pacing, rules
 from tidemark.operators.deal_machine import INPUT, basis_points, deal_events
-from tidemark.streaming.deals import deal_event_stream, first_snapshots
+from tidemark.streaming.deals import STATE_STORE, deal_event_stream, first_snapshots
 
 START = datetime(2024, 5, 1, 12)
 NAMES = [c.strip().split(" ")[0] for c in INPUT.split(",")]
@@ -20,13 +21,13 @@ def row(k, minutes, price, **other):
 
 
 def fold(spark, rows, **options):
-    got = deal_events(spark.createDataFrame(rows, INPUT), **options).orderBy("offer_id", "seq", "event").collect()
+    got = deal_events(spark.createDataFrame(rows, INPUT), **options).where("event <> 'confirm_due'").orderBy("offer_id", "observed_at", "seq", "event").collect()
     return [(r.event, r.status, r.reason) for r in got]
 
 
 def test_two_sweeps_confirm_and_a_third_refreshes(spark):
     rows = [row(k, 15 * k, 6000, verified_cents=None, claimed_cents=13000, on_clearance=True) for k in range(3)]
-    got = deal_events(spark.createDataFrame(rows, INPUT)).orderBy("seq").collect()
+    got = deal_events(spark.createDataFrame(rows, INPUT)).where("event <> 'confirm_due'").orderBy("seq").collect()
     assert [(r.event, r.status, r.rule, r.discount_bp) for r in got] == [
         ("detected", "CONFIRMING", "DEEP_DISCOUNT_CLAIMED", 5385),
         ("confirmed", "ACTIVE", "DEEP_DISCOUNT_CLAIMED", 5385),
@@ -37,7 +38,16 @@ def test_two_sweeps_confirm_and_a_third_refreshes(spark):
 @pytest.mark.parametrize(
     ("rows", "expected"),
     [
-        ([row(0, 0, 6497), row(1, 5, 6497), row(2, 15, 6497)], [("detected", "CONFIRMING", None), ("confirmed", "ACTIVE", None)]),
+        ([row(0, 0, 6497), row(1, 5, 6497), row(2, 15, 6497)], [("detected", "CONFIRMING", None), ("waiting", "CONFIRMING", "confirm_too_soon"), ("confirmed", "ACTIVE", None)]),
+        ([row(0, 0, 6000, detected_via="DISCOVERY_GRID"), row(1, 15, 6000, page_type="CLEARANCE_LISTING")], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "confirm_not_from_product_page")]),
+        ([row(0, 0, 6000, identity="a|NEW"), row(1, 15, 6000, identity="b|NEW")], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "offer_identity_mismatch")]),
+        ([row(0, 0, 6000, variant_key="k"), row(1, 15, 6000, variant_key="k", listing_key="l")], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "variant_mismatch")]),
+        ([row(0, 0, 6000, unit_count=2, listing_units=2), row(1, 15, 6000, unit_count=2)], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "variant_mismatch")]),
+        ([row(0, 0, 6000), row(1, 15, 6000, quality="SUSPECT", other_reason="out_of_band")], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "quality:out_of_band")]),
+        ([row(0, 0, 6000), row(1, 15, 6000, verified_cents=11000)], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "below_threshold_on_confirm")]),
+        ([row(k, 15 * k, 6000, variant_key="k", listing_key="k", reference_key="z") for k in range(2)], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "reference_scope_mismatch")]),
+        ([row(k, 15 * k, 6000, unit_count=2, listing_units=2, reference_units=3) for k in range(2)], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "reference_scope_mismatch")]),
+        ([row(k, 15 * k, 1400) for k in range(2)], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "below_floor")]),
         ([row(0, 0, 6000), row(1, 15, 6500)], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "price_changed")]),
         ([row(0, 0, 1600), row(1, 15, 1600)], [("detected", "CONFIRMING", None), ("confirmed", "HELD_REVIEW", "discount_85_to_95")]),
         ([row(0, 0, 1950), row(1, 15, 1950)], [("detected", "CONFIRMING", None), ("confirmed", "ACTIVE", None)]),
@@ -47,7 +57,7 @@ def test_two_sweeps_confirm_and_a_third_refreshes(spark):
         ([row(0, 0, 6000), row(1, 15, 6000, snapshot_ref="s0")], [("detected", "CONFIRMING", None)]),
         ([row(0, 0, 6000), row(1, 15, 6000, quality="REJECTED")], [("detected", "CONFIRMING", None), ("rejected", "REJECTED", "quality:rejected")]),
         ([row(0, 0, 6000), row(1, 15, 6000, quality="SUSPECT")], [("detected", "CONFIRMING", None), ("confirmed", "ACTIVE", None)]),
-        ([row(0, 0, 6000), row(1, 200, 6000)], [("deadline", "REJECTED", "confirm_deadline"), ("detected", "CONFIRMING", None), ("detected", "CONFIRMING", None)]),
+        ([row(0, 0, 6000), row(1, 200, 6000)], [("rejected", "REJECTED", "confirm_deadline_missed"), ("detected", "CONFIRMING", None), ("detected", "CONFIRMING", None)]),
         ([row(0, 0, None), row(1, 15, 12900)], []),
     ],
 )
@@ -61,15 +71,54 @@ def test_used_goods_are_rejected_unless_allowed(spark):
     assert fold(spark, rows, used_reference=True)[1] == ("confirmed", "ACTIVE", None)
 
 
-def test_stream_gives_the_events_of_the_batch(spark, tmp_path):
-    rows = [row(k, 7 * k, 6000 if k % 9 else 12000, offer_id=k % 3, availability="OUT_OF_STOCK" if k % 11 == 0 else "IN_STOCK") for k in range(90)]
-    for part in range(3):
-        spark.createDataFrame(rows[30 * part : 30 * part + 30], INPUT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+def test_timers_fire_at_their_own_time(spark):
+    until = lambda minutes: int((START - datetime(1970, 1, 1)).total_seconds() + 60 * minutes) * 1_000_000
+    told = lambda rows, minutes: [(r.event, r.reason, (r.observed_at - START).total_seconds() / 60) for r in deal_events(spark.createDataFrame(rows, INPUT), until=until(minutes)).orderBy("observed_at").collect()]
+    one = [row(0, 0, 6000)]
+    assert told(one, 10) == [("detected", None, 0)]
+    assert told(one, 11) == [("detected", None, 0), ("confirm_due", None, 10)]
+    assert told(one, 180)[2:] == [] and told(one, 181)[2:] == [("rejected", "confirm_deadline_missed", 180)]
+    active = [row(0, 0, 6000), row(1, 15, 6000), row(2, 60, 6000, quality="SUSPECT"), row(3, 1500, 6000)]
+    assert told(active, 1455)[3:] == [] and told(active, 1456)[3:] == [("expired", "not_observed", 1455)]
+    # The observation after the expiry starts anew; the one just at 24 hours would have kept the deal.
+    assert [e for e, _, _ in told(active, 1501)] == ["detected", "confirm_due", "confirmed", "expired", "detected"]
+    assert [e for e, _, _ in told([*active[:2], row(3, 1455, 6000)], 1456)] == ["detected", "confirm_due", "confirmed", "refreshed"]
+
+
+def test_replays_are_remembered_for_a_time(spark):
+    rows = [row(0, 0, 6000, snapshot_ref="s"), row(1, 20, 6000, snapshot_ref="s"), row(2, 8 * 1440, 6000, snapshot_ref="s"), row(3, 8 * 1440 + 20, 6000, snapshot_ref="")]
+    got = [(r.event, r.seq) for r in deal_events(spark.createDataFrame(rows, INPUT)).where("event <> 'confirm_due'").orderBy("observed_at").collect()]
+    assert got == [("detected", "000"), ("rejected", "000"), ("detected", "002"), ("confirmed", "003")]
+
+
+def test_odd_rows(spark):
+    rows = [row(0, 0, 6000, offer_id=None), row(1, 15, 6000, offer_id=None), row(2, 0, None), row(3, 0, 6000, observed_at=None), row(4, 1, 6000, offer_id=6, quality=None, snapshot_ref=None), row(5, 0, 0, offer_id=7, verified_cents=0)]
+    got = deal_events(spark.createDataFrame(rows, INPUT)).where("event <> 'confirm_due'").collect()
+    assert sorted((r.event, r.offer_id) for r in got) == [("confirmed", None), ("detected", None)]
+    assert deal_events(spark.createDataFrame([], INPUT)).count() == 0
+
+
+def test_a_stream_in_any_order_gives_the_events_of_the_batch(spark, tmp_path):
+    """Rows arrive shuffled by up to half an hour, in batches; emitted is what the batch has up to the watermark."""
+    rng = random.Random(11)
+    rows = [row(k, 7 * k, 6000 if k % 9 else 12000, offer_id=k % 3, snapshot_ref=f"s{k - k % 5 % 2}", availability="OUT_OF_STOCK" if k % 11 == 0 else "IN_STOCK") for k in range(240)]
+    arrived = sorted(rows, key=lambda r: r[NAMES.index("observed_at")] + timedelta(minutes=rng.uniform(0, 30)))
+    for part in range(6):
+        batch = spark.createDataFrame(arrived[40 * part : 40 * part + 40], INPUT).coalesce(1)
+        batch.write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = deal_event_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    run.awaitTermination()
+    spark.conf.set(*STATE_STORE)
+    try:
+        # Two runs over the same progress: the second goes on where the first ended.
+        for _ in range(2):
+            run = deal_event_stream(stream, "31 minutes").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            run.awaitTermination()
+    finally:
+        spark.conf.unset(STATE_STORE[0])
     streamed = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
-    assert streamed == sorted(map(str, deal_events(spark.createDataFrame(rows, INPUT)).collect())) and streamed
+    newest = max(r[NAMES.index("observed_at")] for r in rows)
+    until = int((newest - timedelta(minutes=31) - datetime(1970, 1, 1)).total_seconds() * 1000) * 1000
+    assert streamed == sorted(map(str, deal_events(spark.createDataFrame(rows, INPUT), until=until).collect())) and len(streamed) > 100
 
 
 def test_first_snapshots(spark):

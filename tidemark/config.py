@@ -163,6 +163,7 @@ class Rules:
     confirm_deadline_hours: int = 3
     price_tolerance: float = 1.02
     stale_hours: int = 24
+    replay_hours: int = 168
     move_low_pct: float = 35.0
     move_high_pct: float = 300.0
     unit_tolerance: float = 0.05

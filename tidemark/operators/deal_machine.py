@@ -1,56 +1,72 @@
-"""The deal state machine of an offer: one pure function, used by the batch fold and the stream.
+"""The deal state machine of an offer, used by the batch fold and by the stream.
 
-Input rows are observations with the references known at their time. For each one, in order:
-an active deal is rechecked; else an open confirming deal is confirmed; else a new one is detected.
+It takes an offer's observations in time order, with the references known at their time. For each
+one, in order: timers that ran out before it fire; a replayed snapshot is skipped; an active deal is
+rechecked; else an open one is confirmed (checks C1 to C10); else a new one is detected.
+
+Three timers belong to a deal, all in the time of the observations: ten minutes after detection its
+confirmation is due, three hours after detection it is rejected, and 24 hours after the offer's last
+sound observation an active deal expires. A timer fires when time has passed it, and its event bears
+the timer's time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field, fields
-from datetime import datetime, timedelta
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import RULES, USED_RULE_CONDITIONS, Rules
 
 NEW, CLAIMED, USED = "DEEP_DISCOUNT_NEW", "DEEP_DISCOUNT_CLAIMED", "USED_VS_CURRENT_NEW"
 ORDER = (NEW, CLAIMED, USED)
 BUYABLE = ("IN_STOCK", "STORE_ONLY")
+#: Observations as they arrive. other_reason is the first reason of a SUSPECT that is not large_move; identity stands for
+#: retailer's number, offer key, condition and seller; reference_key and reference_units are the reference offer's own.
 INPUT = (
-    "offer_id long, seq string, observed_at timestamp, price_cents long, shipping_cents long, claimed_cents long, quality string, other_reason string, condition string, "
-    "availability string, on_clearance boolean, verified_cents long, current_new_cents long, floor_cents long, variant_key string, unit_count long, snapshot_ref string"
+    "offer_id long, seq string, observed_at timestamp, snapshot_ref string, quality string, other_reason string, detected_via string, page_type string, identity string, "
+    "condition string, condition_group string, availability string, on_clearance boolean, price_cents long, shipping_cents long, claimed_cents long, verified_cents long, current_new_cents long, "
+    "reference_key string, reference_units long, variant_key string, unit_count long, listing_key string, listing_units long, floor_cents long"
 )
-OUTPUT = "offer_id long, seq string, observed_at timestamp, rule string, event string, status string, reason string, price_cents long, reference_cents long, discount_bp long"
+NAMES = [c.strip().split(" ")[0] for c in INPUT.split(",")]
+#: The same with instants as microseconds, which no session's time zone touches.
+TAKEN = INPUT.replace("observed_at timestamp", "at long")
+TAKEN_NAMES = ["at" if n == "observed_at" else n for n in NAMES]
+TOLD = "offer_id long, seq string, at long, rule string, event string, status string, reason string, price_cents long, reference_cents long, discount_bp long"
+TOLD_NAMES = [c.strip().split(" ")[0] for c in TOLD.split(",")]
+DEAL = "status string, seq string, at long, price long, reference long, key string, units long, via string, identity string, told boolean"
+_MINUTE, _HOUR = 60_000_000, 3_600_000_000
 
 
 @dataclass
 class Deal:
-    rule: str
+    """An open deal; its fields are ``DEAL``. ``told``: that its confirmation is due was told."""
+
     status: str
-    detected_seq: str
-    detected_at: float
+    seq: str
+    at: int
     price: int
     reference: int
     key: str | None
     units: int | None
+    via: str | None
+    identity: str | None
+    told: bool = False
+
+    def plain(self) -> tuple:
+        return (self.status, self.seq, self.at, self.price, self.reference, self.key, self.units, self.via, self.identity, self.told)
 
 
 @dataclass
 class OfferState:
-    """Open deals of an offer and the snapshots it has seen."""
+    """What is known of an offer: open deals by rule, the last sound observation, snapshots taken."""
 
     deals: dict[str, Deal] = field(default_factory=dict)
-    seen: set[str] = field(default_factory=set)
-
-    def plain(self) -> dict:
-        return {"deals": {k: asdict(d) for k, d in self.deals.items()}, "seen": sorted(self.seen)}
-
-    @classmethod
-    def of(cls, plain: dict) -> OfferState:
-        known = {f.name for f in fields(Deal)}
-        return cls({k: Deal(**{n: v for n, v in d.items() if n in known}) for k, d in plain["deals"].items()}, set(plain["seen"]))
+    last_ok: int | None = None
+    seen: dict[str, int] = field(default_factory=dict)
 
 
 def basis_points(price: int, reference: int | None) -> int:
@@ -67,10 +83,10 @@ def _landed(row: dict) -> int:
     return row["price_cents"] + (row["shipping_cents"] or 0)
 
 
-def _detect(row: dict, rules: Rules) -> tuple[str, int, int] | None:
+def detect(row: dict, rules: Rules) -> tuple[str, int, int] | None:
     """(rule, price, reference) of the first rule that an OK observation fulfils."""
     price, condition = row["price_cents"], row["condition"]
-    if condition == "NEW":
+    if row["condition_group"] in ("NEW", None) and condition == "NEW":
         if row["availability"] in BUYABLE and _deep(price, row["verified_cents"], rules):
             return NEW, price, row["verified_cents"]
         if row["verified_cents"] is None and row["on_clearance"] and _deep(price, row["claimed_cents"], rules):
@@ -83,16 +99,27 @@ def _detect(row: dict, rules: Rules) -> tuple[str, int, int] | None:
 def _reference(rule: str, row: dict) -> int | None:
     if rule == USED:
         return row["current_new_cents"]
-    if rule == CLAIMED:
-        return row["verified_cents"] if row["verified_cents"] is not None else row["claimed_cents"]
+    if rule == CLAIMED and row["verified_cents"] is None:
+        return row["claimed_cents"] or None
     return row["verified_cents"]
 
 
-def _confirm(deal: Deal, row: dict, rules: Rules, used_reference: bool) -> tuple[str, str | None]:
-    price = _landed(row) if deal.rule == USED else row["price_cents"]
-    reference = _reference(deal.rule, row)
+def confirm(rule: str, deal: Deal, row: dict, rules: Rules = RULES, used_reference: bool = False) -> tuple[str, str | None]:
+    """(status, reason) of an observation that confirms or rejects a deal: the first check that fails.
+
+    ``used_reference`` lets used goods be confirmed against a reference for new ones, which
+    the check of condition groups otherwise rejects.
+    """
+    price, reference = row["price_cents"], _reference(rule, row)
     bp = basis_points(price, reference)
-    if (deal.key, deal.units) != (row["variant_key"], row["unit_count"]):
+    group = row["condition_group"] or ("NEW" if row["condition"] == "NEW" else "USED")
+    if row["at"] - deal.at < rules.min_confirm_minutes * _MINUTE:
+        return "REJECTED", "confirm_too_soon"
+    if deal.via == "DISCOVERY_GRID" and row["page_type"] != "PRODUCT":
+        return "REJECTED", "confirm_not_from_product_page"
+    if deal.identity != row["identity"]:
+        return "REJECTED", "offer_identity_mismatch"
+    if len({deal.key, row["variant_key"], row["listing_key"]}) > 1 or len({deal.units, row["unit_count"], row["listing_units"]}) > 1:
         return "REJECTED", "variant_mismatch"
     if row["quality"] == "REJECTED":
         return "REJECTED", "quality:rejected"
@@ -102,7 +129,9 @@ def _confirm(deal: Deal, row: dict, rules: Rules, used_reference: bool) -> tuple
         return "REJECTED", "price_changed"
     if bp < rules.min_discount_bp:
         return "REJECTED", "below_threshold_on_confirm"
-    if deal.rule == USED and not used_reference:
+    key, units = row["variant_key"] or row["listing_key"], row["listing_units"] if row["unit_count"] is None else row["unit_count"]
+    scope = [(row["reference_key"], key), (row["reference_units"], units)]
+    if any(x is not None and y is not None and x != y for x, y in scope) or group != "NEW" and not used_reference:
         return "REJECTED", "reference_scope_mismatch"
     if row["floor_cents"] is not None and price < row["floor_cents"]:
         return "REJECTED", "below_floor"
@@ -111,106 +140,155 @@ def _confirm(deal: Deal, row: dict, rules: Rules, used_reference: bool) -> tuple
     return ("HELD_REVIEW", "discount_85_to_95") if bp > rules.held_upper_bp else ("ACTIVE", None)
 
 
-def advance(state: OfferState, row: dict, rules: Rules = RULES, deadline: bool = True, used_reference: bool = False) -> list[dict]:
-    """Takes one observation into the state; the events it causes.
-
-    An observation whose snapshot was seen is ignored. ``used_reference`` lets used goods be
-    confirmed against a reference for new ones, which the confirmation otherwise rejects.
-    """
-    out: list[dict] = []
-
-    def tell(rule: str, event: str, status: str, reason: str | None, price: int | None, reference: int | None) -> None:
-        bp = basis_points(price, reference) if price is not None else 0
-        out.append({"offer_id": row["offer_id"], "seq": row["seq"], "observed_at": row["observed_at"], "rule": rule, "event": event, "status": status, "reason": reason, "price_cents": price, "reference_cents": reference, "discount_bp": bp})
-
-    if row["snapshot_ref"]:
-        if row["snapshot_ref"] in state.seen:
-            return out
-        state.seen.add(row["snapshot_ref"])
-    now = pd.Timestamp(row["observed_at"]).timestamp()
-    if deadline:
-        for rule in [r for r in ORDER if r in state.deals]:
-            deal = state.deals[rule]
-            if deal.status == "CONFIRMING" and now > deal.detected_at + rules.confirm_deadline_hours * 3600:
-                tell(rule, "deadline", "REJECTED", "confirm_deadline", deal.price, deal.reference)
-                del state.deals[rule]
-    price = row["price_cents"]
-    if row["quality"] == "OK":
+class Machine:
+    """An offer's state and what happens to it. Times are microseconds."""
+
+    def __init__(self, offer_id, state: OfferState, rules: Rules = RULES, used_reference: bool = False):
+        self.offer_id, self.state, self.rules, self.used_reference = offer_id, state, rules, used_reference
+        self.gap, self.deadline, self.stale, self.replay = rules.min_confirm_minutes * _MINUTE, rules.confirm_deadline_hours * _HOUR, rules.stale_hours * _HOUR, rules.replay_hours * _HOUR
+
+    def _event(self, seq: str, at: int, rule: str, event: str, status: str, reason: str | None, price: int | None, reference: int | None) -> tuple:
+        return self.offer_id, seq, at, rule, event, status, reason, price, reference, basis_points(price, reference) if price is not None else 0
+
+    def timers(self) -> list[tuple[int, str, str]]:
+        """(time, what, rule) of all that will happen by itself."""
+        found = []
+        for rule, deal in self.state.deals.items():
+            if deal.status == "CONFIRMING":
+                found.append((deal.at + self.deadline, "deadline", rule))
+                if not deal.told:
+                    found.append((deal.at + self.gap, "confirm_due", rule))
+            elif deal.status == "ACTIVE" and self.state.last_ok is not None:
+                found.append((self.state.last_ok + self.stale, "not_observed", rule))
+        return sorted(found)
+
+    def pass_time(self, until: int) -> Iterator[tuple]:
+        """The events of timers that run out before ``until``."""
+        while (due := self.timers()) and due[0][0] < until:
+            at, what, rule = due[0]
+            deal = self.state.deals[rule]
+            if what == "confirm_due":
+                deal.told = True
+                yield self._event(deal.seq, at, rule, what, "CONFIRMING", None, deal.price, deal.reference)
+                continue
+            del self.state.deals[rule]
+            status, reason = ("REJECTED", "confirm_deadline_missed") if what == "deadline" else ("EXPIRED", "not_observed")
+            yield self._event(deal.seq, at, rule, "rejected" if what == "deadline" else "expired", status, reason, deal.price, deal.reference)
+
+    def _replayed(self, row: dict) -> bool:
+        """Whether the row's snapshot was taken within the time that replays are remembered; else it is noted.
+
+        Snapshots stand in the order in which they were taken, so old ones are at the front.
+        """
+        seen, ref = self.state.seen, row["snapshot_ref"]
+        while seen and row["at"] - (first := next(iter(seen.items())))[1] > self.replay:
+            del seen[first[0]]
+        if not ref:
+            return False
+        if ref in seen:
+            return True
+        seen[ref] = row["at"]
+        return False
+
+    def _recheck(self, row: dict) -> tuple | None:
+        price, deals = row["price_cents"], self.state.deals
+        rule = next((r for r in ORDER if r in deals and deals[r].status == "ACTIVE"), None)
+        if rule is None or row["quality"] != "OK" or price is None:
+            return None
+        deal, current, reference = deals[rule], _landed(row) if rule == USED else price, _reference(rule, row)
+        if row["availability"] not in BUYABLE:
+            reason = "sold_out"
+        elif reference is None or reference <= 0:
+            reason = "reference_lost"
+        elif current > deal.price * self.rules.price_tolerance or basis_points(current, reference) < self.rules.min_discount_bp:
+            reason = "price_recovered"
+        else:
+            deal.price, deal.reference = current, reference
+            return self._event(row["seq"], row["at"], rule, "refreshed", "ACTIVE", None, current, reference)
+        del deals[rule]
+        return self._event(row["seq"], row["at"], rule, "expired", "EXPIRED", reason, current, reference)
+
+    def take(self, row: dict) -> Iterator[tuple]:
+        """The events of one observation, those of the timers before it first."""
+        yield from self.pass_time(row["at"])
+        if self._replayed(row):
+            return
+        if row["quality"] == "OK":
+            self.state.last_ok = row["at"]
+        rechecked = self._recheck(row)
+        if rechecked:
+            yield rechecked
+            return
+        price, deals = row["price_cents"], self.state.deals
+        if price is None:
+            return
         for rule in ORDER:
-            deal = state.deals.get(rule)
-            if deal is None or deal.status != "ACTIVE":
+            deal = deals.get(rule)
+            if deal is None or deal.status != "CONFIRMING" or deal.seq == row["seq"]:
                 continue
-            current = _landed(row) if rule == USED and price is not None else price
+            status, reason = confirm(rule, deal, row, self.rules, self.used_reference)
             reference = _reference(rule, row)
-            if row["availability"] not in BUYABLE:
-                reason = "sold_out"
-            elif reference is None:
-                reason = "reference_lost"
-            elif current is None or current > deal.price * rules.price_tolerance or basis_points(current, reference) < rules.min_discount_bp:
-                reason = "price_recovered"
+            if reason == "confirm_too_soon":
+                # Too early an observation leaves the deal open.
+                yield self._event(row["seq"], row["at"], rule, "waiting", "CONFIRMING", reason, price, reference)
+                continue
+            if status == "REJECTED":
+                del deals[rule]
             else:
-                deal.price, deal.reference = current, reference
-                tell(rule, "refreshed", "ACTIVE", None, current, reference)
-                return out
-            del state.deals[rule]
-            tell(rule, "expired", "EXPIRED", reason, current, reference)
-            return out
-    for rule in ORDER:
-        deal = state.deals.get(rule)
-        if deal is None or deal.status != "CONFIRMING" or deal.detected_seq == row["seq"] or price is None:
-            continue
-        if now - deal.detected_at < rules.min_confirm_minutes * 60:
-            continue
-        status, reason = _confirm(deal, row, rules, used_reference)
-        current, reference = (_landed(row) if rule == USED else price), _reference(rule, row)
-        if status == "REJECTED":
-            del state.deals[rule]
-        else:
-            deal.status, deal.price, deal.reference = status, current, reference
-        tell(rule, "confirmed" if status != "REJECTED" else "rejected", status, reason, current, reference)
-        return out
-    if row["quality"] == "OK" and price is not None:
-        found = _detect(row, rules)
-        if found and found[0] not in state.deals:
+                deal.status, deal.price, deal.reference = status, price, reference if reference is not None else deal.reference
+            yield self._event(row["seq"], row["at"], rule, "rejected" if status == "REJECTED" else "confirmed", status, reason, price, reference)
+            return
+        found = detect(row, self.rules) if row["quality"] == "OK" else None
+        if found and found[0] not in deals:
             rule, current, reference = found
-            state.deals[rule] = Deal(rule, "CONFIRMING", row["seq"], now, current, reference, row["variant_key"], row["unit_count"])
-            tell(rule, "detected", "CONFIRMING", None, current, reference)
-    return out
+            deals[rule] = Deal("CONFIRMING", row["seq"], row["at"], current, reference, row["variant_key"], row["unit_count"], row["detected_via"], row["identity"])
+            yield self._event(row["seq"], row["at"], rule, "detected", "CONFIRMING", None, current, reference)
 
 
-def rows_of(pdf: pd.DataFrame) -> Iterable[dict]:
-    """Rows in the machine's order, missing values as None."""
-    ordered = pdf.sort_values(["observed_at", "seq"], kind="stable")
-    for row in ordered.to_dict("records"):
-        clean = {k: None if pd.isna(v) else v for k, v in row.items()}
-        for k in ("price_cents", "shipping_cents", "claimed_cents", "verified_cents", "current_new_cents", "floor_cents", "unit_count", "offer_id"):
-            clean[k] = None if clean[k] is None else int(clean[k])
-        yield clean
+def shown(told: DataFrame) -> DataFrame:
+    """Events with their time as a timestamp."""
+    return told.select("offer_id", "seq", F.timestamp_micros("at").alias("observed_at"), *TOLD_NAMES[3:])
 
 
-def events_frame(events: list[dict]) -> pd.DataFrame:
-    names = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
-    frame = pd.DataFrame(events, columns=names)
-    for n in ("offer_id", "price_cents", "reference_cents", "discount_bp"):
-        frame[n] = frame[n].astype("Int64")
-    return frame
+def told_batches(events: Iterable[tuple], most: int = 8192) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(n, kinds[c.strip().split(" ")[1]]) for n, c in zip(TOLD_NAMES, TOLD.split(","))])
+    held: list[tuple] = []
+    for event in events:
+        held.append(event)
+        if len(held) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def deal_events(observations: DataFrame, rules: Rules = RULES, deadline: bool = True, used_reference: bool = False) -> DataFrame:
-    """Batch fold: the events of every offer's observations (columns INPUT) in time order.
+def deal_events(observations: DataFrame, rules: Rules = RULES, used_reference: bool = False, until: int | None = None) -> DataFrame:
+    """Batch fold: the events of every offer's observations (columns INPUT) in order of time and ``seq``.
 
-    An offer's history is folded in one task, since each step needs the one before.
+    With ``until`` (microseconds) only observations before that time count, and timers run on to it;
+    without it an offer's time ends with its last observation. An offer's rows are one task's work,
+    since each step needs the one before, but they stream through it: only the offer's state is held.
+    Rows without offer_id are one offer; rows without a time have no place in it and are left out.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, events = OfferState(), []
-        for row in rows_of(pdf):
-            events += advance(state, row, rules, deadline, used_reference)
-        return events_frame(events)
-
-    names = [c.strip().split(" ")[0] for c in INPUT.split(",")]
-    return observations.select(*names).groupBy("offer_id").applyInPandas(fold, OUTPUT)
-
-
-def expiry_time(detected: datetime, rules: Rules = RULES) -> datetime:
-    return detected + timedelta(hours=rules.confirm_deadline_hours)
+    rows = observations.select(*NAMES).where(F.col("observed_at").isNotNull()).withColumn("at", F.unix_micros("observed_at"))
+    if until is not None:
+        rows = rows.where(F.col("at") < until)
+    ordered = rows.select(*TAKEN_NAMES).repartition("offer_id").sortWithinPartitions("offer_id", "at", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def events() -> Iterator[tuple]:
+            machine = None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if machine is None or machine.offer_id != row["offer_id"]:
+                        if machine is not None and until is not None:
+                            yield from machine.pass_time(until)
+                        machine = Machine(row["offer_id"], OfferState(), rules, used_reference)
+                    yield from machine.take(row)
+            if machine is not None and until is not None:
+                yield from machine.pass_time(until)
+
+        yield from told_batches(events())
+
+    return shown(ordered.mapInArrow(run, TOLD))

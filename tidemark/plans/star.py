@@ -75,24 +75,33 @@ def as_of(df: DataFrame, column: str) -> DataFrame:
 
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as observations with real instants: a user is an offer, the rest follows from the row."""
-    ts, kind = F.col("ts").cast("timestamp"), F.col("event_type")
+    ts, kind, event, user = F.col("ts").cast("timestamp"), F.col("event_type"), F.col("event_id"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
+    used = user % 5 == 0
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("offer_id"),
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("seq"),
+        user.alias("offer_id"),
+        F.lpad(event.cast("string"), 12, "0").alias("seq"),
         ts.alias("observed_at"),
-        F.round(F.col("value") * 100).cast("bigint").alias("price_cents"),
+        F.when(event % 4 == 0, F.concat(F.lit("s"), k.cast("string"))).when(event % 4 == 1, "").otherwise(event.cast("string")).alias("snapshot_ref"),
+        F.when(event % 41 == 0, "REJECTED").when(kind == "error", "SUSPECT").otherwise("OK").alias("quality"),
+        F.when((kind == "error") & (event % 2 == 0), "out_of_band").alias("other_reason"),
+        F.when(event % 5 == 0, "DISCOVERY_GRID").otherwise("PRODUCT_PAGE").alias("detected_via"),
+        F.when(event % 7 == 0, "CLEARANCE_LISTING").otherwise("PRODUCT").alias("page_type"),
+        F.when(event % 29 == 0, "b").otherwise("a").alias("identity"),
+        F.when(used, "USED_GOOD").otherwise("NEW").alias("condition"),
+        F.when(used, "USED").otherwise("NEW").alias("condition_group"),
+        F.when((kind == "purchase") & (event % 3 == 0), "OUT_OF_STOCK").when(event % 6 == 0, "STORE_ONLY").otherwise("IN_STOCK").alias("availability"),
+        (event % 3 != 0).alias("on_clearance"),
+        F.when(event % 53 != 0, F.round(F.col("value") * 100).cast("bigint")).alias("price_cents"),
         F.when(k % 2 == 0, k).alias("shipping_cents"),
         (k * 100).alias("claimed_cents"),
-        F.when(kind == "error", "SUSPECT").otherwise("OK").alias("quality"),
-        F.when(kind == "error", "out_of_band").alias("other_reason"),
-        F.when(F.col("user_id") % 5 == 0, "USED_GOOD").otherwise("NEW").alias("condition"),
-        F.when(kind.isin("view", "click", "purchase", "error"), "IN_STOCK").otherwise("OUT_OF_STOCK").alias("availability"),
-        (kind == "signup").alias("on_clearance"),
-        F.when(F.col("user_id") % 3 != 0, F.lit(6000).cast("bigint")).alias("verified_cents"),
+        F.when((user % 3 != 0) & (event % 47 != 0), F.lit(6000).cast("bigint")).alias("verified_cents"),
         F.lit(5000).cast("bigint").alias("current_new_cents"),
-        F.lit(100).cast("bigint").alias("floor_cents"),
-        F.lit(None).cast("string").alias("variant_key"),
-        F.lit(None).cast("bigint").alias("unit_count"),
-        F.col("event_id").cast("string").alias("snapshot_ref"),
+        F.when(user % 31 == 0, "z").alias("reference_key"),
+        F.when(user % 37 == 0, F.lit(5).cast("bigint")).alias("reference_units"),
+        F.when(event % 19 == 0, "other").otherwise("k").alias("variant_key"),
+        F.when(event % 23 == 0, F.lit(2).cast("bigint")).when(user % 37 == 0, F.lit(3).cast("bigint")).alias("unit_count"),
+        F.lit("k").alias("listing_key"),
+        F.when(user % 37 == 0, F.lit(3).cast("bigint")).alias("listing_units"),
+        F.lit(400).cast("bigint").alias("floor_cents"),
     )

@@ -2,34 +2,116 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import RULES, Rules
-from ..operators.deal_machine import OUTPUT, OfferState, advance, events_frame, rows_of
+from ..operators.deal_machine import DEAL, TAKEN, TAKEN_NAMES, TOLD, TOLD_NAMES, Deal, Machine, OfferState, shown
 
+#: The store that keeps typed state; a session names it before the stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_WHOLE = {c.strip().split(" ")[0] for c in TAKEN.split(",") if c.strip().endswith(" long")}
 
-def deal_event_stream(observations: DataFrame, rules: Rules = RULES, deadline: bool = True, used_reference: bool = False) -> DataFrame:
-    """The events of ``deal_events``, from a stream of the same rows.
 
-    State is an offer's open deals and seen snapshots. Rows of a micro-batch are taken in time
-    order; a row that arrives in a later batch than its successors is taken when it comes.
+def _rows(frame: pd.DataFrame) -> list[tuple]:
+    """Rows of TAKEN as plain values, missing ones as None."""
+    columns = [[None if pd.isna(v) else int(v) if n in _WHOLE else bool(v) if n == "on_clearance" else v for v in frame[n]] for n in TAKEN_NAMES]
+    return list(zip(*columns))
+
+
+class DealProcessor(StatefulProcessor):
+    """The deal machine over keyed state, one offer a key.
+
+    ``waiting`` (list) is the reorder buffer: observations stay there until the watermark has passed
+    them, so that they are taken in order however they arrive. ``deals`` (map) has the open deals
+    by rule, ``seen`` (map) the snapshots taken, ``clock`` (value) the last sound observation and
+    the timer that is set. One timer stands at the next thing to happen, be it
+    a waiting observation or one of the deals' own timers.
+
+    Spark's own time to live of state goes by the processor's clock and is refused beside event
+    timers; snapshots are forgotten by the observations' time instead, as in the batch fold.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = OfferState.of(json.loads(held.get[0])) if held.exists else OfferState()
+    def __init__(self, rules: Rules, used_reference: bool):
+        self.rules, self.used_reference = rules, used_reference
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", TAKEN)
+        self.deals = handle.getMapState("deals", "rule string", DEAL)
+        self.seen = handle.getMapState("seen", "snapshot_ref string", "at long")
+        self.clock = handle.getValueState("clock", "last_ok long, timer long")
+
+    def _set_timer(self, due: int | None, clock: tuple) -> None:
+        """Moves the key's timer to ``due`` (microseconds) and keeps the clock."""
+        last_ok, timer = clock
+        at = None if due is None else due // 1000
+        if timer is not None and timer != at:
+            self.handle.deleteTimer(timer)
+        if at is not None and timer != at:
+            self.handle.registerTimer(at)
+        self.clock.update((last_ok, at))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = [r for frame in rows for r in _rows(frame)]
+        self.waiting.appendList(found)
+        last_ok, timer = self.clock.get() or (None, None)
+        first = min(r[TAKEN_NAMES.index("at")] for r in found)
+        if timer is None or first // 1000 < timer:
+            self._set_timer(first, (last_ok, timer))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        last_ok, _ = self.clock.get()
+        at, seq = TAKEN_NAMES.index("at"), TAKEN_NAMES.index("seq")
+        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[at], r[seq] is not None, r[seq] or ""))
+        ready = [r for r in waiting if r[at] < until]
+        state = OfferState({k[0]: Deal(*v) for k, v in self.deals.iterator()}, last_ok, dict(sorted(((k[0], v[0]) for k, v in self.seen.iterator()), key=lambda x: x[1])) if ready else {})
+        before, known = set(state.deals), dict(state.seen)
+        machine = Machine(key[0], state, self.rules, self.used_reference)
         events = []
-        for row in rows_of(pd.concat(list(frames))):
-            events += advance(state, row, rules, deadline, used_reference)
-        held.update((json.dumps(state.plain()),))
-        yield events_frame(events)
+        for row in ready:
+            events += machine.take(dict(zip(TAKEN_NAMES, row)))
+        events += machine.pass_time(until)
+        for rule in before - set(state.deals):
+            self.deals.removeKey((rule,))
+        for rule, deal in state.deals.items():
+            self.deals.updateValue((rule,), deal.plain())
+        if ready:
+            for ref in known.keys() - state.seen.keys():
+                self.seen.removeKey((ref,))
+            for ref, taken in state.seen.items():
+                if known.get(ref) != taken:
+                    self.seen.updateValue((ref,), (taken,))
+            left = waiting[len(ready) :]
+            self.waiting.put(left) if left else self.waiting.clear()
+        due = [t for t, _, _ in machine.timers()] + [r[at] for r in waiting[len(ready) :][:1]]
+        # The timer that fired is gone.
+        self._set_timer(min(due, default=None), (state.last_ok, None))
+        if events:
+            frame = pd.DataFrame(events, columns=TOLD_NAMES)
+            for n in ("offer_id", "at", "price_cents", "reference_cents", "discount_bp"):
+                frame[n] = frame[n].astype("Int64")
+            yield frame
+
+    def close(self) -> None:
+        return None
 
-    return observations.groupBy("offer_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+
+def deal_event_stream(observations: DataFrame, late: str = "1 hour", rules: Rules = RULES, used_reference: bool = False) -> DataFrame:
+    """The events of ``deal_events``, from a stream of the same rows that arrive in any order within ``late``.
+
+    What is emitted is what the batch fold gives ``until`` the watermark; a row that comes later
+    than ``late`` is dropped by the watermark. The session must use the store STATE_STORE.
+    """
+    rows = observations.where(F.col("observed_at").isNotNull()).withWatermark("observed_at", late).withColumn("at", F.unix_micros("observed_at")).select("observed_at", *TAKEN_NAMES)
+    processor = DealProcessor(rules, used_reference)
+    return shown(rows.groupBy("offer_id").transformWithStateInPandas(processor, TOLD, "Append", "EventTime"))
 
 
 def first_snapshots(observations: DataFrame, late: str | None = None) -> DataFrame:
