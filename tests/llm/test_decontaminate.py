@@ -67,6 +67,13 @@ def test_exact_short_and_split_items(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [12, 14, 15, 16, 17]
 
 
+def test_items_without_ids_count(spark):
+    bench = items(spark, [(None, ITEM), (None, "x y z"), (4, None)])
+    rows = [(1, f"see {ITEM} there"), (2, "w x y z"), (3, "nothing of it"), (4, None)]
+    assert {(r.doc_id, r.item_id, r.whole) for r in D.contamination(docs(spark, rows), bench).collect()} == {(1, None, True), (2, None, True)}
+    assert sorted(r.doc_id for r in D.without_benchmark(docs(spark, rows), bench).collect()) == [3, 4]
+
+
 @pytest.mark.parametrize("limit", [20_000_000, 50])
 def test_passes_add_up(spark, monkeypatch, limit):
     monkeypatch.setattr(D, "PASS_CHARS", limit)

@@ -40,3 +40,12 @@ def test_nulls_and_empty_tables(spark):
     by = {r.doc_id: r for r in got}
     assert by[3].keep == 1 and by[95].keep == 0 and by[200].score == by[201].score
     assert Q.fit(df.limit(0)) is None and Q.score_quality(df.limit(0), None).count() == 0
+
+
+def test_ids_play_no_part(spark):
+    rows = [(k, "Some fine words stand here, one after another, in good order. " * (k % 3 + 1)) for k in range(40)] + [(90 + k, f"&&& *** ### $$$ %%% word&&& {k} " * 9) for k in range(12)]
+    shown = spark.createDataFrame(rows, "doc_id long, text string")
+    hidden = spark.createDataFrame([(None, t) for _, t in rows], "doc_id long, text string")
+    mixed = spark.createDataFrame([(k % 3, t) for k, t in rows], "doc_id long, text string")
+    scores = [sorted((r.pattern, r.score, r.keep) for r in Q.score_quality(df, Q.fit(df)).collect()) for df in (shown, hidden, mixed)]
+    assert len(scores[0]) == len(rows) and scores[0] == scores[1] == scores[2]

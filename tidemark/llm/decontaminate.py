@@ -276,7 +276,7 @@ class Matcher:
 
 def _passes(benchmark: DataFrame) -> list[DataFrame]:
     """The test items, split by hash into passes of about PASS_CHARS characters."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + size // PASS_CHARS
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -296,7 +296,7 @@ def _matcher(name: str, items: list[tuple[int, str]]) -> Matcher:
 def _sent(part: DataFrame) -> tuple[str, Broadcast]:
     """A name for a pass's items, and the items as broadcast: about PASS_CHARS characters, or one
     longer item, which a task must hold whole."""
-    return uuid.uuid4().hex, part.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.collect()))
+    return uuid.uuid4().hex, part.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda i: (i[1], i[0] is None, i[0] or 0)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -305,8 +305,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``whole``: the whole item occurs within its error budget, at ``distance`` edits at least (null if
     not). ``passages``: how many runs of ``PASSAGE_WORDS`` words of the item occur, each within its
     own budget; an item of no more words is its own only passage. There is a row if either is so.
-    Null texts and ids of items are skipped, as are items without words; repeated documents give
-    repeated rows, repeated items one row for each. Other columns are ignored. Nothing contained, or
+    Null texts are skipped, as are items without words; an item without an id is searched for like
+    any other and has a null item_id; repeated documents give repeated rows, repeated items one row for each. Other columns are ignored. Nothing contained, or
     an empty table: no rows.
     """
     found = None
@@ -334,7 +334,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no test item and no passage of one, with all their columns.
 
-    Null and empty texts stay.
+    Null and empty texts stay. Only the items' texts matter: one without an id counts like any other,
+    one without a text not at all.
     """
     place = docs.columns.index("text")
     for part in _passes(benchmark):

@@ -241,7 +241,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[LabelModel, Scorer] | None:
     """Label model from the votes on all documents, scorer from a sample of at most SAMPLE of them
-    (those with the smallest hash). None for an empty table.
+    (those whose texts have the smallest hash; ids play no part). None for an empty table.
 
     At most 3 ** labellers patterns come to the driver.
     """
@@ -251,12 +251,9 @@ def fit(docs: DataFrame) -> tuple[LabelModel, Scorer] | None:
     counted.sort()
     patterns = np.array([[int(c) for c in p] for p, _ in counted])
     model = expectation_maximisation(patterns, np.array([n for _, n in counted], float))
-    keyed = docs.select(F.lit(0).alias("one"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    keyed = docs.select(F.lit(0).alias("one"), F.coalesce("text", F.lit("")).alias("text"))
     sample = bounded_sample(keyed, "one", {0: sum(n for _, n in counted)}, SAMPLE)
-    texts = sorted((r.doc_id, r.text) for r in sample.collect())
-    if not texts:
-        return None
-    seen = [facts(t) for _, t in texts]
+    seen = [facts(t) for t in sorted(r.text for r in sample.collect())]
     targets = model.posterior(np.array([votes(f) for f in seen]))
     return model, train([vector(f) for f in seen], targets)
 
