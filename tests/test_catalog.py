@@ -1,11 +1,10 @@
-"""Catalogue merges, parser registry, ticks and file helpers."""
+"""Catalogue merges, parser registry and file helpers."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog
 from tidemark.sources import files, markup, registry
-from tidemark.streaming.ticks import start_ticks
 
 
 def rows(df, *columns):
@@ -83,20 +82,6 @@ def test_browser_capture(spark):
     assert [tuple(x) for x in r] == [("https://h/p", "N", "USED_UNGRADED", "USD", 1250, 3000)]
 
 
-def test_ticks_store_each_snapshot_once(spark, tmp_path):
-    schema = "offer_id long, snapshot_ref string, observed_at timestamp, seq string, price_cents long, band_floor long, band_ceiling long"
-    made = spark.sql("select id % 3 as offer_id, concat('s', id % 5) as snapshot_ref, timestamp'2024-01-01' + make_dt_interval(0, id) as observed_at, cast(id as string) as seq, id * 100 as price_cents, 300L as band_floor, 1000L as band_ceiling from range(12)")
-    made.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    for _ in range(2):
-        start_ticks(stream, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
-    made.write.mode("append").parquet(str(tmp_path / "in"))
-    start_ticks(stream, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "store"))
-    assert stored.count() == made.select("offer_id", "snapshot_ref").distinct().count()
-    assert {r.quality for r in stored.select("quality").distinct().collect()} <= {"OK", "SUSPECT", "REJECTED"}
-
-
 def test_file_helpers(spark, tmp_path):
     assert files.sink_root({}) == "exports" and files.sink_root({"EXPORT_TARGET": "s3", "EXPORT_BUCKET": "b", "EXPORT_PREFIX": "p/"}) == "s3a://b/p"
     with pytest.raises(ValueError):

@@ -101,7 +101,7 @@ def test_odd_rows(spark):
 def test_a_stream_in_any_order_gives_the_events_of_the_batch(spark, tmp_path):
     """Rows arrive shuffled by up to half an hour, in batches; emitted is what the batch has up to the watermark."""
     rng = random.Random(11)
-    rows = [row(k, 7 * k, 6000 if k % 9 else 12000, offer_id=k % 3, snapshot_ref=f"s{k - k % 5 % 2}", availability="OUT_OF_STOCK" if k % 11 == 0 else "IN_STOCK") for k in range(240)]
+    rows = [row(k, 7 * k, 6000 if k % 9 else 12000, offer_id=k % 3 or None, snapshot_ref=f"s{k - k % 5 % 2}", availability="OUT_OF_STOCK" if k % 11 == 0 else "IN_STOCK") for k in range(240)]
     arrived = sorted(rows, key=lambda r: r[NAMES.index("observed_at")] + timedelta(minutes=rng.uniform(0, 30)))
     for part in range(6):
         batch = spark.createDataFrame(arrived[40 * part : 40 * part + 40], INPUT).coalesce(1)

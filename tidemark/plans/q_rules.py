@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.money import discount_bp
 from ..operators import guards, rules
 from ..operators.references import last_ok_before
+from ..operators.sweeps import with_sweep_counts
 from ..sources.files import table
 from .registering import query
-from .star import OBSERVATIONS, event_observations, observations
+from .star import GAP_SECONDS, OBSERVATIONS, PAGES, SWEEPS, event_observations, observations, on_pages
 
 #: Rows with everything the rules look at, the same in both engines.
 CASES = f"""
@@ -135,8 +136,10 @@ def implied_discount_priority(spark, sf_dir):
 
 
 @query(
-    f"""WITH {OBSERVATIONS}, ctx AS (
-      SELECT *, last_value(CASE WHEN quality = 'OK' THEN price_cents END IGNORE NULLS) OVER (PARTITION BY offer_id ORDER BY observed_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM obs
+    f"""WITH {OBSERVATIONS}, {SWEEPS}, ctx AS (
+      SELECT o.*, variants, prices, previous_variants AS pv, previous_prices AS pp,
+        last_value(CASE WHEN quality = 'OK' THEN price_cents END IGNORE NULLS) OVER (PARTITION BY offer_id ORDER BY observed_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+      FROM (SELECT *, offer_id % {PAGES} AS page_key FROM obs) AS o JOIN sw USING (page_key, observed_at) JOIN counts USING (page_key, sweep)
     ), flags AS (
       SELECT offer_id, seq, price_cents <= 0 AS bad, price_cents < 20000 OR price_cents > 5000000 AS band,
         coalesce(price_cents::DOUBLE / last * 100 < 35.0 OR price_cents::DOUBLE / last * 100 > 300.0, FALSE) AS move,
@@ -144,7 +147,8 @@ def implied_discount_priority(spark, sf_dir):
         coalesce(last > 0 AND CASE WHEN unit_count > 0
           THEN abs(price_cents::DOUBLE / last - 1.0::DOUBLE / unit_count) <= 0.05::DOUBLE OR abs(price_cents::DOUBLE / last - unit_count) <= 0.05::DOUBLE
           ELSE list_bool_or(list_transform([3, 4, 5, 6, 10, 12, 20, 25, 50], lambda n: abs(price_cents::DOUBLE / last - 1.0::DOUBLE / n) <= 0.05::DOUBLE OR abs(price_cents::DOUBLE / last - n) <= 0.05::DOUBLE)) END, FALSE) AS unit,
-        offer_id % 29 = 0 AS odd, offer_id % 31 = 0 AS changed, offer_id % 37 = 0 AS collapsed, offer_id % 41 = 0 AS flat FROM ctx
+        offer_id % 29 = 0 AS odd, offer_id % 31 = 0 AS changed, 
+        coalesce(pv > 0 AND (variants < 0.5::DOUBLE * pv OR (pv - variants) * 100 >= 70 * pv), FALSE) AS collapsed, coalesce(pp >= 3 AND prices = 1, FALSE) AS flat FROM ctx
     ) SELECT offer_id, seq, CASE WHEN bad THEN 'invalid_price_or_currency' ELSE concat_ws(',', CASE WHEN band THEN 'out_of_band' END, CASE WHEN move THEN 'large_move' END,
       CASE WHEN claim THEN 'claimed_not_above_price' END, CASE WHEN unit THEN 'unit_mismatch' END,
       CASE WHEN changed THEN 'variant_identity_changed' END, CASE WHEN collapsed THEN 'variant_collapse' END, CASE WHEN flat THEN 'price_flattening' END, CASE WHEN odd THEN 'condition_unknown' END) END AS reasons,
@@ -153,12 +157,11 @@ def implied_discount_priority(spark, sf_dir):
 def guard_flags(spark, sf_dir):
     odd = F.col("offer_id") % 29 == 0
     rows = (
-        last_ok_before(observations(spark, sf_dir))
+        last_ok_before(with_sweep_counts(on_pages(observations(spark, sf_dir)), GAP_SECONDS))
         .withColumns({
             "band_floor": F.lit(20000), "band_ceiling": F.lit(5000000), "claimed_cents": F.lit(3000000), "listing_unit_count": F.lit(None).cast("bigint"),
             "wording": F.when(odd, "mystery").otherwise("new"), "condition": F.when(~odd, "NEW"), "used_page": F.lit(False),
             "variant_key": F.when(F.col("offer_id") % 31 == 0, "red").otherwise("blue"), "listing_variant_key": F.when(F.col("offer_id") % 5 != 1, "blue").when(F.col("offer_id") % 31 == 0, "blue"),
-            "previous_variants": F.lit(20), "variants": F.when(F.col("offer_id") % 37 == 0, 5).otherwise(20), "previous_prices": F.lit(5), "prices": F.when(F.col("offer_id") % 41 == 0, 1).otherwise(5),
         })
         .drop("quality")
     )
@@ -168,9 +171,9 @@ def guard_flags(spark, sf_dir):
 
 @query(
     """WITH RECURSIVE o AS (
-      SELECT user_id AS offer_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS seq, CAST(round(value * 100) AS BIGINT) AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+      SELECT user_id AS offer_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS seq, CASE WHEN event_id % 53 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
     ), f AS (
-      SELECT offer_id, seq, k, price, CAST(NULL AS BIGINT) AS last, price > 0 AS ok FROM o WHERE k = 1
+      SELECT offer_id, seq, k, price, CAST(NULL AS BIGINT) AS last, coalesce(price > 0, FALSE) AS ok FROM o WHERE k = 1
       UNION ALL
       SELECT o.offer_id, o.seq, o.k, o.price, CASE WHEN f.ok THEN f.price ELSE f.last END,
         coalesce(o.price > 0 AND NOT coalesce((CASE WHEN f.ok THEN f.price ELSE f.last END) > 0 AND (o.price::DOUBLE / (CASE WHEN f.ok THEN f.price ELSE f.last END) * 100 < 35.0

@@ -68,6 +68,26 @@ daily AS (
 )"""
 
 
+#: lineitem's pages: forty of them, looked at on the days that sell from them; a day without ends a sweep.
+PAGES, GAP_SECONDS = 40, 86_400
+
+SWEEPS = f"""sw AS (
+  SELECT page_key, observed_at, sum(starts) OVER (PARTITION BY page_key ORDER BY observed_at) AS sweep FROM (
+    SELECT page_key, observed_at, CASE WHEN date_diff('second', lag(observed_at) OVER (PARTITION BY page_key ORDER BY observed_at), observed_at) <= {GAP_SECONDS} THEN 0 ELSE 1 END AS starts
+    FROM (SELECT DISTINCT offer_id % {PAGES} AS page_key, observed_at FROM obs))
+), counts AS (
+  SELECT *, lag(variants) OVER w AS previous_variants, lag(prices) OVER w AS previous_prices FROM (
+    SELECT page_key, CAST(sweep AS BIGINT) AS sweep, count(DISTINCT offer_id) AS variants, count(DISTINCT price_cents) AS prices
+    FROM (SELECT *, offer_id % {PAGES} AS page_key FROM obs) JOIN sw USING (page_key, observed_at) GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY page_key ORDER BY sweep)
+)"""
+
+
+def on_pages(rows):
+    """Observations with the page that shows them; the offer is what varies on a page."""
+    return rows.withColumn("page_key", F.col("offer_id") % PAGES).withColumn("variant_key", F.col("offer_id").cast("string"))
+
+
 def as_of(df: DataFrame, column: str) -> DataFrame:
     """One row with the newest day or instant of the data; clocks are never read."""
     return df.agg(F.max(column).alias("as_of"))

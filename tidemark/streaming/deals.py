@@ -73,7 +73,7 @@ class DealProcessor(StatefulProcessor):
         ready = [r for r in waiting if r[at] < until]
         state = OfferState({k[0]: Deal(*v) for k, v in self.deals.iterator()}, last_ok, dict(sorted(((k[0], v[0]) for k, v in self.seen.iterator()), key=lambda x: x[1])) if ready else {})
         before, known = set(state.deals), dict(state.seen)
-        machine = Machine(key[0], state, self.rules, self.used_reference)
+        machine = Machine(int(key[0]) if key[0] else None, state, self.rules, self.used_reference)
         events = []
         for row in ready:
             events += machine.take(dict(zip(TAKEN_NAMES, row)))
@@ -109,9 +109,11 @@ def deal_event_stream(observations: DataFrame, late: str = "1 hour", rules: Rule
     What is emitted is what the batch fold gives ``until`` the watermark; a row that comes later
     than ``late`` is dropped by the watermark. The session must use the store STATE_STORE.
     """
-    rows = observations.where(F.col("observed_at").isNotNull()).withWatermark("observed_at", late).withColumn("at", F.unix_micros("observed_at")).select("observed_at", *TAKEN_NAMES)
+    rows = observations.where(F.col("observed_at").isNotNull()).withWatermark("observed_at", late).withColumn("at", F.unix_micros("observed_at"))
+    # A null is no key that state could be kept under, so offers are keyed by their number as text.
+    keyed = rows.select(F.coalesce(F.col("offer_id").cast("string"), F.lit("")).alias("offer"), "observed_at", *TAKEN_NAMES)
     processor = DealProcessor(rules, used_reference)
-    return shown(rows.groupBy("offer_id").transformWithStateInPandas(processor, TOLD, "Append", "EventTime"))
+    return shown(keyed.groupBy("offer").transformWithStateInPandas(processor, TOLD, "Append", "EventTime"))
 
 
 def first_snapshots(observations: DataFrame, late: str | None = None) -> DataFrame:

@@ -1,36 +1,165 @@
-"""Micro-batch ticks: each batch of landed observations is judged, deduplicated and appended."""
+"""Micro-batch ticks: landed observations arrive bare, get their context from keyed state, are judged
+and stored.
+
+The context is what the guards compare with: how many variants and prices the page showed in this
+sweep and the one before, and the offer's last OK price. Both live in typed state that goes from
+batch to batch, so nothing that is stored has to be read again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..config import RULES, Rules
+from ..operators.guards import judged, next_ok, sound
+from ..operators.sweeps import COUNTS
+
+#: Bare observations. ``sweep`` orders a page's passes; rows of a sweep may come in several batches.
+BARE = (
+    "offer_id long, seq string, observed_at timestamp, snapshot_ref string, page_key string, sweep long, variant_key string, listing_variant_key string, price_cents long, currency string, band_floor long, "
+    "band_ceiling long, on_clearance boolean, claimed_cents long, unit_count long, listing_unit_count long, condition string, wording string, used_page boolean"
+)
+NAMES = [c.strip().split(" ")[0] for c in BARE.split(",")]
+_COUNTED = f"{BARE}, {', '.join(f'{c} long' for c in COUNTS)}"
+_WITH_LAST = f"{_COUNTED}, sound boolean, last_price long"
+
+
+def _typed(frame: pd.DataFrame, schema: str) -> pd.DataFrame:
+    """Whole numbers and truth values in types that know nulls; pandas turns them into floats otherwise."""
+    kinds = dict(c.strip().split(" ") for c in schema.split(","))
+    return frame.astype({n: {"long": "Int64", "boolean": "boolean"}[k] for n, k in kinds.items() if k in ("long", "boolean") and n in frame})
+
+
+class SweepCounts(StatefulProcessor):
+    """Adds the counts of a page's sweep and of the one before; one page a key.
 
-from ..operators.guards import judged
-from ..operators.latest import unseen
+    ``sweeps`` (value) has the sweep that is going on and the counts of the one before; ``variants``
+    and ``prices`` (maps) what the present one has shown so far.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sweeps = handle.getValueState("sweeps", "sweep long, variants long, prices long")
+        self.shown = {"variants": handle.getMapState("variants", "name string", "n long"), "prices": handle.getMapState("prices", "name string", "n long")}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = _typed(pd.concat(list(rows))[NAMES], BARE)
+        alone = frame["page_key"].isna() | frame["sweep"].isna()
+        if alone.any():
+            yield frame[alone].assign(**{c: pd.array([None] * int(alone.sum()), dtype="Int64") for c in COUNTS})
+        if alone.all():
+            return
+        present, *before = self.sweeps.get() or (None, None, None)
+        known = {c: {k[0] for k in state.keys()} for c, state in self.shown.items()}
+        for sweep, part in frame[~alone].sort_values("sweep").groupby("sweep"):
+            if sweep != present:
+                if present is not None:
+                    before = [len(known["variants"]), len(known["prices"])]
+                present, known = int(sweep), {"variants": set(), "prices": set()}
+            known["variants"] |= set(part["variant_key"].dropna())
+            known["prices"] |= {str(p) for p in part["price_cents"].dropna()}
+            values = [len(known["variants"]), len(known["prices"]), *before]
+            yield part.assign(**{c: pd.array([v] * len(part), dtype="Int64") for c, v in zip(COUNTS, values)})
+        self.sweeps.update((present, *before))
+        for c, state in self.shown.items():
+            stored = {k[0] for k in state.keys()}
+            for name in stored - known[c]:
+                state.removeKey((name,))
+            for name in known[c] - stored:
+                state.updateValue((name,), (1,))
+
+    def close(self) -> None:
+        return None
 
 
-def take_batch(batch: DataFrame, store: str) -> None:
-    """Appends a batch's new observations, judged, to the store (parquet, by quality and day).
+class LastOk(StatefulProcessor):
+    """Drops replayed snapshots and adds the offer's last OK price; one offer a key.
 
-    A snapshot that is stored or repeated in the batch is skipped, so a batch that runs twice after a
-    lost driver is stored once.
+    ``last`` (value) is that price; ``seen`` (map) the snapshots taken, with their times. With
+    ``replay_hours`` they are forgotten that long after, by the time of the observations: a time to
+    live of Spark's would need timers of the processor's clock, with which a run over all that is
+    there never ends. Rows without a snapshot are never replays. Rows of a batch are taken in order
+    of time, batches as they come.
     """
-    spark = batch.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(store)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    keys = ["offer_id", "snapshot_ref"]
-    stored = spark.read.parquet(store).select(*keys) if there else batch.select(*keys).limit(0)
-    fresh = unseen(batch, stored, keys, [F.asc("observed_at"), F.asc("seq")], F.coalesce(F.col("snapshot_ref"), F.lit("")) == "")
-    made = judged(fresh).withColumn("observed_date", F.to_date("observed_at"))
-    made.write.mode("append").partitionBy("quality", "observed_date").parquet(store)
-
-
-def start_ticks(stream: DataFrame, store: str, checkpoint: str, every: str | None = None, handle: Callable[[DataFrame, str], None] = take_batch) -> StreamingQuery:
+
+    def __init__(self, rules: Rules, replay_hours: int | None):
+        self.rules, self.replay = rules, None if replay_hours is None else pd.Timedelta(hours=replay_hours)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "price long")
+        self.seen = handle.getMapState("seen", "snapshot_ref string", "taken long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = _typed(pd.concat(list(rows)).drop(columns="offer"), f"{_COUNTED}, sound boolean").sort_values(["observed_at", "seq"], kind="stable")
+        held = self.last.get()
+        last = held[0] if held else None
+        known = {k[0]: v[0] for k, v in self.seen.iterator()}
+        seen = dict(known)
+        kept, prices = [], []
+        facts = zip(frame["snapshot_ref"], frame["observed_at"], *[frame[c].astype(object).where(frame[c].notna(), None) for c in ("price_cents", "sound", "unit_count", "listing_unit_count")])
+        for ref, at, price, fine, count, listed in facts:
+            named = isinstance(ref, str) and ref != ""
+            taken = seen.get(ref) if named else None
+            kept.append(taken is None or self.replay is not None and not pd.isna(at) and at.value - taken > self.replay.value)
+            if not kept[-1]:
+                continue
+            if named:
+                seen[ref] = 0 if pd.isna(at) else at.value
+            prices.append(last)
+            last = next_ok(price, last, bool(fine), count, listed, self.rules)
+        if self.replay is not None and len(frame) and not pd.isna(frame["observed_at"].max()):
+            oldest = frame["observed_at"].max().value - self.replay.value
+            seen = {ref: taken for ref, taken in seen.items() if taken >= oldest}
+        for ref in known.keys() - seen.keys():
+            self.seen.removeKey((ref,))
+        for ref, taken in seen.items():
+            if known.get(ref) != taken:
+                self.seen.updateValue((ref,), (taken,))
+        if last is not None:
+            self.last.update((int(last),))
+        if prices:
+            yield frame[kept].assign(last_price=pd.array(prices, dtype="Int64"))
+
+    def close(self) -> None:
+        return None
+
+
+def judged_stream(stream: DataFrame, rules: Rules = RULES, replay_hours: int | None = RULES.replay_hours) -> DataFrame:
+    """A stream of bare observations (BARE) with context, quality and reasons. The session must use
+    the store ``deals.STATE_STORE``.
+
+    Rows without a page or a sweep have no counts, rows without an offer are one offer. A row that
+    repeats an offer's snapshot within ``replay_hours`` (None: ever) is dropped.
+    """
+    # Rows without a page are dealt by offer, so that they are no group of their own.
+    page = F.coalesce(F.concat(F.lit("p"), F.col("page_key")), F.concat(F.lit("o"), F.coalesce(F.col("offer_id").cast("string"), F.lit(""))))
+    counted = stream.select(page.alias("page"), *NAMES).groupBy("page").transformWithStateInPandas(SweepCounts(), _COUNTED, "Append", "None")
+    ready = counted.withColumn("sound", F.coalesce(sound(counted, rules), F.lit(False)))
+    # A null is no key that state could be kept under.
+    lasted = ready.withColumn("offer", F.coalesce(F.col("offer_id").cast("string"), F.lit(""))).groupBy("offer").transformWithStateInPandas(LastOk(rules, replay_hours), _WITH_LAST, "Append", "None")
+    return judged(lasted.drop("sound"), rules)
+
+
+def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+    """Stores a batch of judged rows by quality and day, under its own number.
+
+    A batch that runs again after a lost driver writes over its own rows and no others, so rows
+    are stored once whether or not they name a snapshot. A store belongs to one checkpoint.
+    """
+    batch.withColumn("observed_date", F.to_date("observed_at")).write.mode("overwrite").partitionBy("quality", "observed_date").parquet(f"{store}/batch={batch_id}")
+
+
+def stored(spark, store: str) -> DataFrame:
+    """All rows of a store."""
+    return spark.read.option("basePath", store).parquet(f"{store}/batch=*")
+
+
+def start_ticks(stream: DataFrame, store: str, checkpoint: str, every: str | None = None, rules: Rules = RULES, replay_hours: int | None = RULES.replay_hours) -> StreamingQuery:
     """Runs a tick every interval, or once over all that is there."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: handle(batch, store))
+    writer = judged_stream(stream, rules, replay_hours).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: store_batch(batch, n, store))
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
