@@ -164,10 +164,11 @@ def test_basis_points_round_like_the_column(spark):
 
 
 def test_pacing():
-    assert pacing.sliding_admissions([0, 1, 2, 3, 61], limit=2, window=60) == [True, True, False, False, True]
-    b = pacing.Budget(min_delay=10, per_hour=2, per_day=4, reserved=0.5)
+    held = pacing.Window60(2, 60)
+    assert [held.ask(t) for t in [0, 1, 2, 3, 61]] == [True, True, False, False, True]
+    gate = pacing.Gate(pacing.Budget(min_delay=10, per_hour=2, per_day=4, reserved=0.5), pacing.Breaker())
     asked = [(0, "ENROLL"), (5, "ENROLL"), (20, "ENROLL"), (40, "ENROLL"), (3700, "ENROLL"), (3720, "CONFIRM"), (7400, "CONFIRM"), (7500, "CONFIRM")]
-    assert pacing.admissions(asked, b) == ["ok", "delay", "ok", "hourly", "daily", "ok", "ok", "daily"]
+    assert [gate.ask(t, kind, False) for t, kind in asked] == ["ok", "delay", "ok", "hourly", "daily", "ok", "ok", "daily"]
     assert pacing.breaker_trips([(t, True) for t in range(5)], pacing.Breaker()) == [(4, "run", False)]
     mixed = [(t, t % 4 == 0) for t in range(20)]
     assert pacing.breaker_trips(mixed, pacing.Breaker()) == [(19, "rate", False)]
@@ -175,6 +176,25 @@ def test_pacing():
     assert pacing.breaker_trips(twice, pacing.Breaker())[-1][2] is True
 
 
+def test_the_breaker_stands_first_in_the_ladder():
+    gate = pacing.Gate(pacing.Budget(min_delay=0, per_hour=10**6, per_day=10**6), pacing.Breaker())
+    hour = 3600.0
+    assert [gate.ask(t, "HOT", True) for t in range(7)] == ["ok"] * 5 + ["breaker_open"] * 2
+    # What is turned away is not fetched and counts for nothing; blocked fetches after the cooldown trip again.
+    assert [gate.ask(12 * hour + 4 + t, "HOT", True) for t in range(7)] == ["ok"] * 5 + ["disabled"] * 2
+    far = pacing.Gate(pacing.Budget(min_delay=0, per_hour=10**6, per_day=10**6), pacing.Breaker())
+    days = [far.ask(d * 60 * hour + t, "HOT", True) for d in range(3) for t in range(6)]
+    assert days == (["ok"] * 5 + ["breaker_open"]) * 3
+
+
+def test_gated_rows(spark):
+    rows = [(r, k, START + timedelta(seconds=20 * k), "HOT", None if k % 2 else True) for r in (1, None) for k in range(4)] + [(1, 9, None, "HOT", True)]
+    frame = spark.createDataFrame(rows, "retailer_id long, seq long, at timestamp, kind string, blocked boolean")
+    got = pacing.admit_requests(frame, pacing.Budget(min_delay=30)).collect()
+    assert sorted((r.retailer_id or 0, r.seq, r.verdict) for r in got) == [(i, k, "delay" if k % 2 else "ok") for i in (0, 1) for k in range(4)]
+    assert pacing.admit_requests(frame.limit(0)).count() == 0
+
+
 def test_breaker_frame(spark):
     rows = [(1, k, START + timedelta(seconds=k), True) for k in range(5)] + [(2, 9, START, False)]
     got = pacing.breaker_events(spark.createDataFrame(rows, "retailer_id long, seq long, at timestamp, blocked boolean")).collect()

@@ -3,23 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-
-
-def sliding_admissions(times: list[float], limit: int = 30, window: float = 60.0) -> list[bool]:
-    """Whether each request is admitted; refused ones leave no trace, which no window frame expresses."""
-    kept: deque[float] = deque()
-    out = []
-    for t in times:
-        while kept and kept[0] <= t - window:
-            kept.popleft()
-        out.append(len(kept) < limit)
-        if out[-1]:
-            kept.append(t)
-    return out
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -30,30 +20,6 @@ class Budget:
     reserved: float = 0.30
 
 
-def admissions(requests: list[tuple[float, str]], budget: Budget) -> list[str]:
-    """Verdict on each (time, kind): ok, delay, hourly or daily. Hour and day start at the first
-    request in them; CONFIRM and HOT may use the reserved share of the day."""
-    last = hour = day = None
-    in_hour = in_day = 0
-    out = []
-    for t, kind in requests:
-        if hour is None or t - hour >= 3600:
-            hour, in_hour = t, 0
-        if day is None or t - day >= 86400:
-            day, in_day = t, 0
-        cap = budget.per_day if kind in ("CONFIRM", "HOT") else budget.per_day * (1 - budget.reserved)
-        if last is not None and t - last < budget.min_delay:
-            out.append("delay")
-        elif in_hour >= budget.per_hour:
-            out.append("hourly")
-        elif in_day >= cap:
-            out.append("daily")
-        else:
-            out.append("ok")
-            last, in_hour, in_day = t, in_hour + 1, in_day + 1
-    return out
-
-
 @dataclass
 class Breaker:
     run: int = 5
@@ -64,58 +30,146 @@ class Breaker:
     span: float = 48 * 3600.0
 
 
-def breaker_trips(outcomes: list[tuple[float, bool]], b: Breaker) -> list[tuple[float, str, bool]]:
-    """(time, cause, disabled) of every trip for (time, blocked) fetches; fetches while open are ignored."""
-    row, recent, opened_until, trips, out = 0, deque(maxlen=b.sample), None, [], []
-    for t, blocked in outcomes:
-        if opened_until is not None and t < opened_until:
-            continue
-        row = row + 1 if blocked else 0
-        recent.append(blocked)
-        cause = "run" if row >= b.run else "rate" if len(recent) >= b.sample and sum(recent) / len(recent) > b.rate else None
-        if cause:
-            opened_until, row = t + b.cooldown, 0
-            recent.clear()
-            trips = [x for x in trips if x > t - b.span] + [t]
-            disabled = len(trips) >= b.trips
-            out.append((t, cause, disabled))
-            if disabled:
-                break
-    return out
-
-
-def _seconds(pdf: pd.DataFrame) -> list[float]:
-    return [t.timestamp() for t in pdf["at"]]
+class Circuit:
+    """A retailer's breaker: outcomes go in, trips come out."""
+
+    def __init__(self, b: Breaker):
+        self.b, self.row, self.recent = b, 0, deque(maxlen=b.sample)
+        self.open_until: float | None = None
+        self.trips: list[float] = []
+        self.disabled = False
+
+    def open(self, t: float) -> bool:
+        return self.open_until is not None and t < self.open_until
+
+    def record(self, t: float, blocked: bool) -> str | None:
+        """The cause if this outcome trips the breaker. Outcomes count while it is open, but trip nothing."""
+        b = self.b
+        self.row = self.row + 1 if blocked else 0
+        self.recent.append(bool(blocked))
+        cause = "run" if self.row >= b.run else "rate" if len(self.recent) >= b.sample and sum(self.recent) / len(self.recent) > b.rate else None
+        if cause is None or self.open(t):
+            return None
+        self.open_until, self.row = t + b.cooldown, 0
+        self.trips = [x for x in self.trips if t - x < b.span] + [t]
+        self.disabled = self.disabled or len(self.trips) >= b.trips
+        return cause
+
+
+def breaker_trips(outcomes: Iterable[tuple[float, bool]], b: Breaker) -> list[tuple[float, str, bool]]:
+    """(time, cause, disabled) of every trip for (time, blocked) fetches."""
+    circuit = Circuit(b)
+    found = ((t, circuit.record(t, blocked)) for t, blocked in outcomes)
+    return [(t, cause, circuit.disabled) for t, cause in found if cause]
+
+
+class Gate:
+    """A retailer's whole ladder: disabled, breaker_open, delay, hourly, daily, else ok.
+
+    What is let through is fetched, and its outcome feeds the breaker that stands first in the ladder.
+    """
+
+    def __init__(self, budget: Budget, b: Breaker):
+        self.budget, self.circuit = budget, Circuit(b)
+        self.last = self.hour = self.day = None
+        self.in_hour = self.in_day = 0
+
+    def ask(self, t: float, kind: str | None, blocked: bool) -> str:
+        """The verdict on a request; ``blocked`` is what its fetch would meet."""
+        if self.hour is None or t - self.hour >= 3600:
+            self.hour, self.in_hour = t, 0
+        if self.day is None or t - self.day >= 86400:
+            self.day, self.in_day = t, 0
+        budget = self.budget
+        cap = budget.per_day if kind in ("CONFIRM", "HOT") else budget.per_day * (1 - budget.reserved)
+        if self.circuit.disabled:
+            return "disabled"
+        if self.circuit.open(t):
+            return "breaker_open"
+        if self.last is not None and t - self.last < budget.min_delay:
+            return "delay"
+        if self.in_hour >= budget.per_hour:
+            return "hourly"
+        if self.in_day >= cap:
+            return "daily"
+        self.last, self.in_hour, self.in_day = t, self.in_hour + 1, self.in_day + 1
+        self.circuit.record(t, blocked)
+        return "ok"
+
+
+class Window60:
+    """A client's sliding window of admitted requests."""
+
+    def __init__(self, limit: int, window: float):
+        self.limit, self.window, self.kept = limit, window, deque()
+
+    def ask(self, t: float) -> bool:
+        while self.kept and self.kept[0] <= t - self.window:
+            self.kept.popleft()
+        if len(self.kept) >= self.limit:
+            return False
+        self.kept.append(t)
+        return True
+
+
+def _folded(rows: DataFrame, key: str, fields: list[str], start: Callable[[], Callable[[float, tuple], tuple | None]], added: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """``rows`` (key, seq, at and ``fields``) of every key in order of time through a step of its own.
+
+    The step gets a row's seconds and fields and gives the values of the columns ``added``, or None
+    for no row. A key's rows stream through one task; only what the step holds is kept. Rows
+    without a time have no place and are left out; rows without a key are one key.
+    """
+    taken = rows.select(key, "seq", "at", *fields).where(F.col("at").isNotNull()).withColumn("seconds", F.unix_micros("at") / 1_000_000).repartition(key).sortWithinPartitions(key, "at", "seq")
+    types = T.StructType([*taken.drop("seconds").schema.fields, *[T.StructField(n, T._parse_datatype_string(d)) for n, _, d in added]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, begun, step = None, False, None
+        for batch in batches:
+            told = []
+            for who, seconds, *values in zip(*[batch.column(c).to_pylist() for c in (key, "seconds", *fields)]):
+                if not begun or who != present:
+                    present, begun, step = who, True, start()
+                told.append(step(seconds, tuple(values)))
+            kept = batch.filter(pa.array([x is not None for x in told], pa.bool_())).drop_columns(["seconds"])
+            columns = zip(*[x for x in told if x is not None]) if kept.num_rows else [()] * len(added)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(list(c), t) for c, (_, t, _) in zip(columns, added)]], [*kept.schema.names, *[n for n, _, _ in added]])
+
+    return taken.mapInArrow(run, types)
 
 
 def limit_requests(requests: DataFrame, limit: int = 30, window: float = 60.0) -> DataFrame:
-    """(client long, seq long, at timestamp) with ``admitted``."""
+    """(client, seq, at) with ``admitted``."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        return pdf.assign(admitted=sliding_admissions(_seconds(pdf), limit, window))
+    def start():
+        held = Window60(limit, window)
+        return lambda t, _: (held.ask(t),)
 
-    return requests.select("client", "seq", "at").groupBy("client").applyInPandas(fold, "client long, seq long, at timestamp, admitted boolean")
+    return _folded(requests, "client", [], start, [("admitted", pa.bool_(), "boolean")])
 
 
 def breaker_events(fetches: DataFrame, b: Breaker = Breaker()) -> DataFrame:  # noqa: B008
-    """(retailer_id, at, cause, disabled) from (retailer_id long, seq long, at timestamp, blocked boolean)."""
+    """(retailer_id, at, cause, disabled) of every trip from (retailer_id, seq, at, blocked)."""
+
+    def start():
+        circuit = Circuit(b)
+
+        def step(t: float, values: tuple) -> tuple | None:
+            cause = circuit.record(t, values[0])
+            return (cause, circuit.disabled) if cause else None
+
+        return step
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        found = breaker_trips(list(zip(_seconds(pdf), pdf["blocked"])), b)
-        who = int(pdf["retailer_id"].iloc[0])
-        rows = [(who, pd.Timestamp(t, unit="s"), c, d) for t, c, d in found]
-        return pd.DataFrame(rows, columns=["retailer_id", "at", "cause", "disabled"]).astype({"at": "datetime64[us]", "disabled": "bool", "retailer_id": "int64"})
+    return _folded(fetches, "retailer_id", ["blocked"], start, [("cause", pa.string(), "string"), ("disabled", pa.bool_(), "boolean")]).select("retailer_id", "at", "cause", "disabled")
 
-    return fetches.select("retailer_id", "seq", "at", "blocked").groupBy("retailer_id").applyInPandas(fold, "retailer_id long, at timestamp, cause string, disabled boolean")
 
+def admit_requests(requests: DataFrame, budget: Budget = Budget(), b: Breaker = Breaker()) -> DataFrame:  # noqa: B008
+    """(retailer_id, seq, at, kind, blocked) with ``verdict``, the first rung of the ladder that holds.
 
-def admit_requests(requests: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
-    """(retailer_id long, seq long, at timestamp, kind string) with ``verdict``."""
+    ``blocked`` is what a request meets if it is let through; a null counts as not blocked.
+    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        return pdf.assign(verdict=admissions(list(zip(_seconds(pdf), pdf["kind"])), budget))
+    def start():
+        gate = Gate(budget, b)
+        return lambda t, values: (gate.ask(t, *values),)
 
-    return requests.select("retailer_id", "seq", "at", "kind").groupBy("retailer_id").applyInPandas(fold, "retailer_id long, seq long, at timestamp, kind string, verdict string")
+    return _folded(requests, "retailer_id", ["kind", "blocked"], start, [("verdict", pa.string(), "string")])

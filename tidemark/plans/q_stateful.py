@@ -229,15 +229,55 @@ def rate_limit_fold(spark, sf_dir):
     return pacing.limit_requests(rows, 5, 172800.0).select("client", "seq", "admitted")
 
 
-@query()
+def _trip(row: str, recent: str, open_until: str, t: str) -> str:
+    return f"(({row} >= 5 OR len({recent}) >= 20 AND list_sum({recent}) / len({recent})::DOUBLE > 0.20::DOUBLE) AND ({open_until} IS NULL OR {t} >= {open_until}))"
+
+
+BREAKER = f"""WITH RECURSIVE r AS (
+  SELECT user_id % 50 AS retailer_id, ts, epoch_us(ts) AS t, event_type IN ('error', 'signup') AS blocked, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events
+), f AS (
+  SELECT DISTINCT retailer_id, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, 0 AS row, []::INTEGER[] AS recent, NULL::BIGINT AS open_until, []::BIGINT[] AS trips, FALSE AS disabled, NULL::VARCHAR AS cause FROM r
+  UNION ALL
+  SELECT retailer_id, n, ts, CASE WHEN trip THEN 0 ELSE row END, recent, CASE WHEN trip THEN t + 43200000000 ELSE open_until END,
+    CASE WHEN trip THEN after ELSE trips END, disabled OR trip AND len(after) >= 2, CASE WHEN trip THEN CASE WHEN row >= 5 THEN 'run' ELSE 'rate' END END FROM (
+    SELECT *, {_trip("row", "recent", "open_until", "t")} AS trip, list_append(list_filter(trips, lambda x: t - x < 172800000000), t) AS after FROM (
+      SELECT f.retailer_id, r.n, r.ts, r.t, CASE WHEN r.blocked THEN f.row + 1 ELSE 0 END AS row, list_append(f.recent, CASE WHEN r.blocked THEN 1 ELSE 0 END)[-20:] AS recent, f.open_until, f.trips, f.disabled
+      FROM f JOIN r ON r.retailer_id = f.retailer_id AND r.n = f.n + 1))
+) SELECT retailer_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, cause, disabled FROM f WHERE cause IS NOT NULL"""
+
+
+@query(BREAKER)
 def breaker_trips(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("retailer_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").isin("error", "signup").alias("blocked"))
     return pacing.breaker_events(rows).withColumn("at", shown_time(F.col("at")))
 
 
-@query()
+LADDER = f"""WITH RECURSIVE r AS (
+  SELECT user_id % 25 AS retailer_id, event_id AS seq, epoch_us(ts) AS t, event_type = 'purchase' AS reserve, event_type = 'error' AND event_id % 4 < 3 AS blocked,
+    row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS n FROM events
+), f AS (
+  SELECT DISTINCT retailer_id, 0::BIGINT AS n, 0::BIGINT AS seq, NULL::BIGINT AS last, NULL::BIGINT AS hour, NULL::BIGINT AS day, 0 AS in_hour, 0 AS in_day,
+    0 AS row, []::INTEGER[] AS recent, NULL::BIGINT AS open_until, []::BIGINT[] AS trips, FALSE AS disabled, ''::VARCHAR AS verdict FROM r
+  UNION ALL
+  SELECT retailer_id, n, seq, CASE WHEN ok THEN t ELSE last END, hour, day, in_hour + CASE WHEN ok THEN 1 ELSE 0 END, in_day + CASE WHEN ok THEN 1 ELSE 0 END,
+    CASE WHEN ok AND trip THEN 0 WHEN ok THEN row_after ELSE row END, CASE WHEN ok THEN recent_after ELSE recent END, CASE WHEN ok AND trip THEN t + 43200000000 ELSE open_until END,
+    CASE WHEN ok AND trip THEN trips_after ELSE trips END, disabled OR ok AND trip AND len(trips_after) >= 2, verdict FROM (
+    SELECT *, verdict = 'ok' AS ok, {_trip("row_after", "recent_after", "open_until", "t")} AS trip FROM (
+      SELECT *, list_append(list_filter(trips, lambda x: t - x < 172800000000), t) AS trips_after,
+        CASE WHEN disabled THEN 'disabled' WHEN t < open_until THEN 'breaker_open' WHEN t - last < 600000000 THEN 'delay' WHEN in_hour >= 2 THEN 'hourly'
+          WHEN in_day >= CASE WHEN reserve THEN 10 ELSE 7 END THEN 'daily' ELSE 'ok' END AS verdict FROM (
+        SELECT f.retailer_id, r.n, r.seq, r.t, r.reserve, f.last, CASE WHEN f.hour IS NULL OR r.t - f.hour >= 3600000000 THEN r.t ELSE f.hour END AS hour, CASE WHEN f.day IS NULL OR r.t - f.day >= 86400000000 THEN r.t ELSE f.day END AS day,
+          CASE WHEN f.hour IS NULL OR r.t - f.hour >= 3600000000 THEN 0 ELSE f.in_hour END AS in_hour, CASE WHEN f.day IS NULL OR r.t - f.day >= 86400000000 THEN 0 ELSE f.in_day END AS in_day,
+          f.row, CASE WHEN r.blocked THEN f.row + 1 ELSE 0 END AS row_after, f.recent, list_append(f.recent, CASE WHEN r.blocked THEN 1 ELSE 0 END)[-20:] AS recent_after, f.open_until, f.trips, f.disabled
+        FROM f JOIN r ON r.retailer_id = f.retailer_id AND r.n = f.n + 1)))
+) SELECT retailer_id, seq, verdict FROM f WHERE n > 0"""
+
+
+@query(LADDER)
 def admission_ladder(spark, sf_dir):
-    """Verdicts of delay, hour and day budgets, scaled to the density of the events."""
+    """Verdicts of the whole ladder, its budgets scaled to the density of the events; what is let through
+    and blocked opens the breaker."""
     kind = F.when(F.col("event_type") == "purchase", "CONFIRM").otherwise("ENROLL")
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("retailer_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"))
-    return pacing.admit_requests(rows, pacing.Budget(min_delay=600, per_hour=2, per_day=20)).select("retailer_id", "seq", "verdict")
+    blocked = (F.col("event_type") == "error") & (F.col("event_id") % 4 < 3)
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("retailer_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), blocked.alias("blocked"))
+    return pacing.admit_requests(rows, pacing.Budget(min_delay=600, per_hour=2, per_day=10)).select("retailer_id", "seq", "verdict")
