@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators import guards, references as R
+from tidemark.sources import captures
 
 SCHEMA = "offer_id long, observed_at timestamp, observed_date date, price_cents long, shipping_cents long, on_clearance boolean, quality string, availability string, seq string"
 
@@ -101,15 +102,15 @@ def test_captures(spark):
     now = F.lit("2024-05-01 00:00:00").cast("timestamp")
     rows = [
         ("https://shop.example.com/a", "T\x07itle", None, None, 1000, 900, None, None),
-        ("http://shop.example.com/a", None, None, None, 1000, None, None, None),
-        ("https://localhost/a", None, None, None, 1000, None, None, None),
-        ("https://shop.example.com/a", None, "mint", None, 1000, None, None, None),
-        ("https://shop.example.com/a", None, "used", "usd", 0, None, None, None),
+        ("http://shop.example.com/a", "T", None, None, 1000, None, None, None),
+        ("https://localhost/a", "T", None, None, 1000, None, None, None),
+        ("https://shop.example.com/a", "T", "mint", None, 1000, None, None, None),
+        ("https://shop.example.com/a", "T", "used", "usd", 0, None, None, None),
         (None, None, None, None, 1000, None, None, None),
-        ("https://shop.example.com/a", None, "used", "dollars", 10, 20, None, "short"),
+        ("https://shop.example.com/a", "T", "used", "dollars", 10, 20, None, "short"),
     ]
     df = spark.createDataFrame(rows, "product_url string, title string, condition string, currency string, current_cents long, was_cents long, captured_at timestamp, idempotency_key string")
-    got = guards.validate_captures(df, now).collect()
+    got = captures.validate_captures(df, now).collect()
     assert [r.error for r in got] == [None, "product_url_not_https", "product_url_bad_host", "condition_unknown", "current_price_invalid", "product_url_missing", "currency_invalid"]
     assert (got[0].title, got[0].condition, got[0].was_cents, got[0].currency) == ("Title", "NEW", None, "USD")
     assert got[0].idempotency_key.startswith("auto_") and len(got[0].idempotency_key) == 45

@@ -1,20 +1,16 @@
-"""Quality guards on observations, table constraints and capture validation."""
+"""Quality guards on observations and table constraints."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import CAPTURE_CONDITIONS, RULES, Rules
-from ..functions.basics import first_reason, lookup, reasons
-from ..functions.times import minute_bucket
-from ..functions.web import host_of, is_https
+from ..config import RULES, Rules
+from ..functions.basics import reasons
 
 
 def _or_false(test: Column) -> Column:
@@ -136,71 +132,3 @@ def constraint_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations): rows for which a rule does not hold; a null verdict is no violation."""
     counts = df.agg(*[F.count_if(~rule).alias(name) for name, rule in rules.items()])
     return counts.select(F.explode(F.create_map(*[x for n in rules for x in (F.lit(n), F.col(n))])).alias("rule", "violations"))
-
-
-# ---------------------------------------------------------------- captures
-
-
-@F.pandas_udf(T.StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """Unicode NFC, which no built-in function gives."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
-#: Most fields of a capture's extras, and most characters of one.
-RAW_FIELDS, RAW_LENGTH = 20, 2000
-
-
-def clean_text(text: Column, longest: int) -> Column:
-    """Text in Unicode NFC without control characters, cut to a length; null if nothing is left."""
-    plain = F.trim(F.regexp_replace(composed(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
-    return F.nullif(F.substring(plain, 1, longest), F.lit(""))
-
-
-def validate_captures(df: DataFrame, now: Column) -> DataFrame:
-    """Checked captures: cleaned fields, ``error`` (null if accepted) and the idempotency key.
-
-    Input: product_url, title, condition, currency, current_cents, was_cents, captured_at,
-    idempotency_key and, where given, variant_label and raw (a map of texts; all nullable). A key of
-    the sender's counts; else captures of one page, variant and price in a minute share theirs.
-    """
-    have = set(df.columns)
-    variant = clean_text(F.col("variant_label"), 500) if "variant_label" in have else F.lit(None).cast("string")
-    raw = F.col("raw") if "raw" in have else F.lit(None).cast("map<string,string>")
-    url, price, was = F.col("product_url"), F.col("current_cents"), F.col("was_cents")
-    host = host_of(url)
-    condition = lookup(CAPTURE_CONDITIONS, F.upper(F.trim(F.coalesce("condition", F.lit("NEW")))))
-    at = F.coalesce(F.col("captured_at"), now)
-    currency = F.upper(F.trim(F.coalesce("currency", F.lit("USD"))))
-    error = first_reason(
-        [
-            ("product_url_missing", url.isNull() | (F.trim(url) == "")),
-            ("product_url_too_long", F.length(url) > 2048),
-            ("product_url_control_chars", url.rlike(r"[\x00-\x1F\x7F]")),
-            ("product_url_not_https", ~is_https(url)),
-            ("product_url_bad_host", host.isNull() | ~host.contains(".") | F.try_parse_url(url, F.lit("USERINFO")).isNotNull()),
-            ("current_price_invalid", price.isNull() | ~price.between(1, 10_000_000)),
-            ("was_price_invalid", was.isNotNull() & ~was.between(1, 10_000_000)),
-            ("condition_unknown", condition.isNull()),
-            ("captured_at_future", at > now + F.expr("INTERVAL 5 MINUTES")),
-            ("captured_at_too_old", at < now - F.expr("INTERVAL 7 DAYS")),
-            ("currency_invalid", ~currency.rlike("^[A-Z]{3}$")),
-            ("raw_too_large", (F.size(raw) > RAW_FIELDS) | F.exists(F.map_keys(raw), lambda k: F.length(k) > 100) | F.exists(F.map_values(raw), lambda v: F.length(v) > RAW_LENGTH)),
-            ("idempotency_key_invalid", F.col("idempotency_key").isNotNull() & ~F.length("idempotency_key").between(8, 128)),
-        ]
-    )
-    derived = F.concat(F.lit("auto_"), F.substring(F.sha2(F.concat_ws("|", host, url, F.coalesce(variant, F.lit("")), price.cast("string"), minute_bucket(at)).cast("binary"), 256), 1, 40))
-    return df.select(
-        url,
-        host.alias("host"),
-        clean_text(F.col("title"), 500).alias("title"),
-        condition.alias("condition"),
-        currency.alias("currency"),
-        price,
-        F.when(was > price, was).alias("was_cents"),
-        at.alias("captured_at"),
-        variant.alias("variant_label"),
-        raw.alias("raw"),
-        F.coalesce("idempotency_key", derived).alias("idempotency_key"),
-        error.alias("error"),
-    )

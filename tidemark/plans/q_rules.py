@@ -193,43 +193,3 @@ def guard_recurrence(spark, sf_dir):
 def constraint_report(spark, sf_dir):
     checks = {"price_positive": F.col("l_extendedprice") > 0, "discount_range": F.col("l_discount").between(0, 0.05), "status_known": F.col("l_linestatus").isin("O")}
     return guards.constraint_report(table(spark, sf_dir, "lineitem"), checks)
-
-
-CAPTURES = """WITH c AS (
-  SELECT page_id, url AS product_url, CASE page_id % 3 WHEN 0 THEN 'Size ' || page_id % 7 WHEN 1 THEN '' END AS variant, 'T' || page_id AS title, CASE page_id % 4 WHEN 0 THEN 'used' WHEN 1 THEN NULL WHEN 2 THEN 'mint' ELSE 'open_box' END AS condition, page_id * 100 AS cents,
-    CASE WHEN page_id % 3 = 0 THEN page_id * 90 ELSE page_id * 150 END AS was, TIMESTAMP '2024-05-01 00:00:00' - INTERVAL 1 HOUR * (page_id % 200) AS taken, TIMESTAMP '2024-05-01 00:00:00' AS reference_time FROM pages
-), h AS (SELECT *, regexp_extract(product_url, '^[a-z]+://([^/?#]+)', 1) AS host,
-   CASE WHEN condition IS NULL THEN 'NEW' WHEN upper(condition) = 'USED' THEN 'USED_UNGRADED' WHEN upper(condition) = 'OPEN_BOX' THEN 'NEW_OPEN_BOX' END AS cond FROM c)"""
-
-
-def captures(spark, sf_dir):
-    i, now = F.col("page_id"), F.lit("2024-05-01 00:00:00").cast("timestamp")
-    rows = table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.col("url").alias("product_url"),
-        F.concat(F.lit("T"), i.cast("string")).alias("title"),
-        F.when(i % 4 == 0, "used").when(i % 4 == 2, "mint").when(i % 4 == 3, "open_box").alias("condition"),
-        F.lit(None).cast("string").alias("currency"),
-        (i * 100).alias("current_cents"),
-        F.when(i % 3 == 0, i * 90).otherwise(i * 150).alias("was_cents"),
-        (now - F.make_dt_interval(hours=(i % 200).cast("int"))).alias("captured_at"),
-        F.lit(None).cast("string").alias("idempotency_key"),
-        F.when(i % 3 == 0, F.concat(F.lit(" Size "), (i % 7).cast("string"))).when(i % 3 == 1, "").alias("variant_label"),
-    )
-    return guards.validate_captures(rows, now)
-
-
-@query(
-    f"""{CAPTURES} SELECT product_url, host, cond AS condition, CASE WHEN was > cents THEN was END AS was_cents,
-    CASE WHEN product_url NOT LIKE 'https://%' THEN 'product_url_not_https' WHEN NOT cents BETWEEN 1 AND 10000000 THEN 'current_price_invalid'
-      WHEN NOT was BETWEEN 1 AND 10000000 THEN 'was_price_invalid' WHEN cond IS NULL THEN 'condition_unknown' WHEN taken < reference_time - INTERVAL 7 DAY THEN 'captured_at_too_old' END AS error FROM h"""
-)
-def capture_validation(spark, sf_dir):
-    return captures(spark, sf_dir).select("product_url", "host", "condition", "was_cents", "error")
-
-
-@query(
-    f"""{CAPTURES} SELECT product_url, 'auto_' || substr(sha256(host || '|' || product_url || '|' || coalesce(nullif(variant, ''), '') || '|' || cents || '|' || strftime(taken, '%Y-%m-%dT%H:%M')), 1, 40) AS idempotency_key FROM h"""
-)
-def capture_idempotency_key(spark, sf_dir):
-    return captures(spark, sf_dir).select("product_url", "idempotency_key")
