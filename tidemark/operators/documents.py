@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SHOWN_AVAILABILITY, SHOWN_CLAIM, SHOWN_REFERENCE, SHOWN_SELLER
 from ..functions.basics import lookup
 from ..functions.times import iso_z
+from ..functions.web import host_of
 
 
 def reference_label(kind: Column, lane: Column, days: Column) -> Column:
@@ -41,16 +42,22 @@ def deal_documents(deals: DataFrame) -> DataFrame:
 
 
 def feed_violations(documents: DataFrame) -> DataFrame:
-    """(deal_id, rule) for every document that breaks a schema or cross-field rule."""
+    """(deal_id, rule) for every document that breaks a schema or cross-field rule.
+
+    Documents with ``retailer_url`` and ``hosts`` (the retailer's own) must have an https URL on one of them.
+    The whole of a document's schema is checked by ``schemas.schema_violations``.
+    """
     rules = {
         "lane_enum": F.col("lane").isin("VERIFIED", "CLAIMED", "USED"),
         "seller_enum": F.col("seller_type").isin("FIRST_PARTY", "MARKETPLACE"),
         "price_positive": F.col("price_cents") > 0,
         "discount_range": F.col("discount_bp").between(0, 10000),
         "claimed_without_reference": (F.col("lane") != "CLAIMED") | F.col("reference_cents").isNull(),
-        "verified_with_reference": (F.col("lane") == "CLAIMED") | F.col("reference_cents").isNotNull(),
+        "verified_with_reference": ~F.col("lane").isin("VERIFIED", "USED") | F.col("reference_cents").isNotNull(),
         "reference_above_price": F.col("reference_cents").isNull() | (F.col("reference_cents") > F.col("price_cents")),
     }
+    if {"retailer_url", "hosts"} <= set(documents.columns):
+        rules["url_allowed"] = F.col("retailer_url").startswith("https://") & F.array_contains("hosts", host_of(F.col("retailer_url")))
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()]))
     return documents.select("deal_id", F.explode(broken).alias("rule"))
 

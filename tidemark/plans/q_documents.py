@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.money import discount_bp
 from ..operators import documents as D
+from ..operators import schemas
 from ..sources.files import table
 from .q_references import ALL, daily
 from .registering import query
-from .star import observations
+from .star import OBSERVATIONS, observations
 
 FACTS = """facts AS (SELECT user_id % 20 AS retailer_id, max(ts) FILTER (WHERE event_type = 'purchase') AS last_success, count(*) FILTER (WHERE event_type = 'error') AS blocked, count(*) AS fetched,
   CASE WHEN user_id % 20 = 3 THEN TIMESTAMP '2030-01-01' END AS breaker, (SELECT max(ts) FROM events) AS now FROM events GROUP BY user_id % 20)"""
@@ -80,11 +81,87 @@ def deal_document(spark, sf_dir):
     return D.deal_documents(deals(spark, sf_dir))
 
 
-@query(f"{DOCUMENT} SELECT deal_id, 'verified_with_reference' AS rule FROM docs WHERE lane <> 'CLAIMED' AND reference_cents IS NULL AND FALSE UNION ALL SELECT deal_id, 'price_positive' FROM docs WHERE NOT price_cents > 0 UNION ALL SELECT deal_id, 'reference_above_price' FROM docs WHERE reference_cents <= price_cents UNION ALL SELECT deal_id, 'lane_enum' FROM docs WHERE deal_id % 97 = 0")
+def altered(spark, sf_dir):
+    """Documents of which some break a rule: a lane that does not exist, a reference that is missing or should not be there."""
+    k, lane = F.col("deal_id"), F.col("lane")
+    reference = F.when((k % 89 == 0) & (lane != "CLAIMED"), F.lit(None)).when((k % 83 == 0) & (lane == "CLAIMED"), F.col("price_cents") * 2).when(k % 79 == 0, F.col("price_cents")).otherwise(F.col("reference_cents"))
+    changed = D.deal_documents(deals(spark, sf_dir)).withColumn("reference_cents", reference.cast("bigint")).withColumn("lane", F.when(k % 97 == 0, F.concat(F.lit("X"), "lane")).otherwise(lane))
+    url = F.when(k % 73 == 0, "http://shop.example.com/").when(k % 71 == 0, "https://other.example.com/").otherwise("https://shop.example.com/")
+    return changed.withColumns({"retailer_url": url, "hosts": F.array(F.lit("shop.example.com"), F.lit("www.shop.example.com"))})
+
+
+ALTERED = f"""{DOCUMENT}, altered AS (
+  SELECT * REPLACE (CASE WHEN deal_id % 97 = 0 THEN 'X' || lane ELSE lane END AS lane,
+    CASE WHEN deal_id % 89 = 0 AND lane <> 'CLAIMED' THEN NULL WHEN deal_id % 83 = 0 AND lane = 'CLAIMED' THEN price_cents * 2 WHEN deal_id % 79 = 0 THEN price_cents ELSE reference_cents END AS reference_cents) FROM docs
+)"""
+
+
+@query(
+    f"""{ALTERED} SELECT deal_id, 'lane_enum' AS rule FROM altered WHERE lane NOT IN ('VERIFIED', 'CLAIMED', 'USED')
+    UNION ALL SELECT deal_id, 'price_positive' FROM altered WHERE NOT price_cents > 0
+    UNION ALL SELECT deal_id, 'verified_with_reference' FROM altered WHERE lane IN ('VERIFIED', 'USED') AND reference_cents IS NULL
+    UNION ALL SELECT deal_id, 'claimed_without_reference' FROM altered WHERE lane = 'CLAIMED' AND reference_cents IS NOT NULL
+    UNION ALL SELECT deal_id, 'reference_above_price' FROM altered WHERE reference_cents <= price_cents
+    UNION ALL SELECT deal_id, 'url_allowed' FROM altered WHERE deal_id % 73 = 0 OR deal_id % 71 = 0"""
+)
 def feed_validation(spark, sf_dir):
-    made = D.deal_documents(deals(spark, sf_dir)).withColumn("lane", F.when(F.col("deal_id") % 97 == 0, F.concat(F.lit("X"), "lane")).otherwise(F.col("lane")))
-    broken = D.feed_violations(made)
-    return broken.where("not (deal_id % 97 = 0 and rule = 'verified_with_reference')")
+    return D.feed_violations(altered(spark, sf_dir))
+
+
+def deal_texts(spark, sf_dir):
+    """Deals as JSON texts in full, every thirteenth of a kind broken in a way of its own."""
+    k, cents = F.col("deal_id"), F.col("price_cents")
+    way = k % 13
+    text = lambda c: F.lit(c)
+    detail = F.struct(F.lit("OWN_HISTORY_MEDIAN_90D").alias("kind"), F.when(way == 6, F.lit(0).cast("bigint")).otherwise(cents * 3).alias("cents"), F.lit("L").alias("label"), F.when(way == 5, 1).alias("surplus"))
+    claim = F.struct(F.when(way == 7, "ODD").otherwise("WAS").alias("kind"), (cents * 4).alias("cents"), F.lit(False).alias("inflated_vs_reference"))
+    row = F.struct(
+        k.cast("string").alias("deal_id"), F.when(way == 0, "CLEAR").otherwise(F.col("lane")).alias("lane"), text("DEEP_DISCOUNT_NEW").alias("rule"), text("p").alias("product_slug"), text("P").alias("product_name"),
+        F.when(way == 1, "").otherwise("B").alias("brand"), text("rod").alias("category"), text("v").alias("variant_pub_id"), text("V").alias("variant_label"), text("s").alias("retailer_slug"), text("https://s.example.com/").alias("retailer_url"),
+        text("NEW").alias("condition"), text("S").alias("seller_name"), F.col("seller_type"), F.when(way == 2, F.lit(0).cast("bigint")).otherwise(cents).alias("price_cents"), F.lit(None).cast("bigint").alias("shipping_cents"), F.lit(None).cast("bigint").alias("landed_price_cents"),
+        F.when(k % 2 == 0, detail).alias("reference"), F.when(k % 3 == 0, claim).alias("claimed_reference"), F.when(way == 3, F.lit(100.5)).otherwise(F.lit(66.67)).alias("discount_pct"), F.col("availability"),
+        F.lit(5).alias("stock_qty"), F.col("detected_at").alias("first_confirmed_at"), F.col("last_confirmed_at"),
+    )
+    whole = F.to_json(row, {"ignoreNullFields": "false"})
+    # A surplus key that is null is no key in the texts of sound deals.
+    whole = F.when(way == 5, whole).otherwise(F.replace(whole, F.lit(',"surplus":null'), F.lit("")))
+    whole = F.when(way == 4, F.replace(whole, F.lit('"stock_qty":5,'), F.lit(""))).when(way == 8, F.regexp_replace(whole, r'"price_cents":\d+', '"price_cents":"1"')).when(way == 9, F.replace(whole, F.lit("}"), F.lit(""))).when(way == 10, F.replace(whole, F.lit('"stock_qty":5'), F.lit('"stock_qty":5.5'))).otherwise(whole)
+    return D.deal_documents(deals(spark, sf_dir)).select("deal_id", whole.alias("body"))
+
+
+@query(
+    f"""{DOCUMENT} SELECT deal_id, path, rule FROM docs JOIN (VALUES (0, 'lane', 'enum', 1, 1), (1, 'brand', 'empty', 1, 1), (2, 'price_cents', 'bounds', 1, 1), (3, 'discount_pct', 'bounds', 1, 1), (4, 'stock_qty', 'required', 1, 1),
+      (5, 'reference', 'extra_keys', 2, 1), (6, 'reference.cents', 'bounds', 2, 1), (7, 'claimed_reference.kind', 'enum', 1, 3), (8, 'price_cents', 'type', 1, 1), (9, '', 'json', 1, 1), (10, 'stock_qty', 'type', 1, 1)) AS w(way, path, rule, half, third)
+    ON deal_id % 13 = way AND deal_id % half = 0 AND deal_id % third = 0"""
+)
+def feed_schema_violations(spark, sf_dir):
+    return schemas.schema_violations(deal_texts(spark, sf_dir), "body", schemas.DEAL, "deal_id")
+
+
+def product_texts(spark, sf_dir):
+    """Products as nested JSON texts; offers of every seventh part have a negative price, of every ninth no word on clearance."""
+    o = F.col("offer_id")
+    offer = F.struct(
+        F.lit("s").alias("retailer_slug"), F.lit("u").alias("url"), F.lit("NEW").alias("condition"), F.lit("S").alias("seller_name"), F.lit("MARKETPLACE").alias("seller_type"), F.when(o % 7 == 0, -F.col("low")).otherwise(F.col("low")).alias("price_cents"),
+        F.lit(0).alias("shipping_cents"), F.lit("IN_STOCK").alias("availability"), F.when(o % 9 != 0, F.lit(True)).alias("on_clearance"), F.lit("t").alias("observed_at"),
+    )
+    lows = observations(spark, sf_dir).groupBy("offer_id", "variant_id").agg(F.min("price_cents").alias("low"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["o"])
+    variants = lows.groupBy("variant_id").agg(listed(F.struct(o.alias("k"), offer.alias("o"))).alias("offers"))
+    variant = F.struct(F.col("variant_id").cast("string").alias("variant_pub_id"), F.lit("L").alias("label"), F.struct(F.lit(1).alias("a")).alias("attributes"), "offers", F.array().cast("array<int>").alias("history"))
+    products = variants.groupBy(F.expr("variant_id div 5").alias("product_id")).agg(listed(F.struct(F.col("variant_id").alias("k"), variant.alias("o"))).alias("variants"))
+    row = F.struct(F.lit("p").alias("slug"), F.lit("P").alias("name"), F.lit("B").alias("brand"), F.when(F.col("product_id") % 11 == 0, "boat").otherwise("rod").alias("category"), "variants")
+    return products.select("product_id", F.to_json(row).alias("body"))
+
+
+@query(
+    f"""WITH {OBSERVATIONS}, o AS (SELECT DISTINCT offer_id, variant_id, variant_id // 5 AS product_id FROM obs),
+    p AS (SELECT *, 'variants.' || (dense_rank() OVER (PARTITION BY product_id ORDER BY variant_id) - 1) || '.offers.' || (row_number() OVER (PARTITION BY variant_id ORDER BY offer_id) - 1) AS at FROM o)
+    SELECT product_id, 'category' AS path, 'enum' AS rule FROM (SELECT DISTINCT product_id FROM o) WHERE product_id % 11 = 0
+    UNION ALL SELECT product_id, "at" || '.price_cents', 'bounds' FROM p WHERE offer_id % 7 = 0 UNION ALL SELECT product_id, "at" || '.on_clearance', 'required' FROM p WHERE offer_id % 9 = 0"""
+)
+def product_schema_violations(spark, sf_dir):
+    return schemas.schema_violations(product_texts(spark, sf_dir), "body", schemas.PRODUCT, "product_id")
 
 
 @query(
