@@ -61,6 +61,36 @@ def test_json_ld_groups_and_lists(spark):
     assert [(r.product_code, r.price_cents) for r in markup.json_ld_list_rows(page(spark, body)).collect()] == [("m1", 750)]
 
 
+def test_json_ld_offers_in_a_list(spark):
+    product = {"@type": "Product", "name": "Worms 12 pack", "sku": 5, "offers": [{"price": 189.97, "availability": "http://schema.org/instoreonly"}, {"price": "20.00", "itemCondition": "https://schema.org/UsedCondition"}, {"price": "odd"}]}
+    bare = {"@type": "Product", "name": "Bare", "sku": "6"}
+    group = {"@type": "ProductGroup", "name": "Group", "hasVariant": [{"sku": "7", "offers": [{"price": 1}]}]}
+    body = f"<script type='application/ld+json'>{json.dumps([product, bare, group])}</script>"
+    got = [(r.sku, r.title, r.price_cents, r.availability, r.condition, r.unit_count) for r in markup.json_ld_offers(page(spark, body)).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("5", "Worms 12 pack", 18997, "STORE_ONLY", "NEW", 12), ("5", "Worms 12 pack", 2000, "UNKNOWN", "USED_UNGRADED", 12), ("5", "Worms 12 pack", None, "UNKNOWN", "NEW", 12),
+        ("6", "Bare", None, "UNKNOWN", "NEW", None), ("7", "Group", None, "UNKNOWN", "NEW", None),
+    ], key=str)
+    shop = spark.createDataFrame([("https://h/p", "h", body)], "url string, host string, body string")
+    assert [(r.title, r.current_cents) for r in markup.browser_capture(shop, {}).collect()] == [("Worms 12 pack", 18997)]
+
+
+def test_used_goods_and_closeouts(spark):
+    def offers(told, row):
+        body = f"""<h1>Rod</h1><div id="product_overview"><div class="product-description"><p>{told}</p></div></div><table><tr class="js-ordering-subproduct" {row}><td><strong class="js-ordering-name">V</strong>
+        <span class="js-ordering-price">200.00</span><span class="js-ordering-available">1</span></td></tr></table>"""
+        r = markup.spec_offers(spark.createDataFrame([("https://h/p", body)], "url string, body string"), "ordering_rows").first()
+        return r.price_cents, r.condition, r.condition_raw, r.claimed_cents, r.claimed_kind, r.on_clearance, r.seller_type
+
+    assert offers("MSRP $299.99 - Excellent condition. Handle slightly dirty", 'data-code="USEDX" data-list-price="250.00"') == (20000, "USED_LIKE_NEW", "excellent", 29999, "MSRP", True, "RETAILER_RESALE")
+    assert offers("MSRP $299.99 - Strange condition", 'data-code="X"') == (20000, "USED_UNGRADED", "strange", 29999, "MSRP", True, "RETAILER_RESALE")
+    assert offers("Nice", 'data-code="used-1" data-list-price="250.00"') == (20000, "USED_UNGRADED", None, 25000, "WAS", True, "RETAILER_RESALE")
+    assert offers("Nice", 'data-code="N" data-closeout-item data-list-price="250.00"') == (20000, "NEW", None, 25000, "WAS", True, "FIRST_PARTY")
+    assert offers("Nice", 'data-code="N" data-list-price="250.00"') == (20000, "NEW", None, None, None, False, "FIRST_PARTY")
+    listed = spark.createDataFrame([("https://shop/l", '<div class="cattable-wrap-cell" data-code="U"></div>')], "url string, body string")
+    assert [markup.grid_rows(listed, "catalogue_cells", used=u).first().condition_hint for u in (True, False)] == ["USED_UNGRADED", None]
+
+
 def test_grids(spark):
     def got(body, family):
         made = markup.grid_rows(spark.createDataFrame([("https://shop/list?x=1", body)], "url string, body string"), family).orderBy("ord").collect()
@@ -89,8 +119,8 @@ def test_grids(spark):
         return f"""<div class="product-tile" role="group"><div class="image-banner red">{badge}</div><a class="anchor-container" href="/product/{code}?a=3" pid="{code}"><div class="product-name"><span>Tile {code}</span></div>
         <span class="regular-price"> $59.99 <span class="slash"> /</span></span><span class="club-price">$53.99</span><span class="was-price"><span class="price-label">Was</span>{was}</span></a></div>"""
 
-    tiles = tile("1", "On Sale", '<span class="price strike">$89.99</span>') + tile("2", "Members Only Deal", "") + tile("3", "Clearance", "")
-    assert got(tiles, "badge_tiles") == [("1", "Tile 1", 5999, 8999, "WAS", False, "https://shop/product/1?a=3"), ("3", "Tile 3", 5999, None, None, False, "https://shop/product/3?a=3")]
+    tiles = tile("1", "On Sale", '<span class="price strike">$89.99</span>') + tile("2", "Members Only Deal", "") + tile("3", "Clearance", "") + tile("4", "Clearance", '<span class="price strike">$59.99</span>')
+    assert got(tiles, "badge_tiles") == [("1", "Tile 1", 5999, 8999, "WAS", False, "https://shop/product/1?a=3")]
     card = """<div class="product-card-wrapper" data-vendor="v"><a class="product-card" href="/products/x"><img src="i.jpg"><h2 class="product-title"> <span>Card</span></h2>
     <div class="yotpo bottomLine" data-product-id="42" data-price="1"></div>{}<div class="product-price"><span class="current-price "> $219.99 </span></div></a></div>"""
     assert got(card.format('<span class="fromtag">From<br></span>') + card.format(""), "product_cards") == [("42", "Card", 21999, None, None, k == 0, "https://shop/products/x") for k in range(2)]

@@ -30,18 +30,22 @@ def collection_json_rows(spark, sf_dir):
 
 @query(
     """SELECT 'S' || p_partkey AS sku, p_name AS title, p_brand AS brand, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents,
-    CASE p_size % 3 WHEN 0 THEN 'IN_STOCK' WHEN 1 THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS availability FROM part"""
+    CASE p_size % 3 WHEN 0 THEN 'IN_STOCK' WHEN 1 THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS availability, 'NEW' AS condition FROM part
+    UNION ALL SELECT 'S' || p_partkey, p_name, p_brand, 500 + p_size, 'STORE_ONLY', 'USED_UNGRADED' FROM part WHERE p_partkey % 2 = 0"""
 )
 def jsonld_products(spark, sf_dir):
-    """Product pages with JSON-LD, one per part."""
+    """Product pages with JSON-LD, one per part; every other one has its offers in a list, a used one among them."""
     stock = F.when(F.col("p_size") % 3 == 0, "https://schema.org/InStock").when(F.col("p_size") % 3 == 1, "https://schema.org/OutOfStock").otherwise("https://schema.org/Rumour")
     item = F.struct(
         F.lit("Product").alias("@type"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"),
         F.struct(F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("price"), stock.alias("availability")).alias("offers"),
     )
-    body = F.concat(F.lit('<html><script>var a=1</script><script type="application/ld+json">{broken</script><script type="application/ld+json">'), F.to_json(item), F.lit("</script></html>"))
+    second = F.format_string('},{"price":5.%02d,"availability":"https://schema.org/instoreonly","itemCondition":"https://schema.org/UsedCondition"}]}', F.col("p_size"))
+    text = F.to_json(item)
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.regexp_replace(F.regexp_replace(text, r'"offers":\{', '"offers":[{'), r"\}\}$", ""), second)).otherwise(text)
+    body = F.concat(F.lit('<html><script>var a=1</script><script type="application/ld+json">{broken</script><script type="application/ld+json">'), text, F.lit("</script></html>"))
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("url"), body.alias("body"))
-    return markup.json_ld_offers(pages).select("sku", "title", "brand", "price_cents", "availability")
+    return markup.json_ld_offers(pages).select("sku", "title", "brand", "price_cents", "availability", "condition")
 
 
 def _text(column) -> object:
@@ -96,13 +100,13 @@ def range_grid_rows(spark, sf_dir):
 
 @query(
     """SELECT CAST(o_orderkey AS VARCHAR) AS product_code, 'Tile ' || o_orderkey AS title, o_custkey * 100 + 99 AS price_cents,
-    CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey + 30) * 100 END AS claimed_cents FROM orders WHERE o_orderkey % 4 IN (0, 1)"""
+    (o_custkey + 30 * (o_orderkey % 3)) * 100 AS claimed_cents FROM orders WHERE o_orderkey % 4 IN (0, 1) AND o_orderkey % 5 > 0 AND (o_custkey + 30 * (o_orderkey % 3)) * 100 > o_custkey * 100 + 99"""
 )
 def badge_grid_rows(spark, sf_dir):
-    """Tiles with a badge: only those on clearance or on sale, the member's price is not the price."""
+    """Tiles with a badge: only those on clearance or on sale whose former price is above the present one; the member's price is neither."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     badge = F.element_at(F.array(*[F.lit(x) for x in ("Clearance", " On Sale ", "Members Only Deal", "Members Only Save 25%")]), (k % 4 + 1).cast("int"))
-    was = F.when(k % 2 == 0, _html('<span class="was-price"><span class="price-label">Was</span><span class="price strike">$', c + 30, ".00</span></span>")).otherwise("")
+    was = F.when(k % 5 > 0, _html('<span class="was-price"><span class="price-label">Was</span><span class="price strike">$', c + 30 * (k % 3), ".00</span></span>")).otherwise("")
     cell = _html(
         '<div class="product-tile" role="group"><div class="image-banner blue">', badge, '</div><a class="anchor-container" href="/product/', k, '" pid="', k, '"><div class="product-name"><span>Tile ', k, "</span></div>",
         '<span class="regular-price">\n$', c, '.99 <span class="slash"> /</span></span><span class="club-price">$0.99 <span class="member-span">Club</span></span>', was, "</a></div>",

@@ -11,13 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import META_AVAILABILITY, SCHEMA_AVAILABILITY
+from ..config import CONDITION_WORDS, META_AVAILABILITY, SCHEMA_AVAILABILITY
 from ..functions.basics import group, lookup
 from ..functions.gtin import normalize_all
 from ..functions.money import dollars_to_cents, parse_price_cents
+from ..functions.text import pack_count
 
 OFFER = "struct<price:string,lowPrice:string,url:string,availability:string,itemCondition:string,priceCurrency:string>"
-ITEM = f"struct<`@type`:string,name:string,sku:string,mpn:string,color:string,gtin8:string,gtin12:string,gtin13:string,gtin14:string,productGroupID:string,url:string,brand:struct<name:string>,offers:{OFFER},hasVariant:array<struct<sku:string,name:string,color:string,gtin8:string,gtin12:string,gtin13:string,offers:{OFFER}>>,itemListElement:array<struct<item:struct<name:string,url:string,mpn:string,offers:{OFFER}>>>>"
+ITEM = f"struct<`@type`:string,name:string,sku:string,mpn:string,color:string,gtin8:string,gtin12:string,gtin13:string,gtin14:string,productGroupID:string,url:string,brand:struct<name:string>,offers:string,hasVariant:array<struct<sku:string,name:string,color:string,gtin8:string,gtin12:string,gtin13:string,offers:string>>,itemListElement:array<struct<item:struct<name:string,url:string,mpn:string,offers:{OFFER}>>>>"
 
 
 def json_ld(body: Column) -> Column:
@@ -27,8 +28,15 @@ def json_ld(body: Column) -> Column:
     return F.flatten(F.transform(one, lambda s: F.coalesce(F.filter(F.from_json(s, f"array<{ITEM}>"), lambda x: x["@type"].isNotNull()), F.array().cast(f"array<{ITEM}>"))))
 
 
+def offers_of(text: Column) -> Column:
+    """The offers in the JSON text of an ``offers`` field, which is one object or a list of them."""
+    listed = F.from_json(F.when(F.ltrim(text).startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), f"array<{OFFER}>")
+    return F.coalesce(F.filter(listed, lambda o: o.isNotNull()), F.array().cast(f"array<{OFFER}>"))
+
+
 def _availability(url: Column) -> Column:
-    return lookup(SCHEMA_AVAILABILITY, F.element_at(F.split(url, "/"), -1), F.lit("UNKNOWN"))
+    lowered = {k.lower(): v for k, v in SCHEMA_AVAILABILITY.items()}
+    return lookup(lowered, F.lower(F.trim(F.element_at(F.split(url, "/"), -1))), F.lit("UNKNOWN"))
 
 
 def _cents(offer: Column) -> Column:
@@ -36,16 +44,26 @@ def _cents(offer: Column) -> Column:
 
 
 def json_ld_offers(pages: DataFrame) -> DataFrame:
-    """One row per offer of Product and ProductGroup objects of pages (url, body)."""
+    """One row per offer of Product and ProductGroup objects of pages (url, body).
+
+    A product's offers may be one or many (each a row), a group's variants have one each. A product
+    without offers is a row without a price. Such pages make no claims.
+    """
     objects = pages.select("url", F.explode(json_ld(F.col("body"))).alias("o"))
     own = F.array(F.struct(F.col("o.sku").alias("sku"), F.col("o.name").alias("name"), F.col("o.color").alias("color"), F.col("o.gtin8").alias("gtin8"), F.col("o.gtin12").alias("gtin12"), F.col("o.gtin13").alias("gtin13"), F.col("o.offers").alias("offers")))
+    single = F.col("o.@type") == "Product"
     rows = objects.where(F.col("o.@type").isin("Product", "ProductGroup")).select(
-        "url", F.col("o.brand.name").alias("brand"), F.explode(F.when(F.col("o.@type") == "Product", own).otherwise(F.col("o.hasVariant"))).alias("v")
+        "url", F.col("o.brand.name").alias("brand"), F.col("o.name").alias("name"), single.alias("single"), F.explode(F.when(single, own).otherwise(F.col("o.hasVariant"))).alias("v")
     )
-    return rows.select(
-        "url", "brand", F.col("v.sku").alias("sku"), F.col("v.name").alias("title"), F.col("v.color").alias("color"),
-        _cents(F.col("v.offers")).alias("price_cents"), _availability(F.col("v.offers.availability")).alias("availability"),
+    # A variant's list of offers is none that its page means.
+    text = F.when(F.col("single") | ~F.ltrim(F.col("v.offers")).startswith("["), F.col("v.offers"))
+    each = rows.select("*", F.explode_outer(offers_of(text)).alias("f"))
+    used = F.lower(F.trim(F.element_at(F.split(F.col("f.itemCondition"), "/"), -1))) == "usedcondition"
+    return each.select(
+        "url", "brand", F.col("v.sku").alias("sku"), F.coalesce("v.name", "name").alias("title"), F.col("v.color").alias("color"),
+        _cents(F.col("f")).alias("price_cents"), _availability(F.col("f.availability")).alias("availability"),
         normalize_all(F.array("v.gtin8", "v.gtin12", "v.gtin13")).alias("gtin14"),
+        F.when(used, "USED_UNGRADED").otherwise("NEW").alias("condition"), F.lit("FIRST_PARTY").alias("seller_type"), F.lit(None).cast("bigint").alias("claimed_cents"), F.lit(False).alias("on_clearance"), pack_count(F.col("name")).alias("unit_count"),
     )
 
 
@@ -152,7 +170,7 @@ class _Cells(HTMLParser):
         if not void:
             self.depth += 1
         if self.family.cell.fits(tag, a):
-            self.rows.append({f"cell_{k}": v for k, v in a.items() if k.startswith("data-") and v})
+            self.rows.append({f"cell_{k}": v or "" for k, v in a.items() if k.startswith("data-") and (v or k == "data-closeout-item")})
             self.inside, self.open, self.muted, self.text = self.depth, [], [], {}
         if not self.inside:
             return
@@ -293,11 +311,12 @@ def absolute(page: Column, href: Column) -> Column:
     return F.when(href.startswith("/") & ~href.startswith("//"), F.concat(origin, href)).otherwise(href)
 
 
-def grid_rows(pages: DataFrame, family: str) -> DataFrame:
+def grid_rows(pages: DataFrame, family: str, used: bool = False) -> DataFrame:
     """Discovered rows of a grid: code, title, link, price (the least of a range), claim and its kind.
 
     A claim marked with a trailing star is a recommended price. Badge grids keep only cells on
-    clearance or on sale. A ``From`` before a price makes it a range.
+    clearance or on sale that have a title and a former price above the present one. A ``From`` before
+    a price makes it a range. Grids of used goods hint at the condition.
     """
     price, was = _least_cents(_field("price")), _least_cents(F.regexp_replace(_field("was"), r"\s*\*$", ""))
     rows = grid_cells(pages, family).select(
@@ -309,16 +328,20 @@ def grid_rows(pages: DataFrame, family: str) -> DataFrame:
         F.when(was > price, was).alias("claimed_cents"),
         F.when(was > price, F.when(F.rtrim(_field("was")).endswith("*"), "MSRP").otherwise("WAS")).alias("claimed_kind"),
         (F.coalesce(_field("price").contains(" - "), F.lit(False)) | _field("from").isNotNull()).alias("price_is_range"),
-        F.lower(F.trim(_field("badge"))).alias("badge"),
+        F.lit("USED_UNGRADED" if used else None).cast("string").alias("condition_hint"), F.lower(F.trim(_field("badge"))).alias("badge"),
     )
     if family == "badge_tiles":
-        rows = rows.where(F.col("badge").isin("clearance", "on sale"))
+        rows = rows.where(F.col("badge").isin("clearance", "on sale") & F.col("claimed_cents").isNotNull() & (F.trim("title") != "") & F.col("product_url").isNotNull())
     return rows.drop("badge")
 
 
 def spec_offers(pages: DataFrame, family: str = "spec_cards") -> DataFrame:
     """Offers of product pages with a cell for each variant: properties as an attribute map, stock
-    from the cell, title and brand from the page's heading."""
+    from the cell, title and brand from the page's heading.
+
+    Ordering rows may be used goods, by their number or by the words of the page's description, which
+    then give condition and recommended price; else a row on closeout claims its list price.
+    """
     specs = F.map_filter("cell", lambda k, v: k.startswith("spec_"))
     stock = stock_cell(_field("stock"))
     price, was = _least_cents(_field("price")), _least_cents(_field("was"))
@@ -328,14 +351,23 @@ def spec_offers(pages: DataFrame, family: str = "spec_cards") -> DataFrame:
         clean(F.regexp_replace(group(body, r"(?is)<h1[^>]*>(.*?)</h1>"), "<[^>]+>", " ")).alias("title"),
         clean(F.coalesce(group(body, r'(?is)class="productView-brand[^"]*"[^>]*>\s*<a[^>]*>\s*<span>(.*?)</span>'), group(body, r'itemprop="brand" content="([^"]*)"'))).alias("brand"),
         group(body, r'data-gtm_detail_id="([^"]*)"').alias("code"),
+        group(body, r'(?is)class="[^"]*product-description[^"]*"[^>]*>(.*?)</div>').alias("told"),
     )
-    cells = grid_cells(headed, family, "title", "brand", "code")
+    cells = grid_cells(headed, family, "title", "brand", "code", "told")
+    words = used_wording(F.regexp_replace(F.col("told"), "<[^>]+>", " "))
+    rows = family == "ordering_rows"
+    is_used = F.lit(rows) & (words["wording"].isNotNull() | F.coalesce(F.upper(_field("cell_data-code")).startswith("USED"), F.lit(False)))
+    closeout, listed = F.lit(rows) & F.map_contains_key("cell", "cell_data-closeout-item"), parse_price_cents(F.trim(_field("cell_data-list-price")))
+    claim = F.when(is_used, F.coalesce(words["msrp_cents"], listed)).when(closeout & listed.isNotNull(), listed).when(was > price, was)
+    kind = F.when(is_used & words["msrp_cents"].isNotNull(), "MSRP").when(claim.isNotNull(), "WAS")
     return cells.select(
         "url", "ord", "title", "brand",
         F.coalesce("code", _field("cell_data-product-id"), _field("cell_data-code")).alias("product_code"),
         F.coalesce(F.regexp_replace(_field("sku"), "^#", ""), _field("cell_data-code")).alias("sku"),
         F.coalesce(_field("label"), _field("spec_Model")).alias("variant_label"),
-        price.alias("price_cents"), F.when(was > price, was).alias("claimed_cents"),
+        price.alias("price_cents"), claim.alias("claimed_cents"), kind.alias("claimed_kind"), (is_used | closeout).alias("on_clearance"),
+        F.when(is_used, lookup(CONDITION_WORDS, F.lower(words["wording"]), F.lit("USED_UNGRADED"))).otherwise("NEW").alias("condition"), F.when(is_used, words["wording"]).alias("condition_raw"),
+        F.when(is_used, "RETAILER_RESALE").otherwise("FIRST_PARTY").alias("seller_type"),
         stock["quantity"].alias("quantity"), stock["is_floor"].alias("quantity_is_floor"), stock["availability"].alias("availability"),
         F.transform_keys(specs, lambda k, v: F.substring(k, 6, 1000)).alias("attributes"),
         normalize_all(F.array(_field("gtin"))).alias("gtin14"),
@@ -367,8 +399,8 @@ def embedded_product_offers(pages: DataFrame) -> DataFrame:
 def browser_capture(pages: DataFrame, was_patterns: dict[str, str]) -> DataFrame:
     """What a browser capture takes from a product page (url, host, body): the first JSON-LD product
     with a price, its condition, and the former price by the host's pattern."""
-    products = F.filter(json_ld(F.col("body")), lambda o: (o["@type"] == "Product") & _cents(o["offers"]).isNotNull())
-    best = F.get(products, F.lit(0))
+    priced = F.transform(json_ld(F.col("body")), lambda o: F.struct(o["@type"].alias("@type"), o["name"].alias("name"), F.get(F.filter(offers_of(o["offers"]), lambda f: _cents(f).isNotNull()), F.lit(0)).alias("offers")))
+    best = F.get(F.filter(priced, lambda o: (o["@type"] == "Product") & o["offers"].isNotNull()), F.lit(0))
     was = F.lit(None).cast("string")
     for host, pattern in was_patterns.items():
         was = F.when(F.col("host") == host, group(F.col("body"), pattern)).otherwise(was)

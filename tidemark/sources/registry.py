@@ -16,7 +16,7 @@ Parser = Callable[[DataFrame], DataFrame]
 #: slug -> page type -> parser.
 PARSERS: dict[str, dict[str, Parser]] = {slug: {"LISTING": feeds.collection_rows, "PRODUCT": feeds.product_offers} for slug, _, _ in COLLECTION_SHOPS}
 PARSERS |= {
-    "tackle_warehouse": {"LISTING": partial(markup.grid_rows, family="catalogue_cells"), "PRODUCT": partial(markup.spec_offers, family="ordering_rows")},
+    "tackle_warehouse": {"LISTING": partial(markup.grid_rows, family="catalogue_cells"), "USED_LISTING": partial(markup.grid_rows, family="catalogue_cells", used=True), "PRODUCT": partial(markup.spec_offers, family="ordering_rows")},
     "academy": {"LISTING": markup.json_ld_list_rows, "PRODUCT": markup.json_ld_offers},
     "jandh": {"LISTING": partial(markup.grid_rows, family="product_cards"), "PRODUCT": markup.embedded_product_offers},
     "fishusa": {"PRODUCT": markup.spec_offers},
