@@ -68,3 +68,27 @@ def promoted(tasks: DataFrame, variants: DataFrame, now: Column, priority: int =
     due = F.when(F.col("hot_"), F.least("not_before", now)).otherwise(F.col("not_before"))
     rank = F.when(F.col("hot_"), F.least("priority", F.lit(priority))).otherwise(F.col("priority"))
     return joined.withColumns({"not_before": due, "priority": rank}).drop("hot_")
+
+
+def run_budget(tasks: DataFrame, cap: int = 8, deadline_seconds: float = 1500.0, round_robin: bool = False) -> DataFrame:
+    """The tasks that one run may take up, with ``turn`` (a shop's first is 1), ``starts_at`` (seconds into the
+    run) and ``runs``.
+
+    ``tasks`` have retailer_id, ord (the shops' order), task_id, priority, not_before and cost_seconds.
+    Each shop gives at most ``cap`` tasks. Shops are worked off one after the other, and one that has
+    not begun by the deadline is left for the next run as a whole; in ``round_robin`` shops take turns
+    and each task must begin before the deadline, so that a slow shop doesn't keep the others
+    waiting. What is ordered as a whole is at most ``cap`` tasks of each shop.
+    """
+    mine = Window.partitionBy("retailer_id").orderBy("priority", "not_before", "task_id")
+    chosen = tasks.withColumn("turn", F.row_number().over(mine)).where(F.col("turn") <= cap)
+    if round_robin:
+        whole = Window.orderBy("turn", "ord", "retailer_id", "task_id").rowsBetween(Window.unboundedPreceding, -1)
+        timed = chosen.withColumn("starts_at", F.coalesce(F.sum("cost_seconds").over(whole), F.lit(0)))
+        return timed.withColumn("runs", F.col("starts_at") < deadline_seconds)
+    shops = chosen.groupBy("ord", "retailer_id").agg(F.sum("cost_seconds").alias("cost"))
+    before = Window.orderBy("ord", "retailer_id").rowsBetween(Window.unboundedPreceding, -1)
+    begun = shops.select("retailer_id", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("begins_at"))
+    within = Window.partitionBy("retailer_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    timed = chosen.join(begun, "retailer_id").withColumn("starts_at", F.col("begins_at") + F.coalesce(F.sum("cost_seconds").over(within), F.lit(0)))
+    return timed.withColumn("runs", F.col("begins_at") < deadline_seconds).drop("begins_at")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import display
 from ..operators import documents as D
 from ..operators import catalog, work
+from ..sources import landed
 from ..sources.files import snapshot_ref as make_ref
 from ..sources.files import table
 from ..sources.markup import next_page, used_wording
 from .q_documents import DOCUMENT, FACTS, deals, health
 from .q_work import TASKS, tasks
+from .q_stateful import _checkpoint
 from .registering import query
 from .star import shown_time
 
@@ -85,10 +87,33 @@ def display_texts(spark, sf_dir):
     )
 
 
-@query("SELECT page_id, strftime(TIMESTAMP '2024-05-01' + INTERVAL 1 MINUTE * page_id, '%Y%m%dT%H%M%SZ') || '-' || page_id || '-' || substr(sha256(html), 1, 16) || '.gz' AS ref FROM pages")
+REF = "strftime(TIMESTAMP '2024-05-01' + INTERVAL 1 MINUTE * page_id + INTERVAL 1 MICROSECOND * (page_id * 37 % 1000000), '%Y%m%dT%H%M%S%fZ') || '-task' || page_id || '-' || substr(sha256(html), 1, 16) || '.gz'"
+
+
+def _ref():
+    i = F.col("page_id")
+    at = F.lit("2024-05-01").cast("timestamp") + F.make_dt_interval(mins=i.cast("int")) + F.make_dt_interval(secs=((i * 37) % 1000000).cast("decimal(18,6)") / 1000000)
+    return make_ref(at, i, F.col("html"))
+
+
+@query(f"SELECT page_id, {REF} AS ref FROM pages")
 def snapshot_refs(spark, sf_dir):
-    at = F.lit("2024-05-01").cast("timestamp") + F.make_dt_interval(mins=F.col("page_id").cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", make_ref(at, F.col("page_id"), F.col("html")).alias("ref"))
+    return table(spark, sf_dir, "pages").select("page_id", _ref().alias("ref"))
+
+
+@query(
+    f"""SELECT page_id, {REF} AS ref, CASE WHEN page_id % 11 = 5 THEN NULL WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 11 <> 5 AND page_id % 10 <> 0 THEN sha256(html) END AS sha256,
+    CASE WHEN page_id % 11 <> 5 AND page_id % 10 <> 0 THEN strlen(html) END AS body_bytes, CASE WHEN page_id % 11 = 5 THEN (['timeout', 'dns', 'tls', 'proxy', 'connection', 'connection'])[page_id % 6 + 1] END AS transport FROM pages"""
+)
+def landed_responses(spark, sf_dir):
+    """Bodies landed as gzip files and read back as the answers to requests; some were never landed, some requests failed."""
+    pages, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    folder = f"{_checkpoint(spark)}/landed"
+    landed.land(pages.where(i % 10 != 0).select(_ref().alias("ref"), F.col("html").alias("body")), folder)
+    errors = F.array(*map(F.lit, ("Read timed out", "getaddrinfo failed", "SSL: CERTIFICATE_VERIFY_FAILED", "Proxy CONNECT refused", "Connection reset by peer", "strange")))
+    requests = pages.select("page_id", "url", _ref().alias("ref"), F.when(i % 11 == 5, F.element_at(errors, (i % 6 + 1).cast("int"))).alias("error"))
+    got = landed.responses(requests, landed.landed(spark, folder))
+    return got.select("page_id", "ref", "status", "sha256", F.octet_length("body").cast("bigint").alias("body_bytes"), "transport")
 
 
 @query(

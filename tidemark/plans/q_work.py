@@ -141,3 +141,25 @@ def enrolment_cap(spark, sf_dir):
 def confirm_deadline_sweep(spark, sf_dir):
     rows = tasks(spark, sf_dir).withColumns({"kind": F.lit("CONFIRM"), "deadline": F.col("not_before") + F.expr("INTERVAL 3 HOURS")})
     return work.overdue(rows, F.lit("1998-01-01").cast("timestamp")).select("task_id")
+
+
+BUDGET = f"""WITH {TASKS}, t AS (
+  SELECT *, (retailer_id * 7) % 25 AS ord, 10 + retailer_id % 5 AS cost, row_number() OVER (PARTITION BY retailer_id ORDER BY priority, not_before, task_id) AS turn FROM tasks WHERE status = 'QUEUED' QUALIFY turn <= 8
+), s AS (SELECT retailer_id, coalesce(sum(sum(cost)) OVER (ORDER BY ord, retailer_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM t GROUP BY ord, retailer_id)"""
+
+
+def _budget_tasks(spark, sf_dir):
+    r = F.col("retailer_id")
+    return tasks(spark, sf_dir).where("status = 'QUEUED'").withColumns({"ord": (r * 7) % 25, "cost_seconds": 10 + r % 5})
+
+
+@query(f"{BUDGET} SELECT task_id, t.retailer_id, turn, CAST(begins + coalesce(sum(cost) OVER (PARTITION BY t.retailer_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts_at, begins < 1500 AS runs FROM t JOIN s USING (retailer_id)")
+def run_budget(spark, sf_dir):
+    """A run of 25 minutes: shops one after the other, none begun past the deadline."""
+    return work.run_budget(_budget_tasks(spark, sf_dir)).select("task_id", "retailer_id", F.col("turn").cast("bigint").alias("turn"), F.col("starts_at").cast("bigint").alias("starts_at"), "runs")
+
+
+@query(f"{BUDGET}, c AS (SELECT *, CAST(coalesce(sum(cost) OVER (ORDER BY turn, ord, retailer_id, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts_at FROM t) SELECT task_id, retailer_id, turn, starts_at, starts_at < 1500 AS runs FROM c")
+def run_budget_in_turns(spark, sf_dir):
+    """The same run with shops taking turns."""
+    return work.run_budget(_budget_tasks(spark, sf_dir), round_robin=True).select("task_id", "retailer_id", F.col("turn").cast("bigint").alias("turn"), F.col("starts_at").cast("bigint").alias("starts_at"), "runs")

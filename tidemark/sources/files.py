@@ -15,8 +15,9 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def snapshot_ref(at: Column, task_id: Column, body: Column) -> Column:
-    """``UTC stamp-task-digest.gz`` of a raw body."""
-    return F.concat(F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"), task_id.cast("string"), F.lit("-"), F.substring(F.sha2(body.cast("binary"), 256), 1, 16), F.lit(".gz"))
+    """``UTC stamp to the microsecond-task-digest.gz`` of a raw body."""
+    stamp = F.date_format(at, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
+    return F.concat(stamp, F.lit("-task"), task_id.cast("string"), F.lit("-"), F.substring(F.sha2(body.cast("binary"), 256), 1, 16), F.lit(".gz"))
 
 
 def fixture_pages(spark: SparkSession, requests: DataFrame, manifest: DataFrame, bodies: str) -> DataFrame:
