@@ -65,3 +65,28 @@ def test_stage_drops_edited_copies(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     expected = set(plain([(r.doc_id, r.text) for r in docs.collect()]).values())
     assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, data).collect()} == expected
+
+
+def test_pages_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
+    """300 texts that share most of their words, but less than the limit, beside copies of some of them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    template = [word() for _ in range(160)]
+    texts = [" ".join(template[:80] + [word() for _ in range(34)] + template[80:]) for _ in range(300)]
+    texts += [t + " " + word() for t in texts[:20]] + ["some passage " * 3 + " ".join(template[:40])]
+    rows = list(enumerate(texts))
+    seen, real = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain(rows)
+    # A pivot round costs a text its keys at most; the prefixes then leave next to nothing.
+    assert sum(seen[:-1]) < N.ROUNDS * N.BANDS * len(rows) and seen[-1] < len(rows), seen
+
+
+def test_prefixes_are_exact(spark, monkeypatch):
+    """Without any round of pivots, sets around the limit over few different words."""
+    monkeypatch.setattr(N, "ROUNDS", 0)
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(1, 12)))) for k in range(400)]
+    expected = plain(rows)
+    assert {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == expected

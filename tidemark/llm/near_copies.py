@@ -5,10 +5,12 @@ orders. Two sets of similarity s share a key with chance 1 - (1 - s^ROWS)^BANDS:
 Equal sets are one node from the start, named by 128 bits and numbered.
 
 Verification. In each bucket all members are compared with one of them, then those that are not yet
-in its component with another one, and so on for ``ROUNDS``; what is left in different components
-after that is compared in pairs. So a bucket of copies of one text takes work in proportion to its
-size and no pair with a shared key is left undecided. Only a crowd whose members share keys without
-being similar costs its unlinked members times its size.
+in its component with another one, and so on for ``ROUNDS``. So a bucket of copies of one text takes
+work in proportion to its size. What is left are buckets of texts that share keys without being
+similar: pages of one template, texts with one common passage. Their members are joined exactly by
+prefixes: of a set's shingles, put in order of rarity among these texts, only the first ones are
+keys, as many as are needed for two sets that are similar enough to share one. What such crowds have
+in common is frequent, so it stands last and is no key.
 """
 
 from __future__ import annotations
@@ -77,17 +79,40 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "mark", "text").mapInArrow(lean(run), "doc_id long, mark string, name binary, n long, keys array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) for the nodes (node, name, least): read again from one document of each."""
+def _sets(docs: DataFrame, nodes: DataFrame, width: int, total: int) -> DataFrame:
+    """(node, hashes) for the nodes (node, least_mark, rows): read again from one document of each.
+
+    The many copies of one text stay where they are read, and each task sends on one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column(0), batch.column(1)):
-                found = shingles(text.as_py(), width)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()]), pa.array([found.view("<i8")], pa.list_(pa.int64()))], ["node", "hashes"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [shingles(t.as_py(), width).view("<i8") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    facts = nodes.select("node", "rows", F.col("least_mark").alias("mark"))
+    rows = hot_join(docs.select("mark", "text"), facts, ["mark"], "rows", total).select("node", "text")
+    return written(rows.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(lean(run), "node long, hashes array<long>"), "near-sets")
 
-    rows = docs.join(nodes.select("node", F.col("least_mark").alias("mark")), "mark").select("node", "mark", "text")
-    return written(rows.dropDuplicates(["node"]).select("node", "text").mapInArrow(lean(run), "node long, hashes array<long>"), "near-sets")
+
+def _prefixed(crowd: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(key, node, n, component, indexed): the crowd (node, n, component) under the shingles of their prefixes.
+
+    Of two sets that are similar enough, the larger one's prefix of n - ceil(n * s) + 1 shingles meets
+    the smaller one's of m - ceil(m * 2s / (1 + s)) + 1; keys of the shorter prefix are ``indexed``.
+    Shingles that only one set has are no keys, but they take up their places in its prefix.
+    """
+    held = crowd.join(sets, "node").select("node", "n", "component", F.explode("hashes").alias("key"))
+    often = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    common = held.select("node", "key").join(often, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    # Whole numbers throughout: an upper part is (x + y - 1) div y.
+    own = F.col("n") - F.size("shared")
+    longer = F.expr(f"n - (n * {similarity} + 99) div 100 + 1") - own
+    shorter = F.expr(f"n - (2 * n * {similarity} + {99 + similarity}) div {100 + similarity} + 1") - own
+    keyed = crowd.join(common, "node").where(longer > 0).select("node", "n", "component", shorter.alias("shorter"), F.posexplode(F.slice("shared", F.lit(1), longer.cast("int"))).alias("place", "s"))
+    return keyed.select(F.col("s.key").alias("key"), "node", "n", "component", (F.col("place") < F.col("shorter")).alias("indexed"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -118,7 +143,7 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
     shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     total = nodes.count() * BANDS
     met = cut(hot_join(dealt, shared, ["key"], "members", total).select("key", "node", "n"))
-    sets = _sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"), width)
+    sets = _sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"), width, marked.count())
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
     groups = tried = None
     for turn in range(ROUNDS + 1):
@@ -132,10 +157,16 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
             F.min_by(F.struct("node", "n", "component"), order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
         ).where("low < high")
         pivots = pivots.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.component").alias("place"), "members")
-        left = hot_join(placed, pivots, ["key"], "members", placed.count()).drop("members").where(F.col("component") != F.col("place"))
-        if turn == ROUNDS:
-            others = placed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("place"))
-            left = left.select("key", "node", "n", "component").join(others, "key").where(F.col("component") != F.col("place"))
+        if turn < ROUNDS:
+            left = hot_join(placed, pivots, ["key"], "members", placed.count()).drop("members").where(F.col("component") != F.col("place"))
+        else:
+            unsettled = hot_join(placed, pivots.select("key", "members"), ["key"], "members", placed.count())
+            crowd = cut(unsettled.select("node", "n", "component").distinct())
+            keyed = cut(_prefixed(crowd, sets, similarity))
+            several = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
+            mixed = keyed.join(several, "key")
+            others = mixed.where("indexed").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("place"))
+            left = mixed.join(others, "key").where((F.col("component") != F.col("place")) & (F.col("n") >= F.col("m")))
         pairs = left.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
