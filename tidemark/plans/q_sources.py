@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import feeds, markup
+from ..sources import feeds, markup, registry
 from ..sources.files import table
 from .registering import query
 
@@ -227,3 +227,24 @@ def meta_page_facts(spark, sf_dir):
     )
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("url"), body.alias("body"))
     return markup.meta_page(pages).select("product_code", "price_cents", "claimed_cents", "claimed_kind", "availability")
+
+
+@query(
+    """SELECT 'academy' AS shop, 'PRODUCT' AS page_type, 'S' || p_partkey AS sku, NULL AS product_code, p_name AS title, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, NULL::BIGINT AS claimed_cents, NULL AS claimed_kind, 'NEW' AS condition, 'IN_STOCK' AS availability FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT 'jandh', 'LISTING', NULL, CAST(p_partkey AS VARCHAR), 'Card ' || p_partkey, (p_size + 1) * 100, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT 'penn', 'LISTING', NULL, CAST(p_partkey AS VARCHAR), p_name, 500, CASE WHEN p_size > 5 THEN p_size * 100 END, CASE WHEN p_size > 5 THEN 'WAS' END, NULL, 'IN_STOCK' FROM part WHERE p_partkey % 3 = 2"""
+)
+def shop_offers(spark, sf_dir):
+    """Pages of three kinds of shops in one table, read into the common columns."""
+    k, kind = F.col("p_partkey"), F.col("p_partkey") % 3
+    offer = F.array(F.struct(F.round("p_retailprice", 2).alias("price"), F.lit("https://schema.org/InStock").alias("availability")))
+    product = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Product").alias("@type"), F.concat(F.lit("S"), k.cast("string")).alias("sku"), F.col("p_name").alias("name"), offer.alias("offers"))), F.lit("</script>"))
+    card = _html('<div class="product-card-wrapper"><a class="product-card" href="/p/', k, '"><h2 class="product-title"><span>Card ', k, '</span></h2><div class="yotpo" data-product-id="', k, '"></div><span class="current-price">$', F.col("p_size") + 1, ".00</span></a></div>")
+    variant = F.struct(k.alias("id"), F.lit("5.00").alias("price"), F.format_string("%d.00", "p_size").alias("compare_at_price"), F.lit(True).alias("available"))
+    feed = F.to_json(F.struct(F.array(F.struct(k.alias("id"), F.col("p_name").alias("title"), F.lit("h").alias("handle"), F.array(variant).alias("variants"))).alias("products")))
+    shop = F.when(kind == 0, "academy").when(kind == 1, "jandh").otherwise("penn")
+    pages = table(spark, sf_dir, "part").select(
+        shop.alias("shop"), F.when(kind == 0, "PRODUCT").otherwise("LISTING").alias("page_type"), F.concat(F.lit("https://x.example/"), k.cast("string")).alias("url"), F.lit("x.example").alias("host"), F.when(kind == 0, product).when(kind == 1, card).otherwise(feed).alias("body"),
+    )
+    made = registry.common_offers(pages, ("academy", "jandh", "penn"))
+    return made.select("shop", "page_type", "sku", "product_code", "title", "price_cents", "claimed_cents", "claimed_kind", "condition", "availability")
