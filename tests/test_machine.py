@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import RULES
 from tidemark.operators import pacing, rules
-from tidemark.operators.deal_machine import INPUT, basis_points, deal_events
+from tidemark.operators.deal_machine import INPUT, basis_points, deal_events, deal_states
 from tidemark.streaming.deals import STATE_STORE, deal_event_stream, first_snapshots
 
 START = datetime(2024, 5, 1, 12)
@@ -85,6 +85,15 @@ def test_timers_fire_at_their_own_time(spark):
     assert [e for e, _, _ in told([*active[:2], row(3, 1455, 6000)], 1456)] == ["detected", "confirm_due", "confirmed", "refreshed"]
 
 
+def test_states_of_deals(spark):
+    rows = [row(0, 0, 6000), row(1, 15, 5900), row(2, 30, 5800), row(3, 45, 9000), row(4, 60, 6000), row(5, 75, 6000, verified_cents=11000), row(6, 90, 6100, verified_cents=11000)]
+    got = deal_states(deal_events(spark.createDataFrame(rows, INPUT))).orderBy("number").collect()
+    assert [(r.number, r.detected_seq, r.status, r.reason, r.price_cents, r.reference_cents, r.refreshes) for r in got] == [
+        (1, "000", "EXPIRED", "price_recovered", 5800, 13000, 1), (2, "004", "REJECTED", "below_threshold_on_confirm", 6000, 13000, 0),
+    ]
+    assert [((r.confirmed_at - START).seconds // 60 if r.confirmed_at else None, (r.closed_at - START).seconds // 60) for r in got] == [(15, 45), (None, 75)]
+
+
 def test_replays_are_remembered_for_a_time(spark):
     rows = [row(0, 0, 6000, snapshot_ref="s"), row(1, 20, 6000, snapshot_ref="s"), row(2, 8 * 1440, 6000, snapshot_ref="s"), row(3, 8 * 1440 + 20, 6000, snapshot_ref="")]
     got = [(r.event, r.seq) for r in deal_events(spark.createDataFrame(rows, INPUT)).where("event <> 'confirm_due'").orderBy("observed_at").collect()]

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RULES, USED_RULE_CONDITIONS, Rules
@@ -292,3 +292,24 @@ def deal_events(observations: DataFrame, rules: Rules = RULES, used_reference: b
         yield from told_batches(events())
 
     return shown(ordered.mapInArrow(run, TOLD))
+
+
+def deal_states(events: DataFrame) -> DataFrame:
+    """One row for each deal that events (as of ``deal_events``) tell of, as it stands after them.
+
+    (offer_id, rule, number, detected_seq, status, reason, price_cents, reference_cents, detected_at,
+    confirmed_at, closed_at, refreshes): an offer's deals under a rule are numbered from 1. Price and
+    reference are those of the last event that sets them, so a rejection or an expiry leaves them.
+    Offers without a number are one offer.
+    """
+    mine = Window.partitionBy("offer_id", "rule").orderBy("observed_at", F.col("event") != "rejected", F.col("event") != "expired")
+    at, event = F.col("observed_at"), F.col("event")
+    numbered = events.withColumn("number", F.sum(F.when(event == "detected", 1).otherwise(0)).over(mine))
+    sets = event.isin("detected", "confirmed", "refreshed")
+    decides = event.isin("confirmed", "rejected", "expired")
+    last = lambda column, test: F.max_by(F.when(test, F.col(column)), F.when(test, at))
+    return numbered.groupBy("offer_id", "rule", "number").agg(
+        F.min(F.when(event == "detected", F.col("seq"))).alias("detected_seq"), F.max_by("status", at).alias("status"), last("reason", decides).alias("reason"),
+        last("price_cents", sets).alias("price_cents"), last("reference_cents", sets).alias("reference_cents"), F.min(at).alias("detected_at"),
+        F.min(F.when(event == "confirmed", at)).alias("confirmed_at"), F.max(F.when(F.col("status").isin("REJECTED", "EXPIRED"), at)).alias("closed_at"), F.count_if(event == "refreshed").alias("refreshes"),
+    )

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import pacing
-from ..operators.deal_machine import CLAIMED, NEW, USED, deal_events
+from ..operators.deal_machine import CLAIMED, NEW, USED, deal_events, deal_states
 from ..sources.files import table
 from ..streaming.deals import STATE_STORE, deal_event_stream, hourly_health
 from .registering import query
@@ -61,11 +61,12 @@ def _bp(price: str, ref: str) -> str:
     return f"(CASE WHEN {price} IS NULL OR {ref} IS NULL OR {ref} <= 0 THEN 0 WHEN {price} <= {ref} THEN CAST(trunc(({ref} - {price}) * 10000.0::DOUBLE / {ref} + 0.5) AS BIGINT) ELSE -CAST(trunc(({price} - {ref}) * 10000.0::DOUBLE / {ref} + 0.5) AS BIGINT) END)"
 
 
-def _machine_sql() -> str:
+def _machine_sql(micros: bool = False) -> str:
     """The deal machine as one recursive query over each offer's rows; the rules' parts are alike.
 
     Each offer's last row is a mark at the time up to which the machine has come, which only lets
-    timers run out. Columns n, c and u are the open deals of the three rules.
+    timers run out. Columns n, c and u are the open deals of the three rules. ``micros``: times as
+    microseconds in ``us``.
     """
     minute, hour = 60_000_000, 3_600_000_000
 
@@ -158,7 +159,7 @@ def _machine_sql() -> str:
                         CASE WHEN r.snap <> '' AND NOT list_contains(list_transform(list_filter(f.seen, lambda s: r.t - s.t <= {168 * hour}), lambda s: s.ref), r.snap)
                           THEN list_append(list_filter(f.seen, lambda s: r.t - s.t <= {168 * hour}), {{'ref': r.snap, 't': r.t}}) ELSE list_filter(f.seen, lambda s: r.t - s.t <= {168 * hour}) END AS seen
                       FROM f JOIN r ON r.offer_id = f.offer_id AND r.k = f.k + 1))))))))
-    ) SELECT offer_id, x.seq AS seq, strftime(make_timestamp(x.t), '%Y-%m-%d %H:%M:%S') AS observed_at, x.rule AS rule, x.event AS event, x.status AS status, x.reason AS reason, x.price AS price_cents, x.ref AS reference_cents, {_bp("x.price", "x.ref")} AS discount_bp
+    ) SELECT offer_id, x.seq AS seq, {"x.t AS us" if micros else "strftime(make_timestamp(x.t), '%Y-%m-%d %H:%M:%S') AS observed_at"}, x.rule AS rule, x.event AS event, x.status AS status, x.reason AS reason, x.price AS price_cents, x.ref AS reference_cents, {_bp("x.price", "x.ref")} AS discount_bp
     FROM (SELECT offer_id, unnest(told) AS x FROM f)"""
 
 
@@ -191,6 +192,20 @@ class _Streaming:
         return _event_stream(self.spark, path.rsplit("/", 1)[0])
 
 
+STATES = f"""SELECT offer_id, rule, CAST(number AS BIGINT) AS number, min(seq) FILTER (WHERE event = 'detected') AS detected_seq, last(status ORDER BY us) AS status, last(reason ORDER BY us) FILTER (WHERE event IN ('confirmed', 'rejected', 'expired')) AS reason,
+  last(price_cents ORDER BY us) FILTER (WHERE event IN ('detected', 'confirmed', 'refreshed')) AS price_cents, last(reference_cents ORDER BY us) FILTER (WHERE event IN ('detected', 'confirmed', 'refreshed')) AS reference_cents,
+  strftime(make_timestamp(min(us)), '%Y-%m-%d %H:%M:%S') AS detected_at, strftime(make_timestamp(min(us) FILTER (WHERE event = 'confirmed')), '%Y-%m-%d %H:%M:%S') AS confirmed_at,
+  strftime(make_timestamp(max(us) FILTER (WHERE status IN ('REJECTED', 'EXPIRED'))), '%Y-%m-%d %H:%M:%S') AS closed_at, count(*) FILTER (WHERE event = 'refreshed') AS refreshes
+FROM (SELECT *, sum(CASE WHEN event = 'detected' THEN 1 ELSE 0 END) OVER (PARTITION BY offer_id, rule ORDER BY us) AS number FROM ({_machine_sql(micros=True)})) GROUP BY offer_id, rule, number"""
+
+
+@query(STATES)
+def deal_states_after_events(spark, sf_dir):
+    """Deals as they stand when the machine has come to its end."""
+    made = deal_states(deal_events(event_observations(spark, sf_dir), until=_reached(spark, sf_dir)))
+    return made.withColumns({c: shown_time(F.col(c)) for c in ("detected_at", "confirmed_at", "closed_at")})
+
+
 @query(_machine_sql())
 def deal_fsm_stream(spark, sf_dir):
     """The same events as ``deal_fsm_batch``, from the stream."""
