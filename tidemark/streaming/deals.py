@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import RULES, Rules
 from ..operators.deal_machine import DEAL, TAKEN, TAKEN_NAMES, TOLD, TOLD_NAMES, Deal, Machine, OfferState, shown
+from .shipping import by_value
 
 #: The store that keeps typed state; a session names it before the stream starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -113,7 +114,8 @@ def deal_event_stream(observations: DataFrame, late: str = "1 hour", rules: Rule
     # A null is no key that state could be kept under, so offers are keyed by their number as text.
     keyed = rows.select(F.coalesce(F.col("offer_id").cast("string"), F.lit("")).alias("offer"), "observed_at", *TAKEN_NAMES)
     processor = DealProcessor(rules, used_reference)
-    return shown(keyed.groupBy("offer").transformWithStateInPandas(processor, TOLD, "Append", "EventTime"))
+    with by_value():
+        return shown(keyed.groupBy("offer").transformWithStateInPandas(processor, TOLD, "Append", "EventTime"))
 
 
 def first_snapshots(observations: DataFrame, late: str | None = None) -> DataFrame:

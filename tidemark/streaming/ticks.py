@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..config import RULES, Rules
 from ..operators.guards import judged, next_ok, sound
 from ..operators.sweeps import COUNTS
+from .shipping import by_value
 
 #: Bare observations. ``sweep`` orders a page's passes; rows of a sweep may come in several batches.
 BARE = (
@@ -137,10 +138,13 @@ def judged_stream(stream: DataFrame, rules: Rules = RULES, replay_hours: int | N
     """
     # Rows without a page are dealt by offer, so that they are no group of their own.
     page = F.coalesce(F.concat(F.lit("p"), F.col("page_key")), F.concat(F.lit("o"), F.coalesce(F.col("offer_id").cast("string"), F.lit(""))))
-    counted = stream.select(page.alias("page"), *NAMES).groupBy("page").transformWithStateInPandas(SweepCounts(), _COUNTED, "Append", "None")
+    with by_value():
+        counted = stream.select(page.alias("page"), *NAMES).groupBy("page").transformWithStateInPandas(SweepCounts(), _COUNTED, "Append", "None")
     ready = counted.withColumn("sound", F.coalesce(sound(counted, rules), F.lit(False)))
     # A null is no key that state could be kept under.
-    lasted = ready.withColumn("offer", F.coalesce(F.col("offer_id").cast("string"), F.lit(""))).groupBy("offer").transformWithStateInPandas(LastOk(rules, replay_hours), _WITH_LAST, "Append", "None")
+    keyed = ready.withColumn("offer", F.coalesce(F.col("offer_id").cast("string"), F.lit("")))
+    with by_value():
+        lasted = keyed.groupBy("offer").transformWithStateInPandas(LastOk(rules, replay_hours), _WITH_LAST, "Append", "None")
     return judged(lasted.drop("sound"), rules)
 
 
