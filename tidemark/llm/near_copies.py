@@ -98,7 +98,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, total: int) -> DataFram
 
 
 def _prefixed(crowd: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(key, node, n, component, indexed): the crowd (node, n, component) under the shingles of their prefixes.
+    """(key, node, n, component, rest, indexed): the crowd (node, n, component) under the shingles of their
+    prefixes; ``rest`` counts a set's shingles from the key on, in order of rarity.
 
     Of two sets that are similar enough, the larger one's prefix of n - ceil(n * s) + 1 shingles meets
     the smaller one's of m - ceil(m * 2s / (1 + s)) + 1; keys of the shorter prefix are ``indexed``.
@@ -111,8 +112,8 @@ def _prefixed(crowd: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     own = F.col("n") - F.size("shared")
     longer = F.expr(f"n - (n * {similarity} + 99) div 100 + 1") - own
     shorter = F.expr(f"n - (2 * n * {similarity} + {99 + similarity}) div {100 + similarity} + 1") - own
-    keyed = crowd.join(common, "node").where(longer > 0).select("node", "n", "component", shorter.alias("shorter"), F.posexplode(F.slice("shared", F.lit(1), longer.cast("int"))).alias("place", "s"))
-    return keyed.select(F.col("s.key").alias("key"), "node", "n", "component", (F.col("place") < F.col("shorter")).alias("indexed"))
+    keyed = crowd.join(common, "node").where(longer > 0).select("node", "n", "component", own.alias("own"), shorter.alias("shorter"), F.posexplode(F.slice("shared", F.lit(1), longer.cast("int"))).alias("place", "s"))
+    return keyed.select(F.col("s.key").alias("key"), "node", "n", "component", (F.col("n") - F.col("own") - F.col("place")).alias("rest"), (F.col("place") < F.col("shorter")).alias("indexed"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -165,8 +166,10 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
             keyed = cut(_prefixed(crowd, sets, similarity))
             several = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
             mixed = keyed.join(several, "key")
-            others = mixed.where("indexed").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("place"))
-            left = mixed.join(others, "key").where((F.col("component") != F.col("place")) & (F.col("n") >= F.col("m")))
+            others = mixed.where("indexed").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("place"), F.col("rest").alias("other_rest"))
+            # From the first key that two sets share on, there must be enough left for what they have in common.
+            enough = F.least("rest", "other_rest") * (100 + similarity) >= (F.col("n") + F.col("m")) * similarity
+            left = mixed.join(others, "key").where((F.col("component") != F.col("place")) & (F.col("n") >= F.col("m")) & enough)
         pairs = left.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
