@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import captures
+from tidemark.sources.files import table_stream
 from tidemark.streaming import quarantine
 
 def now():
@@ -81,3 +82,15 @@ def test_bad_rows_are_set_aside_and_counted(spark, tmp_path):
     first = quarantine.start_split(stream, reason, str(tmp_path / "again"), str(tmp_path / "ck2"))
     first.awaitTermination()
     assert quarantine.counts(first) == {"seen": 30, "set_aside": 8}
+
+
+def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path):
+    rows = spark.range(5).withColumnRenamed("id", "n")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "t.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "file" / "t.parquet")
+    for kind in ("folder", "file"):
+        run = quarantine.start_split(table_stream(spark, str(tmp_path / kind), "t"), F.lit(None).cast("string"), str(tmp_path / kind / "store"), str(tmp_path / kind / "ck"))
+        run.awaitTermination()
+        assert sorted(r.n for r in quarantine.stored_split(spark, str(tmp_path / kind / "store")).collect()) == list(range(5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.captures import answered, insert_captures, validate_captures
-from ..sources.files import table
+from ..sources.files import table, table_stream
 from ..streaming.quarantine import start_split, stored_split
 from .q_stateful import _checkpoint
 from .registering import query
@@ -128,9 +128,8 @@ _RAW = """CASE WHEN error IS NULL AND k_raw = 'OBJECT' THEN array_to_string(list
 @query(f"{ANSWERS} SELECT seq, CAST(status AS INTEGER) AS status, code, error, error IS NULL AS accepted, CASE WHEN error IS NULL THEN cond END AS condition, CASE WHEN error IS NULL THEN price END AS price_cents, CASE WHEN error IS NULL AND was > price THEN was END AS was_cents, {_RAW} AS raw, key FROM a")
 def capture_stream(spark, sf_dir):
     """Posts from a stream: answered, split into accepted rows and dead letters, read from the store."""
-    pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
     where = _checkpoint(spark)
-    made = answered(posts(pages), TOKEN, F.lit(NOW).cast("timestamp"))
+    made = answered(posts(table_stream(spark, sf_dir, "pages")), TOKEN, F.lit(NOW).cast("timestamp"))
     start_split(made, F.col("error"), f"{where}/store", f"{where}/progress").awaitTermination()
     done = stored_split(spark, f"{where}/store")
     good = lambda c: F.when(F.col("accepted"), c)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pacing
 from ..operators.deal_machine import CLAIMED, NEW, USED, deal_events, deal_states
-from ..sources.files import table
+from ..sources.files import table, table_stream
 from ..streaming.deals import STATE_STORE, deal_event_stream, hourly_health
 from .registering import query
 from .star import event_observations, shown_time
@@ -176,9 +176,8 @@ def deal_fsm_batch(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir):
-    """The events table as a stream; its folder holds other tables too, so the file is named."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream."""
+    return table_stream(spark, sf_dir, "events")
 
 
 class _Streaming:
