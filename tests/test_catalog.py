@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog
+from tidemark.plans.catalogue import QUERIES
 from tidemark.sources import files, markup, registry
 
 
@@ -110,3 +111,10 @@ def test_slugs_are_unique_in_order(spark):
     products = spark.createDataFrame(list(enumerate(names)), "product_id long, name string")
     got = [r.slug for r in catalog.unique_slugs(products, spark.createDataFrame([(t,) for t in taken], "slug string")).orderBy("product_id").collect()]
     assert got == expected and len(set(got)) == len(names)
+
+
+def test_pages_that_share_a_url_expire_each_by_its_own_deal(spark, tmp_path):
+    spark.createDataFrame([(1, "u"), (2, "u"), (3, "v"), (4, None), (5, None)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "O"), (2, "F"), (4, "O")], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(r.page_id for r in QUERIES["expired_urls_without_open_deal"](spark, str(tmp_path)).collect())
+    assert got == [2, 5]

@@ -29,9 +29,9 @@ def overdue(tasks: DataFrame, now: Column) -> DataFrame:
     return tasks.where("kind = 'CONFIRM' and status in ('QUEUED', 'LEASED')").where(F.col("deadline") < now).withColumn("status", F.lit("EXPIRED"))
 
 
-def expired_urls(urls: DataFrame, open_deals: DataFrame, now: Column) -> DataFrame:
-    """Enabled URLs past their time to live that no open deal needs."""
-    return urls.where("enabled").where(F.col("expires_at") < now).join(open_deals.select("retailer_id", "url").distinct(), ["retailer_id", "url"], "left_anti")
+def expired_urls(urls: DataFrame, open_deals: DataFrame, now: Column, keys: tuple[str, ...] = ("retailer_id", "url")) -> DataFrame:
+    """Enabled URLs past their time to live that no open deal needs; ``keys`` tell which URL a deal needs."""
+    return urls.where("enabled").where(F.col("expires_at") < now).join(open_deals.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def stale_deals(deals: DataFrame, observations: DataFrame, now: Column, hours: int) -> DataFrame:
