@@ -2,10 +2,12 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators import documents, work
 from tidemark.operators.latest import array_overlap_join, keyed_merge, unseen
+from tidemark.plans import q_sources
 from tidemark.sources import feeds, files, markup
 
 
@@ -174,3 +176,35 @@ def test_documents_and_gate(spark):
     assert sorted(map(tuple, documents.feed_violations(docs).collect())) == [(2, "seller_enum"), (2, "verified_with_reference")]
     health = spark.createDataFrame([(1, True), (2, True)], "retailer_id int, stale boolean")
     assert not documents.publishable(health, 0) and documents.publishable(health, 1) and documents.publishable(health, 0, force=True)
+
+
+def test_plain_markup_reads_as_the_standard_parser_reads_it():
+    family = markup.GRIDS["catalogue_cells"]
+    cell = '<div class="cattable-wrap-cell" data-code="{k}"><a class=\'cattable-wrap-cell-info\' href="/p/{k}"><h3 class="cattable-wrap-cell-info-name">A &amp; <b>{k}</b></h3><img src="i"/><div class="cattable-wrap-cell-info-price">$1.00<span class="cattable-wrap-cell-info-price-msrp">$2.00</span>\n</div></a></div>'
+    page = "<!DOCTYPE html><ul>" + "".join(cell.format(k=k) for k in range(3)) + "</ul>"
+    odd = [page.replace("<ul>", more) for more in ("<!-- a<b -->", "<script>if (a<b) {}</script>", "<p a=b>", "5 < 6", "<title>x</title>", '<p title="&lt;">')]
+    assert markup._plain_tags(page) and not any(map(markup._plain_tags, odd))
+    for body in [page, *odd, page[:-30], ""]:
+        parser = markup._Cells(family)
+        parser.feed(body)
+        parser.close()
+        assert markup.cells_of(body, family) == parser.rows
+    assert [r["title"] for r in markup.cells_of(page, family)] == ["A & 0", "A & 1", "A & 2"]
+
+
+def test_pages_made_from_one_file_are_read_by_many_tasks(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    pages = q_sources._parts(spark, str(tmp_path), F.lit("<p>"))
+    assert pages.rdd.getNumPartitions() > 1 and pages.count() == 100
+
+
+def test_cells_go_on_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(markup, "CELLS", 10)
+    body = '<div class="product-tile"></div>' * 7
+    pages = spark.range(50, numPartitions=1).select(F.col("id").cast("string").alias("url"), F.lit(body).alias("body"))
+    sent = []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda _, run, schema: sent.append(run))
+    markup.grid_cells(pages, "badge_tiles")
+    batch = pa.RecordBatch.from_pydict({"body": [body] * 50, "url": [str(k) for k in range(50)]})
+    sizes = [b.num_rows for b in sent[0](iter([batch]))]
+    assert sum(sizes) == 350 and max(sizes) < 20
