@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.llm import q_chat_format
-from tidemark.llm.chat_format import expand_examples, format_conversations, read_losses, read_turns
+from tidemark.llm.chat_format import expand_examples, format_conversations, read_examples, read_losses, read_turns
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string, examples string"
 
@@ -48,3 +48,21 @@ def test_long_conversation(spark):
 def test_query_has_the_probe(spark, data):
     r = q_chat_format.query(spark, data).where("conv_id = -7").first()
     assert (r.n_turns, r.loss_chars) == (2, len(q_chat_format.PROBE))
+
+
+def test_query_reads_the_expanded_examples(spark, data, monkeypatch):
+    """A query that takes its digests from the examples sees what is done to them."""
+    expand = q_chat_format.expand_examples
+    monkeypatch.setattr(q_chat_format, "expand_examples", lambda made: expand(made).withColumn("reply", F.lit("x")))
+    r = q_chat_format.query(spark, data).where("conv_id = -7").first()
+    assert (r.n_turns, r.loss_chars) == (2, 1)
+
+
+def test_examples_tell_all_of_a_conversation(spark):
+    rows = [(1, 1, "assistant", "###"), (1, 0, "user", "A"), (1, 2, "user", ""), (1, 3, "assistant", "\\b"), (2, 0, "user", "only"), (2, 1, "tool", "more"), (None, 0, "assistant", None)]
+    made = conversations(spark, rows)
+    told = {r.conv_id: (r.formatted, r.losses, r.example_chars) for r in read_examples(expand_examples(made)).collect()}
+    assert told == {
+        r.conv_id: (r.formatted, r.losses, sum(e.context_chars + e.reply_chars for e in r.examples))
+        for r in made.withColumn("losses", read_losses(F.col("formatted"), F.col("examples"))).collect()
+    }

@@ -116,20 +116,33 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def expand_examples(conversations: DataFrame) -> DataFrame:
-    """The training rows of ``format_conversations``: conv_id, turn_no, context, reply.
+    """The training rows of ``format_conversations``: conv_id, turn_no, context, reply, and ``last`` for
+    the example that takes in all turns of its conversation.
 
     The reply is the text under the loss mask. The texts of one conversation grow with the square
     of its turns, as the method wants it; rows are made one by one.
     """
-    rows = conversations.select("conv_id", "formatted", F.explode("examples").alias("e"))
+    rows = conversations.select("conv_id", "formatted", (F.size("examples") - 1).alias("n"), F.posexplode("examples").alias("at", "e"))
     return rows.select(
         "conv_id",
         F.col("e.turn_no").alias("turn_no"),
         F.substring(F.col("formatted"), F.lit(1), F.col("e.context_chars").cast("int")).alias("context"),
         F.substring(F.col("formatted"), (F.col("e.context_chars") + 1).cast("int"), F.col("e.reply_chars").cast("int")).alias("reply"),
+        (F.col("at") == F.col("n")).alias("last"),
     )
 
 
+def read_examples(examples: DataFrame) -> DataFrame:
+    """What the training rows of ``expand_examples`` tell, one row per conversation: conv_id, formatted (all
+    turns, from the last example), losses (the unescaped texts under the mask, in order) and
+    example_chars (the length of all example texts)."""
+    reply = F.when(F.col("turn_no").isNotNull(), F.struct("turn_no", unescape(F.col("reply")).alias("text")))
+    whole = F.concat("context", "reply", F.when(F.col("turn_no").isNotNull(), F.lit(TURN_END + "\n")).otherwise(""))
+    told = examples.select("conv_id", reply.alias("r"), F.when(F.col("last"), whole).alias("whole"), (F.length("context") + F.length("reply")).cast("long").alias("chars"))
+    read = told.groupBy("conv_id").agg(F.max("whole").alias("formatted"), F.array_sort(F.collect_list("r")).alias("rs"), F.sum("chars").alias("example_chars"))
+    return read.select("conv_id", "formatted", F.col("rs.text").alias("losses"), "example_chars")
+
+
 def read_turns(formatted: Column) -> Column:
     """The (role, text) structs that a formatted conversation was made from."""
     pieces = F.split(formatted, TURN_END + "\n")

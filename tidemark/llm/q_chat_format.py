@@ -1,11 +1,11 @@
-"""op1: digests of all formatted conversations, read back from the output."""
+"""op1: digests of all conversations, read back from their training examples."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import format_conversations, read_losses, read_turns
+from .chat_format import expand_examples, format_conversations, read_examples, read_turns
 from .shared import table
 
 NAME = "op1_chat_format"
@@ -18,13 +18,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))])).alias("p")
     ).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), "p.turn", "p.role", F.lit(PROBE).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    made = format_conversations(turns)
-    read = made.select(
-        "conv_id",
-        read_turns(F.col("formatted")).alias("turns"),
-        F.array_join(read_losses(F.col("formatted"), F.col("examples")), "").alias("loss"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda n, e: n + e["context_chars"] + e["reply_chars"]).alias("formatted_chars"),
-    )
+    made = read_examples(expand_examples(format_conversations(turns)))
+    read = made.select("conv_id", read_turns(F.col("formatted")).alias("turns"), F.array_join("losses", "").alias("loss"), F.col("example_chars").alias("formatted_chars"))
     line = F.lit("\n")
     return read.select(
         "conv_id",
