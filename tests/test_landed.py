@@ -69,3 +69,12 @@ def test_run_budget_against_a_plain_run(spark, round_robin):
                 clock += r[5]
     got = {r.task_id: (r.turn, r.starts_at, r.runs) for r in work.run_budget(frame, 4, 300, round_robin).collect()}
     assert got == expected and {r for *_, r in got.values()} == {True, False}
+
+
+def test_a_task_holds_few_bodies_at_once(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "landed")
+    landed.land(spark.range(30).coalesce(1).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("ref"), F.lit("x" * 100).alias("body")), folder)
+    monkeypatch.setattr(landed, "BATCH_BYTES", 1000)
+    reader = landed._Reader(folder)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [b.num_rows for b in batches] == [10, 10, 10]

@@ -13,14 +13,17 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.basics import first_reason
 
 FORMAT = "landed_bodies"
+#: Bytes of bodies from which on a reader sends what it holds, so that a task's memory does not grow with its rows.
+BATCH_BYTES = 4 << 20
 SCHEMA = "ref string, body binary, sha256 string"
 #: What went wrong before there was a response, by words of the error's text. Fixed values are the kinds.
 TRANSPORT = {"timeout": "timed? ?out|timeout", "dns": "name or service|name resolution|getaddrinfo|nodename", "tls": "ssl|tls|certificate", "proxy": "proxy", "connection": "connect|reset|refused|unreachable|broken pipe"}
@@ -55,6 +58,10 @@ def _read(store: fs.FileSystem, path: str) -> bytes:
         return source.read()
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.string(), pa.binary(), pa.string()))], ["ref", "body", "sha256"])
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -65,31 +72,39 @@ class _Reader(DataSourceReader):
         lists = [name for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".json") for name in json.loads(_read(store, f.path))["lists"]]
         return [_Listed(name) for name in dict.fromkeys(lists)]
 
-    def read(self, partition: _Listed | None) -> Iterator[tuple]:
+    def read(self, partition: _Listed | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was ever committed
             return
         store, root = _opened(self.path)
+        rows, size = [], 0
         for ref in _read(store, f"{root}/_lists/{partition.name}").decode().split("\n"):
             if ref:
                 body = gzip.decompress(_read(store, f"{root}/{ref}"))
-                yield ref, body, hashlib.sha256(body).hexdigest()
+                rows.append((ref, body, hashlib.sha256(body).hexdigest()))
+                size += len(body)
+                if size >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _opened(self.path)
         store.create_dir(f"{root}/_lists", recursive=True)
         refs, size = [], 0
-        for row in iterator:
-            if row.ref is None or row.body is None:
-                continue
-            packed = gzip.compress(bytes(row.body), mtime=0)
-            _write(store, f"{root}/{row.ref}", packed)
-            refs.append(row.ref)
-            size += len(packed)
+        for batch in iterator:
+            for ref, body in zip(batch.column("ref"), batch.column("body")):
+                if not ref.is_valid or not body.is_valid:
+                    continue
+                packed = gzip.compress(body.as_py(), mtime=0)
+                _write(store, f"{root}/{ref.as_py()}", packed)
+                refs.append(ref.as_py())
+                size += len(packed)
         name = f"{uuid.uuid4().hex}.txt" if refs else None
         if name:
             _write(store, f"{root}/_lists/{name}", "\n".join(refs).encode())
