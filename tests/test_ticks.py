@@ -86,3 +86,26 @@ def test_plain_guards_equal_the_columns(spark):
     frame = spark.createDataFrame(rows, "p long, l long, c long, n long")
     got = frame.select(guards.move_guard(F.col("p"), F.col("l")).alias("m"), guards.pack_guard(*map(F.col, "plcn")).alias("k")).collect()
     assert [(r.m, r.k) for r in got] == [(guards.moved(p, last, RULES), guards.packed(p, last, c, n, RULES)) for p, last, c, n in rows]
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_sweeps_are_looked_up_without_shuffling_rows(spark, monkeypatch, few):
+    """Fetch times are few beside rows, so rows stay where they are; if they are not few, the result is the same."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["p", "q", None]), START + timedelta(hours=rng.choice([1, 2, 3, 30, 31, 60])) if k % 9 else None, f"v{rng.randrange(6)}", rng.randrange(4), f"s{k}") for k in range(200)]
+    frame = spark.createDataFrame(rows, "page_key string, observed_at timestamp, variant_key string, price_cents long, seq string")
+    expected = sweeps.with_sweep_counts(frame, 86_400)
+    told = lambda df: sorted(map(str, df.select("seq", "sweep", *sweeps.COUNTS).collect()))
+    wanted = told(expected)
+    if few is not None:
+        monkeypatch.setattr(sweeps, "FEW", few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sweeps.with_sweep_counts(frame, 86_400)
+        named = sweeps.with_sweep_counts(found.drop(*sweeps.COUNTS))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found.select("seq", *sweeps.COUNTS), named.select("seq", *sweeps.COUNTS))]
+        carried = [sum("Exchange hashpartitioning(page_key" in line and "seq" in "".join(plan.splitlines()[k : k + 2]) for k, line in enumerate(plan.splitlines())) for plan in plans]
+        assert told(found) == wanted and told(named) == wanted and len(wanted) == 200
+        assert (carried == [0, 0]) == (few is None) and carried[0] <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

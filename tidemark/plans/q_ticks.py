@@ -16,7 +16,8 @@ from .star import GAP_SECONDS, OBSERVATIONS, SWEEPS, observations, on_pages
 @query(f"WITH {OBSERVATIONS}, {SWEEPS} SELECT page_key, sweep, variants, prices, previous_variants, previous_prices FROM counts")
 def sweep_counts(spark, sf_dir):
     rows = on_pages(observations(spark, sf_dir))
-    placed = rows.join(sweeps.sessions(rows, GAP_SECONDS), ["page_key", "observed_at"])
+    times = sweeps.sessions(rows, GAP_SECONDS)
+    placed = rows.join(sweeps.looked_up(times, times), ["page_key", "observed_at"])
     return sweeps.counted_sweeps(placed)
 
 
