@@ -63,3 +63,15 @@ def test_texts_that_are_no_documents(spark):
     rows = [(1, None), (2, ""), (3, "{"), (4, "null"), (5, "[]"), (6, json.dumps({"generated_at": "t", "deals": [DEAL, 5, DEAL | {"lane": 1}]}))]
     got = sorted((r.k, r.path, r.rule) for r in S.schema_violations(spark.createDataFrame(rows, "k long, j string"), "j", S.FEED, "k").collect())
     assert got == [(1, "", "json"), (2, "", "json"), (3, "", "json"), (4, "", "type"), (5, "", "type"), (6, "deals.1", "type"), (6, "deals.2.lane", "enum")]
+
+
+def test_each_value_is_made_once(spark):
+    """Values that a schema looks at are columns: none is taken from its document again for every rule."""
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = S.schema_violations(spark.createDataFrame([(1, json.dumps(DEAL))], "k long, body string"), "body", S.DEAL, "k")._jdf.queryExecution().optimizedPlan().toString().lower()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    # One kind for the document and one for each of its keys, those of its two nested objects too.
+    assert plan.count("schemaofvariant.schemaofvariant(") == 1 + len(S.DEAL) + len(S.REFERENCE.of) + len(S.CLAIMED.of)

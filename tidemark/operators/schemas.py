@@ -84,27 +84,50 @@ def _under(path: Column, step: Column) -> Column:
     return F.when(path == "", step).otherwise(F.concat(path, F.lit("."), step))
 
 
-def broken(value: Column, schema: object, path: Column | None = None) -> Column:
+class _Levels:
+    """Values that a compiled schema uses more than once, each a column of its own: ``rows`` makes them
+    level by level, so that no row computes one twice. What is made at a depth can be used from the next one on."""
+
+    def __init__(self) -> None:
+        self.levels: list[dict[str, Column]] = []
+
+    def let(self, depth: int, value: Column) -> Column:
+        while len(self.levels) <= depth:
+            self.levels.append({})
+        name = f"v{depth}_{len(self.levels[depth])}_"
+        self.levels[depth][name] = value
+        return F.col(name)
+
+    def rows(self, documents: DataFrame) -> DataFrame:
+        for level in self.levels:
+            documents = documents.select("*", *[value.alias(name) for name, value in level.items()])
+        return documents
+
+
+def broken(value: Column, schema: object, path: Column | None = None, held: _Levels | None = None, depth: int = 0, kind: Column | None = None) -> Column:
     """array<struct<path, rule>>: what of a VARIANT value breaks the schema, paths dotted, the root empty.
 
     Each value breaks its kind or else the finer rules; a missing key is told at its own path. A null
-    (of SQL) has no verdict.
+    (of SQL) has no verdict. With ``held`` the verdict is one on its rows, in which ``value`` is known
+    at ``depth``; a function over an array's items can have no columns of its own and does without.
     """
     path = F.lit("") if path is None else path
-    kind = _kind(value)
+    let = held.let if held else lambda depth, column: column
+    kind = let(depth, _kind(value)) if kind is None else kind
     if isinstance(schema, Nullable):
-        return F.when(kind == "VOID", F.array().cast(_BROKEN)).otherwise(broken(value, schema.of, path))
-    if isinstance(schema, Closed):
-        known = F.array(*[F.lit(k.rstrip("?")) for k in schema.of])
-        extra = F.size(F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), known)) <= 0
-        return F.concat(broken(value, schema.of, path), F.when(kind.startswith("OBJECT"), _one(path, "extra_keys", extra)).otherwise(F.array().cast(_BROKEN)))
-    if isinstance(schema, dict):
+        return F.when(kind == "VOID", F.array().cast(_BROKEN)).otherwise(broken(value, schema.of, path, held, depth, kind))
+    if isinstance(schema, (dict, Closed)):
+        named = schema.of if isinstance(schema, Closed) else schema
+        fields = let(depth, F.try_variant_get(value, "$", "map<string,variant>"))
         parts = []
-        for name, inner in schema.items():
+        for name, inner in named.items():
             key, optional = name.rstrip("?"), name.endswith("?")
-            member, at = _member(value, key), _under(path, F.lit(key))
-            there = _kind(member).isNotNull()
-            parts.append(F.when(there, broken(member, inner, at)).otherwise(F.array().cast(_BROKEN) if optional else _one(at, "required", F.lit(False))))
+            member, at = let(depth + 1, F.try_element_at(fields, F.lit(key))) if held else _member(value, key), _under(path, F.lit(key))
+            found = let(depth + 2, _kind(member))
+            parts.append(F.when(found.isNotNull(), broken(member, inner, at, held, depth + 2, found)).otherwise(F.array().cast(_BROKEN) if optional else _one(at, "required", F.lit(False))))
+        if isinstance(schema, Closed):
+            known = F.array(*[F.lit(k.rstrip("?")) for k in named])
+            parts.append(_one(path, "extra_keys", F.size(F.array_except(F.map_keys(fields), known)) <= 0))
         return F.when(kind.startswith("OBJECT"), F.concat(*parts)).otherwise(_one(path, "type", F.lit(False)))
     if isinstance(schema, list):
         items = F.try_variant_get(value, "$", "array<variant>")
@@ -131,7 +154,9 @@ def schema_violations(documents: DataFrame, text: str, schema: object, *keys: st
 
     A text that is no JSON breaks the rule ``json`` at the root, as a null does.
     """
-    parsed = F.try_parse_json(text)
-    found = F.when(_kind(F.col("v_")).isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))).otherwise(broken(F.col("v_"), schema))
-    rows = documents.select(*keys, parsed.alias("v_")).select(*keys, F.explode(found).alias("b_"))
+    held = _Levels()
+    value = held.let(0, F.try_parse_json(text))
+    kind = held.let(1, _kind(value))
+    found = F.when(kind.isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))).otherwise(broken(value, schema, held=held, depth=1, kind=kind))
+    rows = held.rows(documents.select(*keys, text)).select(*keys, F.explode(found).alias("b_"))
     return rows.select(*keys, F.col("b_.path").alias("path"), F.col("b_.rule").alias("rule"))

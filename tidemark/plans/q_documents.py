@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.money import discount_bp
 from ..operators import documents as D
 from ..operators import schemas
-from ..sources.files import table
+from ..sources.files import dealt, table
 from .q_references import ALL, daily
 from .registering import query
 from .star import OBSERVATIONS, observations
@@ -122,11 +122,13 @@ def deal_texts(spark, sf_dir):
         F.when(k % 2 == 0, detail).alias("reference"), F.when(k % 3 == 0, claim).alias("claimed_reference"), F.when(way == 3, F.lit(100.5)).otherwise(F.lit(66.67)).alias("discount_pct"), F.col("availability"),
         F.lit(5).alias("stock_qty"), F.col("detected_at").alias("first_confirmed_at"), F.col("last_confirmed_at"),
     )
-    whole = F.to_json(row, {"ignoreNullFields": "false"})
+    # Each text is a column before it is altered, so that no alteration writes it anew.
+    written = D.deal_documents(dealt(deals(spark, sf_dir))).select("deal_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("body"))
+    whole = F.col("body")
     # A surplus key that is null is no key in the texts of sound deals.
-    whole = F.when(way == 5, whole).otherwise(F.replace(whole, F.lit(',"surplus":null'), F.lit("")))
-    whole = F.when(way == 4, F.replace(whole, F.lit('"stock_qty":5,'), F.lit(""))).when(way == 8, F.regexp_replace(whole, r'"price_cents":\d+', '"price_cents":"1"')).when(way == 9, F.replace(whole, F.lit("}"), F.lit(""))).when(way == 10, F.replace(whole, F.lit('"stock_qty":5'), F.lit('"stock_qty":5.5'))).otherwise(whole)
-    return D.deal_documents(deals(spark, sf_dir)).select("deal_id", whole.alias("body"))
+    sound = F.when(way == 5, whole).otherwise(F.replace(whole, F.lit(',"surplus":null'), F.lit("")))
+    altered = F.when(way == 4, F.replace(whole, F.lit('"stock_qty":5,'), F.lit(""))).when(way == 8, F.regexp_replace(whole, r'"price_cents":\d+', '"price_cents":"1"')).when(way == 9, F.replace(whole, F.lit("}"), F.lit(""))).when(way == 10, F.replace(whole, F.lit('"stock_qty":5'), F.lit('"stock_qty":5.5'))).otherwise(whole)
+    return written.withColumn("body", sound).withColumn("body", altered)
 
 
 @query(
