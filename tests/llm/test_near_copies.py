@@ -90,3 +90,21 @@ def test_prefixes_are_exact(spark, monkeypatch):
     rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(1, 12)))) for k in range(400)]
     expected = plain(rows)
     assert {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == expected
+
+
+def test_edited_copies_of_one_text_are_linked_by_few_comparisons(spark, monkeypatch):
+    """A large group of copies with an edit or two each: what earlier rounds leave apart is not compared with all of it."""
+    monkeypatch.setattr(N, "ROUNDS", 0)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(250):
+        line = list(base)
+        for _ in range(1 if k % 25 == 0 else 2):
+            line[rng.randrange(150)] = f"x{rng.randrange(12)}"
+        rows.append((k, " ".join(line)))
+    seen, real = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain(rows)
+    assert seen[-1] == 0, seen

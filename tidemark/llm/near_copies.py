@@ -10,7 +10,9 @@ work in proportion to its size. What is left are buckets of texts that share key
 similar: pages of one template, texts with one common passage. Their members are joined exactly by
 prefixes: of a set's shingles, put in order of rarity among these texts, only the first ones are
 keys, as many as are needed for two sets that are similar enough to share one. What such crowds have
-in common is frequent, so it stands last and is no key.
+in common is frequent, so it stands last and is no key. Before that join, ``PREFIX_ROUNDS`` rounds of
+pivots go over the same keys, each with a pivot for ``DEALT`` members and ``TRIES`` ways to deal them at most, so that a set which is similar to many of a component is linked to it by
+few comparisons; only what they leave apart is joined.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ SHINGLE = 5
 SIMILARITY = 80
 BANDS, ROWS = 16, 3
 ROUNDS = 3
+PREFIX_ROUNDS = 2
+#: Members of a prefix key that are compared with one of them, and how often a large key's are dealt in a round.
+DEALT, TRIES = 16, 16
 SEED = 42
 
 _orders = np.random.default_rng(SEED)
@@ -98,22 +103,22 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, total: int) -> DataFram
 
 
 def _prefixed(crowd: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(key, node, n, component, rest, indexed): the crowd (node, n, component) under the shingles of their
+    """(key, node, n, rest, indexed): the crowd (node, n) under the shingles of their
     prefixes; ``rest`` counts a set's shingles from the key on, in order of rarity.
 
     Of two sets that are similar enough, the larger one's prefix of n - ceil(n * s) + 1 shingles meets
     the smaller one's of m - ceil(m * 2s / (1 + s)) + 1; keys of the shorter prefix are ``indexed``.
     Shingles that only one set has are no keys, but they take up their places in its prefix.
     """
-    held = crowd.join(sets, "node").select("node", "n", "component", F.explode("hashes").alias("key"))
+    held = crowd.join(sets, "node").select("node", F.explode("hashes").alias("key"))
     often = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     common = held.select("node", "key").join(often, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
     # Whole numbers throughout: an upper part is (x + y - 1) div y.
     own = F.col("n") - F.size("shared")
     longer = F.expr(f"n - (n * {similarity} + 99) div 100 + 1") - own
     shorter = F.expr(f"n - (2 * n * {similarity} + {99 + similarity}) div {100 + similarity} + 1") - own
-    keyed = crowd.join(common, "node").where(longer > 0).select("node", "n", "component", own.alias("own"), shorter.alias("shorter"), F.posexplode(F.slice("shared", F.lit(1), longer.cast("int"))).alias("place", "s"))
-    return keyed.select(F.col("s.key").alias("key"), "node", "n", "component", (F.col("n") - F.col("own") - F.col("place")).alias("rest"), (F.col("place") < F.col("shorter")).alias("indexed"))
+    keyed = crowd.join(common, "node").where(longer > 0).select("node", "n", own.alias("own"), shorter.alias("shorter"), F.posexplode(F.slice("shared", F.lit(1), longer.cast("int"))).alias("place", "s"))
+    return keyed.select(F.col("s.key").alias("key"), "node", "n", (F.col("n") - F.col("own") - F.col("place")).alias("rest"), (F.col("place") < F.col("shorter")).alias("indexed"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -125,6 +130,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return met.where(both * 100 >= (F.size("ha") + F.size("hb") - both) * similarity).select("a", "b")
 
 
+def _placed(keyed: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``keyed`` with the component that each node has come to."""
+    if groups is None:
+        return cut(keyed.withColumn("component", F.col("node")))
+    return cut(keyed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+
+def _pivots(placed: DataFrame, turn: int, *facts: str) -> DataFrame:
+    """(key, other, m, place, members): one member of every key whose members are not all in one component, with
+    ``p_`` and the name for further ``facts``."""
+    order = F.xxhash64("node", "key", F.lit(turn))
+    pivots = placed.groupBy("key").agg(
+        F.min_by(F.struct(*facts, "component"), order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
+    ).where("low < high")
+    return pivots.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.component").alias("place"), *[F.col(f"p.{f}").alias(f"p_{f}") for f in facts[2:]], "members")
+
+
 def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, mark (a digest of its text), component (a number that the rows of
     a group share) and component_id (least doc_id reachable over links).
@@ -146,29 +168,32 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
     met = cut(hot_join(dealt, shared, ["key"], "members", total).select("key", "node", "n"))
     sets = _sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"), width, marked.count())
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
+    # From the first key that two sets share on, there must be enough left for what they have in common.
+    enough = F.least("rest", "other_rest") * (100 + similarity) >= (F.col("n") + F.col("m")) * similarity
     groups = tried = None
-    for turn in range(ROUNDS + 1):
-        if groups is None:
-            placed = met.withColumn("component", F.col("node"))
-        else:
-            placed = met.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        placed = cut(placed)
-        order = F.xxhash64("node", "key", F.lit(turn))
-        pivots = placed.groupBy("key").agg(
-            F.min_by(F.struct("node", "n", "component"), order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
-        ).where("low < high")
-        pivots = pivots.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.component").alias("place"), "members")
+    for turn in range(ROUNDS + PREFIX_ROUNDS + 1):
+        if turn == ROUNDS:
+            placed = _placed(met, groups)
+            unsettled = hot_join(placed, _pivots(placed, turn, "node", "n").select("key", "members"), ["key"], "members", placed.count())
+            crowd = cut(unsettled.select("node", "n").distinct())
+            keyed = cut(_prefixed(crowd, sets, similarity))
+            keyed = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("of")), "key"))
+        placed = _placed(met if turn < ROUNDS else keyed, groups)
         if turn < ROUNDS:
-            left = hot_join(placed, pivots, ["key"], "members", placed.count()).drop("members").where(F.col("component") != F.col("place"))
+            pivots = _pivots(placed, turn, "node", "n")
+            left = hot_join(placed, pivots, ["key"], "members", placed.count()).where(F.col("component") != F.col("place"))
+        elif turn < ROUNDS + PREFIX_ROUNDS:
+            # A key's members are dealt to its pivots anew in each round, large keys' several times over.
+            parts = F.ceil(F.col("of") / DEALT)
+            again = F.explode(F.sequence(F.lit(1), F.least(parts, F.lit(TRIES)).cast("int")))
+            placed = placed.select("*", again.alias("again"))
+            placed = cut(placed.withColumn("key", F.xxhash64("key", "again", F.pmod(F.xxhash64("node", "key", "again", F.lit(-turn)), parts))))
+            pivots = _pivots(placed, turn, "node", "n", "rest").withColumnRenamed("p_rest", "other_rest")
+            left = hot_join(placed, pivots, ["key"], "members", placed.count()).where((F.col("component") != F.col("place")) & enough)
         else:
-            unsettled = hot_join(placed, pivots.select("key", "members"), ["key"], "members", placed.count())
-            crowd = cut(unsettled.select("node", "n", "component").distinct())
-            keyed = cut(_prefixed(crowd, sets, similarity))
-            several = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
-            mixed = keyed.join(several, "key")
+            several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
+            mixed = placed.join(several, "key")
             others = mixed.where("indexed").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("place"), F.col("rest").alias("other_rest"))
-            # From the first key that two sets share on, there must be enough left for what they have in common.
-            enough = F.least("rest", "other_rest") * (100 + similarity) >= (F.col("n") + F.col("m")) * similarity
             left = mixed.join(others, "key").where((F.col("component") != F.col("place")) & (F.col("n") >= F.col("m")) & enough)
         pairs = left.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
