@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline as P
 import pytest
 
 from tidemark.llm import near_copies as N
+from tidemark.llm.shared import shared_folder
 
 SCHEMA = "doc_id long, text string"
 
@@ -108,3 +110,24 @@ def test_edited_copies_of_one_text_are_linked_by_few_comparisons(spark, monkeypa
     got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == plain(rows)
     assert seen[-1] == 0, seen
+
+
+def test_few_rows_leave_few_files(spark):
+    """What goes from step to step is made in as many tasks as its rows need, whatever the number of shuffle partitions."""
+    rows = made(9, 30)
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    parts = lambda: {f for f in folder.rglob("part-*")}
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        before = parts()
+        got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+        made_now = len(parts() - before)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == plain(rows)
+    # Before: 1166.
+    assert made_now < 300, made_now

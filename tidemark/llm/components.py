@@ -26,7 +26,7 @@ def _hang(links: DataFrame, total: int) -> DataFrame:
     met, least = _with_least(links.union(links.select("lo", "hi")), 2 * total)
     m = F.least("hi", "m")
     large = met.where("lo > hi").select(F.col("lo").alias("hi"), m.alias("lo"))
-    large = cut(large.union(least.where("m < hi").select("hi", "m")).distinct())
+    large = cut(large.union(least.where("m < hi").select("hi", "m")).distinct().coalesce(1 + 2 * total // LINKS_PER_TASK))
     met, lower = _with_least(large, 2 * total)
     small = met.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return small.union(lower.select("hi", "m")).distinct()
@@ -41,19 +41,23 @@ def _state(links: DataFrame) -> tuple[int, bool]:
     return n or 0, not stray
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b); the component is its least node.
 
-    Self links and repeated links are allowed; null ends are dropped. No links: no rows.
+    Self links and repeated links are allowed; null ends are dropped. No links: no rows. ``rows`` is
+    the number of links, if it is known.
     """
     now = cut(
         links.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
+        .distinct(),
+        rows,
     )
     total, done = _state(now)
     while not done:
         # Read back in tasks of a fair size: links may be few and spread over many partitions.
-        now = cut(_hang(now.coalesce(1 + total // LINKS_PER_TASK), total))
+        few = 1 + total // LINKS_PER_TASK
+        now = cut(_hang(now.coalesce(few), total).coalesce(few))
         total, done = _state(now)
+    now = now.coalesce(1 + total // LINKS_PER_TASK)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())

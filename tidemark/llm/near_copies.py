@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, hot_join, lean, text_mark, written
+from .shared import ROWS_PER_TASK, cut, hot_join, lean, text_mark, written
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -36,6 +36,8 @@ ROUNDS = 3
 PREFIX_ROUNDS = 2
 #: Members of a prefix key that are compared with one of them, and how often a large key's are dealt in a round.
 DEALT, TRIES = 16, 16
+#: Pairs whose sets one task compares.
+PAIRS_PER_TASK = 5_000
 SEED = 42
 
 _orders = np.random.default_rng(SEED)
@@ -130,11 +132,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return met.where(both * 100 >= (F.size("ha") + F.size("hb") - both) * similarity).select("a", "b")
 
 
-def _placed(keyed: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``keyed`` with the component that each node has come to."""
+def _placed(keyed: DataFrame, groups: DataFrame | None, rows: int) -> DataFrame:
+    """``keyed``, about as many ``rows``, with the component that each node has come to."""
     if groups is None:
-        return cut(keyed.withColumn("component", F.col("node")))
-    return cut(keyed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        return cut(keyed.withColumn("component", F.col("node")), rows)
+    return cut(keyed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), rows)
 
 
 def _pivots(placed: DataFrame, turn: int, *facts: str) -> DataFrame:
@@ -165,7 +167,9 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
     dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     total = nodes.count() * BANDS
-    met = cut(hot_join(dealt, shared, ["key"], "members", total).select("key", "node", "n"))
+    met = cut(hot_join(dealt, cut(shared, total // 2), ["key"], "members", total).select("key", "node", "n"), total)
+    n_met = met.count()
+    met = met.coalesce(1 + n_met // ROWS_PER_TASK)
     sets = _sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"), width, marked.count())
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
     # From the first key that two sets share on, there must be enough left for what they have in common.
@@ -173,36 +177,43 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILAR
     groups = tried = None
     for turn in range(ROUNDS + PREFIX_ROUNDS + 1):
         if turn == ROUNDS:
-            placed = _placed(met, groups)
-            unsettled = hot_join(placed, _pivots(placed, turn, "node", "n").select("key", "members"), ["key"], "members", placed.count())
-            crowd = cut(unsettled.select("node", "n").distinct())
+            placed = _placed(met, groups, n_met)
+            pivots = cut(_pivots(placed, turn, "node", "n").select("key", "members"), n_met)
+            crowd = cut(hot_join(placed, pivots, ["key"], "members", n_met).select("node", "n").distinct(), n_met)
             keyed = cut(_prefixed(crowd, sets, similarity))
-            keyed = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("of")), "key"))
-        placed = _placed(met if turn < ROUNDS else keyed, groups)
+            n_keyed = keyed.count()
+            keyed = keyed.coalesce(1 + n_keyed // ROWS_PER_TASK)
+            keyed = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("of")), "key"), n_keyed)
+        n_placed = n_met if turn < ROUNDS else n_keyed
+        placed = _placed(met if turn < ROUNDS else keyed, groups, n_placed)
         if turn < ROUNDS:
-            pivots = _pivots(placed, turn, "node", "n")
-            left = hot_join(placed, pivots, ["key"], "members", placed.count()).where(F.col("component") != F.col("place"))
+            pivots = cut(_pivots(placed, turn, "node", "n"), n_placed)
+            left = hot_join(placed, pivots, ["key"], "members", n_placed).where(F.col("component") != F.col("place"))
         elif turn < ROUNDS + PREFIX_ROUNDS:
             # A key's members are dealt to its pivots anew in each round, large keys' several times over.
             parts = F.ceil(F.col("of") / DEALT)
             again = F.explode(F.sequence(F.lit(1), F.least(parts, F.lit(TRIES)).cast("int")))
             placed = placed.select("*", again.alias("again"))
             placed = cut(placed.withColumn("key", F.xxhash64("key", "again", F.pmod(F.xxhash64("node", "key", "again", F.lit(-turn)), parts))))
-            pivots = _pivots(placed, turn, "node", "n", "rest").withColumnRenamed("p_rest", "other_rest")
-            left = hot_join(placed, pivots, ["key"], "members", placed.count()).where((F.col("component") != F.col("place")) & enough)
+            n_placed = placed.count()
+            placed = placed.coalesce(1 + n_placed // ROWS_PER_TASK)
+            pivots = cut(_pivots(placed, turn, "node", "n", "rest").withColumnRenamed("p_rest", "other_rest"), n_placed)
+            left = hot_join(placed, pivots, ["key"], "members", n_placed).where((F.col("component") != F.col("place")) & enough)
         else:
             several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
             mixed = placed.join(several, "key")
             others = mixed.where("indexed").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("place"), F.col("rest").alias("other_rest"))
             left = mixed.join(others, "key").where((F.col("component") != F.col("place")) & (F.col("n") >= F.col("m")) & enough)
         pairs = left.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), n_placed)
+        n_pairs = pairs.count()
+        pairs = pairs.coalesce(1 + n_pairs // PAIRS_PER_TASK)
         tried = pairs if tried is None else tried.union(pairs)
-        found = cut(_verified(pairs, sets, similarity))
+        found = cut(_verified(pairs, sets, similarity).coalesce(1 + n_pairs // PAIRS_PER_TASK))
         if groups is None:
-            groups = connected_components(found)
+            groups = connected_components(found, n_pairs)
         elif not found.isEmpty():
-            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found), n_met + n_pairs)
     placed = nodes.join(groups, "node", "left").select("name", "least", "rows", F.coalesce("component", "node").alias("component"))
     roots = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
     known = hot_join(placed, roots, ["component"], "of", nodes.count()).select("name", "rows", "component", "component_id")

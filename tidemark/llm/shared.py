@@ -55,10 +55,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small frame."""
+#: Rows of a small frame that one task takes, where their number is known before it is made.
+ROWS_PER_TASK = 25_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint of a small frame.
+
+    ``rows`` is about how many it has at most. Then it is made in as many tasks as that needs, not in one
+    for each shuffle partition: every task of a checkpoint or of the shuffle after it leaves files of its
+    own, which take more room than a few rows do.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // ROWS_PER_TASK)).checkpoint(eager=True)
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
