@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.config import RULES
 from tidemark.operators import guards, sweeps
 from tidemark.streaming.deals import STATE_STORE
+from tidemark.streaming.shipping import held, kept
 from tidemark.streaming.ticks import BARE, NAMES, start_ticks, store_batch, stored
 
 START = datetime(2024, 5, 1)
@@ -109,3 +110,31 @@ def test_sweeps_are_looked_up_without_shuffling_rows(spark, monkeypatch, few):
         assert (carried == [0, 0]) == (few is None) and carried[0] <= 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_batch_adds_one_row_of_state_in_one_call():
+    """However many snapshots a batch brings: every row of state and every call is a way to the store and back."""
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = list(rows), self.calls + 1
+
+        def appendValue(self, row):
+            self.rows, self.calls = [*self.rows, row], self.calls + 1
+
+        def clear(self):
+            self.rows, self.calls = [], self.calls + 1
+
+    state, was = State(), {}
+    first = {f"s{k}": k for k in range(500)}
+    steps = [first, first | {"s7": 900, "t": 901}, first | {"s7": 900, "t": 901}, {"t": 901}, {}]
+    for now, calls, rows in zip(steps, (1, 2, 2, 3, 4), (1, 2, 2, 1, 0)):
+        kept(state, was, now)
+        was = held(state)
+        assert was == now and (state.calls, len(state.rows)) == (calls, rows)

@@ -1,4 +1,4 @@
-"""How processors reach the workers."""
+"""How processors reach the workers, and how they keep what grows."""
 
 from __future__ import annotations
 
@@ -22,3 +22,21 @@ def by_value() -> Iterator[None]:
         yield
     finally:
         cloudpickle.unregister_pickle_by_value(tidemark)
+
+
+def held(state) -> dict:
+    """The entries of a list state whose rows hold keys and values of many (two arrays)."""
+    return {k: v for keys, values in state.get() for k, v in zip(keys, values)}
+
+
+def kept(state, before: dict, now: dict) -> None:
+    """Brings a list state that is read by ``held`` from ``before`` to ``now`` in one call and one row.
+
+    Every row of state is packed and unpacked by itself on both sides, which takes longer than what is
+    done with it; so what a batch adds is one row of arrays. The last value of a key holds. The list is
+    written anew when something is forgotten.
+    """
+    if before.keys() - now.keys():
+        state.put([(list(now), list(now.values()))]) if now else state.clear()
+    elif changed := {k: v for k, v in now.items() if k not in before or before[k] != v}:
+        state.appendValue((list(changed), list(changed.values())))

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..config import RULES, Rules
 from ..operators.guards import judged, next_ok, sound
 from ..operators.sweeps import COUNTS
-from .shipping import by_value
+from .shipping import by_value, held, kept
 
 #: Bare observations. ``sweep`` orders a page's passes; rows of a sweep may come in several batches.
 BARE = (
@@ -40,12 +40,12 @@ class SweepCounts(StatefulProcessor):
     """Adds the counts of a page's sweep and of the one before; one page a key.
 
     ``sweeps`` (value) has the sweep that is going on and the counts of the one before; ``variants``
-    and ``prices`` (maps) what the present one has shown so far.
+    and ``prices`` (lists) what the present one has shown so far.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sweeps = handle.getValueState("sweeps", "sweep long, variants long, prices long")
-        self.shown = {"variants": handle.getMapState("variants", "name string", "n long"), "prices": handle.getMapState("prices", "name string", "n long")}
+        self.shown = {c: handle.getListState(c, "names array<string>, n array<long>") for c in ("variants", "prices")}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = _typed(pd.concat(list(rows))[NAMES], BARE)
@@ -55,7 +55,8 @@ class SweepCounts(StatefulProcessor):
         if alone.all():
             return
         present, *before = self.sweeps.get() or (None, None, None)
-        known = {c: {k[0] for k in state.keys()} for c, state in self.shown.items()}
+        stored = {c: set(held(state)) for c, state in self.shown.items()}
+        known = {c: set(names) for c, names in stored.items()}
         for sweep, part in frame[~alone].sort_values("sweep").groupby("sweep"):
             if sweep != present:
                 if present is not None:
@@ -67,11 +68,7 @@ class SweepCounts(StatefulProcessor):
             yield part.assign(**{c: pd.array([v] * len(part), dtype="Int64") for c, v in zip(COUNTS, values)})
         self.sweeps.update((present, *before))
         for c, state in self.shown.items():
-            stored = {k[0] for k in state.keys()}
-            for name in stored - known[c]:
-                state.removeKey((name,))
-            for name in known[c] - stored:
-                state.updateValue((name,), (1,))
+            kept(state, dict.fromkeys(stored[c], 1), dict.fromkeys(sorted(known[c]), 1))
 
     def close(self) -> None:
         return None
@@ -80,7 +77,7 @@ class SweepCounts(StatefulProcessor):
 class LastOk(StatefulProcessor):
     """Drops replayed snapshots and adds the offer's last OK price; one offer a key.
 
-    ``last`` (value) is that price; ``seen`` (map) the snapshots taken, with their times. With
+    ``last`` (value) is that price; ``seen`` (list) the snapshots taken, with their times. With
     ``replay_hours`` they are forgotten that long after, by the time of the observations: a time to
     live of Spark's would need timers of the processor's clock, with which a run over all that is
     there never ends. Rows without a snapshot are never replays. Rows of a batch are taken in order
@@ -92,38 +89,38 @@ class LastOk(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "price long")
-        self.seen = handle.getMapState("seen", "snapshot_ref string", "taken long")
+        self.seen = handle.getListState("seen", "refs array<string>, taken array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = _typed(pd.concat(list(rows)).drop(columns="offer"), f"{_COUNTED}, sound boolean").sort_values(["observed_at", "seq"], kind="stable")
-        held = self.last.get()
-        last = held[0] if held else None
-        known = {k[0]: v[0] for k, v in self.seen.iterator()}
+        # Whole numbers with nulls have come as floats and go back as they are; an offer has few rows, so plain lists are quicker.
+        frame = pd.concat(list(rows)).drop(columns="offer")
+        before = self.last.get()
+        last = before[0] if before else None
+        known = held(self.seen)
         seen = dict(known)
-        kept, prices = [], []
-        facts = zip(frame["snapshot_ref"], frame["observed_at"], *[frame[c].astype(object).where(frame[c].notna(), None) for c in ("price_cents", "sound", "unit_count", "listing_unit_count")])
-        for ref, at, price, fine, count, listed in facts:
+        places, prices = [], []
+        refs, seqs, sounds = (frame[c].tolist() for c in ("snapshot_ref", "seq", "sound"))
+        times = [None if pd.isna(at) else at.value for at in frame["observed_at"].tolist()]
+        price, count, listed = ([None if v is None or v != v else int(v) for v in frame[c].tolist()] for c in ("price_cents", "unit_count", "listing_unit_count"))
+        for k in sorted(range(len(times)), key=lambda k: (times[k] is None, times[k] or 0, not isinstance(seqs[k], str), seqs[k] if isinstance(seqs[k], str) else "")):
+            ref, at = refs[k], times[k]
             named = isinstance(ref, str) and ref != ""
             taken = seen.get(ref) if named else None
-            kept.append(taken is None or self.replay is not None and not pd.isna(at) and at.value - taken > self.replay.value)
-            if not kept[-1]:
+            if not (taken is None or self.replay is not None and at is not None and at - taken > self.replay.value):
                 continue
             if named:
-                seen[ref] = 0 if pd.isna(at) else at.value
+                seen[ref] = at or 0
+            places.append(k)
             prices.append(last)
-            last = next_ok(price, last, bool(fine), count, listed, self.rules)
-        if self.replay is not None and len(frame) and not pd.isna(frame["observed_at"].max()):
-            oldest = frame["observed_at"].max().value - self.replay.value
-            seen = {ref: taken for ref, taken in seen.items() if taken >= oldest}
-        for ref in known.keys() - seen.keys():
-            self.seen.removeKey((ref,))
-        for ref, taken in seen.items():
-            if known.get(ref) != taken:
-                self.seen.updateValue((ref,), (taken,))
-        if last is not None:
+            last = next_ok(price[k], last, bool(sounds[k]), count[k], listed[k], self.rules)
+        newest = max((at for at in times if at is not None), default=None)
+        if self.replay is not None and newest is not None:
+            seen = {ref: taken for ref, taken in seen.items() if taken >= newest - self.replay.value}
+        kept(self.seen, known, seen)
+        if last is not None and (before is None or last != before[0]):
             self.last.update((int(last),))
         if prices:
-            yield frame[kept].assign(last_price=pd.array(prices, dtype="Int64"))
+            yield frame.take(places).assign(last_price=pd.array(prices, dtype="Int64"))
 
     def close(self) -> None:
         return None
