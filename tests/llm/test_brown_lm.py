@@ -151,3 +151,13 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert got == sorted([(1, 1, 1, 4), (2, 1, 1, 4), (None, 3, 3, 4), (3, 3, 3, 4), (3, 3, 3, 4)], key=str)
     assert all(r.n_known == 0 for r in B.score_documents(docs(spark, [(1, "a", True), (2, "b", True)])).collect())
     assert B.score_documents(docs(spark, [])).count() == 0
+
+
+def test_the_plan_does_not_spell_out_the_gains(spark, monkeypatch):
+    """Spark keeps the text of each plan in the driver; gains as constants made it megabytes long."""
+    monkeypatch.setattr(B, "FREQUENT", 2)
+    table = B.blocks(docs(spark, [(k, f"a b{k} c d{k % 3} a", False) for k in range(40)]))
+    seeds = B.seed(table)
+    words = B._classified(B._entries(table, spark.sparkContext.broadcast(seeds)).repartition("word"), seeds)
+    assert words.count() > 0
+    assert len(words._jdf.queryExecution().toString()) < 200_000

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -345,18 +345,25 @@ def _entries(table: DataFrame, shared: Broadcast) -> DataFrame:
     return table.select("block", "doc_ids", "held", "sizes", "tokens", "words").mapInArrow(lean(run), _ENTRY)
 
 
+def _gain_rows(spark: SparkSession, seeds: Seeds) -> DataFrame:
+    """(pair, g1, g2, ...): the gains of each pair of classes, one column for each class but the end's."""
+    gains = seeds.gains()[:, 1:]
+    made = {"pair": pa.array(np.arange(len(gains), dtype=np.int32))} | {f"g{k}": pa.array(column) for k, column in enumerate(gains.T, 1)}
+    kinds = [T.StructField(name, T.IntegerType() if name == "pair" else T.DoubleType(), False) for name in made]
+    return spark.createDataFrame(pa.table(made), T.StructType(kinds))
+
+
 def _classified(entries: DataFrame, seeds: Seeds) -> DataFrame:
     """(word, c, class, home): count and class of each training word, and the mark of one place that has it.
 
-    Sums by class of what the contexts add; built-in functions keep the entries' partitioning by
-    word, so nothing is shuffled here.
+    Sums by class of what the contexts add; built-in functions and the broadcast of the gains (a row for
+    each pair of classes) keep the entries' partitioning by word, so nothing is shuffled here. As constants
+    the gains would be written out wherever Spark describes the plan, by megabytes in the driver.
     """
-    gains = seeds.gains()[:, 1:]
     times, pair = F.expr("met & 4294967295L"), F.expr("cast(shiftright(met, 32) & 1073741823L as int)")
-    # One array for each class, folded into a constant; F.get finds a pair's gain.
-    listed = [F.split(F.lit(",".join(f"{x:.12g}" for x in column)), ",").cast("array<double>") for column in gains.T]
-    sums = [F.sum(F.col("n") * F.get(column, F.col("pair"))).alias(f"g{k}") for k, column in enumerate(listed, 1)]
     met = entries.select("word", pair.alias("pair"), times.alias("n"), F.when(times > 0, F.xxhash64("block", "place")).alias("here"))
+    met = met.join(F.broadcast(_gain_rows(entries.sparkSession, seeds)), "pair")
+    sums = [F.sum(F.col("n") * F.col(f"g{k}")).alias(f"g{k}") for k in range(1, CLASSES)]
     words = met.groupBy("word").agg(F.sum("n").alias("c"), F.min("here").alias("home"), *sums).where("c > 0")
     gained = F.array(*[F.col(f"g{k}") for k in range(1, CLASSES)])
     return words.select("word", "c", F.array_position(gained, F.array_max(gained)).cast("int").alias("class"), "home")
