@@ -5,6 +5,7 @@ import corpus_pipeline as P
 import pytest
 
 from tidemark.llm import near_copies as N
+from tidemark.llm.components import connected_components
 from tidemark.llm.shared import shared_folder
 
 SCHEMA = "doc_id long, text string"
@@ -131,3 +132,22 @@ def test_few_rows_leave_few_files(spark):
     assert got == plain(rows)
     # Before: 1166.
     assert made_now < 300, made_now
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Every step was dealt to all shuffle partitions; the reports of so many tasks fill the driver."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 60 != 59], "a long, b long")
+    before, context = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        context.setJobGroup("few-links", "")
+        got = {(r.node, r.component) for r in connected_components(links, 300).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(k, k // 60 * 60) for k in range(300)}
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("few-links") for s in tracker.getJobInfo(job).stageIds}
+    assert stages and sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 200
