@@ -29,7 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, every row that has none.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles; ids play no
+    Candidates come from SimHash fingerprints of five-word shingles, and from an exact join for what
+    those leave apart. Near-duplicates have a Jaccard similarity of 0.8 or more; ids play no
     part in that, so rows that share an id or have none stay if their texts differ. Of a group the
     row with the least doc_id stays (one without id only if none has one), then the least text, then
     the least of the other columns. Null, empty and wordless texts are one group.

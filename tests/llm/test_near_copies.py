@@ -151,3 +151,32 @@ def test_components_of_few_links_take_few_tasks(spark):
     tracker = context.statusTracker()
     stages = {s for job in tracker.getJobIdsForGroup("few-links") for s in tracker.getJobInfo(job).stageIds}
     assert stages and sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 200
+
+
+def test_texts_at_the_limit_need_no_luck(spark, monkeypatch):
+    """Pairs just at the limit share keys of hashes by chance only; without any such key the exact join finds all."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    rows = []
+    for k in range(40):
+        line = [word() for _ in range(49)]
+        # 45 shingles, 40 in common of 50; every other copy has 39 of 51.
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(line[: 44 - k % 2] + [word() for _ in range(5 + k % 2)]))]
+    expected = plain(rows)
+    assert len(set(expected.values())) == 60
+    monkeypatch.setattr(N, "ROUNDS", 0)
+    assert {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == expected
+
+
+def test_fingerprints_link_edited_copies(spark):
+    """The stage's links come from SimHash: copies of a text lie within its radius, other texts far outside, and share keys."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    base = [[word() for _ in range(200)] for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:100] + [word()] + b[101:]) for b in base]
+    sets = [N.shingles(t) for t in texts]
+    bits = [N._fingerprint(x) for x in sets]
+    apart = lambda x, y: sum(((int(a) ^ int(b)) & (1 << 64) - 1).bit_count() for a, b in zip(x, y))
+    assert all(apart(bits[k], bits[k + 40]) <= N.RADIUS < apart(bits[k], bits[(k + 1) % 40]) for k in range(40))
+    nodes = spark.createDataFrame([(k, len(sets[k]), b.tolist()) for k, b in enumerate(bits)], "node long, n long, bits array<long>")
+    assert {tuple(r) for r in N._fingerprint_pairs(nodes, 80, 80).collect()} == {(k, k + 40) for k in range(40)}

@@ -70,6 +70,22 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(1 + rows // ROWS_PER_TASK)).checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, files of a shuffle go as soon as the action that made them has ended, not at some collection of
+    the driver's garbage. Results of actions stay; nothing but a new action reads them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for mapInArrow, giving freed memory back to the system at the end of each task:
     workers live on and would hold it while later stages need it."""
