@@ -42,10 +42,10 @@ ROUNDS = 2
 #: Bits that a fingerprint key has beyond those that number the texts.
 MORE_BITS = 4
 #: Most sets that are compared in pairs because they share one key of the exact join.
-CROWD = 200
+CROWD = 128
 PREFIX_ROUNDS = 2
 #: Members of a prefix key that are compared with one of them, and how often a large key's are dealt in a round.
-DEALT, TRIES = 16, 16
+DEALT, TRIES = 16, 3
 #: Texts, about, from which frequent shingles are learnt, how many of them have one at least, and most shingles that
 #: are listed. They set the order of keys only; whatever they are, the join is exact.
 SAMPLE, OFTEN, LISTED = 16_000, 3, 1 << 16
