@@ -208,3 +208,9 @@ def test_cells_go_on_in_small_batches(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"body": [body] * 50, "url": [str(k) for k in range(50)]})
     sizes = [b.num_rows for b in sent[0](iter([batch]))]
     assert sum(sizes) == 350 and max(sizes) < 20
+
+
+def test_badge_tile_without_a_link_stands_for_its_page(spark):
+    tile = '<div class="product-tile"><div class="image-banner">Clearance</div><a class="anchor-container" pid="7"><div class="product-name"><span>Tile</span></div><span class="regular-price">$5.00</span><span class="price strike">$9.00</span></a></div>'
+    pages = spark.createDataFrame([("https://shop/list", tile)], "url string, body string")
+    assert [(r.product_code, r.product_url, r.claimed_cents) for r in markup.grid_rows(pages, "badge_tiles").collect()] == [("7", "https://shop/list", 900)]
